@@ -22,8 +22,35 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import cut_repeats
+
+    cut = cut_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import decode_ids, encode_texts
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = encode_texts(docs, _tokenizer()).select("doc_id", "n_tokens", "token_ids")
+    return decode_ids(ids, _tokenizer()).select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_search import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), "id % 100 = 0").withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_minhash_dedup, op3_embedding_dedup)}
+    return {f.__name__: f for f in (op2_minhash_dedup, op3_embedding_dedup, op5_substring_dedup, op7_bpe, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:
