@@ -10,6 +10,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import chat_windows, read_windows
+
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    own = "<|im_end|><|im_start|>assistant ok"
+    turns = turns.unionByName(spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], turns.schema))
+    back = read_windows(chat_windows(turns))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.col("formatted_chars").cast("long"),
+    )
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import near_duplicates
 
@@ -29,6 +43,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_mix import mix, taken_words
+
+    taken = taken_words(*mix(_table(spark, sf_dir, "documents")))
+    return taken.select(F.col("id").alias("doc_id"), "size", "source", "source_size", "target", "taken")
+
+
 def _tokenizer() -> str:
     import public_tokenizers
 
@@ -43,6 +64,23 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_ids(ids, _tokenizer()).select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Fixed values: (verdict, host, path) of the contract's rules.
+RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("block", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls
+
+    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk_search import top_k
 
@@ -50,7 +88,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_minhash_dedup, op3_embedding_dedup, op5_substring_dedup, op7_bpe, op10_topk_search)}
+    return {f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_embedding_dedup, op5_substring_dedup, op6_source_mix, op7_bpe, op8_url_filter, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:
