@@ -155,8 +155,10 @@ def _confirmed(percent: int):
             x = np.zeros((len(sets), width), np.float32)
             x[row[lo:hi], code[lo:hi] - at] = 1
             both += x @ x.T
-        inter = both.astype(np.int64)
-        links = 100 * inter >= percent * (n[:, None] + n[None, :] - inter)
+        links = np.empty(both.shape, bool)
+        for at in range(0, len(sets), 256):  # 100 * intersection >= percent * union, in whole numbers
+            links[at : at + 256] = (100 + percent) * both[at : at + 256].astype(np.int64) >= percent * (n[at : at + 256, None] + n)
+        del both
         if group["i"][0].as_py() != group["j"][0].as_py():
             links &= blk[:, None] != blk[None, :]
         np.fill_diagonal(links, False)
@@ -167,7 +169,7 @@ def _confirmed(percent: int):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, block_rows: int = 2048, block_shingles: int = 2_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, block_rows: int = 1024, block_shingles: int = 2_000_000
 ) -> DataFrame:
     """Per document: id, n_shingles, component_id (smallest id reachable over links with 100 * intersection >= percent * union), kept.
 
@@ -193,7 +195,8 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(got, pa.binary())], ["id", "shingles"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    full = texts.join(members.select("id", "digest"), "id").select("id", "text", "digest").mapInArrow(sets, "id long, shingles binary").where("shingles is not null")
+    # sorted on both sides whatever the sizes: a plan that doesn't turn with the input's size
+    full = texts.join(members.select("id", "digest").hint("merge"), "id").select("id", "text", "digest").mapInArrow(sets, "id long, shingles binary").where("shingles is not null")
     links = (
         full.join(blocks.select("id", "component", "blk", "i", "j"), "id")
         .groupBy("component", "i", "j").applyInArrow(_confirmed(percent), "a long, b long")
