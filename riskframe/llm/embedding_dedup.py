@@ -165,14 +165,14 @@ def _counted(threshold: float):
         a, b = forest(near, ids)
         root = dict(zip(a.tolist(), b.tolist(), strict=True))
         to = [root.get(x, x) for x in ids.tolist()]
-        return pa.table({"id": pa.array(ids), "n": pa.array(near @ times, pa.int64()), "to": pa.array(to, pa.int64())})
+        return pa.table({"id": pa.array(ids), "n": pa.array([int(times[row].sum()) for row in near], pa.int64()), "to": pa.array(to, pa.int64())})
 
     return run
 
 
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93,
-    passes: int = 24, window: int = 128, block_rows: int = 2048, seed: int = 11,
+    passes: int = 24, window: int = 128, block_rows: int = 1024, seed: int = 11,
 ) -> DataFrame:
     """Per row: id, n_links (other rows linked directly), component_id (smallest id reachable), kept.
 
