@@ -36,6 +36,15 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_folder, read_archives, write_archives
+
+    folder = archive_folder(spark)
+    archives = write_archives(_table(spark, sf_dir, "pages"), folder)
+    back = read_archives(spark, folder, archives)
+    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import cut_repeats
 
@@ -81,6 +90,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    scored = toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk_search import top_k
 
@@ -88,7 +104,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_embedding_dedup, op5_substring_dedup, op6_source_mix, op7_bpe, op8_url_filter, op10_topk_search)}
+    return {f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_embedding_dedup, op4_warc, op5_substring_dedup, op6_source_mix, op7_bpe, op8_url_filter, op9_toxicity, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:
