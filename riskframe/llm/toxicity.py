@@ -21,46 +21,73 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def words_of(text: str | None) -> set[bytes]:
-    return set(text.encode("utf-8", "surrogatepass").translate(FOLD).split()) if text else set()
+#: Features are words and their beginnings of 5, 6 and 7 bytes (languages that glue words show their stems there), hashed to so many places.
+PLACES = 2**20
+STEMS = (5, 6, 7)
 
 
-def _sample(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list[list[bytes]]:
-    """Distinct words of the documents in ids (bounded)."""
+class Features(dict):
+    """word -> places of its features, remembered up to a bound; only those of `wanted` (all, if None)."""
+
+    LIMIT = 400_000
+
+    def __init__(self, wanted=None):
+        super().__init__()
+        self.wanted = wanted
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        import xxhash
+
+        if len(self) >= self.LIMIT:
+            self.clear()
+        places = {xxhash.xxh3_64_intdigest(word) % PLACES, *(xxhash.xxh3_64_intdigest(word[:n], 1) % PLACES for n in STEMS if len(word) >= n)}
+        self[word] = got = tuple(x for x in places if self.wanted is None or x in self.wanted)
+        return got
+
+    def of(self, text: str | None) -> set[int]:
+        words = set(text.encode("utf-8", "surrogatepass").translate(FOLD).split()) if text else ()
+        return {x for w in words for x in self[w]}
+
+
+def _sample(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list:
+    """Features (sorted uint32) of the documents in ids (bounded)."""
 
     def run(batches):
+        import numpy as np
+
+        features = Features()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b" ".join(sorted(words_of(t.as_py()))) for t in batch.column(0)], pa.binary())], ["words"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.array(sorted(features.of(t.as_py())), "<u4").tobytes() for t in batch.column(0)], pa.binary())], ["places"])
+
+    import numpy as np
 
     picked = docs.join(F.broadcast(ids), docs[id_col].cast("long") == ids["__id"], "left_semi").select(F.col(text_col).cast("string"))
-    return [r.words.split() for r in picked.mapInArrow(run, "words binary").collect()]
+    return [np.frombuffer(r.places, "<u4") for r in picked.mapInArrow(run, "places binary").collect()]
 
 
-def _matrix(rows: list[list[bytes]], column: dict[bytes, int]):
+def _chosen(pos: list, unl: list, size: int):
+    """Places whose share of documents differs most surely between the two samples, sorted."""
     import numpy as np
 
-    x = np.zeros((len(rows), len(column)), np.uint8)
-    for k, words in enumerate(rows):
-        x[k, [column[w] for w in words if w in column]] = 1
-    return x
+    a, b = (np.bincount(np.concatenate([*x, np.empty(0, np.uint32)]).astype(np.int64), minlength=PLACES) for x in (pos, unl))
+    x, y = (a + 0.5) / (len(pos) + 1), (b + 0.5) / (len(unl) + 1)
+    z = np.abs(x - y) / np.sqrt(x * (1 - np.minimum(x, 0.99)) / (len(pos) + 1) + y * (1 - np.minimum(y, 0.99)) / (len(unl) + 1))
+    z[a + b < 5] = 0
+    top = np.lexsort((np.arange(PLACES), -z))[:size]
+    return np.sort(top[z[top] > 0])
 
 
-def _vocabulary(pos: list[list[bytes]], unl: list[list[bytes]], size: int) -> list[bytes]:
-    """Words whose share of documents differs most surely between the two samples."""
-    import math
-    from collections import Counter
+def _matrix(rows: list, places):
+    import numpy as np
 
-    a, b = Counter(w for d in pos for w in d), Counter(w for d in unl for w in d)
-    score = {}
-    for w in a.keys() | b.keys():
-        x, y = (a[w] + 0.5) / (len(pos) + 1), (b[w] + 0.5) / (len(unl) + 1)
-        if a[w] + b[w] >= 5:
-            score[w] = abs(x - y) / math.sqrt(x * (1 - min(x, 0.99)) / (len(pos) + 1) + y * (1 - min(y, 0.99)) / (len(unl) + 1))
-    return sorted(score, key=lambda w: (-score[w], w))[:size]
+    x = np.zeros((len(rows), len(places)), np.uint8)
+    for k, own in enumerate(rows):
+        x[k, np.searchsorted(places, np.intersect1d(places, own))] = 1
+    return x
 
 
-def train(pos: list[list[bytes]], unl: list[list[bytes]], prior: float, size: int = 1024, members: int = 3, epochs: int = 40, rate: float = 0.02, decay: float = 1e-4) -> tuple[dict[bytes, float], float]:
-    """(weight of each word, bias): mean of `members` linear classifiers under the non-negative risk, trained by Adam."""
+def train(pos: list, unl: list, prior: float, size: int = 512, members: int = 3, epochs: int = 40, rate: float = 0.02, decay: float = 1e-3) -> tuple[dict[int, float], float]:
+    """(weight of each chosen place, bias): mean of `members` linear classifiers under the non-negative risk, trained by Adam."""
     import math
 
     import numpy as np
@@ -69,48 +96,44 @@ def train(pos: list[list[bytes]], unl: list[list[bytes]], prior: float, size: in
     base = math.log(prior / (1 - prior))
     if not pos or not unl:
         return {}, base
-    vocabulary = _vocabulary(pos, unl, size)
-    column = {w: k for k, w in enumerate(vocabulary)}
-    xp, xu = _matrix(pos, column), _matrix(unl, column)
-    total, bias_total = np.zeros(len(column)), 0.0
+    places = _chosen(pos, unl, size)
+    xp, xu = _matrix(pos, places), _matrix(unl, places)
+    total, bias_total = np.zeros(len(places)), 0.0
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for member in range(members):
         rng = np.random.default_rng(member)
-        w, m, v = np.zeros(len(column) + 1), np.zeros(len(column) + 1), np.zeros(len(column) + 1)
+        w, m, v = np.zeros(len(places) + 1), np.zeros(len(places) + 1), np.zeros(len(places) + 1)
         w[-1] = base
-        steps = max(1, min(len(xp), len(xu)) // 256)
-        t = 0
-        for epoch in range(epochs):
-            order_p, order_u = rng.permutation(len(xp)), rng.permutation(len(xu))
-            for p_rows, u_rows in zip(np.array_split(order_p, steps), np.array_split(order_u, steps), strict=True):
+        steps, t = max(1, min(len(xp), len(xu)) // 128), 0
+        for _ in range(epochs):
+            for p_rows, u_rows in zip(np.array_split(rng.permutation(len(xp)), steps), np.array_split(rng.permutation(len(xu)), steps), strict=True):
                 bp, bu = xp[p_rows].astype(np.float32), xu[u_rows].astype(np.float32)
                 gp, gu = bp @ w[:-1] + w[-1], bu @ w[:-1] + w[-1]
-                # logistic loss l(z) = log(1 + exp(-z)); derivative of l(g) is s(g) - 1, of l(-g) is s(g)
+                # logistic loss l(z) = log(1 + exp(-z)); the derivative of l(g) is s(g) - 1, that of l(-g) is s(g)
                 sp, su = sigmoid(gp), sigmoid(gu)
                 negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-                dp_pos, dp_neg, du = prior * (sp - 1) / len(gp), -prior * sp / len(gp), su / len(gu)
                 if negative >= 0:
-                    dp, d_u = dp_pos + dp_neg, du
+                    dp, du = prior * (sp - 1) / len(gp) - prior * sp / len(gp), su / len(gu)
                 else:
-                    dp, d_u = -dp_neg, -du
-                grad = np.concatenate([dp @ bp + d_u @ bu, [dp.sum() + d_u.sum()]])
+                    dp, du = prior * sp / len(gp), -su / len(gu)
+                grad = np.concatenate([dp @ bp + du @ bu, [dp.sum() + du.sum()]])
                 grad[:-1] += decay * w[:-1]
                 t += 1
                 m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
                 w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         total += w[:-1]
         bias_total += float(w[-1])
-    return {w: float(total[k] / members) for w, k in column.items()}, bias_total / members
+    return {int(p): float(x) / members for p, x in zip(places, total, strict=True)}, bias_total / members
 
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_positive: int = 6000, max_unlabelled: int = 18_000, words: int = 1024,
+    max_positive: int = 4000, max_unlabelled: int = 8000, features: int = 512,
 ) -> DataFrame:
     """docs with held_out, score (0 to 1) and predicted (1 if score >= 0.5).
 
     Labels are read only outside the held-out fold (an id of null counts as held out). The class prior is the toxic share of all
-    labels read. At most max_positive toxic and max_unlabelled other documents, the first by a hash of the id, are trained on; every
+    labels read. At most max_positive toxic and max_unlabelled documents of any kind, the first by a hash of the id, are trained on; every
     document is scored by its whole text, and a null or empty text gets the score of no words. Without labels of either kind all scores
     are the prior's. An id with several labels is toxic if one of them is. Repeated rows get equal scores; input columns of the three
     names are replaced. An empty table gives an empty result.
@@ -120,9 +143,8 @@ def toxicity(
     n, toxic = marked.agg(F.count(F.lit(1)), F.sum(F.when(F.col("y") == 1, 1).otherwise(0))).first()
     order = F.xxhash64("__id")
     pos_ids = marked.where("y = 1").select("__id").orderBy(order, "__id").limit(max_positive)
-    ids = docs.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("__id")).join(marked.where("y = 1"), "__id", "left_anti")
-    unl_ids = ids.orderBy(order, "__id").limit(max_unlabelled)
-    weight, bias = train(_sample(docs, pos_ids, id_col, text_col), _sample(docs, unl_ids, id_col, text_col), (toxic or 0) / n if n else 0.05, words)
+    unl_ids = docs.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("__id")).orderBy(order, "__id").limit(max_unlabelled)
+    weight, bias = train(_sample(docs, pos_ids, id_col, text_col), _sample(docs, unl_ids, id_col, text_col), (toxic or 0) / n if n else 0.05, features)
     kept = docs.drop("held_out", "score", "predicted")
     names = [*kept.columns, "score"]
     schema = kept.withColumn("score", F.lit(0.0)).schema
@@ -130,9 +152,9 @@ def toxicity(
     def run(batches):
         import math
 
-        known = weight.keys()
+        features = Features(weight.keys())
         for batch in batches:
-            z = [bias + sum([weight[w] for w in sorted(words_of(t.as_py()) & known)]) for t in batch.column(text_col)]
+            z = [bias + math.fsum([weight[x] for x in features.of(t.as_py())]) for t in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in z], pa.float64())], names)
 
     scored = kept.mapInArrow(run, schema)
