@@ -131,16 +131,29 @@ def repeats(docs: DataFrame, window: int, group: int) -> DataFrame:
     last = np.iinfo(np.int64).max
     even = _even(docs.sparkSession, parts)
 
-    def out(ids, keys, which, places, blank):
-        """Rows of (id, key, starts) from the document and start of each repeat, sorted by document."""
+    def bundles(ids, keys, which, places):
+        """Repeats as one row for each bucket of documents: bucket, documents (id, key), starts in each, all starts."""
         cut = np.nonzero(np.diff(which))[0] + 1
-        first = np.concatenate([[0], cut]).astype(np.int64) if len(which) else np.empty(0, np.int64)
-        doc = which[first]
-        starts = [x.astype("<u4").tobytes() for x in np.split(places, cut)] if len(which) else []
-        return [pa.array(ids[doc], pa.int64()), pa.array(keys[doc], pa.int64()), pa.array(starts, pa.binary()), *(pa.nulls(len(doc), t) for t in blank)]
-
-    dealt_types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    names = ["id", "key", "starts", "part", "docs", "doc_starts", "labels", "places"]
+        first = np.concatenate([[0], cut]).astype(np.int64)
+        doc, count = which[first], np.diff(np.concatenate([first, [len(which)]]))
+        bucket = (mixed(ids[doc].astype(np.uint64) * np.uint64(31) + keys[doc].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        doc, count, bucket = doc[order], count[order], bucket[order]
+        places = np.concatenate([places[f : f + c] for f, c in zip(first[order], count, strict=True)]).astype("<u4")
+        edge = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [len(bucket)]])
+        at = np.concatenate([[0], np.cumsum(count)])
+        pair = np.stack([ids[doc], keys[doc]], 1).astype("<i8")
+        cols = [even[bucket[edge[:-1]]], [], [], []]
+        for lo, hi in zip(edge, edge[1:], strict=False):
+            cols[1].append(pair[lo:hi].tobytes())
+            cols[2].append(count[lo:hi].astype("<u4").tobytes())
+            cols[3].append(places[at[lo] : at[hi]].tobytes())
+        return [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
+
+    ours = ["bucket", "repeat_docs", "counts", "starts"]
+    names = [*ours, "part", "docs", "doc_starts", "labels", "places"]
+    shape = "bucket int, repeat_docs binary, counts binary, starts binary"
+    none = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
     def deal(batches):
         memo = WordHashes()
@@ -167,7 +180,8 @@ def repeats(docs: DataFrame, window: int, group: int) -> DataFrame:
                 twin = (ids[sorted_doc[head]] == ids[doc[again]]) & (keys[sorted_doc[head]] == keys[doc[again]]) & (sorted_at[head] - starts[sorted_doc[head]] == at[again] - starts[doc[again]])
                 cut = np.sort(again[~twin])
                 if len(cut):
-                    yield pa.RecordBatch.from_arrays(out(ids, keys, doc[cut], at[cut] - starts[doc[cut]], dealt_types), names)
+                    own = bundles(ids, keys, doc[cut], at[cut] - starts[doc[cut]])
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(own[0]), t) for t in none)], names)
                 keep = np.sort(order[~same])
                 to = np.full(len(keep), len(lengths) - 1)
                 for level in range(len(lengths) - 2, -1, -1):
@@ -184,7 +198,7 @@ def repeats(docs: DataFrame, window: int, group: int) -> DataFrame:
                 n = len(edge) - 1
                 cols = [pa.array(even[part[edge[:-1]]]), pa.array([table[0]] * n, pa.binary()), pa.array([table[1]] * n, pa.binary())]
                 cols += [pa.array([label[lo:hi].tobytes() for lo, hi in zip(edge, edge[1:], strict=False)], pa.binary()), pa.array([pack(lo, hi) for lo, hi in zip(edge, edge[1:], strict=False)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *cols], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(3)), *cols], names)
 
     def nodes(batches):
         """Leaves of one partition: nodes at depth `window`, and their leaves but the earliest. Rows of repeats pass through."""
@@ -192,8 +206,8 @@ def repeats(docs: DataFrame, window: int, group: int) -> DataFrame:
         for batch in batches:
             early = batch.filter(batch.column("part").is_null())
             if early.num_rows:
-                yield early.select(["id", "key", "starts"])
-            for row in batch.filter(batch.column("part").is_valid()).select(names[4:]).to_pylist():
+                yield early.select(ours)
+            for row in batch.filter(batch.column("part").is_valid()).select(names[5:]).to_pylist():
                 pair = np.frombuffer(row["docs"], "<i8").reshape(-1, 2)
                 starts = np.frombuffer(row["doc_starts"], "<u4").astype(np.int64)
                 at = _unpacked(row["places"], len(row["labels"]) // LABEL)
@@ -220,12 +234,31 @@ def repeats(docs: DataFrame, window: int, group: int) -> DataFrame:
         first = place[np.maximum.accumulate(np.where(same, 0, np.arange(len(label))))]
         cut = np.sort(place[same & (place != first)])
         which = (cut >> np.uint64(32)).astype(np.int64)
-        cols = out(pairs[:, 0], pairs[:, 1], which, (cut & np.uint64(0xFFFFFFFF)).astype(np.int64), [])
-        if len(cols[0]):
-            yield from pa.Table.from_arrays(cols, ["id", "key", "starts"]).to_batches(max_chunksize=10_000)
+        if len(cut):
+            yield pa.RecordBatch.from_arrays(bundles(pairs[:, 0], pairs[:, 1], which, (cut & np.uint64(0xFFFFFFFF)).astype(np.int64)), ours)
+
+    def gathered(batches):
+        """All repeats of a bucket's documents: one row a document."""
+        ids, counts, starts = [], [], []
+        for batch in batches:
+            for pair, count, at in zip(*(batch.column(c).to_pylist() for c in ours[1:]), strict=True):
+                ids.append(np.frombuffer(pair, "<i8").reshape(-1, 2))
+                counts.append(np.frombuffer(count, "<u4"))
+                starts.append(np.frombuffer(at, "<u4"))
+        if not ids:
+            return
+        pairs, rank = np.unique(np.concatenate(ids), axis=0, return_inverse=True)
+        doc, at = np.repeat(rank.ravel(), np.concatenate(counts)), np.concatenate(starts)
+        order = np.argsort(doc, kind="stable")
+        edge = np.searchsorted(doc[order], np.arange(len(pairs) + 1))
+        at = at[order]
+        packed = [at[lo:hi].tobytes() for lo, hi in zip(edge, edge[1:], strict=False)]
+        table = pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(packed, pa.binary())], ["id", "key", "starts"])
+        yield from table.to_batches(max_chunksize=2000)
 
-    dealt = docs.mapInArrow(deal, "id long, key long, starts binary, part int, docs binary, doc_starts binary, labels binary, places binary")
-    return dealt.repartition(parts, F.coalesce("part", F.hash("id", "key"))).mapInArrow(nodes, "id long, key long, starts binary")
+    dealt = docs.mapInArrow(deal, f"{shape}, part int, docs binary, doc_starts binary, labels binary, places binary")
+    found = dealt.repartition(parts, F.coalesce("part", "bucket")).mapInArrow(nodes, shape)
+    return found.repartition(parts, "bucket").mapInArrow(gathered, "id long, key long, starts binary")
 
 
 def _packed(places) -> bytes:
@@ -242,7 +275,7 @@ def _unpacked(data: bytes, n: int):
     return np.cumsum(np.frombuffer(data, f"<u{data[0]}", n, 1), dtype=np.int64)
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, group: int = 2_000_000) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, group: int = 1_000_000) -> DataFrame:
     """docs with n_words, n_removed and kept_text: every word goes that a window of `window` words covers whose word sequence also
     starts earlier (smaller id, or same document and earlier start). Windows are judged on the input.
 
@@ -256,7 +289,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plain = keyed.select(F.col("__id").alias("id"), F.col("__key").alias("key"), F.col(text_col).cast("string").alias("text"))
     found = saved(repeats(plain, window, group), "repeats")
     spark.sparkContext._jvm.System.gc()  # lets Spark delete the leaves' shuffle files before the texts are shuffled
-    of_doc = found.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list("starts").alias("__starts"))
+    of_doc = found.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("starts").alias("__starts"))
     schema = T.StructType([*(f for f in keyed.schema if f.name not in ("__id", "__key")), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def cut(batches):
@@ -270,7 +303,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 gone = 0
                 if got := starts.as_py():
                     change = np.zeros(len(words) + 1, np.int64)
-                    at = np.frombuffer(b"".join(got), "<u4").astype(np.int64)
+                    at = np.frombuffer(got, "<u4").astype(np.int64)
                     np.add.at(change, at, 1)
                     np.add.at(change, at + window, -1)
                     stay = np.cumsum(change[:-1]) == 0
