@@ -11,7 +11,9 @@ The rules (normalisation, splitting, merges, word ends, added tokens) are read f
 
 from __future__ import annotations
 
+import functools
 import json
+import struct
 import unicodedata
 
 import pyarrow as pa
@@ -57,10 +59,26 @@ class Vocabulary:
             self.inside.update(zip(body, body[1:], strict=False))
 
 
+class Chunks(dict):
+    """text without white space -> packed ids, remembered up to a bound."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, text: str) -> bytes:
+        packed = self.encoder.chunk(text)
+        if len(text) <= 64:
+            if len(self) >= self.encoder.limit:
+                self.clear()
+            self[text] = packed
+        return packed
+
+
 class Encoder:
     """Encodes texts; keeps what it has met, up to `limit` entries."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 300_000):
         import regex
 
         self.v, self.limit = vocabulary, limit
@@ -70,45 +88,39 @@ class Encoder:
         self.space = regex.compile(r"\s+").split
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(vocabulary.added, key=len, reverse=True)) + ")") if vocabulary.added else None
         self.odd = regex.compile(r"[\x1c-\x1f\x85]")  # str.split() and the tokenizer's \s differ on some of these
-        self.chunks: dict[str, bytes] = {}
-        self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
+        self.chunks = Chunks(self)
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def merged(self, letters: str, last: bool) -> tuple[int, ...]:
-        """Ids of one fragment: the lowest-ranked adjacent pair is merged, everywhere, until none has a rank."""
+        """Ids of one fragment: the leftmost of the lowest-ranked adjacent pairs is merged until none has a rank."""
         parts = list(letters)
         if last:
             parts[-1] += self.v.end
-        rank, none = self.v.rank, len(self.v.rank)
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:], strict=False), key=lambda p: rank.get(p, none))
-            if best not in rank:
-                break
-            out, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and (parts[k], parts[k + 1]) == best:
-                    out.append(parts[k] + parts[k + 1])
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
-        return tuple(self.v.ids[p] for p in parts)
-
-    def word(self, piece: str) -> list[int]:
+        rank, none = self.v.rank.get, len(self.v.rank)
+        ranks = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            k = ranks.index(best)
+            parts[k] += parts.pop(k + 1)
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = rank((parts[k], parts[k + 1]), none)
+            if k:
+                ranks[k - 1] = rank((parts[k - 1], parts[k]), none)
+        ids = self.v.ids
+        return tuple([ids[p] for p in parts])
+
+    def word(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece: cut at byte pairs that stand in no token, each fragment alone."""
+        if (known := self.words.get(piece)) is not None:
+            return known
         letters = "".join([self.v.letters[b] for b in piece.encode("utf-8")])
-        inside, cut, found = self.v.inside, [0], []
-        cut += [k for k, pair in enumerate(zip(letters, letters[1:], strict=False), 1) if pair not in inside]
-        cut.append(len(letters))
-        for lo, hi in zip(cut, cut[1:], strict=False):
-            key = (letters[lo:hi], hi == len(letters))
-            if (ids := self.fragments.get(key)) is None:
-                ids = self.merged(*key)
-                if len(key[0]) <= 64:
-                    if len(self.fragments) >= self.limit:
-                        self.fragments.clear()
-                    self.fragments[key] = ids
-            found += ids
+        inside, end = self.v.inside, len(letters)
+        cut = [0, *[k for k, pair in enumerate(zip(letters, letters[1:], strict=False), 1) if pair not in inside], end]
+        found = sum([self.merged(letters[lo:hi], hi == end) for lo, hi in zip(cut, cut[1:], strict=False)], ())
+        if len(piece) <= 64:
+            if len(self.words) >= self.limit:
+                self.words.clear()
+            self.words[piece] = found
         return found
 
     def pieces(self, text: str) -> list[str]:
@@ -121,19 +133,13 @@ class Encoder:
     def chunk(self, text: str) -> bytes:
         """Ids (packed) of text without white space or added tokens inside."""
         # lower case letter by letter: a capital sigma has no final form here
-        plain = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        plain = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         ids = [i for piece in self.pieces(plain) for i in self.word(piece)]
-        packed = b"".join([i.to_bytes(4, "little") for i in ids])
-        if len(text) <= 64:
-            if len(self.chunks) >= self.limit:
-                self.chunks.clear()
-            self.chunks[text] = packed
-        return packed
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def plain(self, text: str) -> bytes:
         words = [x for x in self.space(text) if x] if self.odd.search(text) else text.split()
-        known, chunk = self.chunks.get, self.chunk
-        return b"".join([known(w) if w in self.chunks else chunk(w) for w in words])
+        return b"".join(map(self.chunks.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers. Strings of added tokens are those tokens."""
@@ -143,6 +149,12 @@ class Encoder:
         return b"".join(self.v.added[x].to_bytes(4, "little") if k % 2 else self.plain(x) for k, x in enumerate(parts))
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder a Python worker: what a task has met serves the next."""
+    return Encoder(Vocabulary(path))
+
+
 def encode_texts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     """docs with token_ids (packed little-endian unsigned 32-bit integers) and n_tokens, of whole texts.
 
@@ -153,9 +165,9 @@ def encode_texts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Dat
     schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches):
-        encoder = Encoder(Vocabulary(tokenizer))
+        encode = encoder(tokenizer).encode
         for batch in batches:
-            ids = [encoder.encode(t) if (t := x.as_py()) else b"" for x in batch.column(text_col)]
+            ids = [encode(t) if (t := x.as_py()) else b"" for x in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
@@ -169,7 +181,7 @@ def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         import numpy as np
 
-        v = Vocabulary(tokenizer)
+        v = encoder(tokenizer).v
         name = np.array([v.names.get(i, "") for i in range(max(v.names) + 1)], object)
         for batch in batches:
             texts = [None if (b := x.as_py()) is None else " ".join(name[np.frombuffer(b, "<u4")].tolist()) for x in batch.column("token_ids")]
