@@ -37,6 +37,14 @@ def _before(df: DataFrame, keys: list[str], part: str, order: list, value) -> Da
     return df.withColumn("__i", inside).join(ahead, [*keys, part]).withColumn("before", F.col("__i") + F.col("__b")).drop("__i", "__b")
 
 
+def _with_source(rows: DataFrame, sources: DataFrame, on, salt, salts: int = 16) -> DataFrame:
+    """rows joined to the table of sources; every source stands `salts` times, so a large source's rows are dealt to as many tasks."""
+    many = sources.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("t")
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*salt), F.lit(salts)).cast("int")).alias("l")
+    met = salted.join(many, on & (F.col("l.__salt") == F.col("t.__salt")))
+    return met.select(*(F.col(f"l.{c}") for c in rows.columns), *(F.col(f"t.{c}") for c in sources.columns if c not in rows.columns))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, repeat: int) -> DataFrame:
     """sizes (source, source_size), one row a source, with source_no (order by code point, null last), weight and target."""
     no = sizes.withColumn("source_no", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -69,7 +77,8 @@ def mix(
         docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("text_hash"), word_count(text).alias("size")), "sizes"
     )
     targets = saved(source_targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeat), "targets")
-    rows = light.alias("l").join(targets.alias("t"), F.col("l.source").eqNullSafe(F.col("t.source"))).select("l.*", "source_no", "source_size", "target")
+    known = targets.select("source", "source_no", "source_size", "target")
+    rows = _with_source(light, known, F.col("l.source").eqNullSafe(F.col("t.source")), ["id", "text_hash"])
     # hash ranges of some thousand documents: a large source is many of them
     parts = max(1, light.count() // 4096)
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "id")).withColumn("part", F.pmod(F.shiftright("h", 16), F.lit(parts)))
@@ -106,7 +115,8 @@ def _schedule(stream: DataFrame, targets: DataFrame, block: int, repeat: int) ->
     step = F.col("goal") / F.col("n")
     slots = slots.select("source_no", "rank", "slot", F.floor(F.col("rank") * step).alias("lo"), F.when(F.col("rank") + 1 == F.col("n"), F.col("goal")).otherwise(F.floor((F.col("rank") + 1) * step)).alias("hi"))
     count = slots.groupBy("source_no").agg(F.count(F.lit(1)).alias("n"))
-    docs = stream.where("size > 0").select("source_no", "position", "size", "source_size").join(count, "source_no").join(bounds.select("source_no", "goal"), "source_no")
+    of = count.join(bounds.select("source_no", "goal"), "source_no")
+    docs = _with_source(stream.where("size > 0").select("source_no", "position", "size", "source_size"), of, F.col("l.source_no") == F.col("t.source_no"), ["position"])
     docs = docs.withColumn("turn", F.explode(F.expr("sequence(0L, (goal - 1) div source_size)")))
     docs = docs.withColumn("start", F.expr("turn * source_size + position")).withColumn("end", F.expr("least(start + size, goal)")).where("start < end")
     # ranks of the blocks that the document may touch, one more on either side for rounding; the join's condition is exact
