@@ -1,0 +1,41 @@
+"""The pipeline, stage by stage, against brute force on the smallest tables."""
+
+import pytest
+
+SF = "/root/testdata/sf0.001"
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+def test_stages(spark):
+    from riskframe.llm.common import saved
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    results = []
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = saved(stage(spark, docs, SF), name)
+        results.append((name, before, docs))
+    assert [n for n, _, _ in results] == ["toxicity", "minhash_dedup", "substring_dedup", "source_mix", "bpe"]
+    assert all(d.columns == columns for _, _, d in results[:-1])
+    _, before, after = results[1]
+    sets = {}
+    for r in before.collect():
+        w = (r.text or "").encode().lower().split()
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    kept = {r.doc_id for r in after.collect()}
+    near = lambda a, b: sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert not any(near(a, b) for a in kept for b in kept if a < b)
+    assert all(any(near(a, b) for b in sets if b < a) for a in sets.keys() - kept)
+    _, before, after = results[2]
+    seen = set()
+    for r in sorted(after.collect(), key=lambda r: r.doc_id):
+        w = (r.text or "").split()
+        own = {tuple(w[k : k + 50]) for k in range(len(w) - 49)}
+        assert not own & seen
+        seen |= own
+    _, before, after = results[3]
+    n = lambda d: sum(len((r.text or "").split()) for r in d.collect())
+    assert abs(n(after) - n(before)) <= 30
+    assert results[4][1].count() == results[4][2].count()
+    assert corpus_pipeline.run(spark, SF).count() == results[4][2].count()
