@@ -107,5 +107,52 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_embedding_dedup, op4_warc, op5_substring_dedup, op6_source_mix, op7_bpe, op8_url_filter, op9_toxicity, op10_topk_search)}
 
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+#: Members of each group of links (a, b, both ways): smallest id reachable.
+_REACH = "reach(id, r) as (select id, id from every union select link.b, reach.r from reach join link on link.a = reach.id), comp as (select id, min(r) as component_id from reach group by 1)"
+
+_OP2 = f"""with recursive w as (select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+    s as (select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]) when len(w) > 0 then [w] else [] end) as g from w),
+    n as (select doc_id, count(*) as n from s group by 1),
+    p as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+    link as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+    every as (select doc_id as id from documents), {_REACH}
+    select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept from documents d left join n using (doc_id) join comp on comp.id = d.doc_id"""
+
+_OP3 = f"""with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where embedding is not null and label is not null
+        and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    link as (select x.vec_id as a, y.vec_id as b from v x join v y on x.label = y.label and x.vec_id <> y.vec_id and len(x.e) = len(y.e)
+        where list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e)) / sqrt(list_dot_product(y.e, y.e)) >= 0.93),
+    every as (select vec_id as id from embeddings), {_REACH}
+    select vec_id, (select count(*) from link where a = vec_id)::bigint as n_links, component_id, vec_id = component_id as kept from embeddings join comp on id = vec_id"""
+
+_OP4 = """with p as (select page_id, coalesce(html, '') as h from pages), o as (select *, max(page_id) over (partition by h) as owner, sha1(h) as x from p)
+    select page_id, octet_length(encode(h))::bigint as payload_bytes,
+    array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, ((k // 4) * 5 + 1)::int, 5))::int >> (15 - 5 * (k % 4))::int) & 31) + 1)::int, 1)), '') as payload_digest,
+    case when page_id = owner then 'response' else 'revisit' end as record_type, case when page_id <> owner then owner end as refers_to from o"""
+
+_OP5 = f"""with w as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
+    g as (select doc_id, unnest(range(1, len(w) - 18)) as p, unnest(list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(w[i:i + 19], ' ')))) as h from w where len(w) >= 20),
+    late as (select doc_id, p from (select *, row_number() over (partition by h order by doc_id, p) as r from g) where r > 1),
+    gone as (select distinct doc_id, p + k as p from late, (select unnest(range(20)) as k)),
+    t as (select doc_id, unnest(range(1, len(w) + 1)) as p, unnest(w) as x from w),
+    k as (select t.doc_id, count(gone.p) as n_removed, coalesce(string_agg(t.x, ' ' order by t.p) filter (gone.p is null), '') as kept from t left join gone on gone.doc_id = t.doc_id and gone.p = t.p group by 1)
+    select w.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join k using (doc_id)"""
+
+_OP8 = f"""with rule(verdict, host, path) as (values {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)}),
+    r as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from (select page_id, coalesce(url, '') as url from pages)),
+    h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path from r),
+    f as (select page_id, rule.host || rule.path as rule, rule.verdict from h join rule on (h.host = rule.host or ends_with(h.host, '.' || rule.host)) and starts_with(h.path, rule.path)
+        qualify row_number() over (partition by page_id order by length(rule.host || rule.path) desc) = 1)
+    select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from h left join f using (page_id)"""
+
+_OP10 = """with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+    s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id)
+    select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s qualify rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Chat windows, the mix's schedule, tokens and the classifier have no SQL form here; tests hold those against brute force."""
+    return {
+        "op2_minhash_dedup": _OP2, "op3_embedding_dedup": _OP3, "op4_warc": _OP4, "op5_substring_dedup": _OP5, "op8_url_filter": _OP8, "op10_topk_search": _OP10,
+    }
