@@ -86,6 +86,20 @@ def _matrix(rows: list, places):
     return x
 
 
+def _cut(g, prior: float) -> float:
+    """Where the sorted logits of unlabelled text part: the thinnest place near the rank that the class prior names. Weights shrink under
+    decay, so 0 is not that place."""
+    import numpy as np
+
+    n = len(g)
+    lo, hi, m = int(n * (1 - 1.15 * prior)), int(n * (1 - 0.85 * prior)), max(1, int(n * prior * 0.03))
+    k = np.arange(max(0, lo), min(hi, n - m))
+    if not len(k):
+        return 0.0
+    best = k[int(np.argmax(g[k + m] - g[k]))]
+    return float(g[best] + g[best + m]) / 2
+
+
 def train(pos: list, unl: list, prior: float, size: int = 512, members: int = 3, epochs: int = 40, rate: float = 0.02, decay: float = 1e-3) -> tuple[dict[int, float], float]:
     """(weight of each chosen place, bias): mean of `members` linear classifiers under the non-negative risk, trained by Adam."""
     import math
@@ -123,7 +137,9 @@ def train(pos: list, unl: list, prior: float, size: int = 512, members: int = 3,
                 w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         total += w[:-1]
         bias_total += float(w[-1])
-    return {int(p): float(x) / members for p, x in zip(places, total, strict=True)}, bias_total / members
+    w, bias = total / members, bias_total / members
+    bias -= _cut(np.sort(xu @ w + bias), prior)
+    return {int(p): float(x) for p, x in zip(places, w, strict=True)}, bias
 
 
 def toxicity(
