@@ -1,0 +1,139 @@
+"""End-to-end stages: flattened catalogues, features of each family, enrichment and the normalised dataset."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import enrich as E
+from ..operators import statistics as S
+
+#: Shapes of the nested catalogue rows that the flatteners read (FIXTURES §1).
+CAPEC = """capec string, Name string, Abstraction string, Status string, Description array<string>, Likelihood_Of_Attack string, Typical_Severity string,
+  Execution_Flow array<struct<Phase: string>>, Skills_Required array<struct<Skill: string, Level: string>>, Resources_Required array<string>,
+  Consequences array<struct<Scope: array<string>, Impact: array<string>>>, Example_Instances array<string>, Related_Weaknesses array<struct<CWE_ID: string>>,
+  References array<struct<URL: string, Title: string>>, Submission_Date string, Modification_Dates array<string>, Mitigations array<string>,
+  Taxonomy_Mappings array<struct<Taxonomy_Name: string, Entry_ID: string>>, Indicators array<string>, Prerequisites array<string>"""
+CWE = """cwe string, Name string, Abstraction string, Structure string, Status string, Description string, Extended_Description array<string>, Languages array<struct<Name: string, Class: string>>,
+  Technologies array<struct<Name: string, Class: string>>, Introductions array<struct<Phase: string>>, Common_Consequences array<struct<Scope: array<string>, Impact: array<string>>>,
+  Potential_Mitigations array<struct<Description: string, Effectiveness: string>>, Demonstrative_Examples array<string>, Observed_Examples array<struct<Reference: string>>,
+  Detection_Methods array<struct<Method: string, Effectiveness: string>>, Taxonomy_Mappings array<struct<Taxonomy_Name: string, Entry_ID: string>>, Related_Attack_Patterns array<struct<CAPEC_ID: string>>,
+  References array<struct<URL: string, Title: string>>, Submission_Date string, Modification_Dates array<string>, Category_Summary string, View_Name string"""
+
+
+def _each(col: str, pick) -> Column:
+    """Values picked from the structs of a list, without nulls; an empty list for null."""
+    return F.coalesce(F.filter(F.transform(col, pick), lambda x: x.isNotNull()), F.array().cast("array<string>"))
+
+
+def _distinct(col: str, field: str) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.coalesce(F.transform(col, lambda c: F.coalesce(c[field], F.array().cast("array<string>"))), F.array().cast("array<array<string>>")))))
+
+
+def _taxonomy(col: str) -> Column:
+    return _each(col, lambda t: F.concat(t["Taxonomy_Name"], F.lit("-"), F.coalesce(t["Entry_ID"], F.lit("Absent"))))
+
+
+def _references(col: str) -> Column:
+    return _each(col, lambda r: F.coalesce(r["URL"], r["Title"]))
+
+
+def _dates() -> dict[str, Column]:
+    return {"submittedDate": F.to_date("Submission_Date"), "modifiedDate": F.array_max(F.transform("Modification_Dates", lambda d: F.to_date(d)))}
+
+
+def _live(df: DataFrame) -> DataFrame:
+    return df.where(~F.lower(F.coalesce("Status", F.lit(""))).isin("deprecated", "obsolete"))
+
+
+def flatten_capec(df: DataFrame) -> DataFrame:
+    """Attack patterns that aren't deprecated, with scalar and list fields only."""
+    cols = {
+        "Description": F.array_join("Description", " "), "Steps": F.array_distinct(_each("Execution_Flow", lambda s: s["Phase"])),
+        "Skill": _each("Skills_Required", lambda s: F.coalesce(s["Skill"], F.lit("No description"))), "Skill_level": _each("Skills_Required", lambda s: s["Level"]),
+        "Resources_req": F.filter(F.coalesce("Resources_Required", F.array().cast("array<string>")), lambda r: ~F.startswith(r, F.lit("None"))),
+        "Affected_Scopes": _distinct("Consequences", "Scope"), "Damage": _distinct("Consequences", "Impact"), "Examples": F.col("Example_Instances"), "CWEs": _each("Related_Weaknesses", lambda w: w["CWE_ID"]),
+        "References": _references("References"), "Taxonomy": _taxonomy("Taxonomy_Mappings"), **_dates(),
+    }
+    keep = ["capec", "Name", "Abstraction", "Status", "Likelihood_Of_Attack", "Typical_Severity", "Mitigations", "Prerequisites", "Indicators"]
+    return _live(df).select(*keep, *(c.alias(n) for n, c in cols.items()))
+
+
+def flatten_cwe(df: DataFrame) -> DataFrame:
+    """Weaknesses that aren't deprecated, with scalar and list fields only."""
+    named = lambda t: F.coalesce(t["Name"], t["Class"])
+    cols = {
+        "Extended_Description": F.array_join("Extended_Description", " "), "Language": F.get(_each("Languages", named), F.lit(0)), "Technology": _each("Technologies", named),
+        "Modes_Of_Introduction": F.array_distinct(_each("Introductions", lambda i: i["Phase"])), "Affected_Scopes": _distinct("Common_Consequences", "Scope"), "Damage": _distinct("Common_Consequences", "Impact"),
+        "Potential_Mitigations": _each("Potential_Mitigations", lambda m: m["Description"]), "MitigationsEffectiveness": _each("Potential_Mitigations", lambda m: F.coalesce(m["Effectiveness"], F.lit("Unknown"))),
+        "CVEs": F.filter(_each("Observed_Examples", lambda o: o["Reference"]), lambda r: F.contains(r, F.lit("CVE"))),
+        "Detection": _each("Detection_Methods", lambda d: d["Method"]), "Detection_Effectiveness": _each("Detection_Methods", lambda d: F.coalesce(d["Effectiveness"], F.lit("Unknown"))),
+        "References": _references("References"), "Taxonomy": _taxonomy("Taxonomy_Mappings"), "Related_Attack_Patterns": _each("Related_Attack_Patterns", lambda a: a["CAPEC_ID"]),
+        "Category": F.col("Category_Summary"), "View": F.col("View_Name"), **_dates(),
+    }
+    return _live(df).select("cwe", "Name", "Abstraction", "Structure", "Status", "Description", "Demonstrative_Examples", *(c.alias(n) for n, c in cols.items()))
+
+
+def family_features(flat: DataFrame, key: str, enums: list[str], texts: list[str], sizes: dict[str, str], keyword_texts: list[str], stop_words: list[str], min_df: int) -> DataFrame:
+    """(entity, feature, value) of one family: one-hot of enumerations, word-count logs, list sizes and TF-IDF of key phrases.
+
+    Names that tell the label (`reference_` with `exploit`) are dropped.
+    """
+    as_text = lambda c: F.array_join(c, " ") if flat.schema[c].dataType.typeName() == "array" else F.col(c)
+    clean = flat.withColumns({e: X.recode_absent(F.col(e)) for e in enums if flat.schema[e].dataType.typeName() != "array"})
+    parts = [X.one_hot(clean, key, enums).withColumnRenamed(key, "entity")]
+    numbers = {**{f"{t.lower()}_wc_log": X.wc_log(as_text(t)) for t in texts}, **{n: F.coalesce(F.size(c), F.lit(0)).cast("double") for n, c in sizes.items()}}
+    if numbers:
+        stacked = F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), c.alias("value")) for n, c in numbers.items())))
+        parts.append(flat.select(F.col(key).alias("entity"), stacked.alias("f")).select("entity", "f.*"))
+    doc = flat.select(F.col(key).alias("entity"), F.lower(F.concat_ws(" ", *(as_text(t) for t in keyword_texts))).alias("text")).where("text != ''")
+    found = X.phrases(doc, "entity", "text", stop_words).join(doc, "entity").select("entity", "phrase", X.term_frequency(F.col("text"), F.col("phrase")).alias("tf"))
+    scored = X.tfidf(found, "entity", "phrase", "tf", doc.agg(F.count(F.lit(1)).alias("n")), min_df)
+    parts.append(scored.select("entity", F.concat(F.lit("description_"), X.as_value(F.col("phrase"))).alias("feature"), "value"))
+    return X.drop_leaky(reduce(DataFrame.unionByName, parts))
+
+
+def capec_features(flat: DataFrame, stop_words: list[str], min_df: int = 10) -> DataFrame:
+    enums = ["Abstraction", "Status", "Likelihood_Of_Attack", "Typical_Severity", "Steps", "Skill_level", "Affected_Scopes", "Damage"]
+    texts = ["Description", "Skill", "Resources_req", "Examples", "Mitigations", "Prerequisites"]
+    return family_features(flat, "capec", enums, texts, {"references_count": "References"}, ["Description"], stop_words, min_df)
+
+
+def cwe_features(flat: DataFrame, stop_words: list[str], min_df: int = 22) -> DataFrame:
+    enums = ["Abstraction", "Structure", "Status", "Language", "Technology", "Modes_Of_Introduction", "Affected_Scopes", "Damage", "MitigationsEffectiveness", "Detection", "Detection_Effectiveness"]
+    texts = ["Description", "Extended_Description", "Potential_Mitigations", "Demonstrative_Examples"]
+    return family_features(flat, "cwe", enums, texts, {"references_count": "References"}, ["Description", "Extended_Description"], stop_words, min_df)
+
+
+def enrich_data(records: DataFrame, record_features: DataFrame, cwe: DataFrame, cwe_triples: DataFrame, capec_triples: DataFrame, exploits: DataFrame) -> DataFrame:
+    """(entity, feature, value) of records (cve, published, CWEs) with the folded features of their weaknesses and, one hop on, attack
+    patterns, the days to their first exploit, and labels from exploits (cve, date, verified). Enumerations are folded in list order, numbers are summed."""
+    hop = E.join_ids(records, "cve", "CWEs", cwe.select("cwe", "Related_Attack_Patterns"), "cwe")
+
+    def folded(children: DataFrame, triples: DataFrame, child_key: str, prefix: str) -> DataFrame:
+        rows = children.join(triples, children[child_key] == triples["entity"]).select(F.col("cve").alias("entity"), "at", "feature", "value")
+        enum = F.contains(F.col("feature"), F.lit("_enum_"))
+        both = E.enum_fold(rows.where(enum), ["entity", "feature"], "at", "value").unionByName(E.numeric_fold(rows.where(~enum), ["entity", "feature"], "value"))
+        return E.prefixed(both, prefix)
+
+    weaknesses = hop.select("cve", F.array("pos").alias("at"), "cwe")
+    patterns = hop.select("cve", "pos", F.posexplode("Related_Attack_Patterns").alias("pos2", "capec")).select("cve", F.array("pos", "pos2").alias("at"), "capec")
+    seen = exploits.groupBy(F.col("cve").alias("entity")).agg(F.max(F.lower("verified").eqNullSafe("true").cast("double")).alias("verified"), F.min("date").alias("first"))
+    own = records.select(F.col("cve").alias("entity"), "published").join(seen, "entity", "left")
+    values = {
+        "exploits_has": F.col("verified").isNotNull().cast("double"), "exploits_verified": F.coalesce("verified", F.lit(0.0)),
+        **{f"exploits_{n}": c.cast("double") for n, c in E.day_deltas(F.col("published"), first=F.col("first")).items()},
+    }
+    labels = own.select("entity", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), c.alias("value")) for n, c in values.items()))).alias("f")).select("entity", "f.*")
+    return reduce(DataFrame.unionByName, [record_features, folded(weaknesses, cwe_triples, "cwe", "cwe_"), folded(patterns, capec_triples, "capec", "capec_"), labels])
+
+
+def build_dataset(triples: DataFrame, label_prefix: str = "exploits_", **options) -> DataFrame:
+    """Normalised dataset rows: index, entity, features, labels. Labels are neither filtered nor scaled."""
+    features, labels = E.split_labels(triples, label_prefix)
+    total = S.total_entries(triples, "entity")
+    vendor = F.startswith(F.col("feature"), F.lit("vendor_"))
+    return S.assemble_dataset(S.normalize(features, total, vendor, **options).unionByName(labels), label_prefix)

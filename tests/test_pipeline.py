@@ -1,0 +1,76 @@
+"""The end-to-end stages on a handful of catalogue rows."""
+
+import math
+
+from riskframe.operators import merge as M
+from riskframe.plans import pipeline as P
+
+STOP = ["the", "of", "a", "in"]
+
+
+def row(schema, spark, **values):
+    from pyspark.sql.types import StructType
+
+    fields = spark.createDataFrame([], schema).schema
+    assert isinstance(fields, StructType)
+    return tuple(values.get(n) for n in fields.names)
+
+
+def capec(spark):
+    rows = [
+        row(P.CAPEC, spark, capec="1", Name="n", Abstraction="Meta", Status="Draft", Description=["buffer overflow in the heap", "again"], Execution_Flow=[("Explore",), ("Explore",)], Skills_Required=[(None, "Low")],
+            Resources_Required=["None: no need", "a tool"], Consequences=[(["Integrity", "Access"], ["Modify"]), (["Access"], None)], Related_Weaknesses=[("79",)], References=[(None, "Book"), ("http://u", "T")],
+            Modification_Dates=["2010-01-01", "2012-02-02"], Taxonomy_Mappings=[("WASC", None)]),
+        row(P.CAPEC, spark, capec="2", Status="Deprecated"), row(P.CAPEC, spark, capec="3", Status="Stable", Description=["buffer overflow of a stack"], References=[]),
+    ]
+    return spark.createDataFrame(rows, P.CAPEC)
+
+
+def cwe(spark):
+    rows = [
+        row(P.CWE, spark, cwe="79", Status="Stable", Abstraction="Base Kind", Description="cross site", Related_Attack_Patterns=[("1",), ("3",)], Observed_Examples=[("CVE-1",), ("other",)], Potential_Mitigations=[("m", None)], Technologies=[(None, "Web")]),
+        row(P.CWE, spark, cwe="80", Status="Draft", Abstraction="Base Kind", Description="cross script", Related_Attack_Patterns=[("1",)]),
+    ]
+    return spark.createDataFrame(rows, P.CWE)
+
+
+def test_flatten(spark):
+    flat = P.flatten_capec(capec(spark))
+    M.assert_flat(flat.schema)
+    one = {r.capec: r for r in flat.collect()}
+    assert set(one) == {"1", "3"}
+    r = one["1"]
+    assert (r.Description, r.Steps, r.Skill, r.Resources_req, r.Affected_Scopes, r.Damage) == ("buffer overflow in the heap again", ["Explore"], ["No description"], ["a tool"], ["Access", "Integrity"], ["Modify"])
+    assert (r.References, r.Taxonomy, str(r.modifiedDate), r.CWEs) == (["Book", "http://u"], ["WASC-Absent"], "2012-02-02", ["79"])
+    flat = P.flatten_cwe(cwe(spark))
+    M.assert_flat(flat.schema)
+    r = flat.where("cwe = '79'").first()
+    assert (r.CVEs, r.MitigationsEffectiveness, r.Technology, r.Related_Attack_Patterns) == (["CVE-1"], ["Unknown"], ["Web"], ["1", "3"])
+
+
+def test_features_and_enrichment(spark, tmp_path):
+    def table(name, df):
+        """Stage tables are written where several stages read them."""
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    flat_capec, flat_cwe = table("capec", P.flatten_capec(capec(spark))), table("cwe", P.flatten_cwe(cwe(spark)))
+    a = table("capec_features", P.capec_features(flat_capec, STOP, 1))
+    got = {(r.entity, r.feature): r.value for r in a.collect()}
+    assert got["1", "abstraction_enum_meta"] == 1 and got["3", "abstraction_enum_absent"] == 1 and got["1", "references_count"] == 2
+    assert abs(got["1", "description_wc_log"] - math.log(7)) < 1e-9
+    assert got["1", "description_buffer_overflow"] == 0 and abs(got["3", "description_stack"] - math.log(2)) < 1e-9
+    w = table("cwe_features", P.cwe_features(flat_cwe, STOP, 1))
+    assert ("79", "abstraction_enum_base_kind") in {(r.entity, r.feature) for r in w.collect()}
+    records = spark.createDataFrame([("CVE-1", "2020-01-01", ["79", "80"]), ("CVE-2", None, ["99"]), ("CVE-3", "2020-01-01", None)], "cve string, published string, CWEs array<string>").selectExpr("cve", "to_date(published) as published", "CWEs")
+    own = spark.createDataFrame([(f"CVE-{k}", "n_chars", float(10 * k)) for k in (1, 2, 3)], "entity string, feature string, value double")
+    exploits = spark.createDataFrame([("CVE-1", "2020-01-11", "False"), ("CVE-1", "2019-12-31", "True")], "cve string, date string, verified string").selectExpr("cve", "to_date(date) as date", "verified")
+    full = table("full", P.enrich_data(records, own, flat_cwe, w, a, exploits))
+    got = {(r.entity, r.feature): r.value for r in full.collect()}
+    assert got["CVE-1", "cwe_abstraction_enum_base_kind"] == 1  # 1 then 1 stays 1
+    assert got["CVE-1", "capec_references_count"] == 4  # pattern 1 twice, pattern 3 once
+    assert (got["CVE-1", "exploits_has"], got["CVE-1", "exploits_verified"], got["CVE-1", "exploits_delta_days_first"]) == (1, 1, -1)
+    assert got["CVE-2", "exploits_has"] == 0 and got["CVE-3", "exploits_delta_days_first"] == 0
+    data = {r.entity: r for r in P.build_dataset(full, least_share=0.5).collect()}
+    assert [data[f"CVE-{k}"]["index"] for k in (1, 2, 3)] == [0, 1, 2]
+    assert data["CVE-2"].features["n_chars"] == 0.5 and data["CVE-1"].labels["exploits_has"] == 1
