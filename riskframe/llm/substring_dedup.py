@@ -16,6 +16,8 @@ leaves is a repeated window, and windows of one document that follow one another
 
 from __future__ import annotations
 
+import gc
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,9 +153,9 @@ def repeats(docs: DataFrame, window: int, group: int) -> DataFrame:
         return [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
 
     ours = ["bucket", "repeat_docs", "counts", "starts"]
-    names = [*ours, "part", "docs", "doc_starts", "labels", "places"]
+    names = [*ours, "part", "docs", "doc_keys", "doc_starts", "labels", "places"]
     shape = "bucket int, repeat_docs binary, counts binary, starts binary"
-    none = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    none = [pa.int32(), *(pa.binary() for _ in range(5))]
 
     def deal(batches):
         memo = WordHashes()
@@ -194,9 +196,9 @@ def repeats(docs: DataFrame, window: int, group: int) -> DataFrame:
                 part, place, label = part[by], at[keep][by], np.ascontiguousarray(label[keep][by]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LABEL]
                 edge = np.concatenate([[0], np.nonzero(np.diff(part))[0] + 1, [len(part)]])
                 pack = lambda lo, hi: _packed(place[lo:hi])
-                table = np.stack([ids, keys], 1).astype("<i8").tobytes(), starts.astype("<u4").tobytes()
+                table = ids.astype("<i8").tobytes(), keys.astype("<i4").tobytes(), starts.astype("<u4").tobytes()
                 n = len(edge) - 1
-                cols = [pa.array(even[part[edge[:-1]]]), pa.array([table[0]] * n, pa.binary()), pa.array([table[1]] * n, pa.binary())]
+                cols = [pa.array(even[part[edge[:-1]]]), *(pa.array([x] * n, pa.binary()) for x in table)]
                 cols += [pa.array([label[lo:hi].tobytes() for lo, hi in zip(edge, edge[1:], strict=False)], pa.binary()), pa.array([pack(lo, hi) for lo, hi in zip(edge, edge[1:], strict=False)], pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(3)), *cols], names)
 
@@ -208,7 +210,7 @@ def repeats(docs: DataFrame, window: int, group: int) -> DataFrame:
             if early.num_rows:
                 yield early.select(ours)
             for row in batch.filter(batch.column("part").is_valid()).select(names[5:]).to_pylist():
-                pair = np.frombuffer(row["docs"], "<i8").reshape(-1, 2)
+                own_ids, own_keys = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["doc_keys"], "<i4").astype(np.int64)
                 starts = np.frombuffer(row["doc_starts"], "<u4").astype(np.int64)
                 at = _unpacked(row["places"], len(row["labels"]) // LABEL)
                 doc = np.searchsorted(starts, at, "right") - 1
@@ -216,8 +218,8 @@ def repeats(docs: DataFrame, window: int, group: int) -> DataFrame:
                 raw = np.zeros((len(at), 8), np.uint8)
                 raw[:, :LABEL] = np.frombuffer(row["labels"], np.uint8).reshape(-1, LABEL)
                 labels.append(raw.view("<u8").ravel())
-                ids.append(pair[used, 0])
-                keys.append(pair[used, 1])
+                ids.append(own_ids[used])
+                keys.append(own_keys[used])
                 leaf_doc.append((local + base).astype(np.uint32))
                 leaf_at.append((at - starts[doc]).astype(np.uint32))
                 base += len(used)
@@ -256,23 +258,26 @@ def repeats(docs: DataFrame, window: int, group: int) -> DataFrame:
         table = pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(packed, pa.binary())], ["id", "key", "starts"])
         yield from table.to_batches(max_chunksize=2000)
 
-    dealt = docs.mapInArrow(deal, f"{shape}, part int, docs binary, doc_starts binary, labels binary, places binary")
+    dealt = docs.mapInArrow(deal, f"{shape}, part int, docs binary, doc_keys binary, doc_starts binary, labels binary, places binary")
     found = dealt.repartition(parts, F.coalesce("part", "bucket")).mapInArrow(nodes, shape)
     return found.repartition(parts, "bucket").mapInArrow(gathered, "id long, key long, starts binary")
 
 
 def _packed(places) -> bytes:
-    """Ascending positions as differences, two bytes each where they fit and else four; the first byte says which."""
+    """Ascending positions as differences, two bytes each where they fit and else four (the first byte says which); all low bytes first, so that
+    the others, mostly equal, compress."""
     import numpy as np
 
     step = np.diff(places, prepend=0)
-    return b"\x02" + step.astype("<u2").tobytes() if not len(step) or step.max() < 65536 else b"\x04" + step.astype("<u4").tobytes()
+    wide = 2 if not len(step) or step.max() < 65536 else 4
+    return bytes([wide]) + step.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T.tobytes()
 
 
 def _unpacked(data: bytes, n: int):
     import numpy as np
 
-    return np.cumsum(np.frombuffer(data, f"<u{data[0]}", n, 1), dtype=np.int64)
+    step = np.frombuffer(data, np.uint8, n * data[0], 1).reshape(data[0], n).T
+    return np.cumsum(np.ascontiguousarray(step).view(f"<u{data[0]}").ravel(), dtype=np.int64)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, group: int = 1_000_000) -> DataFrame:
@@ -285,9 +290,10 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named n_words, n_removed or kept_text are replaced.
     """
     spark = docs.sparkSession
-    keyed = docs.drop("n_words", "n_removed", "kept_text").withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "__key": F.xxhash64(F.col(text_col))})
+    keyed = docs.drop("n_words", "n_removed", "kept_text").withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "__key": F.hash(F.col(text_col)).cast("long")})
     plain = keyed.select(F.col("__id").alias("id"), F.col("__key").alias("key"), F.col(text_col).cast("string").alias("text"))
     found = saved(repeats(plain, window, group), "repeats")
+    gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark delete the leaves' shuffle files before the texts are shuffled
     of_doc = found.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("starts").alias("__starts"))
     schema = T.StructType([*(f for f in keyed.schema if f.name not in ("__id", "__key")), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
