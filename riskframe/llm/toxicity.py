@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import first_by_hash
+
 #: Letters A-Z become a-z and every other ASCII character parts words, so marks stuck to a word don't hide it. Bytes of other letters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -157,9 +159,8 @@ def toxicity(
     marked = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & ~held_out(id_col))
     marked = marked.groupBy(F.col(id_col).alias("__id")).agg(F.max("y").alias("y"))
     n, toxic = marked.agg(F.count(F.lit(1)), F.sum(F.when(F.col("y") == 1, 1).otherwise(0))).first()
-    order = F.xxhash64("__id")
-    pos_ids = marked.where("y = 1").select("__id").orderBy(order, "__id").limit(max_positive)
-    unl_ids = docs.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("__id")).orderBy(order, "__id").limit(max_unlabelled)
+    pos_ids = first_by_hash(marked.where("y = 1").select("__id"), "__id", max_positive)
+    unl_ids = first_by_hash(docs.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("__id")), "__id", max_unlabelled)
     weight, bias = train(_sample(docs, pos_ids, id_col, text_col), _sample(docs, unl_ids, id_col, text_col), (toxic or 0) / n if n else 0.05, features)
     kept = docs.drop("held_out", "score", "predicted")
     names = [*kept.columns, "score"]

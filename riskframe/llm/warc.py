@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, shared_folder
+from .common import first_by_hash, saved, shared_folder
 
 MAGIC = (0x184D2A5D).to_bytes(4, "little")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -73,7 +73,7 @@ def build_dictionary(pages: DataFrame, id_col: str, payload_col: str, sample: in
     import zstandard
 
     part = F.substring(F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8"), 1, clip)
-    rows = pages.select(F.xxhash64(id_col).alias("h"), part.alias("p")).orderBy("h", "p").limit(sample).collect()
+    rows = first_by_hash(pages.select(F.col(id_col), part.alias("p")), id_col, sample).collect()
     texts = [_record("response", k, None, bytes(r.p), len(r.p), "", None, "") for k, r in enumerate(rows)]
     if sum(map(len, texts)) < 8 * size:
         size = sum(map(len, texts)) // 8
