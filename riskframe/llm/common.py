@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +31,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished work that nothing refers to any more. Listeners hold on to a query for a moment after its
+    end, hence the pauses."""
+    for _ in range(2):
+        time.sleep(1)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def first_by_hash(df: DataFrame, key: str, bound: int) -> DataFrame:
     """At most `bound` rows, those whose keys hash lowest. Rows far above the expected bound are filtered out in the scan, so the
     sorting tasks hold and send about `bound` rows between them, however many tasks there are."""

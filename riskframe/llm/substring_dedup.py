@@ -16,14 +16,12 @@ leaves is a repeated window, and windows of one document that follow one another
 
 from __future__ import annotations
 
-import gc
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, mixed, saved, word_hashes
+from .common import WordHashes, mixed, release, saved, word_hashes
 
 BINS = 4096
 #: Words of text that are worked on at once.
@@ -293,8 +291,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.drop("n_words", "n_removed", "kept_text").withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "__key": F.hash(F.col(text_col)).cast("long")})
     plain = keyed.select(F.col("__id").alias("id"), F.col("__key").alias("key"), F.col(text_col).cast("string").alias("text"))
     found = saved(repeats(plain, window, group), "repeats")
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the leaves' shuffle files before the texts are shuffled
+    release(spark)  # the leaves' shuffle files go before the texts are shuffled
     of_doc = found.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("starts").alias("__starts"))
     schema = T.StructType([*(f for f in keyed.schema if f.name not in ("__id", "__key")), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
