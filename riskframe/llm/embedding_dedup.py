@@ -1,10 +1,8 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by exact block pairs.
 
-A pass gives each vector the signs of 30 random projections as one number, orders the vectors of a label by it and
-compares each vector with its `window` predecessors. Near vectors agree in most signs and so stand near each other in most
-passes. Pairs with a cosine at or above the threshold are united over all passes. A run of near vectors may be longer than any window,
-so the links of a united group are then counted exactly: the group is cut into pairs of bounded blocks, each block pair a
-matrix product in double precision, and every link inside the group is seen whichever windows it fell into.
+The vectors of a label are dealt into bounded blocks, and every pair of blocks is one matrix product, so each pair of a label is
+compared whatever the label's size or density. Products are taken in single precision; those within its rounding error of the
+threshold are decided in double precision. A task gives the link count of each vector and a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -13,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, connected_components, forest, saved
+from .common import block_pairs, connected_components, saved
 
-BITS = 30
 #: Rows that can link.
 USABLE = """id is not null and label is not null and v is not null and size(v) > 0
     and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x != 0)"""
-STEP = 256
+#: Rows of one side in a matrix product.
+STEP = 512
+#: Components a row that a block of full length allows for.
+ROOM = 256
 
 
 def _unit(rows):
@@ -53,151 +53,73 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return v.where(F.expr(USABLE)).mapInArrow(run, "id long, label string, dim int, vec binary")
 
 
-def _keys(passes: int, seed: int):
-    """For each vector one row a pass with the number made of its projections' signs."""
-
-    def run(batches):
-        import numpy as np
-
-        planes: dict = {}
-        for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * BITS))
-                sign = (_unit(_matrix(part.column("vec"), dim)) @ planes[dim] >= 0).reshape(-1, passes, BITS)
-                key = sign @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * passes), pa.array(key.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], ["id", "label", "dim", "vec", "keys"])
-
-    return run
-
-
-def _windows(window: int, threshold: float):
-    """Over rows sorted by (pass, label, dim, key, id): forest of the pairs within the window. The first and last `window` rows of a
-    partition also leave as edge rows (side 0 or 1), to be compared across the border."""
-
-    def links(ids, vec, new, dim):
-        """Compare rows from `new` on with up to `window` rows before each."""
-        import numpy as np
-
-        unit = _unit(_matrix(vec, dim))
-        near = unit @ unit.T >= threshold
-        gap = np.arange(len(ids))[:, None] - np.arange(len(ids))[None, :]
-        near &= (np.abs(gap) <= window) & ((np.arange(len(ids)) >= new)[:, None] | (np.arange(len(ids)) >= new)[None, :])
-        np.fill_diagonal(near, False)
-        return forest(near, ids)
-
-    def run(batches):
-        import numpy as np
-        from pyspark import TaskContext
-
-        here = TaskContext.get().partitionId()
-        names = ["a", "b", "part", "side", "place", "pass", "label", "dim", "id", "vec"]
-
-        def pairs(a, b):
-            none = lambda t: pa.nulls(len(a), t)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.int32()), none(pa.int32()), none(pa.string()), none(pa.int32()), none(pa.int64()), none(pa.binary())], names)
-
-        def border(table, side):
-            n = table.num_rows
-            none = pa.nulls(n, pa.int64())
-            cols = [table.column(c).combine_chunks() for c in ("pass", "label", "dim", "id", "vec")]
-            return pa.RecordBatch.from_arrays([none, none, pa.array([here] * n, pa.int32()), pa.array([side] * n, pa.int32()), pa.array(range(n), pa.int32()), *cols], names)
-
-        tail, seen = None, 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                new = pa.Table.from_batches([batch.slice(at, STEP)])
-                if seen < window:
-                    yield border(new.slice(0, window - seen), 1)
-                seen += new.num_rows
-                both = pa.concat_tables([tail, new]).combine_chunks() if tail is not None else new
-                old = tail.num_rows if tail is not None else 0
-                p, d = both["pass"].to_numpy(), both["dim"].to_numpy()
-                lab = both["label"].combine_chunks().dictionary_encode().indices.to_numpy()
-                cut = np.nonzero((np.diff(p) != 0) | (np.diff(d) != 0) | (np.diff(lab) != 0))[0] + 1
-                for lo, hi in zip([0, *cut], [*cut, len(p)], strict=True):
-                    if hi > old and hi - lo > 1:
-                        part = both.slice(lo, hi - lo)
-                        a, b = links(part["id"].to_numpy(), part["vec"], max(0, old - lo), int(d[lo]))
-                        if len(a):
-                            yield pairs(a, b)
-                tail = both.slice(max(0, both.num_rows - window))
-        if tail is not None:
-            yield border(tail, 0)
-
-    def across(group: pa.Table) -> pa.Table:
-        """Last rows of a partition (side 0) with the first of the next (side 1)."""
-        import numpy as np
-
-        group = group.sort_by([("side", "ascending"), ("place", "ascending")])
-        side = group["side"].to_numpy()
-        a, b = [], []
-        keys = list(zip(group["pass"].to_pylist(), group["label"].to_pylist(), group["dim"].to_pylist(), strict=True))
-        if 0 in side and 1 in side:
-            key = keys[int(np.nonzero(side == 0)[0][-1])]
-            same = np.array([x == key for x in keys])
-            part = group.filter(pa.array(same))
-            own = part["side"].to_numpy()
-            if own.min() != own.max():
-                x, y = links(part["id"].to_numpy(), part["vec"], int((own == 0).sum()), key[2])
-                a, b = x, y
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _united(root, a, b) -> None:
+    """Joins the sets of a[k] and b[k] in `root`, where each index points at one no larger."""
+    import numpy as np
 
-    return run, across
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root[:] = root[root]
 
 
 def _counted(threshold: float):
-    """Kernel over one pair of blocks: links of each vector, and the forest's root it hangs on."""
+    """Kernel over one pair of blocks: links of each vector that has any, and the id of its set's root."""
 
     def run(group: pa.Table) -> pa.Table:
         import numpy as np
 
         ids, blk, times = group["id"].to_numpy(), group["blk"].to_numpy(), group["times"].to_numpy()
         unit = _unit(_matrix(group["vec"], group["dim"][0].as_py()))
-        near = unit @ unit.T >= threshold
-        np.fill_diagonal(near, False)
-        if group["i"][0].as_py() != group["j"][0].as_py():
-            near &= blk[:, None] != blk[None, :]
-        to = ids.copy()
-        a, b = forest(near, ids)
-        root = dict(zip(a.tolist(), b.tolist(), strict=True))
-        to = [root.get(x, x) for x in ids.tolist()]
-        return pa.table({"id": pa.array(ids), "n": pa.array([int(times[row].sum()) for row in near], pa.int64()), "to": pa.array(to, pa.int64())})
+        single = unit.astype(np.float32)
+        error = (unit.shape[1] + 8) * 2.0**-23
+        n, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        one = group["i"][0].as_py() == group["j"][0].as_py()
+        left, right = (root.copy(), root.copy()) if one else (np.nonzero(blk == blk.min())[0], np.nonzero(blk != blk.min())[0])
+        for at in range(0, len(left), STEP):
+            some = left[at : at + STEP]
+            cosine = single[some] @ single[right].T
+            row, col = np.nonzero(cosine >= threshold - error)
+            doubtful = np.nonzero(cosine[row, col] < threshold + error)[0]
+            a, b = some[row], right[col]
+            link = a != b
+            for lo in range(0, len(doubtful), 1 << 16):
+                k = doubtful[lo : lo + (1 << 16)]
+                link[k] &= np.einsum("ij,ij->i", unit[a[k]], unit[b[k]]) >= threshold
+            a, b = a[link], b[link]
+            np.add.at(n, a, times[b])
+            if not one:
+                np.add.at(n, b, times[a])
+            _united(root, a, b)
+        has = n > 0
+        return pa.table({"id": pa.array(ids[has]), "n": pa.array(n[has]), "to": pa.array(ids[root[has]])})
 
     return run
 
 
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93,
-    passes: int = 24, window: int = 128, block_rows: int = 1024, seed: int = 11,
+    window: int | None = None, block_rows: int = 8192,
 ) -> DataFrame:
     """Per row: id, n_links (other rows linked directly), component_id (smallest id reachable), kept.
 
     Rows link when their labels are equal and not null, their lengths are equal, and the cosine is at or above the threshold. Vectors
     that are null, empty, all zero or hold null or non-finite components link with nothing, nor do rows with a null id.
     Equal vectors of one label are one class whose copies all link; they are counted, not paired. A repeated id with
-    equal vectors counts as that many rows. An empty table gives an empty result.
+    equal vectors counts as that many rows. All pairs of a label are compared: a label of n different vectors costs n * n / 2 products.
+    `window` bounded an earlier search; it is accepted and has no effect. An empty table gives an empty result.
     """
-    spark = vectors.sparkSession
     rows = saved(_usable(vectors, id_col, vector_col, label_col), "vectors")
     classes = saved(rows.groupBy("label", "dim", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times")), "vector-classes")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = classes.select("id", "label", "dim", "vec").mapInArrow(_keys(passes, seed), "id long, label string, dim int, vec binary, keys array<long>")
-    order = ["pass", "label", "dim", "key", "id"]
-    ranged = keyed.select("id", "label", "dim", "vec", F.posexplode("keys").alias("pass", "key")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    inside, across = _windows(window, threshold)
-    found = saved(
-        ranged.select(*order, "vec").mapInArrow(inside, "a long, b long, part int, side int, place int, pass int, label string, dim int, id long, vec binary"), "window-pairs"
-    )
-    border = found.where("part is not null").withColumn("gap", F.col("part") - F.col("side"))
-    pairs = found.where("a is not null").select("a", "b").unionByName(border.groupBy("gap").applyInArrow(across, "a long, b long"))
-    united = connected_components(pairs)
-    members = classes.join(united, "id").select("id", "dim", "vec", "times", "component")
+    members = classes.select("id", "dim", "vec", "times", F.concat(F.col("dim").cast("string"), F.lit(":"), F.col("label")).alias("component"))
     exact = saved(
-        block_pairs(members, F.lit(1), block_rows, block_rows).groupBy("component", "i", "j").applyInArrow(_counted(threshold), "id long, n long, to long"), "vector-links"
+        block_pairs(members, F.col("dim"), block_rows, block_rows * ROOM).groupBy("component", "i", "j").applyInArrow(_counted(threshold), "id long, n long, to long"),
+        "vector-links",
     )
     linked = connected_components(exact.where("id != to").select(F.col("id").alias("a"), F.col("to").alias("b")))
     n = exact.groupBy("id").agg(F.sum("n").alias("n"))

@@ -121,6 +121,25 @@ def test_near_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_a_dense_label(spark):
+    """One label of vectors crowded round a mean, with planted pairs: no link is lost."""
+    from riskframe.llm.embedding_dedup import near_vectors
+
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(unit(rng.standard_normal(64)) * 0.85**0.5 + unit(rng.standard_normal((6000, 64))) * 0.15**0.5)
+    x[:300] = unit(x[300:600] + unit(rng.standard_normal((300, 64))) * 0.35)
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.id: (r.n_links, r.component_id) for r in near_vectors(df).collect()}
+    assert got == {r.id: (r.n_links, r.component_id) for r in near_vectors(df, block_rows=700).collect()}
+    cosine = unit(x.astype(np.float64)) @ unit(x.astype(np.float64)).T
+    near = (cosine >= 0.93) & ~np.eye(len(x), dtype=bool)
+    comp = groups(range(len(x)), np.argwhere(near).tolist())
+    assert near[:300].any(1).sum() > 200
+    assert got == {k: (int(near[k].sum()), comp[k]) for k in range(len(x))}
+
+
 def test_top_k(spark):
     from riskframe.llm.topk_search import top_k
 
