@@ -3,7 +3,8 @@
 Confirmed toxic documents are positives; other text is unlabelled, not negative. With the class prior p, the risk of a classifier g under
 loss l is estimated from both by p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)]); where the second part falls below zero, its gradient is
 reversed, which keeps a flexible model from calling all unlabelled text clean. Linear classifiers over the presence of words are
-trained with numpy on bounded samples; every document is scored in full.
+trained with numpy on bounded samples of the labelled documents, the population that p is the share of; the unlabelled sample's own labels
+stay unread there. Scale and threshold are then refitted on labelled documents of both kinds. Words are chosen by their frequencies over all documents outside the held-out fold, and every document is scored in full.
 """
 
 from __future__ import annotations
@@ -67,13 +68,36 @@ def _sample(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list
     return [np.frombuffer(r.places, "<u4") for r in picked.mapInArrow(run, "places binary").collect()]
 
 
-def _chosen(pos: list, unl: list, size: int):
-    """Places whose share of documents differs most surely between the two samples, sorted."""
+def _frequencies(docs: DataFrame, text_col: str):
+    """Number of documents, and how many of them hold each place, over all of docs."""
+
+    def run(batches):
+        import numpy as np
+
+        features, n, held = Features(), 0, np.zeros(PLACES, np.int64)
+        for batch in batches:
+            n += batch.num_rows
+            for t in batch.column(0):
+                held[list(features.of(t.as_py()))] += 1
+        own = np.nonzero(held)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(own, -1)), pa.array(np.append(held[own], n))], ["place", "n"])
+
+    import numpy as np
+
+    total = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    place, count = total["place"].to_numpy(), total["n"].to_numpy()
+    held = np.zeros(PLACES, np.int64)
+    held[place[place >= 0]] = count[place >= 0]
+    return int(count[place < 0].sum()), held
+
+
+def _chosen(pos: list, n: int, held, size: int):
+    """Places whose share of documents differs most surely between the positives and all n documents, sorted."""
     import numpy as np
 
-    a, b = (np.bincount(np.concatenate([*x, np.empty(0, np.uint32)]).astype(np.int64), minlength=PLACES) for x in (pos, unl))
-    x, y = (a + 0.5) / (len(pos) + 1), (b + 0.5) / (len(unl) + 1)
-    z = np.abs(x - y) / np.sqrt(x * (1 - np.minimum(x, 0.99)) / (len(pos) + 1) + y * (1 - np.minimum(y, 0.99)) / (len(unl) + 1))
+    a, b = np.bincount(np.concatenate([*pos, np.empty(0, np.uint32)]).astype(np.int64), minlength=PLACES), held
+    x, y = (a + 0.5) / (len(pos) + 1), (b + 0.5) / (n + 1)
+    z = np.abs(x - y) / np.sqrt(x * (1 - np.minimum(x, 0.99)) / (len(pos) + 1) + y * (1 - np.minimum(y, 0.99)) / (n + 1))
     z[a + b < 5] = 0
     top = np.lexsort((np.arange(PLACES), -z))[:size]
     return np.sort(top[z[top] > 0])
@@ -88,31 +112,39 @@ def _matrix(rows: list, places):
     return x
 
 
-def _cut(g, prior: float) -> float:
-    """Where the sorted logits of unlabelled text part: the thinnest place near the rank that the class prior names. Weights shrink under
-    decay, so 0 is not that place."""
+def _refit(gp, gn, prior: float, ridge: float = 1e-5) -> tuple[float, float]:
+    """(scale, shift) of the logits that undo what decay shrank: Newton steps on the logistic risk of labelled documents of both kinds."""
     import numpy as np
 
-    n = len(g)
-    lo, hi, m = int(n * (1 - 1.15 * prior)), int(n * (1 - 0.85 * prior)), max(1, int(n * prior * 0.03))
-    k = np.arange(max(0, lo), min(hi, n - m))
-    if not len(k):
-        return 0.0
-    best = k[int(np.argmax(g[k + m] - g[k]))]
-    return float(g[best] + g[best + m]) / 2
-
-
-def train(pos: list, unl: list, prior: float, size: int = 512, members: int = 3, epochs: int = 40, rate: float = 0.02, decay: float = 1e-3) -> tuple[dict[int, float], float]:
-    """(weight of each chosen place, bias): mean of `members` linear classifiers under the non-negative risk, trained by Adam."""
+    x = np.stack([np.concatenate([gp, gn]), np.ones(len(gp) + len(gn))], 1)
+    y = np.repeat([1.0, 0.0], [len(gp), len(gn)])
+    share = np.repeat([prior / len(gp), (1 - prior) / len(gn)], [len(gp), len(gn)])
+    w = np.array([1.0, 0.0])
+    risk = lambda w: share @ (np.logaddexp(0, x @ w) - y * (x @ w)) + ridge * (w[0] - 1) ** 2
+    for _ in range(50):
+        s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (share * (s - y)) + [2 * ridge * (w[0] - 1), 0]
+        step = np.linalg.solve((x * (share * s * (1 - s))[:, None]).T @ x + np.diag([2 * ridge, 1e-9]), grad)
+        t = 1.0
+        while t > 1e-6 and risk(w - t * step) > risk(w):
+            t /= 2
+        if t <= 1e-6 or np.abs(step).max() < 1e-9:
+            break
+        w = w - t * step
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+
+
+def train(pos: list, unl: list, neg: list, prior: float, places, members: int = 3, epochs: int = 40, rate: float = 0.02, decay: float = 1e-3) -> tuple[dict[int, float], float]:
+    """(weight of each of `places`, bias): mean of `members` linear classifiers under the non-negative risk, trained by Adam,
+    with its scale and bias refitted on positives and the labelled negatives `neg`."""
     import math
 
     import numpy as np
 
     prior = min(max(prior, 1e-4), 0.9)
     base = math.log(prior / (1 - prior))
-    if not pos or not unl:
+    if not pos or not unl or not neg:
         return {}, base
-    places = _chosen(pos, unl, size)
     xp, xu = _matrix(pos, places), _matrix(unl, places)
     total, bias_total = np.zeros(len(places)), 0.0
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -140,7 +172,8 @@ def train(pos: list, unl: list, prior: float, size: int = 512, members: int = 3,
         total += w[:-1]
         bias_total += float(w[-1])
     w, bias = total / members, bias_total / members
-    bias -= _cut(np.sort(xu @ w + bias), prior)
+    scale, shift = _refit(xp @ w + bias, _matrix(neg, places) @ w + bias, prior)
+    w, bias = scale * w, scale * bias + shift
     return {int(p): float(x) for p, x in zip(places, w, strict=True)}, bias
 
 
@@ -151,17 +184,24 @@ def toxicity(
     """docs with held_out, score (0 to 1) and predicted (1 if score >= 0.5).
 
     Labels are read only outside the held-out fold (an id of null counts as held out). The class prior is the toxic share of all
-    labels read. At most max_positive toxic and max_unlabelled documents of any kind, the first by a hash of the id, are trained on; every
-    document is scored by its whole text, and a null or empty text gets the score of no words. Without labels of either kind all scores
-    are the prior's. An id with several labels is toxic if one of them is. Repeated rows get equal scores; input columns of the three
+    labels read. At most max_positive toxic and max_unlabelled labelled documents of any kind, the first by a hash of the id, are trained on;
+    the words come from all documents outside the held-out fold. Every document is scored by its whole text, so the share of documents called
+    toxic may be any, and a null or empty text gets the score of no words. Where the labels are all of one kind or none, all scores are 0.05. An id with several labels is toxic if one of them is. Repeated rows get equal scores; input columns of the three
     names are replaced. An empty table gives an empty result.
     """
+    import math
+
     marked = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & ~held_out(id_col))
     marked = marked.groupBy(F.col(id_col).alias("__id")).agg(F.max("y").alias("y"))
     n, toxic = marked.agg(F.count(F.lit(1)), F.sum(F.when(F.col("y") == 1, 1).otherwise(0))).first()
     pos_ids = first_by_hash(marked.where("y = 1").select("__id"), "__id", max_positive)
-    unl_ids = first_by_hash(docs.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("__id")), "__id", max_unlabelled)
-    weight, bias = train(_sample(docs, pos_ids, id_col, text_col), _sample(docs, unl_ids, id_col, text_col), (toxic or 0) / n if n else 0.05, features)
+    unl_ids = first_by_hash(marked.select("__id"), "__id", max_unlabelled)
+    neg_ids = first_by_hash(marked.where("y = 0").select("__id"), "__id", max_unlabelled)
+    weight, bias = {}, math.log(0.05 / 0.95)
+    if n and 0 < toxic < n:
+        pos = _sample(docs, pos_ids, id_col, text_col)
+        places = _chosen(pos, *_frequencies(docs.where(~held_out(id_col)), text_col), features)
+        weight, bias = train(pos, *(_sample(docs, ids, id_col, text_col) for ids in (unl_ids, neg_ids)), toxic / n, places)
     kept = docs.drop("held_out", "score", "predicted")
     names = [*kept.columns, "score"]
     schema = kept.withColumn("score", F.lit(0.0)).schema

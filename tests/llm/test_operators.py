@@ -348,3 +348,21 @@ def test_toxicity(spark):
     assert all(abs(again[k] - r.score) < 1e-12 for k, r in got.items())
     assert toxicity(docs.limit(0), marks).count() == 0
     assert toxicity(docs, marks.limit(0)).select("score").distinct().count() == 1
+
+
+@pytest.mark.parametrize("labelled, other", [(0.2, 0.01), (0.1, 0.5)])
+def test_toxicity_where_labels_are_not_like_documents(spark, labelled, other):
+    """The share of documents called toxic is not tied to the share of labels."""
+    from riskframe.llm.toxicity import toxicity
+
+    rnd = random.Random(9)
+    rows, labels = [], []
+    for k in range(4000):
+        bad = rnd.random() < (labelled if k < 1000 else other)
+        text = [f"w{rnd.randint(0, 300)}" for _ in range(rnd.randint(5, 60))] + ([rnd.choice(["badword", "worseword"])] * 2 if bad else [])
+        rows.append((k, " ".join(text), bad))
+        if k < 1000:
+            labels.append((k, int(bad)))
+    got = toxicity(spark.createDataFrame(rows, "doc_id long, text string, bad boolean"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    hit = sum(r.predicted and r.bad for r in got)
+    assert hit > 0.95 * sum(r.predicted for r in got) and hit > 0.95 * sum(r.bad for r in got)
