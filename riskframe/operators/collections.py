@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from riskframe.storage import saved
+
 
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The first row of each key by `order`. The rank filter is applied before the shuffle too."""
@@ -113,11 +115,12 @@ def import_tables(spark, path: str) -> dict[str, tuple[DataFrame, str]]:
 def with_index(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """df with a dense row number from 0 in a total order, without passing all rows through one task.
 
-    Rows are ranged by the order; each range is numbered by itself and shifted by the number of rows in the ranges before it.
+    Rows are ranged by the order and written once with the number of their range, so that counts and rows come from the same ranges
+    (range bounds are sampled anew each time a plan runs). Each range is numbered by itself and shifted by the rows in the ranges before it.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    ranged = saved(ranged.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "indexed")
     count = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row a range
     shift = count.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))

@@ -13,18 +13,23 @@ def ragged_width(df: DataFrame, col: str, delimiter: str) -> DataFrame:
 
 
 def read_preamble_csv(spark: SparkSession, path: str, header_row: int = 2, data_from: int = 10, delimiter: str = ",") -> tuple[DataFrame, dict[str, str]]:
-    """(rows, preamble) of a CSV whose first rows hold version and date, then a header, then data from row data_from.
+    """(rows, preamble) of a CSV file whose first rows hold version and date, then a header, then data from row data_from.
 
-    Only the head of the file goes through the driver. Missing trailing cells are null. The file may be gzipped.
+    Only the head of the file and the width go through the driver. The widest row sets the number of columns: cells beyond the header stand in
+    `column_<n>` (from 0), missing trailing cells are null. Head rows are left out by their place, so data may repeat what they say. The file may be
+    gzipped; it is one file, since a quoted cell may hold line ends.
     """
     lines = spark.read.text(path, wholetext=False)
     head = [r.value for r in lines.limit(data_from).collect()]
     digits = lambda s: "".join(c for c in s if c.isdigit() or c in "-.")
     names = [c.strip().strip('"') for c in head[header_row].split(delimiter)]
+    width = ragged_width(lines, "value", delimiter).first().width or 0
+    names += [f"column_{k}" for k in range(len(names), width)]
     schema = ", ".join(f"`{n}` string" for n in names)
     rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("header", False).option("sep", delimiter).option("escape", '"').option("multiLine", True).csv(path)
-    skip = {h.split(delimiter)[0].strip().strip('"') for h in head}
-    return rows.where(~F.col(names[0]).isin(*skip) & F.col(names[0]).isNotNull()), {"version": digits(head[0]), "date": digits(head[1])}
+    skip = sum(bool(h.strip()) for h in head)  # the reader leaves blank lines out
+    numbered = rows.withColumn("__row", F.monotonically_increasing_id())
+    return numbered.where(F.col("__row") >= skip).drop("__row"), {"version": digits(head[0]), "date": digits(head[1])}
 
 
 def read_labeled_csv(spark: SparkSession, path: str) -> DataFrame:

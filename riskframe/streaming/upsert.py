@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,39 +9,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.collections import latest, upsert
+from ..storage import listed, removed, shared_folder
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a fresh local one is set and used."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-riskframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+def _newest(spark: SparkSession, target: str) -> int | None:
+    """Number of the newest version that was written in full."""
+    names = [x for x in listed(spark, target) if x.startswith("v")]
+    done = [int(x[1:]) for x in names if "_SUCCESS" in listed(spark, f"{target}/{x}")]
+    return max(done, default=None)
 
 
 def stream_upsert(spark: SparkSession, source: str, schema: StructType, key: str, order_col: str, target: str | None = None) -> DataFrame:
     """Load what has newly arrived in source (a Parquet file or folder) into the target table and return the table; latest row wins.
 
     The stream runs until all files present are loaded; its checkpoint lies beside the target, so the next call takes only newer files. Each
-    batch writes a new version of the table (named by the batch, so a batch that is run again replaces its own), never the one it reads.
+    batch writes a new version of the table (named by the batch, so a batch that is run again replaces its own), never the one it reads; versions
+    before that one are removed. A call without new files returns the newest version; a target that never got a file is empty.
     """
     target = target or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     folder, _, pattern = source.rpartition("/")
     base = source
     if pattern.endswith(".parquet"):
         base, glob = folder, pattern
-    state: dict[str, str] = {}
-
     def load(batch: DataFrame, n: int) -> None:
         fresh = latest(batch.where(F.col(key).isNotNull()), key, F.desc(order_col)).unionByName(batch.where(F.col(key).isNull()))
         old = spark.read.schema(schema).parquet(f"{target}/v{n - 1}") if n else None
         new = fresh if old is None else upsert(old, fresh, key, order_col)
         new.write.mode("overwrite").parquet(f"{target}/v{n}")
-        state["at"] = f"{target}/v{n}"
+        if n > 1:
+            removed(spark, f"{target}/v{n - 2}")
 
     reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
     stream = reader.parquet(source if base is source else f"{base}/{glob}")
     run = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{target}/_checkpoint").foreachBatch(load).start()
     run.awaitTermination()
-    return spark.read.schema(schema).parquet(state["at"]) if state else spark.createDataFrame([], schema)
+    at = _newest(spark, target)
+    return spark.createDataFrame([], schema) if at is None else spark.read.schema(schema).parquet(f"{target}/v{at}")

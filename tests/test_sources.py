@@ -18,6 +18,18 @@ def test_preamble_csv(spark, tmp_path):
     rows, head = csv.read_preamble_csv(spark, str(tmp_path / "m.csv.gz"))
     assert sorted(map(tuple, rows.collect())) == [("CVE-1", "Entry", "a, b"), ("CVE-2", "Candidate", None)]
     assert head == {"version": "20061101", "date": "20240131"}
+    # data that say what a head row says, a row wider than the header, a line end inside quotes
+    lines = ["v 1", "d 2", "Name,Status", *["", "x", "", "x", "", "x", "x"], "x,1", "Name,2", '"a\nb",3,4,5', "y"]
+    (tmp_path / "w.csv").write_text("\n".join(lines))
+    rows, _ = csv.read_preamble_csv(spark, str(tmp_path / "w.csv"))
+    assert rows.columns == ["Name", "Status", "column_2", "column_3"]
+    assert list(map(tuple, rows.collect())) == [("x", "1", None, None), ("Name", "2", None, None), ("a\nb", "3", "4", "5"), ("y", None, None, None)]
+
+
+def test_dense_row_numbers_of_a_million_rows(spark):
+    df = spark.range(1_200_000).select((F.col("id") * 7919 % 1_200_007).alias("k"), F.repeat(F.lit("x"), 20).alias("payload"))
+    r = C.with_index(df, "at", "k").agg(F.countDistinct("at"), F.min("at"), F.max("at"), F.count("payload")).first()
+    assert tuple(r) == (1_200_000, 0, 1_199_999, 1_200_000)
 
 
 def test_labeled_csv(spark, tmp_path):
@@ -113,3 +125,6 @@ def test_stream_takes_only_new_files(spark, tmp_path):
     assert run() == [(1, 1, "a"), (2, 1, "b")]
     put([(2, 5, "B"), (3, 1, "c")])
     assert run() == [(1, 1, "a"), (2, 5, "B"), (3, 1, "c")]
+    assert run() == [(1, 1, "a"), (2, 5, "B"), (3, 1, "c")]  # no new file
+    put([(4, 1, "d")])
+    assert run() == [(1, 1, "a"), (2, 5, "B"), (3, 1, "c"), (4, 1, "d")] and len([x for x in (tmp_path / "t").iterdir() if x.name.startswith("v")]) == 2
