@@ -3,15 +3,16 @@
 A merge only ever makes a token of the vocabulary. So where two adjacent bytes stand side by side inside no token at all, no merge crosses
 them in any text: the place is a certain cut, and what lies between cuts can be encoded alone. White space and the
 changes between letters, digits and other signs are cuts by the tokenizer's own splitting rule; inside the pieces that
-are left, the byte pairs found in no token cut further. Fragments are encoded once a task (they are remembered) and
+are left, the byte pairs found in no token cut further. Short fragments are remembered for the time of a task and
 the ids of a text are those of its fragments in order.
 
-The rules (normalisation, splitting, merges, word ends, added tokens) are read from the tokenizer's JSON file.
+Splitting, merges, word ends and added tokens are read from the tokenizer's JSON file.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import struct
 import unicodedata
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import slices
+
 
 #: Letters and digits that came after Unicode 16.0, which the tokenizers library follows; to it they are other signs.
 NEWER = """558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7
@@ -29,6 +32,11 @@ NEWER = """558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2
 3d000-3fc3f"""
 
 
+#: Capitals that came after Unicode 15.1, Python's tables, and their small letters, which the tokenizers library knows.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, the others by code points from 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -39,19 +47,17 @@ def byte_letters() -> list[str]:
 
 
 class Vocabulary:
-    """What the file says, in the form that encoding needs."""
+    """What the file says, in the form that encoding needs. The letters' normalisation (NFC, white space, lower case) is that of the files with this splitting rule."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
-        letters = byte_letters()
         self.ids: dict[str, int] = model["vocab"]
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): n for n, m in enumerate(model["merges"])}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: s for s, i in [*self.ids.items(), *self.added.items()]}
-        self.letters = letters
+        self.letters = byte_letters()
         self.pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.inside = set()
         for token in self.ids:
@@ -59,8 +65,22 @@ class Vocabulary:
             self.inside.update(zip(body, body[1:], strict=False))
 
 
+@functools.lru_cache(maxsize=1)
+def vocabulary(path: str) -> Vocabulary:
+    """One a Python worker: its size is the file's."""
+    return Vocabulary(path)
+
+
+def token_names(path: str) -> list[str]:
+    """Name of each id."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    names = {i: s for s, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return [names.get(i, "") for i in range(max(names) + 1)]
+
+
 class Chunks(dict):
-    """text without white space -> packed ids, remembered up to a bound."""
+    """text without white space -> packed ids, remembered up to a bound; long texts are not."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
@@ -76,9 +96,9 @@ class Chunks(dict):
 
 
 class Encoder:
-    """Encodes texts; keeps what it has met, up to `limit` entries."""
+    """Encodes texts; keeps what it has met, up to `limit` short pieces (some 20 MB), for the time of a task."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 100_000):
         import regex
 
         self.v, self.limit = vocabulary, limit
@@ -97,18 +117,42 @@ class Encoder:
         if last:
             parts[-1] += self.v.end
         rank, none = self.v.rank.get, len(self.v.rank)
-        ranks = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
-        while ranks and (best := min(ranks)) < none:
-            k = ranks.index(best)
-            parts[k] += parts.pop(k + 1)
-            del ranks[k]
-            if k < len(ranks):
-                ranks[k] = rank((parts[k], parts[k + 1]), none)
-            if k:
-                ranks[k - 1] = rank((parts[k - 1], parts[k]), none)
+        if len(parts) > 100:
+            parts = self._merged_long(parts)
+        else:
+            ranks = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+            while ranks and (best := min(ranks)) < none:
+                k = ranks.index(best)
+                parts[k] += parts.pop(k + 1)
+                del ranks[k]
+                if k < len(ranks):
+                    ranks[k] = rank((parts[k], parts[k + 1]), none)
+                if k:
+                    ranks[k - 1] = rank((parts[k - 1], parts[k]), none)
         ids = self.v.ids
         return tuple([ids[p] for p in parts])
 
+    def _merged_long(self, parts: list) -> list[str]:
+        """The same merges in n log n steps: a heap of pairs (rank, place) over a linked list. A pair that has changed since it was put on the heap is passed over."""
+        rank, n = self.v.rank.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, k) for k in range(n - 1) if (r := rank((parts[k], parts[k + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            if parts[k] is None or (m := after[k]) >= n or rank((parts[k], parts[m])) != r:
+                continue
+            parts[k] += parts[m]
+            parts[m] = None
+            after[k] = m = after[m]
+            if m < n:
+                before[m] = k
+                if (r := rank((parts[k], parts[m]))) is not None:
+                    heapq.heappush(heap, (r, k))
+            if (b := before[k]) >= 0 and (r := rank((parts[b], parts[k]))) is not None:
+                heapq.heappush(heap, (r, b))
+        return [p for p in parts if p is not None]
+
     def word(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece: cut at byte pairs that stand in no token, each fragment alone."""
         if (known := self.words.get(piece)) is not None:
@@ -116,7 +160,7 @@ class Encoder:
         letters = "".join([self.v.letters[b] for b in piece.encode("utf-8")])
         inside, end = self.v.inside, len(letters)
         cut = [0, *[k for k, pair in enumerate(zip(letters, letters[1:], strict=False), 1) if pair not in inside], end]
-        found = sum([self.merged(letters[lo:hi], hi == end) for lo, hi in zip(cut, cut[1:], strict=False)], ())
+        found = tuple([i for lo, hi in zip(cut, cut[1:], strict=False) for i in self.merged(letters[lo:hi], hi == end)])
         if len(piece) <= 64:
             if len(self.words) >= self.limit:
                 self.words.clear()
@@ -133,7 +177,7 @@ class Encoder:
     def chunk(self, text: str) -> bytes:
         """Ids (packed) of text without white space or added tokens inside."""
         # lower case letter by letter: a capital sigma has no final form here
-        plain = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        plain = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().translate(LOWER)
         ids = [i for piece in self.pieces(plain) for i in self.word(piece)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -149,12 +193,6 @@ class Encoder:
         return b"".join(self.v.added[x].to_bytes(4, "little") if k % 2 else self.plain(x) for k, x in enumerate(parts))
 
 
-@functools.lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    """One encoder a Python worker: what a task has met serves the next."""
-    return Encoder(Vocabulary(path))
-
-
 def encode_texts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     """docs with token_ids (packed little-endian unsigned 32-bit integers) and n_tokens, of whole texts.
 
@@ -165,10 +203,11 @@ def encode_texts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Dat
     schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches):
-        encode = encoder(tokenizer).encode
-        for batch in batches:
-            ids = [encode(t) if (t := x.as_py()) else b"" for x in batch.column(text_col)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], schema.fieldNames())
+        encode = Encoder(vocabulary(tokenizer)).encode
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                ids = [encode(t) if (t := x.as_py()) else b"" for x in batch.column(text_col)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
 
@@ -181,10 +220,10 @@ def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         import numpy as np
 
-        v = encoder(tokenizer).v
-        name = np.array([v.names.get(i, "") for i in range(max(v.names) + 1)], object)
-        for batch in batches:
-            texts = [None if (b := x.as_py()) is None else " ".join(name[np.frombuffer(b, "<u4")].tolist()) for x in batch.column("token_ids")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.fieldNames())
+        name = np.array(token_names(tokenizer), object)
+        for whole in batches:
+            for batch in slices(whole, "token_ids"):
+                texts = [None if (b := x.as_py()) is None else " ".join(name[np.frombuffer(b, "<u4")].tolist()) for x in batch.column("token_ids")]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.fieldNames())
 
     return encoded.mapInArrow(run, schema)

@@ -2,42 +2,34 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters that end a word: space and \t \n \v \f \r. Everything else belongs to words.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from riskframe.storage import removed, saved, shared_folder, stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a fresh local one is set and used."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-riskframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+__all__ = ["WORD", "WordHashes", "block_pairs", "connected_components", "first_by_hash", "forest", "mixed", "saved", "shared_folder", "slices", "word_hashes"]
 
+#: Characters that end a word: space and \t \n \v \f \r. Everything else belongs to words.
+WORD = r"[^\x20\x09-\x0D]+"
+#: Tasks that the rows of one large key are dealt to where they meet a small table.
+SALTS = 32
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and return the table: lineage ends here, executors may be lost."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows (no copies) whose values in `column` hold about `limit` bytes, so that a task's memory doesn't follow the batch."""
+    import numpy as np
+    import pyarrow.compute as pc
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of finished work that nothing refers to any more. Listeners hold on to a query for a moment after its
-    end, hence the pauses."""
-    for _ in range(2):
-        time.sleep(1)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+    pa.default_memory_pool().release_unused()
 
 
 def first_by_hash(df: DataFrame, key: str, bound: int) -> DataFrame:
@@ -58,15 +50,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     factor a round, whatever the graph's shape, so chains end in O(log n) rounds as stars do. A vertex with many edges is
     pre-aggregated in the map tasks; the joins are plain equi-joins that AQE can split on skew.
     """
-    edge = saved(
+    spark = edges.sparkSession
+    edge, edge_at = stored(
         edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), "edges"
     )
     owner: DataFrame | None = None
+    owner_at: list[str] = []
     turn = 0
     while not edge.isEmpty():
         first = lambda c, t=turn: F.struct(F.xxhash64(c, F.lit(t)).alias("h"), F.col(c).alias("id"))
         both = edge.unionByName(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        move = saved(
+        move, move_at = stored(
             both.groupBy("u").agg(F.min(first("v")).alias("near")).select("u", F.least(first("u"), "near")["id"].alias("to")), "moves"
         )
         owner_next = (
@@ -74,12 +68,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             if owner is None
             else owner.join(move.withColumnRenamed("u", "root"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
         )
-        owner = saved(owner_next, "owners")
+        owner, at = stored(owner_next, "owners")
         left, right = move.select("u", F.col("to").alias("tu")), move.select(F.col("u").alias("v"), F.col("to").alias("tv"))
-        edge = saved(
+        edge, next_at = stored(
             edge.join(left, "u").join(right, "v").where("tu != tv").select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v")).distinct(),
             "edges",
         )
+        removed(spark, edge_at, move_at, *owner_at)  # every reader of the round's tables is done
+        edge_at, owner_at = next_at, [at]
         turn += 1
     if owner is None:
         return edge.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -98,7 +94,11 @@ def block_pairs(members: DataFrame, weight: Column, max_rows: int, max_weight: i
     size = size.select(
         "component", F.greatest(F.ceil(F.col("rows") / max_rows), F.ceil(F.col("weight") / max_weight), F.lit(1)).cast("int").alias("n_blk")
     )
-    dealt = members.join(size, "component").withColumn("blk", F.expr("int(pmod(xxhash64(id), n_blk))"))
+    # only components of several blocks are joined, each under several salts: a large one's rows are dealt to many tasks
+    many = size.where("n_blk > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = members.withColumn("salt", F.expr(f"int(pmod(xxhash64(id, 3), {SALTS}))"))
+    dealt = salted.join(many, ["component", "salt"], "left").drop("salt").withColumn("n_blk", F.coalesce("n_blk", F.lit(1)))
+    dealt = dealt.withColumn("blk", F.expr("int(pmod(xxhash64(id), n_blk))"))
     other = dealt.withColumn("other", F.explode(F.expr("sequence(0, n_blk - 1)")))
     return other.withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")}).drop("other", "n_blk")
 

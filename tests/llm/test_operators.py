@@ -229,7 +229,7 @@ def test_bpe_matches_the_library(spark, docs):
     from riskframe.llm.bpe import decode_ids, encode_texts
     from riskframe.llm.queries import _tokenizer
 
-    odd = ["Hello  WORLD's 123 café <|endoftext|> xİ’s don't 'LL ​中文 <|STARTOFTEXT|>y _a_b 1½", "a<|endoftext|>b", "\x00\x01\x1c\x85 😀", "ΑΣ ΑΣΑ", "é ́x", "x" * 500, "!?" * 100, "퟿ 𝒳"]
+    odd = ["Hello  WORLD's 123 café <|endoftext|> xİ’s don't 'LL ​中文 <|STARTOFTEXT|>y _a_b 1½", "a<|endoftext|>b", "\x00\x01\x1c\x85 😀", "ΑΣ ΑΣΑ", "é ́x", "x" * 500, "!?" * 100, "\ua7dc\U00010d50 \U00016ea0\ua7ce", "".join(random.Random(3).choices("abcdefghij", k=100_000)), "ab" * 3000, "é中" * 3000, "퟿ 𝒳"]
     extra = spark.createDataFrame([(5000 + k, t, None, None, 0) for k, t in enumerate(odd)], DOCS)
     lib = tokenizers.Tokenizer.from_file(_tokenizer())
     lib.no_padding()
