@@ -106,7 +106,7 @@ def block_pairs(members: DataFrame, weight: Column, max_rows: int, max_weight: i
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered up to a bound."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, word):
         import xxhash

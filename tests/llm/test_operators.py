@@ -159,7 +159,7 @@ def test_top_k(spark):
 
 @pytest.mark.parametrize("window", [20, 3])
 def test_cut_repeats(spark, docs, window):
-    from riskframe.llm.substring_dedup import cut_repeats
+    from riskframe.llm.substring_dedup import cut_repeats, maximal_repeats
 
     out = cut_repeats(docs.withColumn("n_words", F.lit("clash")), window=window, group=200)
     assert set(docs.columns) < set(out.columns)
@@ -175,6 +175,19 @@ def test_cut_repeats(spark, docs, window):
         want[r.doc_id] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in out.collect()} == want
     assert cut_repeats(docs.limit(0)).count() == 0
+    spans = collections.Counter()
+    for r in maximal_repeats(docs, window=window, group=200).collect():
+        assert r.length >= window
+        spans[r.id] += r.length
+    # spans that overlap are told apart only where a window between them is new
+    assert spans.keys() == {i for i, w in want.items() if w[1]} and all(spans[i] >= want[i][1] for i in spans)
+
+
+def test_packed_numbers():
+    from riskframe.llm.substring_dedup import _packed, _unpacked
+
+    for x in ([], [5], [-3], [-(2**63), 2**63 - 1, 0, 0, 7], [1, 2, 3, 500, 70000], list(range(1000)), [9, 4, 4, 2**40]):
+        assert _unpacked(_packed(np.array(x, np.int64))).tolist() == x
 
 
 def test_repeated_rows_are_one_document(spark):
@@ -184,6 +197,9 @@ def test_repeated_rows_are_one_document(spark):
     df = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_removed) for r in cut_repeats(df).collect())
     assert got == [("1", 0), ("1", 0), ("None", 30)]
+    # one id with two texts: each repeats itself no more than once
+    df = spark.createDataFrame([(1, text), (1, text + " x"), (2, text)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in cut_repeats(df).collect()) == [(1, 0), (1, 30), (2, 30)]
 
 
 def test_mix(spark, docs):
