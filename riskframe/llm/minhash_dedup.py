@@ -6,9 +6,10 @@
 3. Pigeonhole: the 64 places are split into m chunks with 2 * m > radius; two signatures at most `radius` apart have one chunk
    with one error at most. Enumerating the errors of a chunk means leaving each of its places out in turn: 64 keys a document
    guarantee that every pair within the radius shares a key.
-4. Documents that share a key are tied to one of them (a star, not all pairs), stars are joined to candidate groups.
-5. Inside a candidate group, cut into pairs of bounded blocks, links are confirmed on the full shingle sets: intersection sizes
-   are an incidence product. Only a spanning forest of the links leaves a task.
+4. Documents that share a key are tied to one of them (a star, not all pairs), stars are joined to candidate groups, so any two
+   documents that share a key are in one group.
+5. A group is cut into pairs of bounded blocks. There the signature distance of two documents is taken first; those within the radius are
+   confirmed on the full shingle sets. Only a spanning forest of the links leaves a task.
 6. Components of the confirmed links.
 """
 
@@ -131,39 +132,59 @@ def _stars(reps: DataFrame, r: int) -> DataFrame:
     return keyed.join(centre, "key").where("id != c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
 
-def _confirmed(percent: int):
-    """Kernel over one pair of blocks: forest of the links confirmed on full sets."""
+def _distances(sig, at: int, to: int):
+    """Places in which signatures at..to differ from each signature."""
+    import numpy as np
+
+    found = np.zeros((to - at, len(sig)), np.uint8)
+    for place in range(PLACES):
+        found += sig[at:to, place, None] != sig[None, :, place]
+    return found
+
+
+def _common(sets: list, a, b):
+    """Intersection sizes of the pairs (a, b) of sorted sets: pair by pair where there are few, else by an incidence product in strips of shingles."""
+    import numpy as np
+
+    if len(a) <= 4 * len(sets):
+        return np.array([np.isin(sets[x], sets[y], assume_unique=True).sum() for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+    n = np.array([len(s) for s in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    keep = times[code] > 1
+    code, row = (np.cumsum(times > 1) - 1)[code[keep]], row[keep]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    width = max(256, min(4096, 8_000_000 // len(sets)))
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        lo, hi = np.searchsorted(code, (at, at + width))
+        x = np.zeros((len(sets), width), np.float32)
+        x[row[lo:hi], code[lo:hi] - at] = 1
+        both += x @ x.T
+    return both[a, b].astype(np.int64)
+
+
+def _confirmed(percent: int, r: int):
+    """Kernel over one pair of blocks: forest of the links of pairs within the radius, confirmed on full sets."""
 
     def run(group: pa.Table) -> pa.Table:
         import numpy as np
 
         ids, blk = group["id"].to_numpy(), group["blk"].to_numpy()
+        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), "<u2").reshape(-1, PLACES)
+        one = group["i"][0].as_py() == group["j"][0].as_py()
+        near = np.zeros((len(ids), len(ids)), bool)
+        for at in range(0, len(ids), 128):
+            near[at : at + 128] = _distances(sig, at, min(at + 128, len(ids))) <= r
+        a, b = np.nonzero(np.triu(near if one else near & (blk[:, None] != blk[None, :]), 1))
         sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
         n = np.array([len(s) for s in sets])
-        _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(sets)), n)
-        keep = times[code] > 1
-        new = np.cumsum(times > 1) - 1
-        row, code = row[keep], new[code[keep]]
-        order = np.argsort(code, kind="stable")
-        row, code = row[order], code[order]
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        width = max(256, min(4096, 8_000_000 // len(sets)))
-        last = int(code[-1]) + 1 if len(code) else 0
-        for at in range(0, last, width):
-            lo, hi = np.searchsorted(code, (at, at + width))
-            x = np.zeros((len(sets), width), np.float32)
-            x[row[lo:hi], code[lo:hi] - at] = 1
-            both += x @ x.T
-        links = np.empty(both.shape, bool)
-        for at in range(0, len(sets), 256):  # 100 * intersection >= percent * union, in whole numbers
-            links[at : at + 256] = (100 + percent) * both[at : at + 256].astype(np.int64) >= percent * (n[at : at + 256, None] + n)
-        del both
-        if group["i"][0].as_py() != group["j"][0].as_py():
-            links &= blk[:, None] != blk[None, :]
-        np.fill_diagonal(links, False)
-        a, b = forest(links, ids)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        linked = (100 + percent) * _common(sets, a, b) >= percent * (n[a] + n[b])  # 100 * intersection >= percent * union, in whole numbers
+        links = np.zeros_like(near)
+        links[a[linked], b[linked]] = links[b[linked], a[linked]] = True
+        x, y = forest(links, ids)
+        return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
     return run
 
@@ -174,7 +195,7 @@ def near_duplicates(
     """Per document: id, n_shingles, component_id (smallest id reachable over links with 100 * intersection >= percent * union), kept.
 
     Null or wordless texts have an empty set and link with nothing; equal sets are one class and link at once, whatever
-    their number. Repeated ids: each row gets the component of its own set. A null id gets component null and is kept.
+    their number. Repeated ids: each row gets the component of its own set. A null id takes no part: its component is null and it is kept.
     An empty table gives an empty result. Other columns are not read, so their names can't clash.
     """
     r = radius(percent)
@@ -182,7 +203,7 @@ def near_duplicates(
     classes = sigs.where("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "sig", "n_shingles")).alias("m"))
     reps = saved(classes.select("digest", "m.id", "m.sig", "m.n_shingles"), "classes")
     group = connected_components(_stars(reps, r))
-    members = saved(reps.join(group, "id").select("id", "digest", "component", "n_shingles"), "members")
+    members = saved(reps.join(group, "id").select("id", "digest", "sig", "component", "n_shingles"), "members")
     blocks = block_pairs(members, F.col("n_shingles"), block_rows, block_shingles)
 
     def sets(batches):
@@ -198,11 +219,10 @@ def near_duplicates(
     # sorted on both sides whatever the sizes: a plan that doesn't turn with the input's size
     full = texts.join(members.select("id", "digest").hint("merge"), "id").select("id", "text", "digest").mapInArrow(sets, "id long, shingles binary").where("shingles is not null")
     links = (
-        full.join(blocks.select("id", "component", "blk", "i", "j"), "id")
-        .groupBy("component", "i", "j").applyInArrow(_confirmed(percent), "a long, b long")
+        full.join(blocks.select("id", "sig", "component", "blk", "i", "j"), "id")
+        .groupBy("component", "i", "j").applyInArrow(_confirmed(percent, r), "a long, b long")
     )
     linked = connected_components(links)
     of_class = reps.join(linked, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    return sigs.join(of_class, "digest", "left").select(
-        "id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept")
-    )
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return sigs.join(of_class, "digest", "left").select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
