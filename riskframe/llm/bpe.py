@@ -79,39 +79,41 @@ def token_names(path: str) -> list[str]:
     return [names.get(i, "") for i in range(max(names) + 1)]
 
 
-class Chunks(dict):
-    """text without white space -> packed ids, remembered up to a bound; long texts are not."""
+class Memo(dict):
+    """key -> make(key) for short keys, remembered in two generations of at most `limit` each: when the younger is full it becomes the older, so what keeps
+    coming back stays."""
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self, make, limit: int):
         super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, text: str) -> bytes:
-        packed = self.encoder.chunk(text)
-        if len(text) <= 64:
-            if len(self) >= self.encoder.limit:
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (value := self.older.get(key)) is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
-            self[text] = packed
-        return packed
+            self[key] = value
+        return value
 
 
 class Encoder:
-    """Encodes texts; keeps what it has met, up to `limit` short pieces (some 20 MB), for the time of a task."""
+    """Encodes texts; keeps what it has met, up to some 3 * `limit` short texts (120 MB), for the time of a task."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 100_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 200_000):
         import regex
 
-        self.v, self.limit = vocabulary, limit
+        self.v = vocabulary
         self.pattern = regex.compile(vocabulary.pattern)
         spans = [x.split("-") for x in NEWER.split()]
         self.newer = regex.compile("[" + "".join(f"{chr(int(x[0], 16))}-{chr(int(x[-1], 16))}" for x in spans) + "]")
         self.space = regex.compile(r"\s+").split
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(vocabulary.added, key=len, reverse=True)) + ")") if vocabulary.added else None
         self.odd = regex.compile(r"[\x1c-\x1f\x85]")  # str.split() and the tokenizer's \s differ on some of these
-        self.chunks = Chunks(self)
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.chunks, self.words = Memo(self.chunk, limit // 2), Memo(self.word, limit)
 
-    def merged(self, letters: str, last: bool) -> tuple[int, ...]:
+    def merged(self, letters: str, last: bool) -> list[int]:
         """Ids of one fragment: the leftmost of the lowest-ranked adjacent pairs is merged until none has a rank."""
         parts = list(letters)
         if last:
@@ -130,7 +132,7 @@ class Encoder:
                 if k:
                     ranks[k - 1] = rank((parts[k - 1], parts[k]), none)
         ids = self.v.ids
-        return tuple([ids[p] for p in parts])
+        return [ids[p] for p in parts]
 
     def _merged_long(self, parts: list) -> list[str]:
         """The same merges in n log n steps: a heap of pairs (rank, place) over a linked list. A pair that has changed since it was put on the heap is passed over."""
@@ -153,19 +155,17 @@ class Encoder:
                 heapq.heappush(heap, (r, b))
         return [p for p in parts if p is not None]
 
-    def word(self, piece: str) -> tuple[int, ...]:
-        """Ids of one piece: cut at byte pairs that stand in no token, each fragment alone."""
-        if (known := self.words.get(piece)) is not None:
-            return known
-        letters = "".join([self.v.letters[b] for b in piece.encode("utf-8")])
+    def word(self, piece: str) -> bytes:
+        """Ids (packed) of one piece: cut at byte pairs that stand in no token, each fragment alone."""
+        letters = piece if piece.isascii() and piece.isprintable() else "".join([self.v.letters[b] for b in piece.encode("utf-8")])
         inside, end = self.v.inside, len(letters)
-        cut = [0, *[k for k, pair in enumerate(zip(letters, letters[1:], strict=False), 1) if pair not in inside], end]
-        found = tuple([i for lo, hi in zip(cut, cut[1:], strict=False) for i in self.merged(letters[lo:hi], hi == end)])
-        if len(piece) <= 64:
-            if len(self.words) >= self.limit:
-                self.words.clear()
-            self.words[piece] = found
-        return found
+        cut = [k for k, pair in enumerate(zip(letters, letters[1:], strict=False), 1) if pair not in inside]
+        if not cut:
+            ids = self.merged(letters, True)
+        else:
+            cut = [0, *cut, end]
+            ids = [i for lo, hi in zip(cut, cut[1:], strict=False) for i in self.merged(letters[lo:hi], hi == end)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def pieces(self, text: str) -> list[str]:
         """Pieces by the tokenizer's rule."""
@@ -178,8 +178,7 @@ class Encoder:
         """Ids (packed) of text without white space or added tokens inside."""
         # lower case letter by letter: a capital sigma has no final form here
         plain = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().translate(LOWER)
-        ids = [i for piece in self.pieces(plain) for i in self.word(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self.words.__getitem__, self.pieces(plain)))
 
     def plain(self, text: str) -> bytes:
         words = [x for x in self.space(text) if x] if self.odd.search(text) else text.split()
