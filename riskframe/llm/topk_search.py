@@ -1,44 +1,76 @@
 """Exact top-k inner products by KD-trees, one tree a shard.
 
-Vectors are dealt to shards by a hash of their id. A shard's tree splits at the median of its widest component until a leaf holds
-`leaf` vectors; each node keeps the tight box of its vectors. The product of a query with any vector of a box is at most
-sum(max(q * low, q * high)), so nodes are entered best bound first, and a node whose bound lies under the query's kth score is left out.
-A first round searches one shard a query; the kth score found there goes along to the other shards as their starting bound.
+1. Median splits of a bounded sample cut the space into cells; vectors are dealt to shards by cell (a cell with many vectors is several shards by
+   hash), so that shards lie together in space. A shard's tree splits at the median of its widest component until a leaf holds `leaf` vectors;
+   each node keeps the tight box of its vectors. Trees are built once and written.
+2. The product of a query with any vector of a box is at most sum(max(q * low, q * high)). A query visits shards by their root boxes, best bound
+   first, in rounds of 1, 3, 12, ... shards; the kth score of the rounds before goes along, and a shard whose bound lies under it is left out.
+3. Inside a shard a query visits leaves best bound first, in step with the other queries of its block; its kth score rises on the way, and what
+   lies under it is left out.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from .common import saved
+from .common import SALTS, first_by_hash, saved
 
-#: Components beyond this would overflow a 64-bit product.
-LARGEST = 2**27
 #: Below any score.
-LOWEST = -(2**62)
+LOWEST = -(2**63 - 1)
+#: Sampled vectors that the cells are cut from, and shards at most (beyond, shards grow): both bound what the driver holds.
+SAMPLE, MOST_SHARDS = 16_384, 16_384
+#: Queries that are routed at once.
+ROUTE = 512
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """id, v: array of floor(scale * x). One row an id (the least vector, should an id stand with several)."""
+    """id, v: array of floor(scale * x), whole numbers as doubles. One row an id (the least vector, should an id stand with several)."""
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
     v = v.where("id is not null and size(x) > 0 and forall(x, e -> e is not null and not isnan(e) and abs(e) < double('Infinity'))")
-    v = v.select("id", F.expr(f"transform(x, e -> floor({scale}D * e))").alias("v")).where(f"forall(v, e -> abs(e) <= {LARGEST})")
-    return v.select("id", F.expr("transform(v, e -> int(e))").alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    # beyond 2**53 every double is whole
+    v = v.select("id", F.expr(f"transform(x, e -> if(abs({scale}D * e) < 9007199254740992D, double(floor({scale}D * e)), {scale}D * e))").alias("v"))
+    return v.groupBy("id").agg(F.min("v").alias("v"))
 
 
 def _rows(column):
     import numpy as np
 
-    n = len(column)
-    flat = np.concatenate([c.flatten().to_numpy() for c in (column.chunks if isinstance(column, pa.ChunkedArray) else [column])])
-    return flat.reshape(n, -1).astype(np.int64)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _cuts(x, depth: int):
+    """Median splits of a sample, level by level: axis and cut of node 1, 2, 3, ... (children of n: 2n and 2n + 1)."""
+    import numpy as np
+
+    axis, cut = np.zeros(1 << depth, np.int64), np.zeros(1 << depth)
+    rows = {1: np.arange(len(x))}
+    for node in range(1, 1 << depth):
+        mine = rows.pop(node)
+        if len(mine):
+            axis[node] = int((x[mine].max(0) - x[mine].min(0)).argmax())
+            cut[node] = np.median(x[mine, axis[node]])
+        right = x[mine, axis[node]] > cut[node]
+        rows[2 * node], rows[2 * node + 1] = mine[~right], mine[right]
+    return axis, cut
+
+
+def _cell(x, axis, cut, depth: int):
+    import numpy as np
+
+    node = np.ones(len(x), np.int64)
+    for _ in range(depth):
+        node = 2 * node + (x[np.arange(len(x)), axis[node]] > cut[node])
+    return node
 
 
-def _tree(ids, x, leaf: int):
-    """Nodes of a KD-tree as arrays: low and high corner, children (-1: leaf), first and last row; rows in leaf order."""
+def _tree(ids, x, leaf: int) -> dict:
+    """Nodes of a KD-tree as arrays: low and high corner, children (-1: leaf), first and last row; ids and vectors in leaf order."""
     import numpy as np
 
     low, high, left, right, first, last, order = [], [], [], [], [], [], []
@@ -65,108 +97,201 @@ def _tree(ids, x, leaf: int):
         return k
 
     grow(np.arange(len(ids)))
-    return np.array(low), np.array(high), np.array(left), np.array(right), np.array(first), np.array(last), np.array(order)
+    small = np.abs(x).max() < 2**31
+    return {
+        "low": np.array(low), "high": np.array(high), "left": np.array(left), "right": np.array(right), "first": np.array(first), "last": np.array(last),
+        "ids": ids[order], "x": x[order].astype(np.int32 if small else np.float64),
+    }
+
 
+def _products(q, x, skip):
+    """Exact products of whole numbers as int64. Where a sum may pass what doubles hold exactly, it is taken in Python's integers. Pairs of `skip` may hold anything."""
+    import numpy as np
+
+    if not len(q) or not len(x):
+        return np.zeros((len(q), len(x)), np.int64)
+    most = np.abs(q).max(1)[:, None] * np.abs(x).max(1)[None] * q.shape[1]
+    safe = most < 2.0**53
+    if safe.all():
+        return np.rint(q @ x.T).astype(np.int64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        found = np.where(safe, q @ x.T, 0).astype(np.int64)
+    for a, b in np.argwhere(~safe & ~skip).tolist():
+        s = sum(int(m) * int(n) for m, n in zip(q[a].tolist(), x[b].tolist(), strict=True))
+        if not LOWEST < s < 2**63:
+            raise OverflowError(f"a score of {s} doesn't fit a long")
+        found[a, b] = s
+    return found
 
-def _search(ids, x, tree, qids, q, k, bound):
+
+def _reach(q, low, high):
+    """Largest product that each query can have with a vector of each box, with room for rounding where numbers are large."""
+    import numpy as np
+
+    reach = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    far = np.maximum(np.abs(low), np.abs(high))
+    if np.abs(q).max() * far.max() * q.shape[1] >= 2.0**53:
+        reach = reach + 2.0**-40 * (np.abs(q) @ far.T)
+    return reach
+
+
+def _search(tree: dict, qids, q, k: int, bound):
     """Scores and ids of the k best of each query among the shard's vectors that reach its bound."""
     import numpy as np
 
-    low, high, left, right, first, last, order = tree
-    ids, x = ids[order], x[order]
-    exact = max(np.abs(x).max(), np.abs(q).max()) <= 2**20  # sums of products stay below 2**53: doubles are exact
-    kind = np.float64 if exact else np.int64
-    x, qk = x.astype(kind), q.astype(kind)
-    up, down = np.maximum(qk, 0), np.minimum(qk, 0)
-    least = LOWEST
-    score = np.full((len(qids), k), least, np.int64)
+    low, high, left, right, first, last, ids = (tree[c] for c in ("low", "high", "left", "right", "first", "last", "ids"))
+    score = np.full((len(qids), k), LOWEST, np.int64)
     best = np.full((len(qids), k), np.iinfo(np.int64).max, np.int64)
     kth = bound.copy()
-    boxes = lambda who, nodes: up[who] @ high[nodes].astype(kind).T + down[who] @ low[nodes].astype(kind).T
-
-    pairs, nodes, every = [], [0], np.arange(len(qids))
-    alive = {0: every}
-    while nodes:  # top down: a query enters a child only where its box can reach the bound that came along
+    leaves = []
+    front = [(0, np.arange(len(qids)))]
+    while front:  # a query enters a child only where the child's box can reach the bound that came along
         deeper = []
-        for node in nodes:
-            who = alive.pop(node)
+        for node, who in front:
             if left[node] < 0:
-                pairs.append((who, np.full(len(who), node), boxes(who, [node])[:, 0]))
+                leaves.append((who, np.full(len(who), node), _reach(q[who], low[[node]], high[[node]])[:, 0]))
                 continue
-            reach = boxes(who, [left[node], right[node]])
-            for c, child in enumerate((left[node], right[node])):
-                if (ok := reach[:, c] >= kth[who]).any():
-                    alive[child] = who[ok]
-                    deeper.append(child)
-        nodes = deeper
-    if not pairs:
+            pair = [left[node], right[node]]
+            reach = _reach(q[who], low[pair], high[pair])
+            deeper += [(child, who[ok]) for c, child in enumerate(pair) if (ok := reach[:, c] >= kth[who]).any()]
+        front = deeper
+    who, node, reach = (np.concatenate(p) for p in zip(*leaves, strict=True)) if leaves else ([], [], [])
+    if not len(who):
         return score, best
-    who, node, reach = (np.concatenate(p) for p in zip(*pairs, strict=True))
     by = np.lexsort((-reach, who))  # each query's leaves, best bound first
     who, node, reach = who[by], node[by], reach[by]
     turn = np.arange(len(who)) - np.searchsorted(who, who)
-    for t in range(int(turn.max()) + 1):
-        now = turn == t
-        w, n, r = who[now], node[now], reach[now]
-        ok = r >= kth[w]
-        w, n = w[ok], n[ok]
-        if not len(w):
-            continue
-        for leaf_node in np.unique(n):
-            mine = w[n == leaf_node]
+    step = np.argsort(turn, kind="stable")
+    edge = np.searchsorted(turn[step], np.arange(turn.max() + 2))
+    for lo, hi in zip(edge, edge[1:], strict=False):
+        now = step[lo:hi]
+        now = now[reach[now] >= kth[who[now]]]
+        for leaf_node in np.unique(node[now]):
+            mine = who[now][node[now] == leaf_node]
             for at in range(first[leaf_node], last[leaf_node], 4096):
                 to = min(at + 4096, last[leaf_node])
-                s = np.rint(qk[mine] @ x[at:to].T).astype(np.int64)
                 own = ids[None, at:to] == qids[mine, None]
-                s[own | (s < kth[mine, None])] = least
+                s = _products(q[mine], tree["x"][at:to].astype(np.float64), own)
+                s[own | (s < kth[mine, None])] = LOWEST
                 s = np.concatenate([score[mine], s], 1)
                 i = np.concatenate([best[mine], np.broadcast_to(ids[at:to], (len(mine), to - at))], 1)
-                i = np.where(s == least, np.iinfo(np.int64).max, i)
+                i = np.where(s == LOWEST, np.iinfo(np.int64).max, i)
                 top = np.lexsort((i, -s), axis=-1)[:, :k]
                 score[mine], best[mine] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
                 kth[mine] = np.maximum(kth[mine], score[mine, -1])
     return score, best
 
 
-def _searched(k: int, leaf: int):
+def _built(leaf: int):
+    def run(group: pa.Table) -> pa.Table:
+        tree = _tree(group["id"].to_numpy(), _rows(group["v"]), leaf)
+        return pa.table({
+            **{c: group[c][:1] for c in ("dim", "cell", "part")},
+            "low": pa.array([tree["low"][0].tobytes()], pa.binary()), "high": pa.array([tree["high"][0].tobytes()], pa.binary()), "tree": pa.array([pickle.dumps(tree, 5)], pa.binary()),
+        })
+
+    return run
+
+
+def _searched(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         import numpy as np
 
-        names, none = ["query", "id", "score"], pa.array([], pa.int64())
-        if not left.num_rows or not right.num_rows:
-            return pa.table([none] * 3, names)
-        ids, x = left["id"].to_numpy(), _rows(left["v"])
-        qids, q, bound = right["id"].to_numpy(), _rows(right["v"]), right["bound"].to_numpy()
-        score, best = _search(ids, x, _tree(ids, x, leaf), qids, q, k, bound)
-        row, col = np.nonzero(score > LOWEST)
-        return pa.table([pa.array(qids[row]), pa.array(best[row, col]), pa.array(score[row, col])], names)
+        out = [[], [], []]
+        if left.num_rows and right.num_rows:
+            tree, dim = pickle.loads(left["tree"][0].as_py()), left["dim"][0].as_py()
+            for row in right.select(["ids", "vectors", "bounds"]).to_pylist():
+                qids, q, bound = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<f8").reshape(-1, dim), np.frombuffer(row["bounds"], "<i8")
+                score, best = _search(tree, qids, q, k, bound)
+                at, col = np.nonzero(score > LOWEST)
+                for c, x in zip(out, (qids[at], best[at, col], score[at, col]), strict=True):
+                    c.append(x)
+        return pa.table([pa.array(np.concatenate([np.empty(0, np.int64), *c])) for c in out], ["query", "id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: str, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024, shard: int = 8192, block: int = 4096, leaf: int = 128) -> DataFrame:
+def top_k(
+    vectors: DataFrame, queries: str, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024, shard: int = 8192, block: int = 4096, leaf: int = 128
+) -> DataFrame:
     """query_id, rank (from 1), id, score: for each row that meets the SQL condition `queries` (on the column id) the k rows other than
     itself with the largest integer inner product; ties go to the smaller id.
 
-    Vectors take part that are not null or empty, hold only finite components, and have |floor(scale * x)| <= 2**27 throughout (products beyond don't
-    fit a long). Vectors of different lengths are not compared. Repeated ids count once; null ids take no part. A query with fewer
-    candidates than k gets all of them; none, no row. An empty table gives an empty result.
+    Vectors take part that are not null or empty and hold only finite components; a score that doesn't fit a long is an error.
+    Vectors of different lengths are not compared. Repeated ids count once; null ids take no part. A query with fewer
+    candidates than k gets all of them; none, no row. Other columns are not read. An empty table gives an empty result.
     """
+    import numpy as np
+
     whole = saved(integer_vectors(vectors, id_col, vector_col, scale).withColumn("dim", F.size("v")), "integer-vectors")
-    n = whole.count()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-whole.where(queries).count() // block))
-    dealt = whole.withColumn("shard", F.expr(f"int(pmod(xxhash64(id), {shards}))"))
-    asked = dealt.where(queries).withColumn("blk", F.expr(f"int(pmod(xxhash64(id, 1), {blocks}))"))
-    keys = ["dim", "shard", "blk"]
-    repeated = dealt.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    run, shape = _searched(k, leaf), "query long, id long, score long"
-    own = lambda q: q.select(*(F.col(c).alias(c) for c in ("id", "v", "bound", *keys)))  # noqa: E731  columns of its own, apart from repeated's
-    search = lambda q: repeated.groupBy(*keys).cogroup(own(q).groupBy(*keys)).applyInArrow(run, shape)
-    least = F.lit(LOWEST)
-    home = saved(search(asked.withColumn("bound", least)), "home-shard")
-    kth = home.groupBy("query").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).where(F.size("s") >= k).select(F.col("query").alias("id"), F.col("s")[k - 1].alias("bound"))
-    away = asked.join(kth, "id", "left").withColumn("bound", F.coalesce("bound", least)).withColumnRenamed("shard", "home")
-    away = away.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard != home").drop("home")
-    found = home.unionByName(search(away))
+    n, asked = whole.count(), whole.where(queries).count()
+    shard = max(shard, -(-n // MOST_SHARDS))
+    depth = max(0, -(-n // shard) - 1).bit_length()
+    sample = first_by_hash(whole, "id", SAMPLE).toArrow()
+    dims = sample["dim"].to_numpy()
+    cuts = {int(d): _cuts(_rows(sample.filter(pa.array(dims == d))["v"]), depth) for d in np.unique(dims)}
+
+    def placed(batches):
+        for batch in batches:
+            dim, cell = batch.column("dim").to_numpy(), np.ones(batch.num_rows, np.int64)
+            for d in np.unique(dim).tolist():
+                if d in cuts:  # a length that the sample lacks is one cell
+                    mine = dim == d
+                    cell[mine] = _cell(_rows(batch.column("v").filter(pa.array(mine))), *cuts[d], depth)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], ["id", "v", "dim", "cell"])
+
+    celled = saved(whole.mapInArrow(placed, "id long, v array<double>, dim int, cell int"), "celled-vectors")
+    size = celled.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * shard)).cast("int").alias("parts")).where("parts > 1")
+    size = size.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = celled.withColumn("salt", F.expr(f"int(pmod(xxhash64(id, 3), {SALTS}))")).join(size, ["dim", "cell", "salt"], "left")
+    dealt = dealt.select("id", "v", "dim", "cell", F.expr("coalesce(int(pmod(xxhash64(id), parts)), 0)").alias("part"))
+    key = ["dim", "cell", "part"]
+    trees = saved(dealt.groupBy(*key).applyInArrow(_built(leaf), "dim int, cell int, part int, low binary, high binary, tree binary"), "trees")
+    boxes = {}  # root boxes: as many as there are shards
+    for r in trees.select(*key, "low", "high").toArrow().to_pylist():
+        boxes.setdefault(r["dim"], []).append((r["cell"], r["part"], np.frombuffer(r["low"], "<f8"), np.frombuffer(r["high"], "<f8")))
+    boxes = {d: tuple(np.array(c) for c in zip(*b, strict=True)) for d, b in boxes.items()}
+    pieces = max(1, -(-asked // block))
+
+    def routed(lo: int, hi: int):
+        def run(batches):
+            names = [*key, "piece", "ids", "vectors", "bounds"]
+            for batch in batches:
+                dim = batch.column("dim").to_numpy()
+                for d in np.unique(dim).tolist():
+                    some = batch.filter(pa.array(dim == d))
+                    cell, part, low, high = boxes[d]
+                    for at in range(0, some.num_rows, ROUTE):
+                        few = some.slice(at, ROUTE)
+                        ids, q, kth = few.column("id").to_numpy(), _rows(few.column("v")), few.column("bound").to_numpy()
+                        reach = _reach(q, low, high)
+                        rank = np.argsort(np.argsort(-reach, axis=1, kind="stable"), axis=1)
+                        visit = (rank >= lo) & (rank < hi) & (reach >= kth[:, None])
+                        out = [[] for _ in names]
+                        for b in np.nonzero(visit.any(0))[0]:
+                            go = visit[:, b]
+                            for c, x in zip(out, (d, cell[b], part[b], int(ids[0]) % pieces, ids[go].tobytes(), q[go].tobytes(), kth[go].tobytes()), strict=True):
+                                c.append(x)
+                        if out[0]:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int32()] * 4 + [pa.binary()] * 3, strict=True)], names)
+
+        return run
+
+    own = lambda d, *names: d.select(*(F.col(c).alias(c) for c in names))  # noqa: E731  columns of their own on each side
+    spread = trees.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    ask = whole.where(queries)
+    best = None
+    lo, hi, most = 0, 1, max((len(b[0]) for b in boxes.values()), default=0)
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", "id", "score")
+    while lo < most:
+        bound = F.lit(LOWEST).alias("bound")
+        kth = None if best is None else best.where(F.col("rank") == k).select(F.col("query").alias("id"), F.col("score").alias("bound"))
+        now = ask.withColumn("bound", bound) if kth is None else ask.join(kth, "id", "left").withColumn("bound", F.coalesce("bound", bound))
+        route = now.select("id", "v", "dim", "bound").mapInArrow(routed(lo, hi), "dim int, cell int, part int, piece int, ids binary, vectors binary, bounds binary")
+        found = own(spread, *key, "piece", "tree").groupBy(*key, "piece").cogroup(own(route, *key, "piece", "ids", "vectors", "bounds").groupBy(*key, "piece")).applyInArrow(_searched(k), "query long, id long, score long")
+        found = found if best is None else found.unionByName(best.drop("rank"))
+        best = saved(found.withColumn("rank", rank).where(F.col("rank") <= k), "best")
+        lo, hi = hi, 4 * hi if hi < 16 else most
+    if best is None:
+        return whole.limit(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(0).cast("long").alias("score"))
+    return best.select(F.col("query").alias("query_id"), "rank", "id", "score")

@@ -157,6 +157,26 @@ def test_top_k(spark):
     assert top_k(df.limit(0), "id % 100 = 0").count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Components whose products pass what doubles hold exactly, clustered vectors, null ids, a column of a clashing name."""
+    from riskframe.llm.topk_search import top_k
+
+    rnd = random.Random(5)
+    near = [[rnd.gauss(c, 1) for _ in range(4)] for c in range(-20, 20) for _ in range(20)]
+    big = [[200000.0, 1.0, 0.0, -3.0], [1.5e6, -2.5e6, 3.25, 1.0], [2.0**25, 1.0, 2.0, 3.0], [0.0, 1.0, 2.0, 3.0]]
+    rows = [(k, x, 7) for k, x in enumerate(big + near)] + [(None, big[0], 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    got = sorted(map(tuple, top_k(df, "id % 100 = 0 and id != 2", shard=64, leaf=8).collect()))
+    q = [[int(np.floor(1024 * e)) for e in x] for _, x, _ in rows[:-1]]
+    want = []
+    for i in range(0, len(q), 100):
+        s = {j: sum(a * b for a, b in zip(q[i], q[j], strict=True)) for j in range(len(q)) if j != i}
+        want += [(i, n + 1, j, s[j]) for n, j in enumerate(sorted(s, key=lambda j: (-s[j], j))[:10])]
+    assert got == want
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        top_k(df.where("vec_id in (0, 2)").withColumn("embedding", F.transform("embedding", lambda e: e * 1e6)), "id = 2").collect()
+
+
 @pytest.mark.parametrize("window", [20, 3])
 def test_cut_repeats(spark, docs, window):
     from riskframe.llm.substring_dedup import cut_repeats, maximal_repeats
