@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, small_batches
 
 
 #: Letters and digits that came after Unicode 16.0, which the tokenizers library follows; to it they are other signs.
@@ -66,19 +66,19 @@ class Vocabulary:
 
 
 @functools.lru_cache(maxsize=1)
-def vocabulary(path: str) -> Vocabulary:
-    """One a Python worker: its size is the file's."""
-    return Vocabulary(path)
-
-
 def token_names(path: str) -> list[str]:
     """Name of each id."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    names = {i: s for s, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    v = vocabulary(path)
+    names = {i: s for s, i in [*v.ids.items(), *v.added.items()]}
     return [names.get(i, "") for i in range(max(names) + 1)]
 
 
+@functools.lru_cache(maxsize=1)
+def vocabulary(path: str) -> Vocabulary:
+    """One a Python worker: its size is the file's."""
+    return Vocabulary(path)
+
+
 class Memo(dict):
     """key -> make(key) for short keys, remembered in two generations of at most `limit` each: when the younger is full it becomes the older, so what keeps
     coming back stays."""
@@ -192,37 +192,47 @@ class Encoder:
         return b"".join(self.v.added[x].to_bytes(4, "little") if k % 2 else self.plain(x) for k, x in enumerate(parts))
 
 
-def encode_texts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """docs with token_ids (packed little-endian unsigned 32-bit integers) and n_tokens, of whole texts.
+def encode_texts(docs: DataFrame, tokenizer: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """docs with token_ids (packed little-endian unsigned 32-bit integers) and n_tokens, of whole texts; with `decoded`, also what decode_ids makes of the ids.
 
     A null or empty text has no tokens. Each row stands alone, so repeated rows, null ids and other columns don't matter; input columns of the
-    two names are replaced. An empty table gives an empty result.
+    new names are replaced. An empty table gives an empty result.
     """
-    docs = docs.drop("token_ids", "n_tokens")
-    schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+    new = [T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())] + [T.StructField("decoded", T.StringType())] * decoded
+    docs = docs.drop(*(f.name for f in new))
+    schema = T.StructType([*docs.schema.fields, *new])
 
     def run(batches):
-        encode = Encoder(vocabulary(tokenizer)).encode
+        encode, decode = Encoder(vocabulary(tokenizer)).encode, decoder(tokenizer)
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, 1_000_000):
                 ids = [encode(t) if (t := x.as_py()) else b"" for x in batch.column(text_col)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], schema.fieldNames())
+                columns = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                if decoded:
+                    columns.append(pa.array(map(decode, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.fieldNames())
+
+    return small_batches(docs).mapInArrow(run, schema)
 
-    return docs.mapInArrow(run, schema)
+
+def decoder(tokenizer: str):
+    """Function from packed ids to text: names of the tokens, joined by one space as the file has no decoder."""
+    import numpy as np
+
+    name = np.array(token_names(tokenizer), object)
+    return lambda ids: " ".join(name[np.frombuffer(ids, "<u4")].tolist())
 
 
 def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """encoded (with token_ids) and decoded: names of the tokens, joined by one space as the file has no decoder; '' for none, null for null."""
+    """encoded (with token_ids) and decoded: the text of the ids; '' for none, null for null."""
     encoded = encoded.drop("decoded")
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches):
-        import numpy as np
-
-        name = np.array(token_names(tokenizer), object)
+        decode = decoder(tokenizer)
         for whole in batches:
-            for batch in slices(whole, "token_ids"):
-                texts = [None if (b := x.as_py()) is None else " ".join(name[np.frombuffer(b, "<u4")].tolist()) for x in batch.column("token_ids")]
+            for batch in slices(whole, "token_ids", 1_000_000):
+                texts = [None if (b := x.as_py()) is None else decode(b) for x in batch.column("token_ids")]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.fieldNames())
 
-    return encoded.mapInArrow(run, schema)
+    return small_batches(encoded).mapInArrow(run, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskframe.storage import removed, saved, shared_folder, stored
 
-__all__ = ["WORD", "WordHashes", "block_pairs", "connected_components", "first_by_hash", "forest", "mixed", "saved", "shared_folder", "slices", "word_hashes"]
+__all__ = ["WORD", "WordHashes", "block_pairs", "connected_components", "first_by_hash", "forest", "mixed", "saved", "shared_folder", "slices", "small_batches", "word_hashes"]
 
 #: Characters that end a word: space and \t \n \v \f \r. Everything else belongs to words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +18,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 SALTS = 32
 
 
+def small_batches(docs: DataFrame, rows: int = 1000, size: str = "8m") -> DataFrame:
+    """docs, after the session's Arrow batches were bounded (where they aren't bounded lower): whole texts go to Python workers in batches, and with 10 000 rows
+    or 64 MB each, the batches under way in an executor take more memory than the work itself."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return docs
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows (no copies) whose values in `column` hold about `limit` bytes, so that a task's memory doesn't follow the batch."""
     import numpy as np

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, block_pairs, connected_components, forest, mixed, saved, word_hashes
+from .common import WordHashes, block_pairs, connected_components, forest, mixed, saved, small_batches, word_hashes
 
 PLACES = 64
 #: Rows of Arrow batches are cut into steps of so many shingles, so that memory doesn't follow the text's length.
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
                 sig.append(signature(s, mul, add).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["id", "n_shingles", "digest", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, "id long, n_shingles long, digest binary, sig binary")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, "id long, n_shingles long, digest binary, sig binary")
 
 
 def _stars(reps: DataFrame, r: int) -> DataFrame:

@@ -66,11 +66,10 @@ def _tokenizer() -> str:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe import decode_ids, encode_texts
+    from .bpe import encode_texts
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode_texts(docs, _tokenizer()).select("doc_id", "n_tokens", "token_ids")
-    return decode_ids(ids, _tokenizer()).select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    done = encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer(), decoded=True)
+    return done.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 #: Fixed values: (verdict, host, path) of the contract's rules.

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, mixed, saved, slices, word_hashes
+from .common import WordHashes, mixed, saved, slices, small_batches, word_hashes
 
 BINS = 4096
 #: Words of text that are worked on at once.
@@ -287,7 +287,7 @@ def repeats(docs: DataFrame, window: int, group: int) -> DataFrame:
         table = pa.table([pa.array(ids[own]), pa.array(keys[own]), *(pa.array(x, pa.binary()) for x in spans)], ["id", "key", "starts", "lengths"])
         yield from table.to_batches(max_chunksize=2000)
 
-    dealt = docs.mapInArrow(deal, f"{_BUCKET}, part int, docs binary, doc_keys binary, doc_starts binary, labels binary, places binary")
+    dealt = small_batches(docs).mapInArrow(deal, f"{_BUCKET}, part int, docs binary, doc_keys binary, doc_starts binary, labels binary, places binary")
     found = dealt.repartitionById(parts, F.coalesce("part", "bucket")).mapInArrow(trees, _BUCKET)
     return found.repartitionById(parts, F.col("bucket")).mapInArrow(gathered, "id long, key long, starts binary, lengths binary")
 

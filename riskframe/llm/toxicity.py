@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_by_hash
+from .common import first_by_hash, small_batches
 
 #: Letters A-Z become a-z and every other ASCII character parts words, so marks stuck to a word don't hide it. Bytes of other letters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -32,7 +32,7 @@ STEMS = (5, 6, 7)
 class Features(dict):
     """word -> places of its features, remembered up to a bound; only those of `wanted` (all, if None)."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, wanted=None):
         super().__init__()
@@ -191,6 +191,7 @@ def toxicity(
     """
     import math
 
+    docs = small_batches(docs)
     marked = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & ~held_out(id_col))
     marked = marked.groupBy(F.col(id_col).alias("__id")).agg(F.max("y").alias("y"))
     n, toxic = marked.agg(F.count(F.lit(1)), F.sum(F.when(F.col("y") == 1, 1).otherwise(0))).first()
