@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm.bpe import decode_ids, encode_texts
+from riskframe.llm.bpe import encode_texts
 from riskframe.llm.common import saved
 from riskframe.llm.minhash_dedup import near_duplicates
 from riskframe.llm.queries import _tokenizer
@@ -47,8 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with digests of the ids and of the text decoded from them."""
-    ids = encode_texts(docs.select("doc_id", "source", "text"), _tokenizer()).drop("text")
-    done = decode_ids(ids, _tokenizer())
+    done = encode_texts(docs.select("doc_id", "source", "text"), _tokenizer(), decoded=True)
     return done.select("doc_id", "source", "n_tokens", "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
