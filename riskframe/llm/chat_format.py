@@ -1,16 +1,24 @@
 """Chat formatting into budgeted windows, in DataFrame functions only.
 
 A turn is written as `<|im_start|>role\\ntext<|im_end|>\\n`. Inside texts a backslash is doubled and `<|` becomes `<\\|`, so no control
-string can occur there; roles are percent-encoded. Prefix sums of the turns' tokens choose spans of whole turns that fit the
-budget. Every window starts with the leading system turn, repeats some turns before its span as history, and
-then has the span itself. The loss mask covers the assistant texts of the span alone: each target once over all windows.
+string can occur there; roles are percent-encoded.
+
+1. A conversation is cut into parts of `part_turns` turn numbers, so one with a third of all rows is many rows of bounded length.
+2. Prefix sums of a part's tokens choose spans of whole turns that fit the budget; a span doesn't cross parts.
+3. Every window starts with the leading system turn, repeats some turns before its span as history (of the part before, where the span
+   starts a part) and then has the span itself. The loss mask covers the assistant texts of the span alone: each target once over all windows.
+
+Only the first turn and the last few of each part travel between parts, and only for conversations of several parts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import saved
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -27,45 +35,79 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4) + 4
 
 
+def _fixed(df: DataFrame, **columns: str) -> DataFrame:
+    """df with SQL columns that are computed once a row: without the generator between, a lambda that reads one would compute it again for each element."""
+    one = F.explode(F.array(F.struct(*(F.expr(e).alias(n) for n, e in columns.items())))).alias("__fixed")
+    return df.select("*", one).select(*df.columns, *(F.col("__fixed")[n].alias(n) for n in columns))
+
+
+def _before(parts: DataFrame, history: int) -> DataFrame:
+    """conv_id, part, n_before (parts before it), lead (the conversation's system turn; null if none) and past (the last turns before the part), for all parts but
+    the first of each conversation."""
+    long = parts.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("conv_id").alias("c"))
+    ends = parts.join(long, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi").select(
+        "conv_id", "part", F.col("turns")[0].alias("first"),
+        F.expr(f"slice(turns, greatest(size(turns) - {history} + 1, 1), {history})").alias("tail"), F.expr(f"slice(turns, greatest(size(turns) - {history} + 1, 2), {history})").alias("rest"),
+    )
+    by = W.partitionBy("conv_id").orderBy(F.col("part").asc_nulls_first())
+    ends = ends.withColumns({"n_before": F.row_number().over(by) - 1, "lead": F.first("first").over(by)})
+    lead = F.when(F.col("lead.role") == "system", F.col("lead"))
+    # the system turn stands in front of every window and is not history as well; parts may be shorter than the history
+    ends = ends.withColumns({"lead": lead, "tail": F.when((F.col("n_before") == 0) & lead.isNotNull(), F.col("rest")).otherwise(F.col("tail"))})
+    past = F.flatten(F.collect_list("tail").over(by.rowsBetween(-max(history, 1), -1)))
+    found = ends.withColumn("past", past).where("n_before > 0")
+    return found.select("conv_id", "part", "n_before", "lead", F.expr(f"slice(past, greatest(size(past) - {history} + 1, 1), {history})").alias("past"))
+
+
 def chat_windows(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-    budget: int = 512, history_tokens: int = 128, history_turns: int = 4, tokens: Column | None = None,
+    budget: int = 512, history_tokens: int = 128, history_turns: int = 4, tokens: Column | None = None, part_turns: int = 64,
 ) -> DataFrame:
-    """conv_id, window, n_context (turns repeated in front), n_turns (turns of the span), n_tokens, formatted, loss (start, length of
-    each masked-in text, in code points from 0).
+    """conv_id, part, window (number within the part), n_context (turns repeated in front), n_turns (turns of the span), n_tokens, formatted, loss
+    (start, length of each masked-in text, in code points from 0). Windows of a conversation are in order by (part, window).
 
-    Turns are ordered by turn (nulls last), then role, then text; repeated rows are turns of their own. Null texts and roles are empty. A null
+    Turns are ordered by turn (a whole number; nulls first), then role, then text; repeated rows are turns of their own. Null texts and roles are empty. A null
     conv_id is a conversation like any other. No turn is cut: where the system turn and one other exceed the budget, or one turn does,
-    the window exceeds it too. An empty table gives an empty result. Other columns are not read.
+    the window exceeds it too. Turns of one conversation with equal numbers stand in one part, whatever their number. An empty table gives an empty
+    result. Other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     turn = turns.select(
-        F.col(conv_col).alias("conv_id"),
-        F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), text.alias("text"), (token_estimate(text) if tokens is None else tokens).cast("long").alias("tokens")).alias("t"),
+        F.col(conv_col).alias("conv_id"), F.floor(F.col(turn_col).cast("long") / part_turns).alias("part"),
+        F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), text.alias("text"), (token_estimate(text) if tokens is None else tokens).cast("long").alias("tokens")).alias("t"),
+    )
+    parts = saved(turn.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("t")).alias("turns")), "chat-parts")
+    known = _before(parts, history_turns).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "n_before", "lead", "past")
+    met = parts.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
+    # own: 1 where the system turn is the part's first turn
+    met = _fixed(
+        met.select("conv_id", F.coalesce("n_before", F.lit(0)).alias("part"), "lead", "past", "turns", F.expr("int(n_before is null and turns[0].role = 'system')").alias("own")),
+        system="if(own = 1, turns[0], lead)", line="if(past is null, turns, concat(past, turns))", low="if(past is null, own, size(past))",
+    )
+    met = _fixed(
+        met.select("conv_id", "part", "own", "system", "line", "low"),
+        room=f"greatest({budget}L - coalesce(system.tokens, 0L), 1L)",
+        # sums[k] is the number of tokens before turn k
+        sums="aggregate(line, array(0L), (s, t) -> array_append(s, element_at(s, -1) + t.tokens))",
     )
-    whole = turn.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    whole = whole.withColumn("lead", F.expr("int(turns[0].role = 'system')"))
-    # prefix sums: sums[k] is the number of tokens before turn k
-    whole = whole.withColumn("sums", F.expr("aggregate(turns, array(0L), (s, t) -> array_append(s, element_at(s, -1) + t.tokens))"))
-    whole = whole.withColumn("room", F.expr(f"greatest({budget}L - sums[lead], 1L)"))
     # first turn of each span: a turn starts a new one when it would take the span past the room that history leaves
-    starts = f"""aggregate(sequence(lead, greatest(size(turns) - 1, lead)),
-        named_struct('base', sums[lead], 'room', room, 'at', array(lead)),
-        (s, k) -> if(k > lead and k < size(turns) and sums[k + 1] - s.base > s.room,
-            named_struct('base', sums[k], 'room', greatest(room - {history_tokens}L, 1L), 'at', array_append(s.at, k)), s)).at"""
-    spans = whole.withColumn("starts", F.expr(starts))
-    spans = spans.select("*", F.posexplode("starts").alias("window", "first"))
-    spans = spans.withColumn("next", F.expr("coalesce(get(starts, window + 1), size(turns))"))
-    before = f"""filter(sequence(greatest(first - {history_turns}, lead), first), k -> k = first or sums[first] - sums[k] <= least({history_tokens}L, room - sums[next] + sums[first]))[0]"""
-    spans = spans.withColumn("past", F.expr(f"if(window = 0, first, {before})"))
-    shape = "k -> struct(turns[k] as t, k >= {own} as own)"
-    spans = spans.withColumn("context", F.expr("int(if(window = 0, 0, lead) + first - past)"))
-    pick = f"""concat(
-        if(lead = 1, array(struct(turns[0] as t, window = 0 as own)), array()),
-        if(past < next, transform(sequence(past, next - 1), {shape.format(own="first")}), array()))"""
-    spans = spans.withColumn("picked", F.expr(pick))
+    met = _fixed(
+        met,
+        starts=f"""aggregate(sequence(low, greatest(size(line) - 1, low)),
+            named_struct('base', sums[low], 'room', if(part = 0, room, greatest(room - {history_tokens}L, 1L)), 'at', array(low)),
+            (s, k) -> if(k > low and k < size(line) and sums[k + 1] - s.base > s.room,
+                named_struct('base', sums[k], 'room', greatest(room - {history_tokens}L, 1L), 'at', array_append(s.at, k)), s)).at""",
+    )
+    met = _fixed(met, spans="transform(starts, (f, i) -> struct(f as first, coalesce(get(starts, i + 1), size(line)) as next))")
+    past = f"filter(sequence(greatest(s.first - {history_turns}, own), s.first), k -> k = s.first or sums[s.first] - sums[k] <= least({history_tokens}L, room - sums[s.next] + sums[s.first]))[0]"
+    met = _fixed(met, cuts=f"transform(spans, s -> struct(s.first, s.next, {past} as past))")
+    picked = """transform(cuts, (s, i) -> struct(
+        if(own = 1 and i = 0, 0, int(system is not null)) + s.first - s.past as context,
+        concat(if(system is null, array(), array(struct(system as t, own = 1 and i = 0 as own))),
+            transform(slice(line, s.past + 1, s.next - s.past), (t, j) -> struct(t, j >= s.first - s.past as own))) as picked))"""
+    spans = met.select("conv_id", "part", F.posexplode(F.expr(picked)).alias("window", "w"))
     piece = F.transform(
-        "picked",
+        "w.picked",
         lambda p: F.struct(
             F.concat(F.lit(START), F.url_encode(p["t"]["role"]), F.lit("\n")).alias("head"),
             escaped(p["t"]["text"]).alias("body"),
@@ -73,21 +115,22 @@ def chat_windows(
             p["t"]["tokens"].alias("tokens"),
         ),
     )
-    spans = spans.select("conv_id", "window", F.col("context").alias("n_context"), piece.alias("pieces"))
+    spans = spans.select("conv_id", "part", "window", F.col("w.context").alias("n_context"), F.explode(F.array(piece)).alias("pieces"))
     tail = F.lit(END + "\n")
     size = len(END) + 1
     loss = f"""aggregate(pieces, named_struct('at', 0L, 'loss', cast(array() as array<struct<start: bigint, length: bigint>>)),
         (s, p) -> named_struct('at', s.at + length(p.head) + length(p.body) + {size}L,
             'loss', if(p.target, array_append(s.loss, named_struct('start', s.at + length(p.head), 'length', bigint(length(p.body)))), s.loss))).loss"""
     return spans.select(
-        "conv_id", "window", "n_context", (F.size("pieces") - F.col("n_context")).alias("n_turns"),
+        "conv_id", "part", "window", "n_context", (F.size("pieces") - F.col("n_context")).alias("n_turns"),
         F.expr("aggregate(pieces, 0L, (s, p) -> s + p.tokens)").alias("n_tokens"),
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], tail)), "").alias("formatted"), F.expr(loss).alias("loss"),
     )
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
-    """Windows read back from their text: conv_id, turns (role, text; repeated turns left out), loss_text, formatted_chars."""
+    """Windows read back from their text: conv_id, turns (role, text; repeated turns left out), loss_text, formatted_chars. One row a conversation, which
+    its whole text is gathered for."""
     parts = F.expr(f"slice(split(formatted, '{START.replace('|', '[|]')}'), 2, 1000000000)")
     turn = F.transform(
         parts,
@@ -97,8 +140,8 @@ def read_windows(windows: DataFrame) -> DataFrame:
         ),
     )
     masked = F.transform("loss", lambda s: unescaped(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    one = windows.select("conv_id", "window", F.length("formatted").alias("chars"), F.array_join(masked, "").alias("loss_text"), F.slice(turn, F.col("n_context") + 1, 1000000000).alias("turns"))
-    whole = one.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "turns", "loss_text", "chars"))).alias("w"))
+    one = windows.select("conv_id", "part", "window", F.length("formatted").alias("chars"), F.array_join(masked, "").alias("loss_text"), F.slice(turn, F.col("n_context") + 1, 1000000000).alias("turns"))
+    whole = one.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "window", "turns", "loss_text", "chars"))).alias("w"))
     return whole.select(
         "conv_id", F.flatten(F.col("w.turns")).alias("turns"), F.array_join(F.col("w.loss_text"), "").alias("loss_text"),
         F.expr("aggregate(w, 0L, (s, x) -> s + x.chars)").alias("formatted_chars"),

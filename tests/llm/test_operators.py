@@ -203,6 +203,21 @@ def test_cut_repeats(spark, docs, window):
     assert spans.keys() == {i for i, w in want.items() if w[1]} and all(spans[i] >= want[i][1] for i in spans)
 
 
+def test_cut_repeats_over_small_batches(spark, docs):
+    """Ids that fall and rise within a task, windows that later batches hold again: the same rows as in one batch."""
+    from riskframe.llm.substring_dedup import cut_repeats
+
+    mixed = docs.unionByName(docs.withColumn("doc_id", 500 - F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).coalesce(1)
+    want = sorted(map(tuple, cut_repeats(mixed, window=5).collect()), key=str)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 7)
+    try:
+        assert sorted(map(tuple, cut_repeats(mixed, window=5, group=300).collect()), key=str) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_packed_numbers():
     from riskframe.llm.substring_dedup import _packed, _unpacked
 
@@ -300,10 +315,26 @@ def test_chat_windows(spark):
         assert [(t.role, t.text) for t in got[c].turns] == [t[1:] for t in turns]
         assert got[c].loss_text == "".join(t for _, r, t in turns if r == "assistant")
     first = {c: sorted(t)[0][1] for c, t in conv.items()}
-    for w in out.where("window > 0").collect():
+    for w in out.where("window > 0 or part > 0").collect():
         assert w.formatted.startswith("<|im_start|>system\n") == (first[w.conv_id] == "system")
         assert w.n_tokens <= 512 or w.n_turns == 1
     assert chat_windows(df.limit(0)).count() == 0
+    few = {r.conv_id: r for r in read_windows(chat_windows(df.withColumn("window", F.lit("clash")), part_turns=3)).collect()}
+    assert {c: (r.turns, r.loss_text) for c, r in few.items()} == {c: (r.turns, r.loss_text) for c, r in got.items()}
+    for w in chat_windows(df, part_turns=3).where("part > 0 and n_context > 0").collect():
+        assert w.formatted.startswith("<|im_start|>system\n") == (first[w.conv_id] == "system")
+
+
+def test_chat_windows_of_a_long_conversation(spark):
+    from riskframe.llm.chat_format import chat_windows, read_windows
+
+    text = lambda k: f"turn {k} " + "word " * (k % 40)
+    rows = [(1, 0, "system", "be kind")] + [(1, k, ["assistant", "user"][k % 2], text(k)) for k in range(1, 10_001)]
+    out = chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    r = read_windows(out).first()
+    assert [t.text for t in r.turns] == [x[3] for x in rows] and r.loss_text == "".join(text(k) for k in range(2, 10_001, 2))
+    least = out.agg(F.max("n_tokens"), F.min(F.when(F.col("window") + F.col("part") > 0, F.col("n_context")))).first()
+    assert least[0] <= 512 and least[1] >= 2  # the system turn and history
 
 
 def test_urls(spark):
