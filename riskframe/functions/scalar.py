@@ -26,23 +26,30 @@ def next_workdays(day: Column, n: int) -> Column:
 
 
 def human_bytes(col: Column) -> Column:
-    """Bytes with a binary unit and one decimal."""
+    """Bytes with a binary unit and one decimal, halves to even; null for null."""
     units = ["B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB", "ZiB", "YiB"]
     x = col.cast("double")
     step = F.lit(0)
     for k in range(1, len(units)):
-        step = F.when(F.abs(x) >= 1024.0**k, F.lit(k)).otherwise(step) if k == 1 else F.when(F.abs(x) >= 1024.0**k, F.lit(k)).otherwise(step)
-    return F.concat(F.format_string("%.1f", x / F.pow(F.lit(1024.0), step)), F.element_at(F.array(*map(F.lit, units)), step + 1))
+        step = F.when(F.abs(x) >= 1024.0**k, F.lit(k)).otherwise(step)
+    return F.concat(F.format_string("%.1f", F.bround(x / F.pow(F.lit(1024.0), step), 1)), F.element_at(F.array(*map(F.lit, units)), step + 1))
 
 
 def duration_words(ms: Column) -> Column:
-    """Milliseconds as days, hours, minutes, seconds and milliseconds; parts of 0 left out, '0 ms' for none."""
+    """Milliseconds as days, hours, minutes, seconds and milliseconds; parts of 0 are left out and `and` stands before the last of several. FINISHED where none are left."""
     parts, rest = [], ms.cast("long")
-    for name, size in (("days", 86_400_000), ("hours", 3_600_000), ("minutes", 60_000), ("seconds", 1000), ("ms", 1)):
+    for name, size in (("days", 86_400_000), ("hours", 3_600_000), ("minutes", 60_000), ("seconds", 1000), ("milliseconds", 1)):
         n = F.floor(rest / size)
         parts.append(F.when(n > 0, F.concat(n.cast("string"), F.lit(" " + name))))
         rest = rest % size
-    return F.coalesce(F.nullif(F.concat_ws(", ", *parts), F.lit("")), F.lit("0 ms"))
+    said = F.array_compact(F.array(*parts))
+    head, last = F.array_join(F.slice(said, 1, F.size(said) - 1), " "), F.element_at(said, -1)
+    return F.when(ms <= 0, F.lit("FINISHED")).when(F.size(said) == 1, said[0]).when(F.size(said) > 1, F.concat(head, F.lit(" and "), last))
+
+
+def parent_path(path: Column) -> Column:
+    """What stands before the last slash; empty without one."""
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
 def file_name(path: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TOKEN = "[A-Za-z0-9_']+"
@@ -87,14 +86,33 @@ def lemmatize(words: DataFrame, word_col: str, exceptions: DataFrame | None = No
     return words.join(known, word_col, "left").withColumn("lemma", F.coalesce("__known", lemma(F.col(word_col)))).drop("__known")
 
 
+def lemmatized_text(df: DataFrame, key: str, text_col: str, exceptions: DataFrame | None = None) -> DataFrame:
+    """(key, text): tokens' lemmas joined by a space, one row a row with text. exceptions (word, lemma) take the place of the rules; with them, tokens travel once."""
+    if exceptions is None:
+        return df.where(F.col(text_col).isNotNull()).select(key, F.array_join(F.transform(tokens(F.col(text_col)), lemma), " ").alias("text"))
+    word = df.where(F.col(text_col).isNotNull()).select(key, F.posexplode_outer(tokens(F.col(text_col))).alias("pos", "word"))
+    done = lemmatize(word, "word", exceptions).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("w"))
+    return done.select(key, F.array_join(F.col("w.lemma"), " ").alias("text"))
+
+
+def phrase_list(text: Column, stop_words: list[str], max_words: int = 5) -> Column:
+    """Distinct runs of tokens between stop words, of max_words words at most, lower case. Stop words become line ends, at which the row's own text is cut: nothing is shuffled."""
+    marked = F.transform(tokens(F.lower(text)), lambda w: F.when(w.isin(*stop_words), F.lit("\n")).otherwise(w))
+    runs = F.transform(F.split(F.array_join(marked, " "), "\n"), lambda r: F.trim(r))
+    return F.array_distinct(F.filter(runs, lambda r: (r != "") & (F.size(F.split(r, " ")) <= max_words)))
+
+
 def phrases(df: DataFrame, key: str, text_col: str, stop_words: list[str], max_words: int = 5) -> DataFrame:
-    """(key, phrase), distinct: runs of tokens between stop words, of max_words words at most, lower case."""
-    stops = F.array(*map(F.lit, stop_words))
-    word = df.select(key, F.posexplode(tokens(F.lower(F.col(text_col)))).alias("pos", "word")).withColumn("stop", F.array_contains(stops, F.col("word")))
-    # what lies between two stop words has one running number of stop words
-    run = F.sum(F.col("stop").cast("int")).over(W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    grouped = word.withColumn("run", run).where("not stop").groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
-    return grouped.where(F.size("w") <= max_words).select(key, F.array_join(F.col("w.word"), " ").alias("phrase")).distinct()
+    """(key, phrase), distinct within a row: the phrases of phrase_list. df has one row a key."""
+    return df.select(key, F.explode(phrase_list(F.col(text_col), stop_words, max_words)).alias("phrase"))
+
+
+def phrase_counts(df: DataFrame, key: str, text_col: str, stop_words: list[str], max_words: int = 5, noise: list[str] | None = None) -> DataFrame:
+    """(key, phrase, tf): phrases with their occurrences in the row's text, counted beside the text, before the phrases part from it. Phrases that match one of the
+    `noise` patterns from their start go."""
+    listed = df.select(key, F.col(text_col).alias("__text"), F.explode(F.array(phrase_list(F.col(text_col), stop_words, max_words))).alias("__list"))
+    found = listed.select(key, F.explode(F.transform("__list", lambda t: F.struct(t.alias("phrase"), term_frequency(F.col("__text"), t).alias("tf")))).alias("p")).select(key, "p.*")
+    return drop_noise(found, "phrase", noise) if noise else found
 
 
 def drop_noise(df: DataFrame, col: str, patterns: list[str]) -> DataFrame:

@@ -125,3 +125,21 @@ def with_index(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row a range
     shift = count.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
     return ranged.join(F.broadcast(shift), "__part").withColumn(name, F.col("__row") + F.col("__shift")).drop("__part", "__row", "__shift")
+
+
+def with_running_sums(df: DataFrame, sums: dict[str, str], *order: str | Column) -> DataFrame:
+    """df with running sums in order (names of the new columns by column; a row's own value included) and, as `<name>_total`, the sums over all rows. Ranges are summed by
+    themselves and shifted by the totals of those before, so no task sees all rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = saved(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    total = ranged.groupBy("__part").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    before, every = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()  # one row a range
+    shift = total.select("__part", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__{n}") for n in sums), *(F.sum(n).over(every).alias(f"{n}_total") for n in sums))
+    inside = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    found = ranged.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(F.broadcast(shift), "__part")
+    return found.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__part", *(f"__{n}" for n in sums))
+
+
+def next_id(df: DataFrame, key: str) -> DataFrame:
+    """One row, next: the largest id and one; 1 without ids."""
+    return df.agg((F.coalesce(F.max(key), F.lit(0)) + 1).alias("next"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,9 +111,44 @@ def assign_batches(df: DataFrame, size: int, *order: str) -> DataFrame:
     return with_index(df, "__at", *order).withColumn("batch", F.floor(F.col("__at") / size)).drop("__at")
 
 
-def to_vector(triples: DataFrame, names: list[str], key: str = "entity") -> DataFrame:
-    """key and features: array of the values of the named features, 0 where there is none."""
-    at = {n: k for k, n in enumerate(names)}
-    code = reduce(lambda c, n: c.when(F.col("feature") == n, at[n]), names, F.when(F.lit(False), -1))
-    listed = triples.withColumn("at", code).where("at is not null").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("m"))
-    return listed.select(key, F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))).alias("features"))
+def vocabulary(triples: DataFrame) -> DataFrame:
+    """(feature, at): places of the features by name, from 0."""
+    return with_index(triples.select("feature").distinct(), "at", "feature")
+
+
+def to_vector(triples: DataFrame, places: DataFrame, key: str = "entity") -> DataFrame:
+    """key and features: array of the values at their places (vocabulary), 0 where there is none. Features without a place are left out."""
+    width = places.agg((F.max("at") + 1).alias("__n"))
+    met = triples.join(places, "feature").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("m"))
+    return met.join(F.broadcast(width)).select(key, F.transform(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))).alias("features"))
+
+
+def load_dataset(data: DataFrame, year: Column, years: list[int], key: str = "entity", limit: int = 0, label_prefix: str = "exploits_", label: str = "exploits_has") -> DataFrame:
+    """key, grp (year), features (array in order of the names) and label of the records of the years, at most `limit` (0: all) a year in order of the key. data has
+    the maps features and labels; a feature that names a label is an error."""
+    chosen = load_by_group(data, year, years, key, limit)
+    leak = F.exists(F.map_keys("features"), lambda f: F.startswith(f, F.lit(label_prefix)))
+    vector = F.transform(F.array_sort(F.map_keys("features")), lambda f: F.element_at("features", f))
+    return chosen.select(key, "grp", F.when(leak, F.raise_error(F.lit("a label stands among the features")).cast("array<double>")).otherwise(vector).alias("features"), F.coalesce(F.element_at("labels", F.lit(label)), F.lit(0.0)).cast("int").alias("label"))
+
+
+def load_grouped(triples: DataFrame, group: Column, groups: int = 5, key: str = "entity") -> DataFrame:
+    """key and one array of values for each group 0 to groups - 1, in order of the names (columns group_0, ...)."""
+    entry = F.struct("feature", "value")
+    listed = triples.withColumn("__g", group).groupBy(key).agg(*(F.array_sort(F.collect_list(F.when(F.col("__g") == g, entry))).alias(f"__{g}") for g in range(groups)))
+    return listed.select(key, *(F.transform(f"__{g}", lambda e: e["value"]).alias(f"group_{g}") for g in range(groups)))
+
+
+def decode_label(df: DataFrame, code: str, codes: DataFrame, absent: str = "Abscent") -> DataFrame:
+    """df with label: the label of the code, `absent` where it has none. codes: code, label; the table is small (one row a class)."""
+    table = codes.select(F.col("code").alias("__code"), F.col("label").alias("__label"))
+    return df.join(table, df[code] == table["__code"], "left").withColumn("label", F.coalesce("__label", F.lit(absent))).drop("__code", "__label")
+
+
+def decode_pair(df: DataFrame, vector: str, first: DataFrame, second: DataFrame, absent: str = "Abscent") -> DataFrame:
+    """df with label, of a one-hot vector over two tables of codes, the second after the first; a vector of zeros or a place beyond both is `absent`."""
+    size = first.agg(F.count(F.lit(1)).alias("__n"))
+    both = first.select("code", "label").unionByName(second.join(F.broadcast(size)).select((F.col("code") + F.col("__n")).alias("code"), "label"))
+    place = F.array_position(F.col(vector), F.array_max(vector)) - 1
+    marked = df.withColumn("__place", F.when(F.array_max(vector) > 0, place))
+    return decode_label(marked, "__place", both, absent).drop("__place")

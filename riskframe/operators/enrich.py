@@ -28,11 +28,16 @@ def two_hops(records: DataFrame, key: str, ids_col: str, middle: DataFrame, midd
 def enum_fold(rows: DataFrame, key: list[str], pos: str, value: str) -> DataFrame:
     """Ordered fold of enumeration counts: 0 takes the value; 1 stays 1 under 0 or 1; else the value is added.
 
-    Keys seen once skip the ordered list: the fold of one value is that value.
+    Values of 0 and 1 alone fold to their largest, in any order, which is a plain aggregate. Only keys that have others gather their rows in order.
     """
-    grouped = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).cast("double").alias("v")))).alias("all"))
+    v = F.col(value).cast("double")
+    top = rows.groupBy(*key).agg(F.max(v).alias("value"), F.max(~F.coalesce(v.isin(0.0, 1.0), F.lit(False))).alias("__other"))
+    plain = top.where("not __other").drop("__other")
+    # a value of 0 changes no fold
+    other = rows.join(top.where("__other").select(*key), key, "left_semi").where(v.isNull() | (v != 0))
+    listed = other.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), v.alias("v")))).alias("all"))
     step = lambda acc, x: F.when(acc == 0, x["v"]).when((acc == 1) & x["v"].isin(0.0, 1.0), F.lit(1.0)).otherwise(acc + x["v"])
-    return grouped.select(*key, F.when(F.size("all") == 1, F.col("all")[0]["v"]).otherwise(F.aggregate("all", F.lit(0.0), step)).alias("value"))
+    return plain.unionByName(listed.select(*key, F.aggregate("all", F.lit(0.0), step).alias("value")))
 
 
 def numeric_fold(rows: DataFrame, key: list[str], value: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .collections import with_running_sums
+
 
 def _vectors(df: DataFrame, features: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
@@ -85,13 +87,10 @@ def soft_metrics(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
-    """score, tp, fp (rows at or above the score), positives and negatives, one row a distinct score: ties are one step."""
+    """score, y and x (positives and negatives at it), tp, fp (at or above it), positives and negatives, one row a distinct score: ties are one step."""
     step = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("y"), F.count(F.lit(1)).alias("n"))
-    down = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy()
-    return step.select(
-        "score", F.sum("y").over(down).alias("tp"), F.sum(F.col("n") - F.col("y")).over(down).alias("fp"), F.sum("y").over(every).alias("positives"), F.sum(F.col("n") - F.col("y")).over(every).alias("negatives")
-    )
+    step = step.select("score", "y", (F.col("n") - F.col("y")).alias("x"))
+    return with_running_sums(step, {"tp": "y", "fp": "x"}, F.desc("score")).withColumnsRenamed({"tp_total": "positives", "fp_total": "negatives"})
 
 
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -99,10 +98,9 @@ def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the ROC curve by trapezoids."""
-    by = W.orderBy(F.desc("score"))
-    points = roc_curve(df, label, score).withColumns({"x0": F.lag("fpr", 1, 0.0).over(by), "y0": F.lag("tpr", 1, 0.0).over(by)})
-    return points.agg(F.sum((F.col("fpr") - F.col("x0")) * (F.col("tpr") + F.col("y0")) / 2).alias("auc"))
+    """Area under the ROC curve by trapezoids. A step's start is its end less its own rows, so no neighbour is looked up."""
+    c = score_counts(df, label, score)
+    return c.agg(F.sum(F.col("x") / F.col("negatives") * (2 * F.col("tp") - F.col("y")) / F.col("positives") / 2).alias("auc"))
 
 
 def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -111,9 +109,10 @@ def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def pr_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the precision-recall curve by trapezoids from recall 0 at the first precision."""
-    by = W.orderBy(F.desc("score"))
-    points = pr_curve(df, label, score).withColumns({"x0": F.lag("recall", 1, 0.0).over(by), "y0": F.coalesce(F.lag("precision").over(by), F.col("precision"))})
-    return points.agg(F.sum((F.col("recall") - F.col("x0")) * (F.col("precision") + F.col("y0")) / 2).alias("auc"))
+    here, before = F.col("tp") + F.col("fp"), F.col("tp") + F.col("fp") - F.col("y") - F.col("x")
+    precision = F.col("tp") / here
+    start = F.when(before > 0, (F.col("tp") - F.col("y")) / before).otherwise(precision)
+    return score_counts(df, label, score).agg(F.sum(F.col("y") / F.col("positives") * (precision + start) / 2).alias("auc"))
 
 
 def smooth(curve: DataFrame, group: list[str], order: str, value: str, box: int = 3) -> DataFrame:
@@ -126,13 +125,19 @@ def smooth(curve: DataFrame, group: list[str], order: str, value: str, box: int
 
 
 def random_baseline(sets: DataFrame, trials: int, seed: int) -> DataFrame:
-    """name, mean accuracy, precision, recall and f1 of uniform random guesses. sets: name, neg, pos."""
-    rows = sets.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    rows = rows.withColumn("y", F.explode(F.concat(F.array_repeat(F.lit(0), F.col("neg").cast("int")), F.array_repeat(F.lit(1), F.col("pos").cast("int")))))
-    guess = rows.withColumn("p", (F.rand(seed) < 0.5).cast("int"))
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    y, p = F.col("y") == 1, F.col("p") == 1
-    counts = guess.groupBy("name", "trial").agg(n(y & p).alias("tp"), n(~y & ~p).alias("tn"), n(~y & p).alias("fp"), n(y & ~p).alias("fn"))
+    """name, mean accuracy, precision, recall and f1 of uniform random guesses. sets: name, neg, pos.
+
+    Guesses are bits of hashes, 64 at a time, counted in chunks of 65 536, so a large set is many rows of one number each.
+    """
+    many = sets.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
+    many = many.select("name", "trial", F.explode(F.array(F.struct(F.lit(0).alias("y"), F.col("neg").alias("n")), F.struct(F.lit(1).alias("y"), F.col("pos").alias("n")))).alias("c")).select("name", "trial", "c.*")
+    chunk = many.withColumn("at", F.explode(F.expr("sequence(0L, greatest(bigint(ceil(n / 65536)) - 1, 0L))"))).withColumn("m", F.expr("least(65536L, n - at * 65536L)"))
+    ones = F.expr(f"""aggregate(sequence(0L, greatest(bigint(ceil(m / 64)) - 1, 0L)), 0L, (s, i) ->
+        s + if(m > i * 64, bit_count(shiftrightunsigned(xxhash64({seed}, name, trial, y, at, i), int(64 - least(64L, m - i * 64L)))), 0))""")
+    hit = chunk.withColumn("ones", ones).groupBy("name", "trial", "y").agg(F.sum("ones").alias("ones"), F.sum("m").alias("n"))
+    total = lambda y, c: F.coalesce(F.sum(F.when(F.col("y") == y, c)), F.lit(0))
+    one, none = F.col("ones"), F.col("n") - F.col("ones")
+    counts = hit.groupBy("name", "trial").agg(total(1, one).alias("tp"), total(0, none).alias("tn"), total(0, one).alias("fp"), total(1, none).alias("fn"))
     return binary_metrics(counts).groupBy("name").agg(*(F.avg(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")))
 
 
@@ -159,3 +164,34 @@ def normalize_curve(curve: DataFrame, group: list[str], x: str, y: str) -> DataF
     unit = lambda c: (F.col(c) - F.min(c).over(w)) / F.nullif(F.max(c).over(w) - F.min(c).over(w), F.lit(0))
     clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     return curve.withColumns({"nx": clip(unit(x)), "ny": 1 - clip(unit(y))})
+
+
+def match_totals(df: DataFrame, label: str, predicted: str) -> DataFrame:
+    """One row: matches, total, percent."""
+    n = df.agg(F.sum(F.col(label).eqNullSafe(F.col(predicted)).cast("long")).alias("matches"), F.count(F.lit(1)).alias("total"))
+    return n.select(F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), "total", F.round(F.try_divide(100 * F.col("matches"), F.col("total")), 2).alias("percent"))
+
+
+def compare_labels(df: DataFrame, label: str, predicted: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose prediction isn't the label, one row of totals: right, wrong, accuracy in percent). A null equals a null only."""
+    same = F.col(label).eqNullSafe(F.col(predicted))
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
+    totals = df.agg(n(same).alias("right"), n(~same).alias("wrong"))
+    return df.where(~same), totals.withColumn("accuracy", F.round(F.try_divide(100 * F.col("right"), F.col("right") + F.col("wrong")), 2))
+
+
+def save_model(model, path: str) -> None:
+    """A fitted model of Spark ML; what stood there is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str, kind=None):
+    """A saved model; kind is its class, LogisticRegressionModel by default."""
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    return (kind or LogisticRegressionModel).load(path)
+
+
+def evaluate_years(model, df: DataFrame, features: str, label: str, year: Column, years: list[int]) -> DataFrame:
+    """Confusion counts and metrics of a model over the rows of the chosen years."""
+    return binary_metrics(confusion(predict(df.where(year.isin(years)), model, features), label, "predicted"))

@@ -88,11 +88,20 @@ def after_first(col: Column, mark: str = "-") -> Column:
     return F.trim(F.when(F.instr(col, mark) > 0, F.substr(col, F.instr(col, mark) + F.lit(len(mark)))).otherwise(col))
 
 
-def type_histogram(df: DataFrame, key: str, kind: Column) -> DataFrame:
-    """key, types, counts: two parallel arrays by type; null types count as `other`."""
+def type_histogram(df: DataFrame, key: str, kind: Column, keys: DataFrame | None = None) -> DataFrame:
+    """key, types, counts: two parallel arrays by type; null types count as `other`. keys (a column `key`): those without rows get [absent] and [0]."""
     n = df.groupBy(key, F.coalesce(kind, F.lit("other")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     both = n.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("all"))
-    return both.select(key, F.col("all.kind").alias("types"), F.col("all.n").alias("counts"))
+    found = both.select(key, F.col("all.kind").alias("types"), F.col("all.n").alias("counts"))
+    if keys is None:
+        return found
+    none = {"types": F.array(F.lit("absent")), "counts": F.array(F.lit(0).cast("long"))}
+    return keys.select(key).distinct().join(found, key, "left").select(key, *(F.coalesce(n, v).alias(n) for n, v in none.items()))
+
+
+def sum_versions(counts: Column) -> Column:
+    """Sum of version counts written as texts or numbers; what isn't a number counts 0."""
+    return F.aggregate(F.transform(counts, lambda c: F.coalesce(c.cast("string").try_cast("long"), F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, c: a + c)
 
 
 def count_parts(col: Column, mark: str = "|") -> Column:
@@ -121,16 +130,3 @@ def flatten_oval(df: DataFrame) -> DataFrame:
         F.element_at(F.split("oval", ":"), -1).alias("oval"), F.get(cve, F.lit(0))["ref_id"].alias("CVE"), F.col("class").alias("type"),
         day("submitted").alias("submittedDate"), F.array_max(F.transform("modified", day)).alias("modifiedDate"),
     ).where("CVE is not null")
-
-
-def catalogue_lists(consequences: str = "Common_Consequences") -> dict[str, Column]:
-    """Distinct sorted scopes and damages of a catalogue entry's consequences."""
-    one = lambda f: F.array_sort(F.array_distinct(F.flatten(F.transform(F.coalesce(F.col(consequences), F.array()), lambda c: F.coalesce(c[f], F.array())))))
-    return {"Affected_Scopes": one("Scope"), "Damage": one("Impact")}
-
-
-def flatten_catalogue(df: DataFrame, key: str, consequences: str) -> DataFrame:
-    """Catalogue entries that aren't deprecated: key, Name, Description, Status, scopes and damage, modified date, related ids."""
-    return df.where(~F.coalesce(F.col("Status"), F.lit("")).isin("Deprecated", "Obsolete")).select(
-        key, "Name", "Description", "Status", *(c.alias(n) for n, c in catalogue_lists(consequences).items()),
-    )

@@ -50,9 +50,19 @@ def leaderboard(df: DataFrame, output: str, key: str, k: int, maximize: bool = T
     return df.orderBy(F.desc(output) if maximize else F.asc(output), key).limit(k)
 
 
-def generation_stats(df: DataFrame, gen: str, output: str, lineage: str, reset_below: float) -> DataFrame:
-    """gen, individuals, best, diversity (distinct lineages in percent), reset."""
-    n = df.groupBy(gen).agg(F.count(F.lit(1)).alias("individuals"), F.max(output).alias("best"), (100.0 * F.countDistinct(lineage) / F.count(F.lit(1))).alias("diversity"))
+def best_ever(df: DataFrame, output: str, key: str, gen: str, maximize: bool = True) -> DataFrame:
+    """One row: the best output over all generations, its candidate and the first generation that reached it."""
+    order = F.col(output) if maximize else -F.col(output)
+    best = F.max_by(F.struct(output, gen, key), F.struct(order.alias("o"), (-F.col(gen)).alias("g"), F.col(key).alias("k")))
+    return df.where(F.col(output).isNotNull()).agg(best.alias("b")).where("b is not null").select("b.*")
+
+
+def generation_stats(df: DataFrame, gen: str, output: str, lineage: str, reset_below: float, started: str | None = None, ended: str | None = None) -> DataFrame:
+    """gen, individuals, best, diversity (distinct lineages in percent), reset; with times of each candidate's start and end also elapsed, in seconds."""
+    spent = {} if started is None else {"elapsed": (F.unix_micros(F.max(ended).cast("timestamp")) - F.unix_micros(F.min(started).cast("timestamp"))) / 1e6}
+    n = df.groupBy(gen).agg(
+        F.count(F.lit(1)).alias("individuals"), F.max(output).alias("best"), (100.0 * F.countDistinct(lineage) / F.count(F.lit(1))).alias("diversity"), *(c.alias(k) for k, c in spent.items())
+    )
     return n.withColumn("reset", F.col("diversity") < reset_below)
 
 
@@ -72,12 +82,11 @@ def evaluate_candidates(df: DataFrame, features: str, label: str, grid: list[dic
     return [(c, -math.inf if math.isnan(m) else m) for c, m in zip(grid, fit.validationMetrics, strict=True)]
 
 
-def job_status(locked_at: Column, attempts: Column, error: Column, now: Column, timeout_s: int, most: int) -> Column:
-    """WAITING, FAILED PREVIOUSLY, RUNNING, FAILED or FAILED ALL."""
+def job_status(locked_at: Column, attempts: Column, error: Column, now: Column, timeout_s: int, most: int, canceled: Column | None = None) -> Column:
+    """WAITING, FAILED PREVIOUSLY, RUNNING, FAILED or FAILED ALL; CANCELING for a job that runs and is to be canceled."""
     late = F.unix_timestamp(now) - F.unix_timestamp(locked_at) > timeout_s
-    return (
-        F.when(attempts >= most, "FAILED ALL").when(locked_at.isNull() & error.isNotNull(), "FAILED PREVIOUSLY").when(locked_at.isNull(), "WAITING").when(late, "FAILED").otherwise("RUNNING")
-    )
+    status = F.when(attempts >= most, "FAILED ALL").when(locked_at.isNull() & error.isNotNull(), "FAILED PREVIOUSLY").when(locked_at.isNull(), "WAITING").when(late, "FAILED")
+    return (status if canceled is None else status.when(canceled, "CANCELING")).otherwise("RUNNING")
 
 
 def queue_stats(df: DataFrame, queue: str, locked: Column, failed: Column) -> DataFrame:

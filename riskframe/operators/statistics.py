@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import saved
 from .collections import with_index
 
 
@@ -69,7 +70,7 @@ def assemble_dataset(triples: DataFrame, label_prefix: str) -> DataFrame:
 
 def normalize(triples: DataFrame, total: DataFrame, vendor: Column, to: str = "vendor_enum_absent", least_share: float = 0.8, least_ones: int = 33) -> DataFrame:
     """Whole filter and normalisation: rare vendors folded, features outside the drop set kept, gaps of the fill set as 0, values scaled."""
-    stats = analyze(triples, total, vendor)
+    stats = saved(analyze(triples, total, vendor), "stats")  # one row a feature, read five times
     folded = fold_rare(triples, stats, to, least_ones)
     vendors = stats.where("is_vendor").select("feature")
     gone = drop_set(stats, least_share).join(vendors, "feature", "left_anti").select("feature")

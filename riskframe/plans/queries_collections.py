@@ -182,7 +182,7 @@ def filter_marker(t: Tables) -> DataFrame:
     "select user_id, array_to_string(list_sort(list_distinct(list(event_id % 20))), ',') as ids from events group by 1",
 )
 def nested_ids(t: Tables) -> DataFrame:
-    e = t.events.groupBy("user_id").agg(F.collect_list(F.concat(F.lit("CWE-"), F.col("event_id") % 20)).alias("v"))
+    e = t.events.groupBy("user_id").agg(F.collect_set(F.concat(F.lit("CWE-"), F.col("event_id") % 20)).alias("v"))
     ids = F.array_sort(F.transform(M.numeric_ids(F.concat("v", F.array(F.lit("CWE-x"))), "CWE"), lambda x: x.cast("long")))
     return e.select("user_id", F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("ids"))
 
@@ -199,7 +199,7 @@ def path_parts(t: Tables) -> DataFrame:
 @query("array_sum", "select l_orderkey, sum(l_linenumber)::bigint as versions, count(distinct l_suppkey) as vendors from lineitem group by 1")
 def array_sum(t: Tables) -> DataFrame:
     l = t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("v"), F.collect_set("l_suppkey").alias("s"))
-    return l.select("l_orderkey", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).alias("versions"), F.size(F.array_union("s", "s")).cast("long").alias("vendors"))
+    return l.select("l_orderkey", M.sum_versions(F.col("v")).alias("versions"), F.size(F.array_union("s", "s")).cast("long").alias("vendors"))
 
 
 @query(

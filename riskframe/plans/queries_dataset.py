@@ -23,13 +23,36 @@ def load_by_group_limit(t: Tables) -> DataFrame:
 
 @query(
     "load_grouped",
-    f"""with {TRIPLES} select entity, case when starts_with(feature, 'lang_') then 1 when starts_with(feature, 'description_') then 2 when starts_with(feature, 'vendor_') then 4 else 0 end as grp,
-    string_agg(feature, ',' order by feature) as names, round(sum(value), 4) as total from triples where not starts_with(feature, 'exploits_') group by 1, 2""",
+    f"""with {TRIPLES}, g as (select entity, feature, value, case when starts_with(feature, 'lang_') then 1 when starts_with(feature, 'description_') then 2 when starts_with(feature, 'reference_') then 3 when starts_with(feature, 'vendor_') then 4 else 0 end as grp
+    from triples where not starts_with(feature, 'exploits_'))
+    select entity, {", ".join(f"coalesce(string_agg(value::bigint, ',' order by feature) filter (grp = {k}), '') as group_{k}" for k in range(5))} from g group by 1""",
 )
 def load_grouped(t: Tables) -> DataFrame:
-    f = doc_triples(t).where("not startswith(feature, 'exploits_')")
-    g = f.groupBy("entity", S.feature_group(F.col("feature")).alias("grp")).agg(F.array_sort(F.collect_list("feature")).alias("names"), F.round(F.sum("value"), 4).alias("total"))
-    return g.withColumn("names", F.array_join("names", ","))
+    g = D.load_grouped(doc_triples(t).where("not startswith(feature, 'exploits_')"), S.feature_group(F.col("feature")))
+    return g.select("entity", *(F.array_join(F.transform(f"group_{k}", lambda x: x.cast("long").cast("string")), ",").alias(f"group_{k}") for k in range(5)))
+
+
+@query(
+    "load_dataset",
+    f"""with {TRIPLES}, y as (select entity, 2000 + entity % 3 as grp, array_to_string(list(value::bigint order by feature) filter (not starts_with(feature, 'exploits_')), ',') as features,
+    coalesce(max(case when feature = 'exploits_has' then value end), 0)::int as label from triples group by 1)
+    select entity, grp, coalesce(features, '') as features, label from y where grp in (2000, 2002) qualify row_number() over (partition by grp order by entity) <= 40""",
+)
+def load_dataset(t: Tables) -> DataFrame:
+    data = S.assemble_dataset(doc_triples(t), "exploits_").drop("index")
+    d = D.load_dataset(data, 2000 + F.col("entity") % 3, [2000, 2002], limit=40)
+    return d.withColumn("features", F.array_join(F.transform("features", lambda x: x.cast("long").cast("string")), ","))
+
+
+@query(
+    "to_vector",
+    f"with {TRIPLES}, v as (select feature, row_number() over (order by feature) as place from (select distinct feature from triples)) select entity, round(sum(value * place), 3) as weighted, (select count(*) from v) as width from triples join v using (feature) group by 1",
+)
+def to_vector(t: Tables) -> DataFrame:
+    triples = doc_triples(t)
+    v = D.to_vector(triples, D.vocabulary(triples))
+    total = F.aggregate(F.transform("features", lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x)
+    return v.select("entity", F.round(total, 3).alias("weighted"), F.size("features").cast("long").alias("width"))
 
 
 @query("parse_selection", "select o_orderkey, [o_orderkey % 7 + 1990, o_orderkey % 5 + 2000] as years, (o_orderkey % 100)::int as cap from orders")
@@ -70,8 +93,14 @@ def encode_labels(t: Tables) -> DataFrame:
 @query("decode_labels", "select c_custkey, coalesce(case when c_custkey % 6 < 5 then (select list(distinct c_mktsegment order by c_mktsegment) from customer)[(c_custkey % 6)::int + 1] end, 'Abscent') as label from customer")
 def decode_labels(t: Tables) -> DataFrame:
     codes = D.label_codes(t.customer, "c_mktsegment").where("code < 5")
-    c = t.customer.select("c_custkey", (F.col("c_custkey") % 6).alias("code"))
-    return c.join(codes, "code", "left").select("c_custkey", F.coalesce("label", F.lit("Abscent")).alias("label"))
+    return D.decode_label(t.customer.select("c_custkey", (F.col("c_custkey") % 6).alias("code")), "code", codes).select("c_custkey", "label")
+
+
+@query("decode_pair", "select c_custkey, case when c_custkey % 9 < 5 then (select list(distinct c_mktsegment order by c_mktsegment) from customer)[(c_custkey % 9)::int + 1] when c_custkey % 9 < 8 then (select list(distinct o_orderstatus order by o_orderstatus) from orders)[(c_custkey % 9)::int - 4] else 'Abscent' end as label from customer")
+def decode_pair(t: Tables) -> DataFrame:
+    at = F.col("c_custkey") % 9
+    vector = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (k == at).cast("int"))
+    return D.decode_pair(t.customer.select("c_custkey", vector.alias("v")), "v", D.label_codes(t.customer, "c_mktsegment"), D.label_codes(t.orders, "o_orderstatus")).select("c_custkey", "label")
 
 
 @query("one_vs_rest", "select c_custkey, case when c_mktsegment = 'BUILDING' then c_mktsegment else 'Abscent' end as label, coalesce((c_mktsegment = 'BUILDING')::int, 0) as is_match from customer")
@@ -262,12 +291,10 @@ def baseline_expected(t: Tables) -> DataFrame:
 @query(
     "normalize_curve",
     """with r as (select event_id, user_id, (value - min(value) over w) / nullif(max(value) over w - min(value) over w, 0) as y, (event_id - min(event_id) over w) / nullif(max(event_id) over w - min(event_id) over w, 0) as x from events window w as (partition by user_id))
-    select event_id, round(least(greatest(x, 0), 1), 6) as nx, round(1 - least(greatest(y, 0), 1), 6) as ny from r where x is not null and y is not null""",
+    select event_id, round(case when x is not null then least(greatest(x, 0), 1) end, 6) as nx, round(case when y is not null then 1 - least(greatest(y, 0), 1) end, 6) as ny from r""",
 )
 def normalize_curve(t: Tables) -> DataFrame:
     n = V.normalize_curve(t.events, ["user_id"], "event_id", "value")
-    w = W.partitionBy("user_id")
-    n = n.withColumn("one", (F.max("event_id").over(w) == F.min("event_id").over(w)) | (F.max("value").over(w) == F.min("value").over(w))).where("not one")
     return n.select("event_id", F.round("nx", 6).alias("nx"), F.round("ny", 6).alias("ny"))
 
 
@@ -286,10 +313,15 @@ def parse_predictions(t: Tables) -> DataFrame:
     return V.parse_predictions(lines, "line")[0].withColumn("confidence", F.round("confidence", 4))
 
 
-@query("mismatches", "select doc_id, quality, toxic, count(*) over () as wrong from labels where quality <> toxic")
+@query("mismatches", "select doc_id, quality, toxic, count(*) over () as wrong, (select count(*) from labels where quality is not distinct from toxic) as right from labels where quality is distinct from toxic")
 def mismatches(t: Tables) -> DataFrame:
-    wrong = t.labels.where("quality != toxic").select("doc_id", "quality", "toxic")
-    return wrong.join(F.broadcast(wrong.agg(F.count(F.lit(1)).alias("wrong"))))
+    wrong, totals = V.compare_labels(t.labels, "quality", "toxic")
+    return wrong.select("doc_id", "quality", "toxic").join(F.broadcast(totals.select("wrong", "right")))
+
+
+@query("match_totals", "select sum((quality is not distinct from toxic)::int)::bigint as matches, count(*) as total, round(100.0 * sum((quality is not distinct from toxic)::int) / count(*), 2)::double as percent from labels")
+def match_totals(t: Tables) -> DataFrame:
+    return V.match_totals(t.labels, "quality", "toxic")
 
 
 #: Published areas under the ROC curve of four other predictors.
@@ -350,11 +382,26 @@ def leaderboard(t: Tables) -> DataFrame:
     return H.leaderboard(t.customer.select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey", 10)
 
 
+@query("best_ever", "select c_acctbal, c_nationkey, c_custkey from customer order by c_acctbal desc, c_nationkey, c_custkey desc limit 1")
+def best_ever(t: Tables) -> DataFrame:
+    return H.best_ever(t.customer, "c_acctbal", "c_custkey", "c_nationkey")
+
+
 @query("generation_stats", "select c_nationkey, count(*) as individuals, max(c_acctbal) as best, round(100.0 * count(distinct c_mktsegment) / count(*), 6)::double as diversity, 100.0 * count(distinct c_mktsegment) / count(*) < 10 as reset from customer group by 1")
 def generation_stats(t: Tables) -> DataFrame:
     return H.generation_stats(t.customer, "c_nationkey", "c_acctbal", "c_mktsegment", 10.0).withColumn("diversity", F.round("diversity", 6))
 
 
+@query("generation_times", "select event_type, round(epoch(max(ts)) - epoch(min(ts)), 3) as elapsed from events group by 1")
+def generation_times(t: Tables) -> DataFrame:
+    return H.generation_stats(t.events, "event_type", "value", "user_id", 10.0, "ts", "ts").select("event_type", F.round("elapsed", 3).alias("elapsed"))
+
+
+@query("next_id", "select max(o_orderkey) + 1 as next from orders")
+def next_id(t: Tables) -> DataFrame:
+    return C.next_id(t.orders, "o_orderkey")
+
+
 @query("evaluate_candidates")
 def evaluate_candidates(t: Tables) -> DataFrame:
     done = H.evaluate_candidates(_training(t), "features", "y", [{"regParam": r, "elasticNetParam": e} for r in (0.01, 0.1) for e in (0.0, 0.5)])
@@ -416,23 +463,25 @@ def next_workdays(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.array_join(F.transform(X.next_workdays(F.to_date("o_orderdate"), 3), lambda d: F.date_format(d, "yyyy-MM-dd")), ",").alias("days"))
 
 
-@query("human_bytes", "select doc_id, case when n_chars < 1024 then printf('%.1f', n_chars::double) || 'B' when n_chars < 1048576 then printf('%.1f', n_chars / 1024) || 'KiB' else printf('%.1f', n_chars / 1048576) || 'MiB' end as size from documents where (n_chars * 10) % 512 <> 0 or n_chars < 1024")
+@query("human_bytes", "select doc_id, case when n_chars < 1024 then printf('%.1f', n_chars::double) || 'B' when n_chars < 1048576 then printf('%.1f', n_chars / 1024) || 'KiB' else printf('%.1f', n_chars / 1048576) || 'MiB' end as size from documents")
 def human_bytes(t: Tables) -> DataFrame:
-    return t.documents.where("(n_chars * 10) % 512 != 0 or n_chars < 1024").select("doc_id", X.human_bytes(F.col("n_chars")).alias("size"))
+    return t.documents.select("doc_id", X.human_bytes(F.col("n_chars")).alias("size"))
 
 
 @query(
     "duration_words",
-    """with m as (select event_id, (event_id * 987654)::bigint as ms from events), p as (select event_id, ms // 86400000 as d, ms % 86400000 // 3600000 as h, ms % 3600000 // 60000 as m, ms % 60000 // 1000 as s, ms % 1000 as x from m)
-    select event_id, coalesce(nullif(concat_ws(', ', case when d > 0 then d || ' days' end, case when h > 0 then h || ' hours' end, case when m > 0 then m || ' minutes' end, case when s > 0 then s || ' seconds' end, case when x > 0 then x || ' ms' end), ''), '0 ms') as words from p""",
+    """with m as (select event_id, (event_id * 987654 % 300000000)::bigint as ms from events),
+    p as (select event_id, ms, list_filter([(ms // 86400000, 'days'), (ms % 86400000 // 3600000, 'hours'), (ms % 3600000 // 60000, 'minutes'), (ms % 60000 // 1000, 'seconds'), (ms % 1000, 'milliseconds')], lambda x: x[1] > 0) as w from m),
+    q as (select event_id, ms, list_transform(w, lambda x: x[1]::bigint || ' ' || x[2]) as w from p)
+    select event_id, case when ms <= 0 then 'FINISHED' when len(w) = 1 then w[1] else array_to_string(w[:-2], ' ') || ' and ' || w[-1] end as words from q""",
 )
 def duration_words(t: Tables) -> DataFrame:
-    return t.events.select("event_id", X.duration_words(F.col("event_id") * 987654).alias("words"))
+    return t.events.select("event_id", X.duration_words(F.col("event_id") * 987654 % 300000000).alias("words"))
 
 
-@query("path_name", r"select page_id, regexp_extract(url, '([^/]*)$', 1) as name, regexp_extract(url, '[^/](\.[^./]*)$', 1) as ext from pages where url is not null")
+@query("path_name", r"select page_id, regexp_extract(url, '([^/]*)$', 1) as name, regexp_extract(url, '[^/](\.[^./]*)$', 1) as ext, regexp_extract(url, '([^/]*?)(\.[^./]*)?$', 1) as stem, regexp_extract(url, '^(.*)/[^/]*$', 1) as parent from pages where url is not null")
 def path_name(t: Tables) -> DataFrame:
-    return t.pages.where("url is not null").select("page_id", X.file_name(F.col("url")).alias("name"), X.file_extension(F.col("url")).alias("ext"))
+    return t.pages.where("url is not null").select("page_id", X.file_name(F.col("url")).alias("name"), X.file_extension(F.col("url")).alias("ext"), X.file_stem(F.col("url")).alias("stem"), X.parent_path(F.col("url")).alias("parent"))
 
 
 @query("numeric_text", "select event_id, regexp_matches(v, '^[0-9]*[.]?[0-9]*$') and regexp_matches(v, '[0-9]') as numeric from (select event_id, case event_id % 4 when 0 then event_id::varchar when 1 then '-' || event_id when 2 then event_id || '.5' else '1.2.' || event_id end as v from events)")

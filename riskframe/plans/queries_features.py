@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import catalogue as K
 from ..operators import enrich as E
 from ..operators import merge as M
 from ..operators import statistics as S
@@ -57,8 +58,7 @@ def vocab(t: Tables) -> DataFrame:
 
 @query("flatten_unique", "select user_id, count(distinct event_type) as kinds, count(*) as every from events group by 1")
 def flatten_unique(t: Tables) -> DataFrame:
-    e = t.events.groupBy("user_id", (F.col("event_id") % 3).alias("g")).agg(F.collect_list("event_type").alias("v")).groupBy("user_id").agg(F.collect_list("v").alias("v"))
-    return e.select("user_id", F.size(F.array_distinct(F.flatten("v"))).cast("long").alias("kinds"), F.size(F.flatten("v")).cast("long").alias("every"))
+    return t.events.groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds"), F.count("event_type").alias("every"))
 
 
 @query(
@@ -99,10 +99,9 @@ def weighted_one_hot(t: Tables) -> DataFrame:
     max(case when event_type = 'error' then 1 else 0 end) as has_score from events group by 1""",
 )
 def numeric_features(t: Tables) -> DataFrame:
-    e = t.events.groupBy("user_id").agg(F.collect_list("event_type").alias("refs"), F.max(F.col("event_id") % 7).alias("v"), F.max(F.when(F.col("event_type") == "error", F.col("value"))).alias("score"))
-    return e.select(
-        "user_id", F.size("refs").cast("long").alias("references_count"), F.greatest(F.size(F.array_distinct("refs")), "v").alias("versions"), F.coalesce("score", F.lit(0.0)).alias("score"), F.col("score").isNotNull().cast("int").alias("has_score")
-    )
+    error = F.max(F.when(F.col("event_type") == "error", F.col("value")))
+    e = t.events.groupBy("user_id").agg(F.count("event_type").alias("references_count"), F.countDistinct("event_type").alias("products"), F.max(F.col("event_id") % 7).alias("v"), error.alias("score"))
+    return e.select("user_id", "references_count", F.greatest("products", "v").alias("versions"), F.coalesce("score", F.lit(0.0)).alias("score"), F.col("score").isNotNull().cast("int").alias("has_score"))
 
 
 @query("wc_log", "select doc_id, round(ln(1 + coalesce(len(regexp_extract_all(text, '[A-Za-z0-9_'']+')), 0)), 6) as wc from documents")
@@ -164,25 +163,64 @@ def term_frequency(t: Tables) -> DataFrame:
     from phr join df using (phrase) join documents d on d.doc_id = phr.doc_id""",
 )
 def tfidf(t: Tables) -> DataFrame:
-    d = t.documents.where("text is not null")
-    counts = _phrases(t).join(d.select("doc_id", F.lower("text").alias("low")), "doc_id").select("doc_id", "phrase", X.term_frequency(F.col("low"), F.col("phrase")).alias("tf"))
+    d = t.documents.where("text is not null").select("doc_id", F.lower("text").alias("low"))
+    counts = X.phrase_counts(d, "doc_id", "low", STOP)
     return X.tfidf(counts, "doc_id", "phrase", "tf", d.agg(F.count(F.lit(1)).alias("n")), 5).withColumn("value", F.round("value", 6))
 
 
-@query("class_flags", "select event_id, case when event_type = 'purchase' then cast(ts as date) end as patch_date, case when event_type <> 'purchase' then cast(ts as date) end as oval_date, (event_type = 'purchase')::int as is_patch from events")
+@query("class_flags", "select event_id::varchar as oval, (event_type = 'purchase')::int as has_patch, (event_type <> 'purchase')::int as has_vuln_oval, case when event_type = 'purchase' then cast(ts as date) end as patch_date, case when event_type <> 'purchase' then cast(ts as date) end as oval_date from events")
 def class_flags(t: Tables) -> DataFrame:
-    day, patch = F.to_date("ts"), F.col("event_type") == "purchase"
-    return t.events.select("event_id", F.when(patch, day).alias("patch_date"), F.when(~patch, day).alias("oval_date"), patch.cast("int").alias("is_patch"))
+    return K.oval_features(_ovals(t)).select("oval", "has_patch", "has_vuln_oval", F.col("patchDate").alias("patch_date"), F.col("ovalDate").alias("oval_date"))
 
 
-@query("exploit_flags", "select event_id, strftime(ts, '%d/%m/%Y') as day, (lower(event_type) = 'purchase')::int as verified, 1 as has_exploit from events")
+@query("exploit_flags", "select event_id::varchar as exploit, user_id::varchar as cve, strftime(ts, '%d/%m/%Y') as day, (value > 50)::int as verified, 1 as has_exploit from events where event_type = 'error'")
 def exploit_flags(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.date_format("ts", "dd/MM/yyyy").alias("day"), (F.lower("event_type") == "purchase").cast("int").alias("verified"), F.lit(1).alias("has_exploit"))
+    f = K.exploit_features(_exploits(t))
+    return f.select("exploit", "cve", F.date_format("exploitDate", "dd/MM/yyyy").alias("day"), F.col("exploit_was_verified").alias("verified"), "has_exploit")
+
+
+# definitions and exploits of the enrichment queries: events of customers
+def _ovals(t: Tables) -> DataFrame:
+    return t.events.select(
+        F.col("event_id").cast("string").alias("oval"), F.concat(F.lit("CVE-"), "user_id").alias("CVE"), F.when(F.col("event_type") == "purchase", "Patch").otherwise("vulnerability").alias("type"), F.to_date("ts").alias("submittedDate")
+    )
 
 
-@query("feature_pipeline", f"with {TRIPLES} select entity, feature, value from triples where feature not like 'exploits_%'")
+def _exploits(t: Tables) -> DataFrame:
+    e = t.events.where("event_type = 'error'")
+    return e.select(F.col("event_id").cast("string").alias("exploit"), F.col("user_id").cast("string").alias("cve"), F.to_date("ts").alias("date"), F.when(F.col("value") > 50, "True").otherwise("False").alias("verified"))
+
+
+ABSENT = ["phase", "cvss_version", "cvss_av", "cvss_ui", "cvss_s", "type", "cvss_ac", "cvss_aupr", "cvss_c", "cvss_i", "cvss_a", "reference_type", "exploits_weaponized_type"]
+LEMMA = r"""case when regexp_matches(w, '...ses$') then regexp_replace(w, 'ses$', 's') when regexp_matches(w, '...xes$') then regexp_replace(w, 'xes$', 'x')
+    when regexp_matches(w, '...zes$') then regexp_replace(w, 'zes$', 'z') when regexp_matches(w, '...ches$') then regexp_replace(w, 'ches$', 'ch') when regexp_matches(w, '...shes$') then regexp_replace(w, 'shes$', 'sh')
+    when regexp_matches(w, '...men$') then regexp_replace(w, 'men$', 'man') when regexp_matches(w, '...ies$') then regexp_replace(w, 'ies$', 'y') when regexp_matches(w, '...ss$') then w when regexp_matches(w, '...us$') then w
+    when regexp_matches(w, '...s$') then regexp_replace(w, 's$', '') else w end"""
+
+
+@query(
+    "feature_pipeline",
+    f"""with d as (select 'CVE-' || doc_id as entity, text, lang, source, n_chars from documents where lang is distinct from 'RESERVED'),
+    tok as (select entity, {LEMMA} as l, p from (select entity, unnest(regexp_extract_all(text, '[A-Za-z0-9_'']+')) as w, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9_'']+'), 1) as p from d)),
+    low as (select entity, string_agg(l, ' ' order by p) as text from tok group by 1),
+    run as (select entity, lower(l) as w, p, sum(case when lower(l) in ({STOP_SQL}) then 1 else 0 end) over (partition by entity order by p) as r from tok),
+    phr as (select distinct entity, string_agg(w, ' ' order by p) as phrase from run where w not in ({STOP_SQL}) group by entity, r having count(*) <= 5),
+    df as (select phrase, count(*) as df from phr group by 1 having count(*) >= 5),
+    words as (select entity, 'description_enum_' || replace(phrase, ' ', '_') as feature, greatest((length(text) - length(replace(text, phrase, ''))) // length(phrase), 1) * ln((select count(text) from d)::double / df) as value
+        from phr join df using (phrase) join low using (entity))
+    select entity, 'status_enum_' || lower(coalesce(lang, 'absent')) as feature, 1.0::double as value from d union all select entity, 'vendor_enum_' || replace(lower(coalesce(source, 'absent')), '.', '_'), 1.0 from d
+    union all select entity, n || '_enum_absent', 1.0 from d, (select unnest([{", ".join(f"'{n}'" for n in ABSENT)}]) as n)
+    union all select entity, n, 0.0 from d, (select unnest(['exploits_weaponized_count', 'references_count', 'products', 'cvss_has_exploitability_score', 'cvss_exploitability_score', 'cvss_has_impact_score', 'cvss_impact_score', 'cpes_non_vulnerable_count']) as n)
+    union all select entity, 'comments', coalesce(n_chars % 100, 0) from d union all select entity, 'versions', coalesce(n_chars, 0) from d union all select entity, 'cvss_score', coalesce(n_chars % 10, 0) from d
+    union all select entity, feature, round(value, 6) from words""",
+)
 def feature_pipeline(t: Tables) -> DataFrame:
-    return X.drop_leaky(E.split_labels(doc_triples(t), "exploits_")[0])
+    """Record features end to end: documents as records, their language as status, their source as vendor."""
+    flat = t.documents.select(
+        F.concat(F.lit("CVE-"), "doc_id").alias("cve"), F.col("lang").alias("Status"), F.when(F.col("source").isNotNull(), F.array("source")).alias("vendors"), F.col("text").alias("Description"),
+        F.col("n_chars").alias("AffectedVersionsCount"), (F.col("n_chars") % 100).alias("Comments"), (F.col("n_chars") % 10).cast("double").alias("CVSS_score"),
+    )
+    return K.cve_features(flat, STOP, 5)[0].withColumn("value", F.round("value", 6))
 
 
 @query("split_labels", f"with {TRIPLES} select entity, feature, value from triples where starts_with(feature, 'exploits_')")
@@ -237,23 +275,40 @@ def day_deltas(t: Tables) -> DataFrame:
 
 @query(
     "enrich_full",
-    """with f as (select o_orderkey as entity, 'line_returnflag_enum_' || lower(l_returnflag) as feature, 1.0::double as v from lineitem join orders on l_orderkey = o_orderkey),
-    n as (select o_orderkey as entity, 'line_quantity' as feature, sum(l_quantity) as value from lineitem join orders on l_orderkey = o_orderkey group by 1),
-    d as (select o_orderkey as entity, 'delta_days_ship' as feature, date_diff('day', min(o_orderdate)::date, min(l_shipdate)::date)::double as value from lineitem join orders on l_orderkey = o_orderkey group by 1),
-    l as (select o_orderkey as entity, 'label_big' as feature, max((o_totalprice > 250000)::int)::double as value from orders group by 1)
-    select entity, feature, 1.0::double as value from f group by 1, 2 union all select entity, feature, round(value, 4) from n union all select * from d union all select * from l""",
+    """with r as (select 'CVE-' || c_custkey as entity, c_custkey, date '1995-01-01' + (c_custkey % 1000)::int as published, c_acctbal from customer),
+    w as (select o_custkey as c, o_orderkey as k, o_orderdate::date as day, 'cwe_status_enum_' || lower(o_orderstatus) as e, o_totalprice as n from orders),
+    a as (select o_custkey as c, l_suppkey % 25 as k, date '1996-01-01' + (l_suppkey % 25)::int as day from orders join lineitem on o_orderkey = l_orderkey),
+    o as (select user_id as c, max((event_type = 'purchase')::int) as hp, max((event_type <> 'purchase')::int) as hv, min(case when event_type = 'purchase' then ts::date end) as patch, min(case when event_type <> 'purchase' then ts::date end) as oval from events group by 1),
+    x as (select user_id as c, min(ts::date) as day, max((value > 50)::int) as v from events where event_type = 'error' group by 1),
+    first as (select entity, published, (select min(day) from w where c = c_custkey) as cwe, (select min(day) from a where c = c_custkey) as capec, o.oval, o.patch, hp, hv, x.day as exploit, x.v from r left join o on o.c = c_custkey left join x on x.c = c_custkey),
+    d as (select entity, unnest([('cwe', cwe), ('capec', capec), ('oval', oval), ('patch', patch), ('proposed', published - 5), ('assigned', null)]) as z, published from first)
+    select entity, 'balance' as feature, c_acctbal as value from r
+    union all select entity, e, 1.0 from r join w on c = c_custkey group by 1, 2
+    union all select entity, 'cwe_price', round(sum(n), 2) from r join w on c = c_custkey group by 1
+    union all select entity, 'capec_region_enum_' || n_regionkey, 1.0 from r join a on c = c_custkey join nation on n_nationkey = k group by 1, 2
+    union all select entity, 'capec_nations', count(*) from r join a on c = c_custkey group by 1
+    union all select entity, 'oval_has_patch', hp from first where hp is not null union all select entity, 'oval_has_vuln_oval', hv from first where hv is not null
+    union all select entity, 'delta_days_' || z[1], coalesce(date_diff('day', published, z[2]), 0) from d
+    union all select entity, 'exploits_has', (exploit is not null)::int from first union all select entity, 'exploits_verified', coalesce(v, 0) from first
+    union all select entity, 'exploits_delta_days', coalesce(date_diff('day', published, exploit), 0) from first""",
 )
 def enrich_full(t: Tables) -> DataFrame:
-    """Records (orders) with folded features of their children (lineitem), day delta and label."""
-    orders = t.orders.select(F.col("o_orderkey").alias("entity"), F.to_date("o_orderdate").alias("published"), "o_totalprice")
-    line = t.lineitem.join(orders.select("entity", "published"), F.col("l_orderkey") == F.col("entity"))
-    flags = line.select("entity", "l_linenumber", X.feature_name("returnflag", F.col("l_returnflag")).alias("feature"), F.lit(1.0).alias("v"))
-    enums = E.prefixed(E.enum_fold(flags, ["entity", "feature"], "l_linenumber", "v"), "line_")
-    numbers = E.prefixed(E.numeric_fold(line.withColumn("feature", F.lit("quantity")), ["entity", "feature"], "l_quantity"), "line_").withColumn("value", F.round("value", 4))
-    first = line.groupBy("entity").agg(F.min("published").alias("p"), F.min(F.to_date("l_shipdate")).alias("s"))
-    delta = first.select("entity", F.lit("delta_days_ship").alias("feature"), E.day_deltas(F.col("p"), ship=F.col("s"))["delta_days_ship"].cast("double").alias("value"))
-    label = E.label_any(orders, "entity", t.orders, "o_orderkey", big=F.col("o_totalprice") > 250000).select("entity", F.lit("label_big").alias("feature"), F.col("big").cast("double").alias("value"))
-    return enums.unionByName(numbers).unionByName(delta).unionByName(label)
+    """Whole enrichment: customers as records, their orders as weaknesses, the orders' suppliers' nations as attack patterns, events as definitions and exploits."""
+    day = lambda base, n: F.date_add(F.lit(base).cast("date"), n.cast("int"))
+    patterns = t.lineitem.groupBy("l_orderkey").agg(F.collect_list((F.col("l_suppkey") % 25).cast("int")).alias("Related_Attack_Patterns"))
+    cwe = t.orders.join(patterns, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("cwe"), "Related_Attack_Patterns", F.to_date("o_orderdate").alias("submittedDate"))
+    capec = t.nation.select(F.col("n_nationkey").cast("int").alias("capec"), day("1996-01-01", F.col("n_nationkey")).alias("submittedDate"))
+    triple = lambda df, key, *parts: df.select(F.col(key).alias("entity"), F.explode(F.array(*(F.struct(f.alias("feature"), v.cast("double").alias("value")) for f, v in parts))).alias("f")).select("entity", "f.*")
+    weak = triple(t.orders, "o_orderkey", (X.feature_name("status", F.col("o_orderstatus")), F.lit(1)), (F.lit("price"), F.col("o_totalprice")))
+    attack = triple(t.nation.withColumn("k", F.col("n_nationkey").cast("int")), "k", (X.feature_name("region", F.col("n_regionkey").cast("string")), F.lit(1)), (F.lit("nations"), F.lit(1)))
+    ids = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("CWEs"))
+    published = day("1995-01-01", F.col("c_custkey") % 1000)
+    records = t.customer.join(ids, "c_custkey", "left").select(
+        F.concat(F.lit("CVE-"), "c_custkey").alias("cve"), "CWEs", published.alias("published"), F.date_sub(published, 5).alias("proposed"), F.lit(None).cast("date").alias("assigned"), "c_acctbal"
+    )
+    own = triple(records, "cve", (F.lit("balance"), F.col("c_acctbal")))
+    full = K.enrich_data(records, own, cwe, weak, capec, attack, K.oval_features(_ovals(t)), K.exploit_features(_exploits(t)))
+    return full.withColumn("value", F.round("value", 2))
 
 
 @query("semi_labeled", "select doc_id from documents where doc_id in (select doc_id from labels where toxic = 1)")

@@ -14,8 +14,10 @@ JSON_FEED = """CVE_data_version string, CVE_data_timestamp string, CVE_Items arr
     description: struct<description_data: array<struct<value: string>>>>,
   configurations: struct<nodes: array<struct<cpe_match: array<struct<vulnerable: boolean, cpe23Uri: string>>, children: array<struct<cpe_match: array<struct<vulnerable: boolean, cpe23Uri: string>>>>>>>,
   impact: struct<
-    baseMetricV2: struct<cvssV2: struct<version: string, baseScore: double, accessVector: string>, exploitabilityScore: double, impactScore: double>,
-    baseMetricV3: struct<cvssV3: struct<version: string, baseScore: double, attackVector: string>, exploitabilityScore: double, impactScore: double>>,
+    baseMetricV2: struct<cvssV2: struct<version: string, vectorString: string, baseScore: double, accessVector: string, accessComplexity: string, authentication: string,
+      confidentialityImpact: string, integrityImpact: string, availabilityImpact: string>, severity: string, exploitabilityScore: double, impactScore: double>,
+    baseMetricV3: struct<cvssV3: struct<version: string, vectorString: string, baseScore: double, baseSeverity: string, attackVector: string, attackComplexity: string, privilegesRequired: string,
+      userInteraction: string, scope: string, confidentialityImpact: string, integrityImpact: string, availabilityImpact: string>, exploitabilityScore: double, impactScore: double>>,
   publishedDate: string, lastModifiedDate: string>>"""
 
 
@@ -33,14 +35,23 @@ def read_json_feed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+#: Names of the severity fields and where each version has them.
+SEVERITY_2 = {
+    "CVSS_version": "cvssV2.version", "CVSS_score": "cvssV2.baseScore", "CVSS_AV": "cvssV2.accessVector", "CVSS_AC": "cvssV2.accessComplexity", "CVSS_AuPR": "cvssV2.authentication",
+    "CVSS_C": "cvssV2.confidentialityImpact", "CVSS_I": "cvssV2.integrityImpact", "CVSS_A": "cvssV2.availabilityImpact", "CVSS_exploitabilityScore": "exploitabilityScore", "CVSS_impactScore": "impactScore",
+}
+SEVERITY_3 = {
+    "CVSS_version": "cvssV3.version", "CVSS_score": "cvssV3.baseScore", "CVSS_AV": "cvssV3.attackVector", "CVSS_AC": "cvssV3.attackComplexity", "CVSS_AuPR": "cvssV3.privilegesRequired", "CVSS_UI": "cvssV3.userInteraction",
+    "CVSS_S": "cvssV3.scope", "CVSS_C": "cvssV3.confidentialityImpact", "CVSS_I": "cvssV3.integrityImpact", "CVSS_A": "cvssV3.availabilityImpact", "CVSS_exploitabilityScore": "exploitabilityScore", "CVSS_impactScore": "impactScore",
+}
+
+
 def severity(impact: str = "impact") -> dict[str, Column]:
-    """Severity fields of both versions, for project_severity."""
+    """Severity fields of both versions, 10 and 12, for records of read_json_feed; version 3 wins."""
     from ..operators.merge import project_severity
 
-    f = lambda p: F.col(f"{impact}.{p}")
-    v2 = {"CVSS_version": f("baseMetricV2.cvssV2.version"), "CVSS_score": f("baseMetricV2.cvssV2.baseScore"), "CVSS_AV": f("baseMetricV2.cvssV2.accessVector"), "CVSS_impactScore": f("baseMetricV2.impactScore")}
-    v3 = {"CVSS_version": f("baseMetricV3.cvssV3.version"), "CVSS_score": f("baseMetricV3.cvssV3.baseScore"), "CVSS_AV": f("baseMetricV3.cvssV3.attackVector"), "CVSS_impactScore": f("baseMetricV3.impactScore")}
-    return project_severity(v2, v3)
+    at = lambda names, base: {n: F.col(f"{impact}.{base}.{p}") for n, p in names.items()}
+    return project_severity(at(SEVERITY_2, "baseMetricV2"), at(SEVERITY_3, "baseMetricV3"))
 
 
 def as_array(col: str, schema: T.StructType) -> Column:
@@ -73,12 +84,31 @@ def read_oval(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def clean_nested(df: DataFrame, drop_keys: tuple[str, ...] = ("br", "style")) -> DataFrame:
-    """Nested fields of the given names removed everywhere; empty texts, lists and structs without any value become null. Walks the schema, not the data."""
+#: Fields of text markup, which stand for what they hold.
+MARKUP = ("p", "li", "ul", "ol", "div", "i", "b", "class")
+
+
+def clean_nested(df: DataFrame, drop_keys: tuple[str, ...] = ("br", "style"), text_keys: tuple[str, ...] = MARKUP) -> DataFrame:
+    """Nested fields of the given names removed everywhere; empty texts, lists and structs without any value become null. A struct of text markup only (fields of
+    text_keys and its own text) becomes one list of the texts it holds, in the schema's order. Walks the schema, not the data."""
+
+    def texts(col: Column, kind: T.DataType) -> Column:
+        """All texts inside, as a list."""
+        none = F.array().cast("array<string>")
+        if isinstance(kind, T.StructType):
+            parts = [texts(col[f.name], f.dataType) for f in kind.fields if f.name not in drop_keys]
+            return F.coalesce(F.concat(*parts), none) if parts else none
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.flatten(F.transform(col, lambda x: texts(x, kind.elementType))), none)
+        text = F.trim(col.cast("string"))
+        return F.when(F.coalesce(text, F.lit("")) != "", F.array(text)).otherwise(none)
 
     def clean(col: Column, kind: T.DataType) -> Column:
         if isinstance(kind, T.StructType):
             kept = [f for f in kind.fields if f.name not in drop_keys]
+            if any(f.name in text_keys for f in kept) and all(f.name in (*text_keys, "_VALUE") for f in kept):
+                found = texts(col, kind)
+                return F.when(F.size(found) > 0, found)
             if not kept:
                 return F.lit(None).cast("string")
             parts = {f.name: clean(col[f.name], f.dataType) for f in kept}
