@@ -5,9 +5,9 @@ Suffixes start at words. A repeat of `window` words or more is an internal node
 1. Prefix plan: occurrences of prefixes of 1, 2, 4 and 8 words are counted over all text, in 4096 hashed bins a length, so the
    plan has the same size for any input. A suffix belongs to the shortest of its prefixes whose bin is small against `group`, else to
    its whole window: frequent prefixes are split by further words until the parts fit in memory.
-2. Every task drops the windows that it has seen in an earlier document or place (they are repeats whatever happens elsewhere; the last SEEN
-   windows are remembered) and deals the others to the partitions of their prefixes, as packed columns: path label (64 bits), document, start. A window that
-   a third of all documents share thus leaves a task about once, and a partition is sent only the documents that it has leaves of.
+2. Every batch of text drops the windows that it holds already (they are repeats whatever happens elsewhere) and deals the others to
+   the partitions of their prefixes, as packed columns: path label (64 bits), document, start. A window that a third of all
+   documents share thus leaves a batch once, and a partition is sent only the documents that it has leaves of.
 3. A partition sorts its leaves by path label; common prefixes of neighbours are the internal nodes of its subtree. Nodes at depth
    `window` are deep: all their leaves but the earliest start a repeat.
 4. Starts go back to their documents, where starts that follow one another are joined into maximal repeats; their words are cut out of the whole text.
@@ -30,8 +30,6 @@ from .common import WordHashes, mixed, saved, slices, small_batches, word_hashes
 BINS = 4096
 #: Words of text that are worked on at once.
 STEP = 500_000
-#: Windows that a task remembers, 16 bytes each.
-SEEN = 4_000_000
 #: Key of every row where no id stands twice.
 ONLY = 0
 
@@ -190,7 +188,6 @@ def repeats(docs: DataFrame, window: int, group: int) -> DataFrame:
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-windows // group))
 
     def deal(batches):
-        seen, owner = np.empty(0, np.uint64), np.empty(0, np.int64)  # labels in order, and the smallest id that each was dealt with
         for starts, h, ids, keys in _steps(batches, WordHashes(), ("id", "key")):
             at = _places(starts, window)
             if not len(at):
@@ -199,21 +196,7 @@ def repeats(docs: DataFrame, window: int, group: int) -> DataFrame:
             label = hashes[window][at] & np.uint64(0x0000FFFFFFFFFFFF) | hashes[inner][at] & np.uint64(0xFFFF000000000000)
             order = np.argsort(label, kind="stable")
             _, again = _deep_nodes(label[order])
-            first = order[~again]
-            own, by = label[first], ids[np.searchsorted(starts, at[first], "right") - 1]
-            where = np.minimum(np.searchsorted(seen, own), max(0, len(seen) - 1))
-            known = seen[where] == own if len(seen) else np.zeros(len(own), bool)
-            late = known.copy()
-            late[known] = by[known] > owner[where[known]]
-            owner[where[known]] = np.minimum(owner[where[known]], by[known])
-            new, new_owner = own[~known], by[~known]
-            if len(seen) + len(new) > SEEN:
-                seen, owner = new, new_owner
-            else:
-                seen, owner = np.concatenate([seen, new]), np.concatenate([owner, new_owner])
-                merge = np.argsort(seen, kind="stable")
-                seen, owner = seen[merge], owner[merge]
-            cut, keep = np.sort(np.concatenate([order[again], first[late]])), np.sort(first[~late])
+            cut, keep = np.sort(order[again]), np.sort(order[~again])
             if len(cut):
                 doc = np.searchsorted(starts, at[cut], "right") - 1
                 own = _bundles(ids, keys, doc, at[cut] - starts[doc], parts)
@@ -343,7 +326,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = _keyed(docs.drop("n_words", "n_removed", "kept_text"), id_col, text_col)
     plain = keyed.select(F.col("__id").alias("id"), F.col("__key").alias("key"), F.col(text_col).cast("string").alias("text"))
     found = saved(repeats(plain, window, group), "repeats")
-    of_doc = found.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("starts").alias("__starts"), F.col("lengths").alias("__lengths"))
+    # sorted on both sides whatever the sizes: a plan that doesn't turn with the input's size
+    of_doc = found.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("starts").alias("__starts"), F.col("lengths").alias("__lengths")).hint("merge")
     schema = T.StructType([*(f for f in keyed.schema if f.name not in ("__id", "__key")), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def cut(batches):
