@@ -14,6 +14,8 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
+import string
 import struct
 import unicodedata
 
@@ -63,6 +65,8 @@ class Vocabulary:
         for token in self.ids:
             body = token[: len(token) - len(self.end)] if self.end and token.endswith(self.end) else token
             self.inside.update(zip(body, body[1:], strict=False))
+        #: finds a cut between small letters; words of small letters are most of a text
+        self.letter_cut = re.compile("|".join(a + b for a in string.ascii_lowercase for b in string.ascii_lowercase if (a, b) not in self.inside) or "(?!)").search
 
 
 @functools.lru_cache(maxsize=1)
@@ -99,12 +103,12 @@ class Memo(dict):
 
 
 class Encoder:
-    """Encodes texts; keeps what it has met, up to some 3 * `limit` short texts (120 MB), for the time of a task."""
+    """Encodes texts; keeps what it has met, up to some 3 * `limit` short texts (240 MB at the most), for the time of a task."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 400_000):
         import regex
 
-        self.v = vocabulary
+        self.v, self.none = vocabulary, len(vocabulary.rank)
         self.pattern = regex.compile(vocabulary.pattern)
         spans = [x.split("-") for x in NEWER.split()]
         self.newer = regex.compile("[" + "".join(f"{chr(int(x[0], 16))}-{chr(int(x[-1], 16))}" for x in spans) + "]")
@@ -118,19 +122,22 @@ class Encoder:
         parts = list(letters)
         if last:
             parts[-1] += self.v.end
-        rank, none = self.v.rank.get, len(self.v.rank)
         if len(parts) > 100:
             parts = self._merged_long(parts)
         else:
-            ranks = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
-            while ranks and (best := min(ranks)) < none:
+            rank, none = self.v.rank.get, self.none
+            ranks = [rank(p, none) for p in zip(parts, parts[1:])]  # noqa: B905
+            while ranks:
+                best = min(ranks)
+                if best == none:
+                    break
                 k = ranks.index(best)
-                parts[k] += parts.pop(k + 1)
+                merged = parts[k] = parts[k] + parts.pop(k + 1)
                 del ranks[k]
                 if k < len(ranks):
-                    ranks[k] = rank((parts[k], parts[k + 1]), none)
+                    ranks[k] = rank((merged, parts[k + 1]), none)
                 if k:
-                    ranks[k - 1] = rank((parts[k - 1], parts[k]), none)
+                    ranks[k - 1] = rank((parts[k - 1], merged), none)
         ids = self.v.ids
         return [ids[p] for p in parts]
 
@@ -157,7 +164,11 @@ class Encoder:
 
     def word(self, piece: str) -> bytes:
         """Ids (packed) of one piece: cut at byte pairs that stand in no token, each fragment alone."""
-        letters = piece if piece.isascii() and piece.isprintable() else "".join([self.v.letters[b] for b in piece.encode("utf-8")])
+        plain = piece.isascii()
+        if plain and piece.isalpha() and piece.islower() and not self.v.letter_cut(piece):
+            ids = self.merged(piece, True)
+            return struct.pack(f"<{len(ids)}I", *ids)
+        letters = piece if plain and piece.isprintable() else "".join([self.v.letters[b] for b in piece.encode("utf-8")])
         inside, end = self.v.inside, len(letters)
         cut = [k for k, pair in enumerate(zip(letters, letters[1:], strict=False), 1) if pair not in inside]
         if not cut:
