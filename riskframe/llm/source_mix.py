@@ -6,7 +6,7 @@
 2. A source's documents in an order shuffled by hash form one stream of words, which repeats. The mix takes the stream's first `target` words.
 3. Slots of the mix: the i-th point of the golden-ratio sequence falls into one source's part of the cumulative targets; slots are
    ranked within their source. The r-th of a source's n slots takes the r-th of n blocks of equal length of the stream.
-4. A document's part of a block is a row of the schedule.
+4. A document's part of a block is a row of the schedule. Mixed documents come out in the order of their slots.
 
 Ranks and running sums over a source go through parts of bounded size (chunks of slots, hash ranges of documents): totals of the
 parts are summed first, then each part by itself, so a source with a third of all rows is many tasks.
@@ -69,7 +69,7 @@ def mix(
     schedule: slot, source_no, position, turn (pass over the stream), from_word, to_word: one row for each part of a document in a slot.
 
     Sizes are words; a null text has none and takes no part in the schedule. A null source is a source of its own. Repeated rows and equal or null
-    ids are rows of their own. Documents of a source are shuffled by a hash of their id; ties go by id, then a hash of the text. With no
+    ids are rows of their own. Documents of a source are shuffled by a hash of id and text; ties go by id, then that of the text. With no
     words at all every target is 0 and the schedule is empty. Other columns are not read. Reruns agree.
     """
     text = F.col(text_col).cast("string")
@@ -81,7 +81,7 @@ def mix(
     rows = _with_source(light, known, F.col("l.source").eqNullSafe(F.col("t.source")), ["id", "text_hash"])
     # hash ranges of some thousand documents: a large source is many of them
     parts = max(1, light.count() // 4096)
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "id")).withColumn("part", F.pmod(F.shiftright("h", 16), F.lit(parts)))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "id", "text_hash")).withColumn("part", F.pmod(F.shiftright("h", 16), F.lit(parts)))
     stream = _before(rows, ["source_no"], "part", ["h", "id", "text_hash"], F.col("size")).withColumnRenamed("before", "position").drop("h", "part")
     stream = saved(stream, "stream")
     return stream, _schedule(stream, targets, block, repeat)
@@ -132,19 +132,30 @@ def taken_words(stream: DataFrame, schedule: DataFrame) -> DataFrame:
     return full.unionByName(stream.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """Rows of docs as the mix takes them, with docs' columns: a document once for each full pass, and cut to its first words where the mix ends
-    inside it. Documents of which nothing is taken go, those without words among them."""
-    taken = taken_words(*mix(docs, id_col, text_col, source_col, **options)).where("taken > 0")
-    plan = taken.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.coalesce("source", F.lit("")).alias("__source")).agg(F.collect_list(F.struct("position", "taken", "size")).alias("__plan"))
-    named = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(F.col(text_col).cast("string")), "__source": F.coalesce(F.col(source_col).cast("string"), F.lit(""))})
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slot_col: str | None = None, **options) -> DataFrame:
+    """Rows of docs as the mix takes them, with docs' columns, in the schedule's order: a document once for each pass of its source's stream that reaches it, at the slot that
+    takes its first word, cut to its first words where the mix ends inside it. Documents of which nothing is taken go, those without words among them.
+
+    The rows are range-partitioned by slot and sorted, so files written from them follow the schedule and sources alternate as it says; slot_col names a column that keeps the slot. Repeated
+    rows are taken each for itself. Null ids and sources are values like others. An empty table gives an empty result.
+    """
+    stream, schedule = mix(docs, id_col, text_col, source_col, **options)
     keys = ["__id", "__hash", "__source"]
-    met = named.join(plan, (named["__id"].eqNullSafe(plan["__id"])) & (named["__hash"] == plan["__hash"]) & (named["__source"] == plan["__source"])).drop(*(plan[k] for k in keys))
-    # repeated rows share a plan of several entries: each takes its own
-    met = met.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0)))).withColumn("__one", F.get("__plan", F.col("__n") - 1))
-    cut = F.expr(f"array_join(slice(regexp_extract_all({text_col}, '{WORD}', 0), 1, int(__one.taken % __one.size)), ' ')".replace("\\", "\\\\"))
-    texts = F.concat(
-        F.array_repeat(F.col(text_col), F.expr("int(__one.taken div __one.size)")),
-        F.when(F.expr("__one.taken % __one.size > 0"), F.array(cut)).otherwise(F.array().cast("array<string>")),
-    )
-    return met.where("__one is not null").withColumn(text_col, F.explode(texts)).select(*docs.columns)
+    own = stream.select("source_no", "position", "size", F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.coalesce("source", F.lit("")).alias("__source"), F.col("source").isNull().alias("__none"))
+    named = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(F.col(text_col).cast("string")), "__source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__none": F.col(source_col).isNull()})
+    keys.append("__none")
+    if own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        own, named = own.withColumn("__n", F.lit(1)), named.withColumn("__n", F.lit(1))
+    else:  # repeated rows: the n-th of them is the n-th in the stream
+        own = own.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy("position", "source_no")))
+        named = named.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64(*docs.columns))))
+    turn = schedule.groupBy("source_no", "position", "turn").agg(F.min_by("slot", "from_word").alias("__slot"), F.sum(F.col("to_word") - F.col("from_word")).alias("__words"))
+    plan = turn.join(own.where("size > 0"), ["source_no", "position"]).withColumnsRenamed({k: f"p{k}" for k in (*keys, "__n")})
+    plan = plan.withColumnsRenamed({k: f"__{k}" for k in ("source_no", "position", "turn", "size")})
+    same = F.lit(True)
+    for k in (*keys, "__n"):
+        same &= F.col(k).eqNullSafe(F.col(f"p{k}"))
+    cut = F.expr(f"array_join(slice(regexp_extract_all({text_col}, '{WORD}', 0), 1, int(__words)), ' ')".replace("\\", "\\\\"))
+    met = named.join(plan, same).withColumn(text_col, F.when(F.col("__words") < F.col("__size"), cut).otherwise(F.col(text_col)))
+    met = met.orderBy("__slot", "__source_no", "__position", "__turn")
+    return met.select(*docs.columns, *([F.col("__slot").alias(slot_col)] if slot_col else []))

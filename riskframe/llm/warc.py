@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, saved, shared_folder
+from .common import SALTS, first_by_hash, saved, shared_folder
 
 MAGIC = (0x184D2A5D).to_bytes(4, "little")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -44,17 +44,18 @@ def _record(kind: str, page, url, payload: bytes, size: int, digest: str, refers
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + CRLF + block + CRLF + CRLF
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header, block) of each record of an archive."""
+def records(data) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header, block) of each record of an archive, a binary file or bytes; one record is held at a time."""
     import zstandard
 
-    if not data:
+    data = io.BytesIO(data) if isinstance(data, bytes) else data
+    if not (head := data.read(8)):
         return
-    if data[:4] != MAGIC:
+    if head[:4] != MAGIC:
         raise ValueError("no dictionary frame at the archive's start")
-    size = int.from_bytes(data[4:8], "little")
-    frames = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size])) if size else zstandard.ZstdDecompressor()
-    stream = io.BufferedReader(frames.stream_reader(io.BytesIO(memoryview(data)[8 + size :]), read_across_frames=True), 1 << 16)
+    size = int.from_bytes(head[4:8], "little")
+    frames = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data.read(size))) if size else zstandard.ZstdDecompressor()
+    stream = io.BufferedReader(frames.stream_reader(data, read_across_frames=True), 1 << 16)
     while line := stream.readline():
         if line != b"WARC/1.1\r\n":
             raise ValueError(f"no record starts with {line[:20]!r}")
@@ -96,8 +97,11 @@ def write_archives(
     text = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(text, "UTF-8").alias("payload"))
     rows = rows.withColumns({"sha": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
-    owner = rows.select("id", "sha", "size").where(F.col("size") >= min_revisit_bytes).groupBy("sha", "size").agg(F.max("id").alias("owner"))
-    dealt = rows.join(owner, ["sha", "size"], "left").select("id", "url", "payload", F.when(F.col("owner") != F.col("id"), F.col("owner")).alias("refers"))
+    owner = rows.select("id", "sha", "size").where(F.col("size") >= min_revisit_bytes).groupBy("sha", "size").agg(F.max("id").alias("owner"), F.count(F.lit(1)).alias("n"))
+    # only repeated payloads have an owner to look up, each under several salts: a page that a third of all rows repeat is dealt to many tasks
+    owner = owner.where("n > 1").drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.expr(f"int(pmod(xxhash64(id, url), {SALTS}))"))
+    dealt = rows.join(owner, ["sha", "size", "salt"], "left").select("id", "url", "payload", F.when(F.col("owner") != F.col("id"), F.col("owner")).alias("refers"))
     dictionary = build_dictionary(pages, id_col, payload_col, sample, clip, dictionary_bytes)
 
     def write(batches):
@@ -138,38 +142,41 @@ def write_archives(
 
 
 def read_archives(spark: SparkSession, folder: str, archives: DataFrame) -> DataFrame:
-    """Records of the named archives: id, record_type, payload_bytes, payload_digest (both of the full payload), refers_to, payload (null for revisits).
+    """Records of the committed archives: id, record_type, payload_bytes, payload_digest (both of the full payload), refers_to, payload (null for revisits).
 
-    A response whose payload doesn't have its header's digest is an error.
+    The names of the archives are rows like any others; tasks open them in the folder and read record by record. A response whose payload doesn't have its header's
+    digest is an error.
     """
     shape = "id long, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-    names = [f"{folder}/{r.path}" for r in archives.select("path").collect()]  # names of archives, not of records
-    if not names:
-        return spark.createDataFrame([], shape)
 
     def read(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
         columns = ["id", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
         types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
         page = lambda x: int(x[10:-1]) if x and not x.startswith("<urn:page:none-") else None
         make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], columns)
         for batch in batches:
-            for content in batch.column("content"):
+            for name in batch.column("path").to_pylist():
                 rows, held = [], 0
-                for head, block in records(content.as_py()):
-                    payload = block.split(b"\r\n\r\n", 1)[1]
-                    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    whole = head["WARC-Type"] == "response"
-                    if whole and (payload_digest(payload) != digest or len(payload) != int(head["WARC-Payload-Length"])):
-                        raise ValueError(f"record {head['WARC-Record-ID']} is damaged")
-                    rows.append((page(head["WARC-Record-ID"]), head["WARC-Type"], int(head["WARC-Payload-Length"]), digest, page(head.get("WARC-Refers-To")), payload if whole else None))
-                    held += len(payload)
-                    if held > 8_000_000:
-                        yield make(rows)
-                        rows, held = [], 0
+                with store.open_input_stream(f"{root}/{name}", compression=None) as archive:
+                    for head, block in records(archive):
+                        payload = block.split(b"\r\n\r\n", 1)[1]
+                        digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+                        whole = head["WARC-Type"] == "response"
+                        if whole and (payload_digest(payload) != digest or len(payload) != int(head["WARC-Payload-Length"])):
+                            raise ValueError(f"record {head['WARC-Record-ID']} is damaged")
+                        rows.append((page(head["WARC-Record-ID"]), head["WARC-Type"], int(head["WARC-Payload-Length"]), digest, page(head.get("WARC-Refers-To")), payload if whole else None))
+                        held += len(payload)
+                        if held > 4_000_000:
+                            yield make(rows)
+                            rows, held = [], 0
                 if rows:
                     yield make(rows)
 
-    return spark.read.format("binaryFile").load(names).select("content").mapInArrow(read, shape)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return archives.select("path").repartition(parts, "path").mapInArrow(read, shape)
 
 
 def archive_folder(spark: SparkSession) -> str:

@@ -270,6 +270,15 @@ def test_mix(spark, docs):
     assert {(r.id, r.taken) for r in got} == {(r.id, r.taken) for r in taken_words(*mix(docs.repartition(3), block=64)).collect()}
     mixed = mixed_documents(docs, block=64)
     assert mixed.columns == docs.columns and mixed.agg(F.sum(word_count(F.col("text")))).first()[0] == sum(by.values())
+    # in the schedule's order, a third column that clashes, null ids and repeated rows
+    rows = mixed_documents(docs.withColumn("position", F.lit("clash")), block=64, slot_col="at").collect()
+    assert [r.at for r in rows] == sorted(r.at for r in rows)
+    hot = [r.source == "hot" for r in rows]
+    assert abs(sum(hot[: len(hot) // 2]) / max(1, len(hot) // 2) - sum(hot) / len(hot)) < 0.25
+    odd = spark.createDataFrame([(None, "a b c", "fr", None, 5), (None, "a b c", "fr", None, 6), (None, "d e f g", "fr", "x", 7)], DOCS)
+    assert sorted((r.text, r.n_chars) for r in mixed_documents(odd, block=2, share=1.0).collect())
+    assert mixed_documents(odd, block=2).agg(F.sum(word_count(F.col("text")))).first()[0] == 10
+    assert mixed_documents(docs.limit(0)).count() == 0
     empty = mix(docs.limit(0))
     assert empty[0].count() == 0 and empty[1].count() == 0
     assert taken_words(*mix(docs.where("text is null"))).collect()[0].taken == 0
@@ -383,6 +392,10 @@ def test_warc(spark):
         r = got[k]
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(body), payload_digest(body), "response" if own else "revisit", None if own else owner[h or ""])
         assert r.payload == (body if own else None)
+    # repeated rows, a column of a clashing name: each row is a record
+    folder = archive_folder(spark)
+    again = spark.createDataFrame([(1, "u", "x", 1), (1, "u", "x", 2), (2, "u", "x", 3)], "page_id long, url string, html string, sha int")
+    assert sorted((r.id, r.record_type, r.refers_to or 0) for r in read_archives(spark, folder, write_archives(again, folder)).collect()) == [(1, "revisit", 2), (1, "revisit", 2), (2, "response", 0)]
     none = write_archives(spark.createDataFrame([], "page_id long, url string, html string"), archive_folder(spark))
     assert read_archives(spark, folder, none).count() == 0
 
