@@ -34,11 +34,21 @@ NEWER = """558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2
 3d000-3fc3f"""
 
 
+#: Combining marks that are younger than the tokenizers library's table of marks; it doesn't put them in order.
+MARKS = """7fd 898-89f 8ca-8d3 9fe c3c d3b-d3c eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50 10f82-10f85
+11070 1133b 1145e 11839-1183a 1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45 11d97 11f41-11f42 16ff0-16ff1 1e08f
+1e130-1e136 1e2ae 1e2ec-1e2ef 1e4ec-1e4ef"""
 #: Capitals that came after Unicode 15.1, Python's tables, and their small letters, which the tokenizers library knows.
 LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 
 
+def _one_of(spans: str) -> str:
+    """Pattern of one character out of spans of code points."""
+    both = [x.split("-") for x in spans.split()]
+    return "[" + "".join(f"{chr(int(x[0], 16))}-{chr(int(x[-1], 16))}" for x in both) + "]"
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, the others by code points from 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -103,19 +113,26 @@ class Memo(dict):
 
 
 class Encoder:
-    """Encodes texts; keeps what it has met, up to some 3 * `limit` short texts (240 MB at the most), for the time of a task."""
+    """Encodes texts; keeps the ids of pieces it has met, up to 2 * `limit` short ones (some 200 MB at the most), for the time of a task."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 400_000):
+    #: Texts of letters below this code point are cut into pieces by sets of characters, others by Unicode properties.
+    NEAR = 0x250
+
+    def __init__(self, vocabulary: Vocabulary, limit: int = 500_000):
         import regex
 
         self.v, self.none = vocabulary, len(vocabulary.rank)
         self.pattern = regex.compile(vocabulary.pattern)
-        spans = [x.split("-") for x in NEWER.split()]
-        self.newer = regex.compile("[" + "".join(f"{chr(int(x[0], 16))}-{chr(int(x[-1], 16))}" for x in spans) + "]")
-        self.space = regex.compile(r"\s+").split
+        self.newer, self.marks = re.compile(_one_of(NEWER)), re.compile(f"({_one_of(MARKS)})")
+        self.capital = regex.compile("[" + "".join(map(chr, LOWER)) + "]").search
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(vocabulary.added, key=len, reverse=True)) + ")") if vocabulary.added else None
-        self.odd = regex.compile(r"[\x1c-\x1f\x85]")  # str.split() and the tokenizer's \s differ on some of these
-        self.chunks, self.words = Memo(self.chunk, limit // 2), Memo(self.word, limit)
+        # the same pattern with its properties written out for near characters
+        near = vocabulary.pattern
+        for name in (r"\s", r"\p{L}", r"\p{N}"):
+            match = regex.compile(name).fullmatch
+            near = near.replace(name, "".join(re.escape(chr(c)) for c in range(self.NEAR) if match(chr(c))))
+        self.near, self.far = re.compile(near).findall, re.compile(f"[^\\x00-{chr(self.NEAR - 1)}]").search
+        self.words = Memo(self.word, limit)
 
     def merged(self, letters: str, last: bool) -> list[int]:
         """Ids of one fragment: the leftmost of the lowest-ranked adjacent pairs is merged until none has a rank."""
@@ -180,20 +197,28 @@ class Encoder:
 
     def pieces(self, text: str) -> list[str]:
         """Pieces by the tokenizer's rule."""
-        if text.isascii() or not self.newer.search(text):
+        if not self.far(text):
+            return self.near(text)
+        if not self.newer.search(text):
             return self.pattern.findall(text)
         plain = self.newer.sub("\ufffc", text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(plain)]
 
-    def chunk(self, text: str) -> bytes:
-        """Ids (packed) of text without white space or added tokens inside."""
-        # lower case letter by letter: a capital sigma has no final form here
-        plain = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().translate(LOWER)
-        return b"".join(map(self.words.__getitem__, self.pieces(plain)))
+    def composed(self, text: str) -> str:
+        """NFC as the library has it: younger marks stay where they are."""
+        if self.far(text) and self.marks.search(text):
+            return "".join([unicodedata.normalize("NFC", x) for x in self.marks.split(text)])
+        return unicodedata.normalize("NFC", text)
 
     def plain(self, text: str) -> bytes:
-        words = [x for x in self.space(text) if x] if self.odd.search(text) else text.split()
-        return b"".join(map(self.chunks.__getitem__, words))
+        """Ids (packed) of a text without added tokens."""
+        if text.isascii():
+            text = text.lower()
+        else:
+            # lower case letter by letter: a capital sigma has no final form here
+            text = self.composed(text).replace("Σ", "σ").lower()
+            text = text.translate(LOWER) if self.capital(text) else text
+        return b"".join(map(self.words.__getitem__, self.pieces(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers. Strings of added tokens are those tokens."""

@@ -303,6 +303,21 @@ def test_bpe_matches_the_library(spark, docs):
     assert encode_texts(docs.limit(0), _tokenizer()).count() == 0
 
 
+def test_bpe_of_any_characters():
+    """Runs of characters of all planes below U+3000, in any neighbourhood, as the library encodes them."""
+    tokenizers = pytest.importorskip("tokenizers")
+    from riskframe.llm.bpe import Encoder, vocabulary
+    from riskframe.llm.queries import _tokenizer
+
+    encoder, lib = Encoder(vocabulary(_tokenizer())), tokenizers.Tokenizer.from_file(_tokenizer())
+    lib.no_padding()
+    lib.no_truncation()
+    rnd, chars = random.Random(1), [chr(c) for c in range(0x3000)]
+    for k in range(6000):
+        text = "".join(rnd.choice(chars if k % 2 else chars[:0x260]) + rnd.choice(["", "a", "1", " ", "!", "'s", "Σ"]) for _ in range(12))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, [text]
+
+
 def test_chat_windows(spark):
     from riskframe.llm.chat_format import chat_windows, read_windows
 
