@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
+#: Bytes of history that are broadcast at most.
+BROADCAST = 8_000_000
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -77,7 +79,10 @@ def chat_windows(
         F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), text.alias("text"), (token_estimate(text) if tokens is None else tokens).cast("long").alias("tokens")).alias("t"),
     )
     parts = saved(turn.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("t")).alias("turns")), "chat-parts")
-    known = _before(parts, history_turns).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "n_before", "lead", "past")
+    known = saved(_before(parts, history_turns).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "n_before", "lead", "past"), "chat-history")
+    held = known.agg(F.sum(F.octet_length(F.to_json(F.struct("lead", "past"))) + 64)).first()[0] or 0
+    if held <= BROADCAST:  # measured; beyond it the join shuffles the parts once more
+        known = F.broadcast(known)
     met = parts.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
     # own: 1 where the system turn is the part's first turn
     met = _fixed(

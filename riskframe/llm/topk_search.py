@@ -5,8 +5,8 @@
    each node keeps the tight box of its vectors. Trees are built once and written.
 2. The product of a query with any vector of a box is at most sum(max(q * low, q * high)). A query visits shards by their root boxes, best bound
    first, in rounds of 1, 3, 12, ... shards; the kth score of the rounds before goes along, and a shard whose bound lies under it is left out.
-3. Inside a shard a query visits leaves best bound first, in step with the other queries of its block; its kth score rises on the way, and what
-   lies under it is left out.
+3. Inside a shard a query visits leaves best bound first, in waves of 1, 3, 9, ... leaves together with the other queries of its block; its kth score rises
+   on the way, and what lies under it is left out.
 """
 
 from __future__ import annotations
@@ -161,13 +161,19 @@ def _search(tree: dict, qids, q, k: int, bound):
     by = np.lexsort((-reach, who))  # each query's leaves, best bound first
     who, node, reach = who[by], node[by], reach[by]
     turn = np.arange(len(who)) - np.searchsorted(who, who)
-    step = np.argsort(turn, kind="stable")
-    edge = np.searchsorted(turn[step], np.arange(turn.max() + 2))
-    for lo, hi in zip(edge, edge[1:], strict=False):
-        now = step[lo:hi]
+    lo, wide = 0, 1
+    while lo <= turn.max():  # waves of 1, 3, 9, ... leaves: between them, and from leaf to leaf, the kth score rises
+        now = np.nonzero((turn >= lo) & (turn < lo + wide))[0]
+        lo, wide = lo + wide, 3 * wide
         now = now[reach[now] >= kth[who[now]]]
-        for leaf_node in np.unique(node[now]):
-            mine = who[now][node[now] == leaf_node]
+        now = now[np.argsort(node[now], kind="stable")]
+        edge = np.concatenate([[0], np.nonzero(np.diff(node[now]))[0] + 1, [len(now)]]) if len(now) else [0]
+        for begin, end in zip(edge, edge[1:], strict=False):
+            own_rows = now[begin:end]
+            own_rows = own_rows[reach[own_rows] >= kth[who[own_rows]]]
+            if not len(own_rows):
+                continue
+            leaf_node, mine = node[own_rows[0]], who[own_rows]
             for at in range(first[leaf_node], last[leaf_node], 4096):
                 to = min(at + 4096, last[leaf_node])
                 own = ids[None, at:to] == qids[mine, None]

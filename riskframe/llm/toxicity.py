@@ -177,6 +177,25 @@ def train(pos: list, unl: list, neg: list, prior: float, places, members: int =
     return {int(p): float(x) for p, x in zip(places, w, strict=True)}, bias
 
 
+def toxicity_model(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 4000, max_unlabelled: int = 8000, features: int = 512
+) -> tuple[dict[int, float], float]:
+    """(weight of each place, bias) of the classifier; see toxicity. Without labels of both kinds there are no weights, and the bias gives a score of 0.05."""
+    import math
+
+    marked = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & ~held_out(id_col))
+    marked = marked.groupBy(F.col(id_col).alias("__id")).agg(F.max("y").alias("y"))
+    n, toxic = marked.agg(F.count(F.lit(1)), F.sum(F.when(F.col("y") == 1, 1).otherwise(0))).first()
+    pos_ids = first_by_hash(marked.where("y = 1").select("__id"), "__id", max_positive)
+    unl_ids = first_by_hash(marked.select("__id"), "__id", max_unlabelled)
+    neg_ids = first_by_hash(marked.where("y = 0").select("__id"), "__id", max_unlabelled)
+    if not n or not 0 < toxic < n:
+        return {}, math.log(0.05 / 0.95)
+    pos = _sample(docs, pos_ids, id_col, text_col)
+    places = _chosen(pos, *_frequencies(docs.where(~held_out(id_col)), text_col), features)
+    return train(pos, *(_sample(docs, ids, id_col, text_col) for ids in (unl_ids, neg_ids)), toxic / n, places)
+
+
 def toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     max_positive: int = 4000, max_unlabelled: int = 8000, features: int = 512,
@@ -189,20 +208,8 @@ def toxicity(
     toxic may be any, and a null or empty text gets the score of no words. Where the labels are all of one kind or none, all scores are 0.05. An id with several labels is toxic if one of them is. Repeated rows get equal scores; input columns of the three
     names are replaced. An empty table gives an empty result.
     """
-    import math
-
     docs = small_batches(docs)
-    marked = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & ~held_out(id_col))
-    marked = marked.groupBy(F.col(id_col).alias("__id")).agg(F.max("y").alias("y"))
-    n, toxic = marked.agg(F.count(F.lit(1)), F.sum(F.when(F.col("y") == 1, 1).otherwise(0))).first()
-    pos_ids = first_by_hash(marked.where("y = 1").select("__id"), "__id", max_positive)
-    unl_ids = first_by_hash(marked.select("__id"), "__id", max_unlabelled)
-    neg_ids = first_by_hash(marked.where("y = 0").select("__id"), "__id", max_unlabelled)
-    weight, bias = {}, math.log(0.05 / 0.95)
-    if n and 0 < toxic < n:
-        pos = _sample(docs, pos_ids, id_col, text_col)
-        places = _chosen(pos, *_frequencies(docs.where(~held_out(id_col)), text_col), features)
-        weight, bias = train(pos, *(_sample(docs, ids, id_col, text_col) for ids in (unl_ids, neg_ids)), toxic / n, places)
+    weight, bias = toxicity_model(docs, labels, id_col, text_col, label_col, max_positive, max_unlabelled, features)
     kept = docs.drop("held_out", "score", "predicted")
     names = [*kept.columns, "score"]
     schema = kept.withColumn("score", F.lit(0.0)).schema

@@ -445,6 +445,40 @@ def test_toxicity(spark):
     assert toxicity(docs, marks.limit(0)).select("score").distinct().count() == 1
 
 
+def test_toxicity_scores_by_hand(spark):
+    """Every document's score, from the model's weights and its own words in plain Python; repeated rows, very long, empty and null texts."""
+    import math
+    import zlib
+
+    import xxhash
+
+    from riskframe.llm.toxicity import PLACES, toxicity, toxicity_model
+
+    rnd = random.Random(12)
+    rows = [(k, " ".join(rnd.choice(["Good", "word", "BAD-thing", "été", "nasty", "über", f"w{rnd.randint(0, 50)}"]) for _ in range(rnd.randint(1, 30)))) for k in range(600)]
+    rows += [rows[3], rows[3], (900, None), (901, ""), (902, "bad nasty " * 50_000), (None, "nasty")]
+    marks = [(k, int("nasty" in t)) for k, t in rows[:600:2]]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    weight, bias = toxicity_model(docs, labels)
+    assert weight and len(weight) <= 512
+
+    def score(text):
+        folded = "".join(chr(b) if chr(b).isascii() and chr(b).isalpha() else " " if b < 128 else chr(b) for b in (text or "").encode()).lower() if (text or "").isascii() else None
+        raw = (text or "").encode()
+        spaced = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in raw)
+        assert folded is None or folded.encode() == spaced
+        places = set()
+        for w in spaced.split():
+            places |= {xxhash.xxh3_64_intdigest(w) % PLACES} | {xxhash.xxh3_64_intdigest(w[:n], 1) % PLACES for n in (5, 6, 7) if len(w) >= n}
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + sum(weight.get(p, 0.0) for p in places)))))
+
+    got = toxicity(docs, labels).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r.score - score(r.text)) < 1e-9 and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 @pytest.mark.parametrize("labelled, other", [(0.2, 0.01), (0.1, 0.5)])
 def test_toxicity_where_labels_are_not_like_documents(spark, labelled, other):
     """The share of documents called toxic is not tied to the share of labels."""
