@@ -293,7 +293,8 @@ def top_k(
         bound = F.lit(LOWEST).alias("bound")
         kth = None if best is None else best.where(F.col("rank") == k).select(F.col("query").alias("id"), F.col("score").alias("bound"))
         now = ask.withColumn("bound", bound) if kth is None else ask.join(kth, "id", "left").withColumn("bound", F.coalesce("bound", bound))
-        route = now.select("id", "v", "dim", "bound").mapInArrow(routed(lo, hi), "dim int, cell int, part int, piece int, ids binary, vectors binary, bounds binary")
+        # queries are routed and searched in blocks: full batches, not a join's small partitions
+        route = now.select("id", "v", "dim", "bound").repartition(max(1, asked // (4 * ROUTE)), "id").mapInArrow(routed(lo, hi), "dim int, cell int, part int, piece int, ids binary, vectors binary, bounds binary")
         found = own(spread, *key, "piece", "tree").groupBy(*key, "piece").cogroup(own(route, *key, "piece", "ids", "vectors", "bounds").groupBy(*key, "piece")).applyInArrow(_searched(k), "query long, id long, score long")
         found = found if best is None else found.unionByName(best.drop("rank"))
         best = saved(found.withColumn("rank", rank).where(F.col("rank") <= k), "best")
