@@ -4,7 +4,8 @@ Confirmed toxic documents are positives; other text is unlabelled, not negative.
 loss l is estimated from both by p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)]); where the second part falls below zero, its gradient is
 reversed, which keeps a flexible model from calling all unlabelled text clean. Linear classifiers over the presence of words are
 trained with numpy on bounded samples of the labelled documents, the population that p is the share of; the unlabelled sample's own labels
-stay unread there. Scale and threshold are then refitted on labelled documents of both kinds. Words are chosen by their frequencies over all documents outside the held-out fold, and every document is scored in full.
+stay unread there. Scale and threshold are then refitted on labelled documents of both kinds. Candidate words come from the sampled documents; those that count are
+chosen by their frequencies over all documents outside the held-out fold, and every document is scored in full.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 #: Features are words and their beginnings of 5, 6 and 7 bytes (languages that glue words show their stems there), hashed to so many places.
 PLACES = 2**20
 STEMS = (5, 6, 7)
+#: Places that are counted over all documents.
+CANDIDATES = 16_384
 
 
 class Features(dict):
@@ -68,13 +71,32 @@ def _sample(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list
     return [np.frombuffer(r.places, "<u4") for r in picked.mapInArrow(run, "places binary").collect()]
 
 
-def _frequencies(docs: DataFrame, text_col: str):
-    """Number of documents, and how many of them hold each place, over all of docs."""
+def _surest(x, n: int, y, m: int, seen, size: int):
+    """Places whose shares x / n and y / m differ most surely, sorted; none that fewer than 5 documents hold."""
+    import numpy as np
+
+    p, q = (x + 0.5) / (n + 1), (y + 0.5) / (m + 1)
+    z = np.abs(p - q) / np.sqrt(p * (1 - np.minimum(p, 0.99)) / (n + 1) + q * (1 - np.minimum(q, 0.99)) / (m + 1))
+    z[seen < 5] = 0
+    top = np.lexsort((np.arange(PLACES), -z))[:size]
+    return np.sort(top[z[top] > 0])
+
+
+def _held(rows: list):
+    """How many of the sampled documents hold each place."""
+    import numpy as np
+
+    return np.bincount(np.concatenate([*rows, np.empty(0, np.uint32)]).astype(np.int64), minlength=PLACES)
+
+
+def _frequencies(docs: DataFrame, text_col: str, candidates):
+    """Number of documents, and how many of them hold each candidate place, over all of docs. A task sends one row a candidate."""
+    wanted = frozenset(candidates.tolist())
 
     def run(batches):
         import numpy as np
 
-        features, n, held = Features(), 0, np.zeros(PLACES, np.int64)
+        features, n, held = Features(wanted), 0, np.zeros(PLACES, np.int64)
         for batch in batches:
             n += batch.num_rows
             for t in batch.column(0):
@@ -91,16 +113,17 @@ def _frequencies(docs: DataFrame, text_col: str):
     return int(count[place < 0].sum()), held
 
 
-def _chosen(pos: list, n: int, held, size: int):
-    """Places whose share of documents differs most surely between the positives and all n documents, sorted."""
+def _chosen(pos: list, other: list, docs: DataFrame, text_col: str, size: int):
+    """Places whose share of documents differs most surely between the positives and all documents. Candidates come from the sampled documents, their frequencies
+    from all."""
     import numpy as np
 
-    a, b = np.bincount(np.concatenate([*pos, np.empty(0, np.uint32)]).astype(np.int64), minlength=PLACES), held
-    x, y = (a + 0.5) / (len(pos) + 1), (b + 0.5) / (n + 1)
-    z = np.abs(x - y) / np.sqrt(x * (1 - np.minimum(x, 0.99)) / (len(pos) + 1) + y * (1 - np.minimum(y, 0.99)) / (n + 1))
-    z[a + b < 5] = 0
-    top = np.lexsort((np.arange(PLACES), -z))[:size]
-    return np.sort(top[z[top] > 0])
+    a, b = _held(pos), _held(other)
+    candidates = _surest(a, len(pos), b, len(other), a + b, CANDIDATES)
+    n, held = _frequencies(docs, text_col, candidates)
+    seen = np.zeros(PLACES, np.int64)
+    seen[candidates] = (a + held)[candidates]
+    return _surest(a, len(pos), held, n, seen, size)
 
 
 def _matrix(rows: list, places):
@@ -192,8 +215,8 @@ def toxicity_model(
     if not n or not 0 < toxic < n:
         return {}, math.log(0.05 / 0.95)
     pos = _sample(docs, pos_ids, id_col, text_col)
-    places = _chosen(pos, *_frequencies(docs.where(~held_out(id_col)), text_col), features)
-    return train(pos, *(_sample(docs, ids, id_col, text_col) for ids in (unl_ids, neg_ids)), toxic / n, places)
+    unl, neg = (_sample(docs, ids, id_col, text_col) for ids in (unl_ids, neg_ids))
+    return train(pos, unl, neg, toxic / n, _chosen(pos, unl + neg, docs.where(~held_out(id_col)), text_col, features))
 
 
 def toxicity(
