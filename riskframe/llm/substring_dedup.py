@@ -2,9 +2,9 @@
 
 Suffixes start at words. A repeat of `window` words or more is an internal node at that depth or below, so trees are built down to that depth.
 
-1. Prefix plan: occurrences of prefixes of 1, 2, 4 and 8 words are counted over all text, in 4096 hashed bins a length, so the
-   plan has the same size for any input. A suffix belongs to the shortest of its prefixes whose bin is small against `group`, else to
-   its whole window: frequent prefixes are split by further words until the parts fit in memory.
+1. Prefix plan: occurrences of prefixes of 1, 2, 4 and 8 words are counted over all text in hashed bins, four for each partition, 65 536 a length at the
+   most. A suffix belongs to the shortest of its prefixes whose bin is small against a partition, else to
+   its whole window: frequent prefixes are split by further words until the parts fit in memory and are even.
 2. Every batch of text drops the windows that it holds already (they are repeats whatever happens elsewhere) and deals the others to
    the partitions of their prefixes, as packed columns: path label (64 bits), document, start. A window that a third of all
    documents share thus leaves a batch once, and a partition is sent only the documents that it has leaves of.
@@ -13,7 +13,7 @@ Suffixes start at words. A repeat of `window` words or more is an internal node
 4. Starts go back to their documents, where starts that follow one another are joined into maximal repeats; their words are cut out of the whole text.
 
 Path labels are hashes: 16 bits of the path to the inner depth, 48 of the path to `window`. A false repeat needs two windows of one partition to
-agree in all 64 bits. As partitions hold about `group` leaves at any size, the chance is group / 2**65 a window: below one in 10**13.
+agree in all 64 bits. As partitions hold about `group` leaves at any size, the chance is group / 2**64 a window: below one in 10**13.
 """
 
 from __future__ import annotations
@@ -27,7 +27,10 @@ from pyspark.sql import types as T
 
 from .common import WordHashes, mixed, saved, slices, small_batches, word_hashes
 
-BINS = 4096
+#: Bins of the prefix plan, at least and at most.
+BINS = 4096, 65_536
+#: Bytes of text for each word, about.
+WORD_BYTES = 6
 #: Words of text that are worked on at once.
 STEP = 500_000
 #: Key of every row where no id stands twice.
@@ -90,31 +93,28 @@ def _places(starts, window: int):
     return at[at + window <= np.repeat(starts[1:], np.diff(starts))]
 
 
-def prefix_plan(texts: DataFrame, window: int, group: int):
-    """(windows in all, fits): fits[level, bin] tells whether prefixes of that length and bin are rare enough for a partition."""
+def prefix_plan(texts: DataFrame, window: int, parts: int, bins: int):
+    """fits[level, bin]: whether prefixes of that length and bin are rare enough for one of `parts` partitions."""
     import numpy as np
 
     lengths = _lengths(window)
 
     def run(batches):
-        memo, total, windows = WordHashes(), np.zeros((len(lengths), BINS), np.int64), 0
+        memo, total, windows = WordHashes(), np.zeros((len(lengths), bins), np.int64), 0
         for starts, h in _steps(batches, memo):
             at = _places(starts, window)
             windows += len(at)
             if len(at) and lengths:
                 for level, x in enumerate(_prefix_hashes(h, lengths).values()):
-                    total[level] += np.bincount((x[at] % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-        level, bins = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(level, -1), pa.int32()), pa.array(np.append(bins, 0), pa.int32()), pa.array(np.append(total[level, bins], windows))], ["level", "bin", "n"])
+                    total[level] += np.bincount((x[at] % np.uint64(bins)).astype(np.int64), minlength=bins)
+        level, own = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(level, -1), pa.int32()), pa.array(np.append(own, 0), pa.int32()), pa.array(np.append(total[level, own], windows))], ["level", "bin", "n"])
 
-    counted = texts.select("text").mapInArrow(run, "level int, bin int, n long").groupBy("level", "bin").agg(F.sum("n").alias("n"))
-    windows, table = 0, np.zeros((len(lengths), BINS), np.int64)
-    for r in counted.collect():  # at most 4096 rows a level
-        if r.level < 0:
-            windows = r.n
-        else:
-            table[r.level, r.bin] = r.n
-    return windows, table <= max(1, group // 4)
+    counted = texts.select("text").mapInArrow(run, "level int, bin int, n long").groupBy("level", "bin").agg(F.sum("n").alias("n")).toArrow()  # at most `bins` rows a level
+    level, own, n = (counted[c].to_numpy() for c in ("level", "bin", "n"))
+    table = np.zeros((len(lengths), bins), np.int64)
+    table[level[level >= 0], own[level >= 0]] = n[level >= 0]
+    return table <= max(1, int(n[level < 0].sum()) // (4 * parts))
 
 
 def _packed(values) -> bytes:
@@ -182,10 +182,12 @@ def repeats(docs: DataFrame, window: int, group: int) -> DataFrame:
     """
     import numpy as np
 
-    windows, fits = prefix_plan(docs, window, group)
     lengths = _lengths(window)
+    held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // (WORD_BYTES * group)))
+    bins = min(BINS[1], max(BINS[0], 1 << (4 * parts - 1).bit_length()))
+    fits = prefix_plan(docs, window, parts, bins)
     inner = max((k for k in (1, 2, 4, 8, 16) if k < window), default=window)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-windows // group))
 
     def deal(batches):
         for starts, h, ids, keys in _steps(batches, WordHashes(), ("id", "key")):
@@ -206,7 +208,7 @@ def repeats(docs: DataFrame, window: int, group: int) -> DataFrame:
             prefix = hashes[window][place]
             for k in range(len(lengths) - 1, -1, -1):
                 x = hashes[lengths[k]][place]
-                small = fits[k][(x % np.uint64(BINS)).astype(np.int64)]
+                small = fits[k][(x % np.uint64(bins)).astype(np.int64)]
                 level[small], prefix[small] = k, x[small]
             part = (mixed(prefix + level.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
             by = np.argsort(part, kind="stable")
