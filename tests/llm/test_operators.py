@@ -82,6 +82,8 @@ def test_near_duplicates_edges(spark, docs):
     from riskframe.llm.minhash_dedup import near_duplicates
 
     assert near_duplicates(docs.limit(0)).count() == 0
+    same = docs.limit(1).withColumn("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3000).cast("long")))).withColumn("sig", F.lit("clash"))
+    assert near_duplicates(same).groupBy("component_id").count().collect() == [(1, 3000)]  # a group of exact copies
     odd = spark.createDataFrame([(None, "a b c d e f", 1), (1, "a b c d e f", 2), (1, "a b c d e f", 3), (2, None, 4)], "doc_id long, text string, component_id long")
     got = sorted(((r.id, r.component_id, r.kept) for r in near_duplicates(odd).collect()), key=str)
     assert got == [(1, 1, True), (1, 1, True), (2, 2, True), (None, None, True)]
@@ -140,6 +142,18 @@ def test_near_vectors_of_a_dense_label(spark):
     assert got == {k: (int(near[k].sum()), comp[k]) for k in range(len(x))}
 
 
+def test_near_vectors_of_odd_ids(spark):
+    """Null ids, ids that stand with equal and with different vectors, columns of clashing names, doubles, all copies."""
+    from riskframe.llm.embedding_dedup import near_vectors
+
+    rows = [(None, [1.0, 0.0], 1, 7), (1, [1.0, 0.0], 1, 7), (1, [1.0, 0.0], 1, 8), (2, [2.0, 0.01], 1, 9), (3, [0.0, 1.0], 1, 9), (3, [1.0, 0.02], 1, 9), (4, [1.0, 0.0], 2, 9), (5, [1.0, 0.0], None, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, component int")
+    got = sorted(((r.id, r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect()), key=str)
+    assert got == sorted([(None, 0, None, True), (1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 0, 3, True), (3, 3, 1, False), (4, 0, 4, True), (5, 0, 5, True)], key=str)
+    copies = df.where("vec_id = 4").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).withColumn("vec_id", F.col("n").cast("long")).drop("n")
+    assert near_vectors(copies).groupBy("n_links", "component_id").count().collect() == [(499, 1, 500)]
+
+
 def test_top_k(spark):
     from riskframe.llm.topk_search import top_k
 
@@ -381,6 +395,8 @@ def test_urls(spark):
         fits = [(len(h + p), len(h), v == "block", h + p, v) for v, h, p in rules if h and p is not None and (host == h or host.endswith("." + h)) and path.startswith(p)]
         best = max(fits, default=(0, 0, 0, None, "allow"))
         assert got[k] == (host, path, best[3], best[4]), u
+    twice = judge_urls(pages.unionByName(pages.where("page_id < 50")), spark.createDataFrame(rules, "verdict string, host string, path string"))  # repeated rows
+    assert twice.count() == len(urls) + 50 and all((r.host, r.path, r.rule, r.verdict) == got[r.page_id] for r in twice.collect())
     none = spark.createDataFrame([], "verdict string, host string, path string")
     assert judge_urls(pages, none).where("verdict = 'allow' and rule is null").count() == len(urls)
     assert judge_urls(pages.limit(0), none).count() == 0
