@@ -75,18 +75,21 @@ def _surest(x, n: int, y, m: int, seen, size: int):
     """Places whose shares x / n and y / m differ most surely, sorted; none that fewer than 5 documents hold."""
     import numpy as np
 
-    p, q = (x + 0.5) / (n + 1), (y + 0.5) / (m + 1)
+    known = np.nonzero(seen >= 5)[0]
+    p, q = (x[known] + 0.5) / (n + 1), (y[known] + 0.5) / (m + 1)
     z = np.abs(p - q) / np.sqrt(p * (1 - np.minimum(p, 0.99)) / (n + 1) + q * (1 - np.minimum(q, 0.99)) / (m + 1))
-    z[seen < 5] = 0
-    top = np.lexsort((np.arange(PLACES), -z))[:size]
-    return np.sort(top[z[top] > 0])
+    top = np.lexsort((known, -z))[:size]
+    return np.sort(known[top[z[top] > 0]])
 
 
 def _held(rows: list):
     """How many of the sampled documents hold each place."""
     import numpy as np
 
-    return np.bincount(np.concatenate([*rows, np.empty(0, np.uint32)]).astype(np.int64), minlength=PLACES)
+    held = np.zeros(PLACES, np.int64)
+    for own in rows:  # a document holds a place once
+        held[own] += 1
+    return held
 
 
 def _frequencies(docs: DataFrame, text_col: str, candidates):
