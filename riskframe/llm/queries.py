@@ -102,8 +102,41 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), "id % 100 = 0").withColumnRenamed("id", "vec_id")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from the good ones among `labels`."""
+    from .quality import quality
+
+    scored = quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of all vectors of 64 components after three rounds."""
+    from .centroid_clustering import centroid_clusters
+
+    return centroid_clusters(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, every tenth of which is first made periodic: their number, the one of the largest exponent, digests of all runs and of the text without repeats."""
+    from .periodic_runs import periodic_runs
+
+    found = periodic_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), plant=True)
+    # exponents are compared by cross products of whole numbers; the list is in the order of ties
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, r: F.when(r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_embedding_dedup, op4_warc, op5_substring_dedup, op6_source_mix, op7_bpe, op8_url_filter, op9_toxicity, op10_topk_search)}
+    every = (
+        op1_chat_format, op2_minhash_dedup, op3_embedding_dedup, op4_warc, op5_substring_dedup, op6_source_mix, op7_bpe, op8_url_filter, op9_toxicity, op10_topk_search, op11_quality, op12_centroid_clustering,
+        op13_periodic_runs,
+    )
+    return {f.__name__: f for f in every}
 
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -150,8 +183,40 @@ _OP10 = """with v as (select vec_id, list_transform(embedding, lambda x: floor(1
     select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s qualify rank <= 10"""
 
 
+#: Assignment to the centroids c{n}, and the next centroids from it.
+_ASSIGN = """a{n} as materialized (select vec_id, any_value(x) as e, arg_min(c, (d, c)) as c, min(d) as d from
+        (select vec_id, v.e as x, c, list_sum(list_transform(list_zip(v.e, c{n}.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from v, c{n}) group by 1)"""
+_UPDATE = """c{n} as materialized (select c, coalesce(f, e) as e from c{b} left join (select c, list(s order by d) as f from (select c, d, floor(sum(x) / count(*)) as s from
+        (select c, unnest(e) as x, generate_subscripts(e, 1) as d from a{b}) group by 1, 2) group by 1) using (c))"""
+
+_OP12 = f"""with v as materialized (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+    c0 as materialized (select row_number() over (order by sha256('1:' || vec_id)) - 1 as c, e from v qualify c < 16),
+    {_ASSIGN.format(n=0)}, {", ".join(f"{_UPDATE.format(n=n, b=n - 1)}, {_ASSIGN.format(n=n)}" for n in (1, 2, 3))}
+    select vec_id, c::int as cluster, d::bigint as distance, sum(d) over (partition by c)::bigint as cluster_inertia, sum(d) over ()::bigint as inertia,
+        sha256(array_to_string(list_transform(c3.e, lambda x: x::bigint), ',')) as centroid_sha256 from a3 join c3 using (c)"""
+
+
+#: crc32 of the digits of an id, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({}::varchar, ''), lambda x: ascii(x)::bigint)), lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda y, k: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"
+
+_OP13 = f"""with o as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w, {_CRC.format("doc_id")} as h from documents),
+    m as (select doc_id, w, len(w) as n, case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) end as a, 3 + (h // 10) % 8 as f from o),
+    w as materialized (select doc_id, case when a is null then w else w[1:a] || list_transform(range(a, n), lambda i: w[a + (i - a) % (1 + (n - a) // f) + 1]) end as w from m),
+    g as (select doc_id, unnest(range(len(w) - 15)) as p, unnest(list_transform(range(1, len(w) - 14), lambda i: md5(array_to_string(w[i:i + 15], ' ')))) as x from w where len(w) >= 24),
+    t as (select x.doc_id, y.p - x.p as q, x.p from g x join g y on x.doc_id = y.doc_id and x.x = y.x and x.p < y.p),
+    i as (select doc_id, q, p, p - row_number() over (partition by doc_id, q order by p) as island from t),
+    s as (select doc_id, min(p) as start, count(*) + 15 + q as length, q from i group by doc_id, q, island having count(*) + 15 >= 2 * q and count(*) + 15 + q >= 24),
+    r as materialized (select doc_id, start, length, min(q) as period from s group by all),
+    b as (select *, length // period as whole from r qualify row_number() over (partition by doc_id order by length::hugeint * 1000000000000 // period desc, start, period) = 1),
+    gone as (select distinct doc_id, unnest(range(start + period, start + length)) as p from r),
+    k as (select u.doc_id, coalesce(string_agg(u.x, ' ' order by u.p) filter (gone.p is null), '') as kept from (select doc_id, unnest(w) as x, unnest(range(len(w))) as p from w) u left join gone on gone.doc_id = u.doc_id and gone.p = u.p group by 1),
+    z as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as runs from r group by 1)
+    select w.doc_id, coalesce(n_runs, 0)::bigint as n_runs, b.start::bigint as start, b.length::bigint as length, b.period::bigint as period, (1000 * b.length // b.period)::bigint as exponent_milli,
+    sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256 from w left join b using (doc_id) left join k using (doc_id) left join z using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Chat windows, the mix's schedule, tokens and the classifier have no SQL form here; tests hold those against brute force."""
+    """Chat windows, the mix's schedule, tokens and the classifiers have no SQL form here; tests hold those against brute force."""
     return {
-        "op2_minhash_dedup": _OP2, "op3_embedding_dedup": _OP3, "op4_warc": _OP4, "op5_substring_dedup": _OP5, "op8_url_filter": _OP8, "op10_topk_search": _OP10,
+        "op2_minhash_dedup": _OP2, "op3_embedding_dedup": _OP3, "op4_warc": _OP4, "op5_substring_dedup": _OP5, "op8_url_filter": _OP8, "op10_topk_search": _OP10, "op12_centroid_clustering": _OP12, "op13_periodic_runs": _OP13,
     }
