@@ -90,12 +90,12 @@ def brute_clusters(rows, k, rounds):
     return sorted((i, c, d, total[c], sum(total.values()), sha(",".join(map(str, cent[c])))) for i, (d, c) in done)
 
 
-@pytest.mark.parametrize("size", [1.0, 2.0**21, 1e8])
-def test_clusters(spark, size):
+@pytest.mark.parametrize("size, far", [(1.0, 0.0), (3e4, -5e5), (1.0, 2.0**40)])
+def test_clusters(spark, size, far):
     from riskframe.llm.centroid_clustering import centroid_clusters
 
     rng = np.random.default_rng(5)
-    rows = [(k, (rng.normal(size=64) * size + (k % 3)).tolist()) for k in range(60)] + [(100 + k, [size * 0.25] * 64) for k in range(5)]
+    rows = [(k, [far, *(rng.normal(size=63) * size + (k % 3)).tolist()]) for k in range(60)] + [(100 + k, [far] + [size * 0.25] * 63) for k in range(5)]
     odd = [(200, None), (201, [0.0] * 63), (202, [0.0] * 65), (203, [None] * 64), (204, [float("nan")] * 64), (205, [float("inf"), *[0.0] * 63]), (206, [])]
     df = spark.createDataFrame([(i, e, 0) for i, e in rows + odd], "vec_id long, embedding array<double>, cluster int").repartition(5)
     for k in (16, 4, 200):
