@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = "[A-Za-z0-9_']+"
+from ..storage import saved
+
+#: Letters and digits of all scripts, underscores and apostrophes.
+TOKEN = r"[\p{L}\p{N}_']+"
+#: Bytes of words that are handed to every task as one table; beyond it they are joined.
+BROADCAST = 16_000_000
 
 
 def tokens(col: Column) -> Column:
@@ -27,11 +33,12 @@ def feature_name(field: Column | str, value: Column) -> Column:
 
 
 def long_values(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field, value): values of scalar and list fields; null and empty lists give one null value."""
+    """(key, field, value): values of scalar fields, lists and lists of lists; null and empty lists give one null value."""
     parts = []
     for f in fields:
         kind = df.schema[f].dataType.typeName()
-        value = F.explode_outer(f) if kind == "array" else F.col(f)
+        nested = kind == "array" and df.schema[f].dataType.elementType.typeName() == "array"
+        value = F.explode_outer(F.flatten(F.filter(f, lambda x: x.isNotNull())) if nested else f) if kind == "array" else F.col(f)
         parts.append(df.select(key, F.lit(f).alias("field"), value.cast("string").alias("value") if kind != "array" else value.alias("value")))
     out = parts[0]
     for p in parts[1:]:
@@ -69,15 +76,26 @@ def drop_leaky(features: DataFrame, name_col: str = "feature") -> DataFrame:
     return features.where(~(F.contains(F.col(name_col), F.lit("reference_")) & F.contains(F.col(name_col), F.lit("exploit"))))
 
 
+#: Noun endings and what stands in their place, the first that fits; three characters at least stand before them (two before ss, us and s).
+ENDINGS = [("ses", "s"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"), ("ss", "ss"), ("us", "us"), ("s", "")]
+
+
 def lemma(word: Column) -> Column:
     """Noun endings taken off: ses, xes, zes, ches, shes, men, ies, s."""
-    rules = [("ses$", "s"), ("xes$", "x"), ("zes$", "z"), ("ches$", "ch"), ("shes$", "sh"), ("men$", "man"), ("ies$", "y"), ("ss$", "ss"), ("us$", "us"), ("s$", "")]
     out = word
-    for pattern, end in reversed(rules):
-        out = F.when(word.rlike("..." + pattern[:-1] + "$") if len(pattern) > 2 else word.rlike("...s$"), F.regexp_replace(word, pattern, end)).otherwise(out)
+    for ending, to in reversed(ENDINGS):
+        out = F.when(word.rlike(f"...{ending}$"), F.regexp_replace(word, f"{ending}$", to)).otherwise(out)
     return out
 
 
+def _plain_lemma(word: str) -> str:
+    """lemma() of one word."""
+    for ending, to in ENDINGS:
+        if word.endswith(ending) and len(word) >= len(ending) + 3:
+            return word[: -len(ending)] + to
+    return word
+
+
 def lemmatize(words: DataFrame, word_col: str, exceptions: DataFrame | None = None) -> DataFrame:
     """words with `lemma`: the exception list's (word, lemma), else by rule."""
     if exceptions is None:
@@ -86,13 +104,42 @@ def lemmatize(words: DataFrame, word_col: str, exceptions: DataFrame | None = No
     return words.join(known, word_col, "left").withColumn("lemma", F.coalesce("__known", lemma(F.col(word_col)))).drop("__known")
 
 
+def _small(words: DataFrame, *cols: str) -> list | None:
+    """All rows of a table of words, or None where their texts hold more than BROADCAST bytes."""
+    size = words.agg(F.sum(sum((F.octet_length(c) + 50 for c in cols), F.lit(0)))).first()[0] or 0
+    return words.select(*cols).collect() if size <= BROADCAST else None
+
+
 def lemmatized_text(df: DataFrame, key: str, text_col: str, exceptions: DataFrame | None = None) -> DataFrame:
-    """(key, text): tokens' lemmas joined by a space, one row a row with text. exceptions (word, lemma) take the place of the rules; with them, tokens travel once."""
+    """(key, text): tokens' lemmas joined by a space, one row a row with text. exceptions (word, lemma) take the place of the rules.
+
+    Texts stay where they are: the exceptions are looked up beside them, and a token that was resolved once is remembered. Only where the list holds more than BROADCAST bytes, tokens travel to it.
+    """
+    texts = df.where(F.col(text_col).isNotNull()).select(key, F.col(text_col).alias("text"))
     if exceptions is None:
-        return df.where(F.col(text_col).isNotNull()).select(key, F.array_join(F.transform(tokens(F.col(text_col)), lemma), " ").alias("text"))
-    word = df.where(F.col(text_col).isNotNull()).select(key, F.posexplode_outer(tokens(F.col(text_col))).alias("pos", "word"))
-    done = lemmatize(word, "word", exceptions).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("w"))
-    return done.select(key, F.array_join(F.col("w.lemma"), " ").alias("text"))
+        return texts.select(key, F.array_join(F.transform(tokens(F.col("text")), lemma), " ").alias("text"))
+    listed = _small(exceptions, "word", "lemma")
+    if listed is None:
+        word = texts.select(key, F.posexplode_outer(tokens(F.col("text"))).alias("pos", "word"))
+        done = lemmatize(word, "word", exceptions).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("w"))
+        return done.select(key, F.array_join(F.col("w.lemma"), " ").alias("text"))
+    known = {r.word: r.lemma for r in listed if r.lemma is not None}
+    words = texts.select(key, tokens(F.col("text")).alias("words"))
+    name = key
+
+    def run(batches):
+        memo: dict[str, str] = {}
+        for batch in batches:
+            out = []
+            for row in batch.column("words").to_pylist():
+                if len(memo) > 500_000:
+                    memo.clear()
+                for w in set(row) - memo.keys():
+                    memo[w] = known.get(w) or _plain_lemma(w)
+                out.append(" ".join(map(memo.__getitem__, row)))
+            yield pa.RecordBatch.from_arrays([batch.column(name), pa.array(out, pa.string())], [name, "text"])
+
+    return words.mapInArrow(run, texts.schema)
 
 
 def phrase_list(text: Column, stop_words: list[str], max_words: int = 5) -> Column:
@@ -107,12 +154,58 @@ def phrases(df: DataFrame, key: str, text_col: str, stop_words: list[str], max_w
     return df.select(key, F.explode(phrase_list(F.col(text_col), stop_words, max_words)).alias("phrase"))
 
 
-def phrase_counts(df: DataFrame, key: str, text_col: str, stop_words: list[str], max_words: int = 5, noise: list[str] | None = None) -> DataFrame:
-    """(key, phrase, tf): phrases with their occurrences in the row's text, counted beside the text, before the phrases part from it. Phrases that match one of the
-    `noise` patterns from their start go."""
-    listed = df.select(key, F.col(text_col).alias("__text"), F.explode(F.array(phrase_list(F.col(text_col), stop_words, max_words))).alias("__list"))
-    found = listed.select(key, F.explode(F.transform("__list", lambda t: F.struct(t.alias("phrase"), term_frequency(F.col("__text"), t).alias("tf")))).alias("p")).select(key, "p.*")
-    return drop_noise(found, "phrase", noise) if noise else found
+def substring_counts(text: str, terms: list[str]) -> list[int]:
+    """Occurrences of each term in a text, without overlap from the left, 1 at least: one pass over the text for all terms."""
+    import ahocorasick
+
+    if not terms:
+        return []
+    trie = ahocorasick.Automaton()
+    for k, t in enumerate(terms):
+        trie.add_word(t, k)
+    trie.make_automaton()
+    size, free, n = [len(t) for t in terms], [0] * len(terms), [0] * len(terms)
+    for end, k in trie.iter(text):
+        if end - size[k] + 1 >= free[k]:
+            n[k] += 1
+            free[k] = end + 1
+    return [max(1, x) for x in n]
+
+
+def phrase_counts(df: DataFrame, key: str, text_col: str, stop_words: list[str], max_words: int = 5, noise: list[str] | None = None, min_df: int = 1) -> DataFrame:
+    """(key, phrase, tf, df): phrases that stand in min_df rows at least, with their occurrences in the row's text and the rows that have them. Phrases that match one of the
+    `noise` patterns from their start go. df has one row a key.
+
+    Rows are counted first; then each text is passed once for all of its phrases that are left. Phrases that are left are handed to every task if they hold BROADCAST bytes at most, so that texts
+    stay where they are; beyond it, they come to the texts by key.
+    """
+    listed = phrases(df, key, text_col, stop_words, max_words)
+    listed = drop_noise(listed, "phrase", noise) if noise else listed
+    frequent = saved(listed.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df), "phrases")
+    small = _small(frequent, "phrase", "df")
+    if small is None:
+        own = listed.join(frequent, "phrase").groupBy(F.col(key).alias("__key")).agg(F.collect_list(F.struct("phrase", "df")).alias("own"))
+        rows = df.select(F.col(key).alias("__key"), F.col(text_col).alias("text")).join(own, "__key").select(F.col("__key").alias(key), "text", "own.phrase", "own.df")
+    else:
+        rows = df.select(key, F.col(text_col).alias("text"), phrase_list(F.col(text_col), stop_words, max_words).alias("phrase"))
+    count = None if small is None else {r.phrase: r.df for r in small}
+    name, schema = key, df.select(key).withColumns({"phrase": F.lit(""), "tf": F.lit(0).cast("long"), "df": F.lit(0).cast("long")}).schema
+
+    def run(batches):
+        for batch in batches:
+            at, terms, tf, dfs = [], [], [], []
+            lists = batch.column("phrase").to_pylist()
+            rows_in = [[count[p] for p in own if p in count] for own in lists] if count is not None else batch.column("df").to_pylist()
+            for k, (text, own) in enumerate(zip(batch.column("text"), lists, strict=True)):
+                own = own if count is None else [p for p in own or [] if p in count]
+                if own:
+                    at += [k] * len(own)
+                    terms += own
+                    tf += substring_counts(text.as_py(), own)
+                    dfs += rows_in[k]
+            yield pa.RecordBatch.from_arrays([batch.column(name).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(dfs, pa.int64())], [name, "phrase", "tf", "df"])
+
+    return rows.where("phrase is not null").mapInArrow(run, schema)
 
 
 def drop_noise(df: DataFrame, col: str, patterns: list[str]) -> DataFrame:
@@ -130,7 +223,7 @@ def term_frequency(text: Column, term: Column) -> Column:
     return F.greatest(((F.length(text) - F.length(F.replace(text, term))) / F.length(term)).cast("long"), F.lit(1).cast("long"))
 
 
-def tfidf(counts: DataFrame, key: str, tag_col: str, tf_col: str, n_docs: DataFrame, min_df: int) -> DataFrame:
-    """(key, tag, value): tf * ln(documents / df). counts: one row a key and tag; n_docs: one row with n."""
-    df = doc_frequency(counts, key, tag_col, min_df)
-    return counts.join(df, tag_col).join(F.broadcast(n_docs)).select(key, tag_col, (F.col(tf_col) * F.log(F.col("n") / F.col("df"))).alias("value"))
+def tfidf(counts: DataFrame, key: str, tag_col: str, tf_col: str, n_docs: DataFrame, min_df: int = 1) -> DataFrame:
+    """(key, tag, value): tf * ln(documents / df). counts: one row a key and tag, with df where it was counted before; n_docs: one row with n."""
+    known = counts if "df" in counts.columns else counts.join(doc_frequency(counts, key, tag_col, min_df), tag_col)
+    return known.where(F.col("df") >= min_df).join(F.broadcast(n_docs)).select(key, tag_col, (F.col(tf_col) * F.log(F.col("n") / F.col("df"))).alias("value"))

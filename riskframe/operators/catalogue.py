@@ -90,8 +90,8 @@ def _numbers(df: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
 def _keywords(doc: DataFrame, stop_words: list[str], min_df: int, noise: list[str] | None, exceptions: DataFrame | None) -> DataFrame:
     """(entity, feature, value): TF-IDF of the key phrases of lemmatised texts. doc: entity, text; texts count as documents where they aren't null."""
     lemmas = X.lemmatized_text(doc, "entity", "text", exceptions)
-    found = X.phrase_counts(lemmas, "entity", "text", stop_words, noise=noise)
-    scored = X.tfidf(found, "entity", "phrase", "tf", doc.agg(F.count("text").alias("n")), min_df)
+    found = X.phrase_counts(lemmas, "entity", "text", stop_words, noise=noise, min_df=min_df)
+    scored = X.tfidf(found, "entity", "phrase", "tf", doc.agg(F.count("text").alias("n")))
     return scored.select("entity", X.feature_name("description", F.col("phrase")).alias("feature"), "value")
 
 

@@ -15,6 +15,8 @@ from .registry import Tables, query
 #: Stop words of the phrase query.
 STOP = ["the", "of", "and", "to", "in", "is", "a", "der", "die", "das", "de", "la", "le", "el", "en"]
 STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
+#: The token pattern in SQL.
+WORD = r"'[\p{L}\p{N}_'']+'"
 
 
 def doc_triples(t: Tables) -> DataFrame:
@@ -104,30 +106,29 @@ def numeric_features(t: Tables) -> DataFrame:
     return e.select("user_id", "references_count", F.greatest("products", "v").alias("versions"), F.coalesce("score", F.lit(0.0)).alias("score"), F.col("score").isNotNull().cast("int").alias("has_score"))
 
 
-@query("wc_log", "select doc_id, round(ln(1 + coalesce(len(regexp_extract_all(text, '[A-Za-z0-9_'']+')), 0)), 6) as wc from documents")
+@query("wc_log", f"select doc_id, round(ln(1 + coalesce(len(regexp_extract_all(text, {WORD})), 0)), 6) as wc from documents")
 def wc_log(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.round(X.wc_log(F.col("text")), 6).alias("wc"))
 
 
-@query("token_counts", "select lower(w) as token, count(*) as n from (select unnest(regexp_extract_all(text, '[A-Za-z0-9_'']+')) as w from documents) group by 1")
+@query("token_counts", f"select lower(w) as token, count(*) as n from (select unnest(regexp_extract_all(text, {WORD})) as w from documents) group by 1")
 def token_counts(t: Tables) -> DataFrame:
     return t.documents.select(F.explode(X.tokens(F.col("text"))).alias("w")).groupBy(F.lower("w").alias("token")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "lemma_rules",
-    r"""select w as word, case when regexp_matches(w, '...ses$') then regexp_replace(w, 'ses$', 's') when regexp_matches(w, '...xes$') then regexp_replace(w, 'xes$', 'x')
+LEMMA = r"""case when regexp_matches(w, '...ses$') then regexp_replace(w, 'ses$', 's') when regexp_matches(w, '...xes$') then regexp_replace(w, 'xes$', 'x')
     when regexp_matches(w, '...zes$') then regexp_replace(w, 'zes$', 'z') when regexp_matches(w, '...ches$') then regexp_replace(w, 'ches$', 'ch') when regexp_matches(w, '...shes$') then regexp_replace(w, 'shes$', 'sh')
     when regexp_matches(w, '...men$') then regexp_replace(w, 'men$', 'man') when regexp_matches(w, '...ies$') then regexp_replace(w, 'ies$', 'y') when regexp_matches(w, '...ss$') then w when regexp_matches(w, '...us$') then w
-    when regexp_matches(w, '...s$') then regexp_replace(w, 's$', '') else w end as lemma
-    from (select distinct lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_'']+'))) as w from documents)""",
-)
+    when regexp_matches(w, '...s$') then regexp_replace(w, 's$', '') else w end"""
+
+
+@query("lemma_rules", f"select w as word, {LEMMA} as lemma from (select distinct lower(unnest(regexp_extract_all(text, {WORD}))) as w from documents)")
 def lemma_rules(t: Tables) -> DataFrame:
     words = t.documents.select(F.explode(X.tokens(F.lower("text"))).alias("word")).distinct()
     return X.lemmatize(words, "word")
 
 
-PHRASES = f"""tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_'']+')) as w, generate_subscripts(regexp_extract_all(lower(text), '[A-Za-z0-9_'']+'), 1) as p from documents),
+PHRASES = f"""tok as (select doc_id, unnest(regexp_extract_all(lower(text), {WORD})) as w, generate_subscripts(regexp_extract_all(lower(text), {WORD}), 1) as p from documents),
     run as (select *, sum(case when w in ({STOP_SQL}) then 1 else 0 end) over (partition by doc_id order by p) as r from tok),
     phr as (select distinct doc_id, string_agg(w, ' ' order by p) as phrase from run where w not in ({STOP_SQL}) group by doc_id, r having count(*) <= 5)"""
 
@@ -164,8 +165,8 @@ def term_frequency(t: Tables) -> DataFrame:
 )
 def tfidf(t: Tables) -> DataFrame:
     d = t.documents.where("text is not null").select("doc_id", F.lower("text").alias("low"))
-    counts = X.phrase_counts(d, "doc_id", "low", STOP)
-    return X.tfidf(counts, "doc_id", "phrase", "tf", d.agg(F.count(F.lit(1)).alias("n")), 5).withColumn("value", F.round("value", 6))
+    counts = X.phrase_counts(d, "doc_id", "low", STOP, min_df=5)
+    return X.tfidf(counts, "doc_id", "phrase", "tf", d.agg(F.count(F.lit(1)).alias("n"))).withColumn("value", F.round("value", 6))
 
 
 @query("class_flags", "select event_id::varchar as oval, (event_type = 'purchase')::int as has_patch, (event_type <> 'purchase')::int as has_vuln_oval, case when event_type = 'purchase' then cast(ts as date) end as patch_date, case when event_type <> 'purchase' then cast(ts as date) end as oval_date from events")
@@ -192,16 +193,12 @@ def _exploits(t: Tables) -> DataFrame:
 
 
 ABSENT = ["phase", "cvss_version", "cvss_av", "cvss_ui", "cvss_s", "type", "cvss_ac", "cvss_aupr", "cvss_c", "cvss_i", "cvss_a", "reference_type", "exploits_weaponized_type"]
-LEMMA = r"""case when regexp_matches(w, '...ses$') then regexp_replace(w, 'ses$', 's') when regexp_matches(w, '...xes$') then regexp_replace(w, 'xes$', 'x')
-    when regexp_matches(w, '...zes$') then regexp_replace(w, 'zes$', 'z') when regexp_matches(w, '...ches$') then regexp_replace(w, 'ches$', 'ch') when regexp_matches(w, '...shes$') then regexp_replace(w, 'shes$', 'sh')
-    when regexp_matches(w, '...men$') then regexp_replace(w, 'men$', 'man') when regexp_matches(w, '...ies$') then regexp_replace(w, 'ies$', 'y') when regexp_matches(w, '...ss$') then w when regexp_matches(w, '...us$') then w
-    when regexp_matches(w, '...s$') then regexp_replace(w, 's$', '') else w end"""
 
 
 @query(
     "feature_pipeline",
     f"""with d as (select 'CVE-' || doc_id as entity, text, lang, source, n_chars from documents where lang is distinct from 'RESERVED'),
-    tok as (select entity, {LEMMA} as l, p from (select entity, unnest(regexp_extract_all(text, '[A-Za-z0-9_'']+')) as w, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9_'']+'), 1) as p from d)),
+    tok as (select entity, {LEMMA} as l, p from (select entity, unnest(regexp_extract_all(text, {WORD})) as w, generate_subscripts(regexp_extract_all(text, {WORD}), 1) as p from d)),
     low as (select entity, string_agg(l, ' ' order by p) as text from tok group by 1),
     run as (select entity, lower(l) as w, p, sum(case when lower(l) in ({STOP_SQL}) then 1 else 0 end) over (partition by entity order by p) as r from tok),
     phr as (select distinct entity, string_agg(w, ' ' order by p) as phrase from run where w not in ({STOP_SQL}) group by entity, r having count(*) <= 5),
