@@ -10,12 +10,14 @@ from ..storage import saved
 
 #: Letters and digits of all scripts, underscores and apostrophes.
 TOKEN = r"[\p{L}\p{N}_']+"
+#: Terms that are looked for one by one in a text; more of them are looked for together.
+FEW = 500
 #: Bytes of words that are handed to every task as one table; beyond it they are joined.
 BROADCAST = 16_000_000
 
 
 def tokens(col: Column) -> Column:
-    return F.regexp_extract_all(col, F.lit(f"({TOKEN})"), F.lit(1))
+    return F.regexp_extract_all(col, F.lit(TOKEN), F.lit(0))
 
 
 def wc_log(col: Column) -> Column:
@@ -155,11 +157,11 @@ def phrases(df: DataFrame, key: str, text_col: str, stop_words: list[str], max_w
 
 
 def substring_counts(text: str, terms: list[str]) -> list[int]:
-    """Occurrences of each term in a text, without overlap from the left, 1 at least: one pass over the text for all terms."""
+    """Occurrences of each term in a text, without overlap from the left, 1 at least. Linear in the text: more than FEW terms are found in one pass by an automaton."""
     import ahocorasick
 
-    if not terms:
-        return []
+    if len(terms) <= FEW:
+        return [max(1, text.count(t)) for t in terms]
     trie = ahocorasick.Automaton()
     for k, t in enumerate(terms):
         trie.add_word(t, k)
@@ -176,18 +178,18 @@ def phrase_counts(df: DataFrame, key: str, text_col: str, stop_words: list[str],
     """(key, phrase, tf, df): phrases that stand in min_df rows at least, with their occurrences in the row's text and the rows that have them. Phrases that match one of the
     `noise` patterns from their start go. df has one row a key.
 
-    Rows are counted first; then each text is passed once for all of its phrases that are left. Phrases that are left are handed to every task if they hold BROADCAST bytes at most, so that texts
-    stay where they are; beyond it, they come to the texts by key.
+    Texts are cut into phrases once and written with them; rows are counted first, and then each text is passed once for all of its phrases that are left. Phrases that are left are handed to every
+    task if they hold BROADCAST bytes at most, so that texts stay where they are; beyond it, they come to the texts by key.
     """
-    listed = phrases(df, key, text_col, stop_words, max_words)
+    cut = saved(df.where(F.col(text_col).isNotNull()).select(key, F.col(text_col).alias("text"), phrase_list(F.col(text_col), stop_words, max_words).alias("phrase")), "cut")
+    listed = cut.select(key, F.explode("phrase").alias("phrase"))
     listed = drop_noise(listed, "phrase", noise) if noise else listed
     frequent = saved(listed.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df), "phrases")
     small = _small(frequent, "phrase", "df")
+    rows = cut
     if small is None:
         own = listed.join(frequent, "phrase").groupBy(F.col(key).alias("__key")).agg(F.collect_list(F.struct("phrase", "df")).alias("own"))
-        rows = df.select(F.col(key).alias("__key"), F.col(text_col).alias("text")).join(own, "__key").select(F.col("__key").alias(key), "text", "own.phrase", "own.df")
-    else:
-        rows = df.select(key, F.col(text_col).alias("text"), phrase_list(F.col(text_col), stop_words, max_words).alias("phrase"))
+        rows = cut.select(F.col(key).alias("__key"), "text").join(own, "__key").select(F.col("__key").alias(key), "text", "own.phrase", "own.df")
     count = None if small is None else {r.phrase: r.df for r in small}
     name, schema = key, df.select(key).withColumns({"phrase": F.lit(""), "tf": F.lit(0).cast("long"), "df": F.lit(0).cast("long")}).schema
 
@@ -195,17 +197,17 @@ def phrase_counts(df: DataFrame, key: str, text_col: str, stop_words: list[str],
         for batch in batches:
             at, terms, tf, dfs = [], [], [], []
             lists = batch.column("phrase").to_pylist()
-            rows_in = [[count[p] for p in own if p in count] for own in lists] if count is not None else batch.column("df").to_pylist()
-            for k, (text, own) in enumerate(zip(batch.column("text"), lists, strict=True)):
-                own = own if count is None else [p for p in own or [] if p in count]
+            if count is not None:
+                lists = [[p for p in own if p in count] for own in lists]
+            for k, own in enumerate(lists):
                 if own:
                     at += [k] * len(own)
                     terms += own
-                    tf += substring_counts(text.as_py(), own)
-                    dfs += rows_in[k]
+                    tf += substring_counts(batch.column("text")[k].as_py(), own)
+                    dfs += map(count.__getitem__, own) if count is not None else batch.column("df")[k].as_py()
             yield pa.RecordBatch.from_arrays([batch.column(name).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(dfs, pa.int64())], [name, "phrase", "tf", "df"])
 
-    return rows.where("phrase is not null").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def drop_noise(df: DataFrame, col: str, patterns: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..storage import saved
 from . import enrich as E
 from . import statistics as S
 
@@ -221,8 +222,8 @@ def enrich_data(
 
 
 def build_dataset(triples: DataFrame, label_prefix: str = "exploits_", **options) -> DataFrame:
-    """Normalised dataset rows: index, entity, features, labels. Labels are neither filtered nor scaled."""
-    features, labels = E.split_labels(triples, label_prefix)
-    total = S.total_entries(triples, "entity")
+    """Normalised dataset rows: index, entity, features, labels. Features and labels are filtered, filled and scaled alike (statistics.normalize); words of
+    an enumeration and key phrases that a row doesn't have are zeros and stand in no map."""
     vendor = F.startswith(F.col("feature"), F.lit("vendor_"))
-    return S.assemble_dataset(S.normalize(features, total, vendor, **options).unionByName(labels), label_prefix)
+    triples = saved(triples, "triples")  # read by statistics and rows
+    return S.assemble_dataset(S.normalize(triples, S.total_entries(triples, "entity"), vendor, **options), label_prefix)

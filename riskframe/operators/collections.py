@@ -140,6 +140,36 @@ def with_running_sums(df: DataFrame, sums: dict[str, str], *order: str | Column)
     return found.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__part", *(f"__{n}" for n in sums))
 
 
+def with_carried(df: DataFrame, carried: dict[str, Column], *order: str | Column) -> DataFrame:
+    """df with, for each name, the last value in order (a row's own included) that isn't null. Ranges of the order carry by themselves; what a range begins with comes from the ranges before it, one row
+    each, so no task sees all rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumns({f"__{n}": c for n, c in carried.items()}).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = saved(ranged.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}), "carried")
+    ends = ranged.groupBy("__part").agg(*(F.max_by(f"__{n}", F.when(F.col(f"__{n}").isNotNull(), F.col("__row"))).alias(f"__end_{n}") for n in carried))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    begin = ends.select("__part", *(F.last(f"__end_{n}", ignorenulls=True).over(before).alias(f"__begin_{n}") for n in carried))
+    inside = W.partitionBy("__part").orderBy("__row").rowsBetween(W.unboundedPreceding, 0)
+    found = ranged.withColumns({n: F.last(f"__{n}", ignorenulls=True).over(inside) for n in carried}).join(F.broadcast(begin), "__part")
+    return found.withColumns({n: F.coalesce(n, f"__begin_{n}") for n in carried}).drop("__part", "__row", *(f"__{n}" for n in carried), *(f"__begin_{n}" for n in carried))
+
+
+def with_group_index(df: DataFrame, name: str, group: list[str], *order: str | Column) -> DataFrame:
+    """df with a dense row number from 0 inside each group (nulls are one group), with the group's rows as `<name>_of` and the number among all rows, in order of group, as `<name>_row`. A group's rows may stand in many ranges: they are numbered with all others, and
+    each group's first number is taken off."""
+    at = f"{name}_row"
+    ranged = with_index(df, at, *group, *order)
+    first = ranged.groupBy(*(F.col(g).alias(f"__g{k}") for k, g in enumerate(group))).agg(F.min(at).alias("__first"), F.count(F.lit(1)).alias(f"{name}_of"))
+    if not group:
+        met = ranged.join(F.broadcast(first))
+    else:
+        same = F.lit(True)
+        for k, g in enumerate(group):
+            same = same & ranged[g].eqNullSafe(first[f"__g{k}"])
+        met = ranged.join(first, same).drop(*(f"__g{k}" for k in range(len(group))))
+    return met.withColumn(name, F.col(at) - F.col("__first")).drop("__first")
+
+
 def next_id(df: DataFrame, key: str) -> DataFrame:
     """One row, next: the largest id and one; 1 without ids."""
     return df.agg((F.coalesce(F.max(key), F.lit(0)) + 1).alias("next"))

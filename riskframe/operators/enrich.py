@@ -28,16 +28,18 @@ def two_hops(records: DataFrame, key: str, ids_col: str, middle: DataFrame, midd
 def enum_fold(rows: DataFrame, key: list[str], pos: str, value: str) -> DataFrame:
     """Ordered fold of enumeration counts: 0 takes the value; 1 stays 1 under 0 or 1; else the value is added.
 
-    Values of 0 and 1 alone fold to their largest, in any order, which is a plain aggregate. Only keys that have others gather their rows in order.
+    Ones before the first value that is neither 0 nor 1 fold to 1, zeros change nothing, and from that value on all is added. So the fold is the sum from that value on, and 1 more if a one stands
+    before it: plain aggregates that combine before the shuffle, in two passes, and no key gathers its rows. Keys of zeros and ones alone need the first pass only. Values are 0 or more (a sum of
+    fractions that comes to 1 goes on as a number); a null value makes the fold null. Positions of a key are distinct.
     """
     v = F.col(value).cast("double")
-    top = rows.groupBy(*key).agg(F.max(v).alias("value"), F.max(~F.coalesce(v.isin(0.0, 1.0), F.lit(False))).alias("__other"))
-    plain = top.where("not __other").drop("__other")
-    # a value of 0 changes no fold
-    other = rows.join(top.where("__other").select(*key), key, "left_semi").where(v.isNull() | (v != 0))
-    listed = other.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), v.alias("v")))).alias("all"))
-    step = lambda acc, x: F.when(acc == 0, x["v"]).when((acc == 1) & x["v"].isin(0.0, 1.0), F.lit(1.0)).otherwise(acc + x["v"])
-    return plain.unionByName(listed.select(*key, F.aggregate("all", F.lit(0.0), step).alias("value")))
+    other = ~F.coalesce(v.isin(0.0, 1.0), F.lit(False))
+    top = rows.groupBy(*key).agg(F.max(v).alias("value"), F.min(F.when(other, F.col(pos))).alias("__from"), F.max(v.isNull()).alias("__null"))
+    plain = top.where("__from is null").select(*key, "value")
+    late = F.col(pos) >= F.col("__from")
+    met = rows.join(top.where("__from is not null").select(*key, "__from", "__null"), key)
+    summed = met.groupBy(*key, "__null").agg(F.sum(F.when(late, v)).alias("__sum"), F.max(F.when(~late & (v == 1), 1.0).otherwise(0.0)).alias("__one"))
+    return plain.unionByName(summed.select(*key, F.when(~F.col("__null"), F.col("__sum") + F.col("__one")).alias("value")))
 
 
 def numeric_fold(rows: DataFrame, key: list[str], value: str) -> DataFrame:

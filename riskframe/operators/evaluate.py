@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .collections import with_running_sums
+from .collections import with_group_index, with_running_sums
 
 
 def _vectors(df: DataFrame, features: str) -> DataFrame:
@@ -94,34 +94,47 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    return score_counts(df, label, score).select("score", (F.col("fp") / F.col("negatives")).alias("fpr"), (F.col("tp") / F.col("positives")).alias("tpr"))
+    """score, fpr and tpr, one row a distinct score. A rate over a class without rows is null, here and in the areas."""
+    return score_counts(df, label, score).select("score", F.try_divide("fp", "negatives").alias("fpr"), F.try_divide("tp", "positives").alias("tpr"))
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the ROC curve by trapezoids. A step's start is its end less its own rows, so no neighbour is looked up."""
+    """Area under the ROC curve by trapezoids; null with one class only or no rows. A step's start is its end less its own rows, so no neighbour is looked up."""
     c = score_counts(df, label, score)
-    return c.agg(F.sum(F.col("x") / F.col("negatives") * (2 * F.col("tp") - F.col("y")) / F.col("positives") / 2).alias("auc"))
+    return c.agg(F.sum(F.try_divide("x", "negatives") * F.try_divide(2 * F.col("tp") - F.col("y"), "positives") / 2).alias("auc"))
 
 
 def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    return score_counts(df, label, score).select("score", (F.col("tp") / F.col("positives")).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    """score, recall (null without positives) and precision, one row a distinct score."""
+    return score_counts(df, label, score).select("score", F.try_divide("tp", "positives").alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
 def pr_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the precision-recall curve by trapezoids from recall 0 at the first precision."""
+    """Area under the precision-recall curve by trapezoids from recall 0 at the first precision; null without positives."""
     here, before = F.col("tp") + F.col("fp"), F.col("tp") + F.col("fp") - F.col("y") - F.col("x")
     precision = F.col("tp") / here
-    start = F.when(before > 0, (F.col("tp") - F.col("y")) / before).otherwise(precision)
-    return score_counts(df, label, score).agg(F.sum(F.col("y") / F.col("positives") * (precision + start) / 2).alias("auc"))
+    start = F.when(before > 0, F.try_divide(F.col("tp") - F.col("y"), before)).otherwise(precision)
+    return score_counts(df, label, score).agg(F.sum(F.try_divide("y", "positives") * (precision + start) / 2).alias("auc"))
+
+
+#: Points that a moving average takes at once.
+BLOCK = 16_384
 
 
 def smooth(curve: DataFrame, group: list[str], order: str, value: str, box: int = 3) -> DataFrame:
-    """Moving average over `box` points; the first and last two points stay."""
-    by = W.partitionBy(*group).orderBy(order)
+    """Moving average over `box` points; the first and last two points of a group stay.
+
+    All points are numbered in order and cut into blocks; points near a block's edge are copied to the neighbour (its halo), so each block is averaged by itself and a group may hold any share of the rows.
+    """
     half = box // 2
-    at, last = F.row_number().over(by), F.count(F.lit(1)).over(W.partitionBy(*group))
-    mean = F.avg(value).over(by.rowsBetween(-half, half))
-    return curve.withColumn("smooth", F.when((at <= 2) | (at > last - 2), F.col(value).cast("double")).otherwise(mean))
+    at = with_group_index(curve, "__at", group, order)
+    touched = F.sequence(F.greatest(F.col("__at_row") - half, F.lit(0)).cast("long"), (F.col("__at_row") + half).cast("long"), F.lit(max(1, half)).cast("long"))
+    own = F.floor(F.col("__at_row") / BLOCK)
+    blocks = at.withColumn("__own", own).withColumn("__block", F.explode(F.array_distinct(F.transform(touched, lambda r: F.floor(r / BLOCK)))))
+    mean = F.avg(value).over(W.partitionBy("__block", *group).orderBy("__at_row").rowsBetween(-half, half))
+    ends = (F.col("__at") < 2) | (F.col("__at") >= F.col("__at_of") - 2)
+    done = blocks.withColumn("smooth", F.when(ends, F.col(value).cast("double")).otherwise(mean)).where("__block = __own")
+    return done.drop("__at", "__at_of", "__at_row", "__own", "__block")
 
 
 def random_baseline(sets: DataFrame, trials: int, seed: int) -> DataFrame:
@@ -159,11 +172,15 @@ def parse_predictions(lines: DataFrame, col: str) -> tuple[DataFrame, DataFrame]
 
 
 def normalize_curve(curve: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
-    """Digitised coordinates to 0..1: clipped, y turned upside down (screens count from the top)."""
-    w = W.partitionBy(*group)
-    unit = lambda c: (F.col(c) - F.min(c).over(w)) / F.nullif(F.max(c).over(w) - F.min(c).over(w), F.lit(0))
+    """Digitised coordinates to 0..1: clipped, y turned upside down (screens count from the top). A group of one value has null coordinates. Each group's limits are one row that its points meet."""
+    limits = curve.groupBy(*(F.col(g).alias(f"__g{k}") for k, g in enumerate(group))).agg(*(f(c).alias(f"__{n}_{c}") for c in (x, y) for n, f in (("min", F.min), ("max", F.max))))
+    same = F.lit(True)
+    for k, g in enumerate(group):
+        same = same & curve[g].eqNullSafe(limits[f"__g{k}"])
+    met = curve.join(limits, same)
+    unit = lambda c: F.try_divide(F.col(c) - F.col(f"__min_{c}"), F.col(f"__max_{c}") - F.col(f"__min_{c}"))
     clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-    return curve.withColumns({"nx": clip(unit(x)), "ny": 1 - clip(unit(y))})
+    return met.withColumns({"nx": clip(unit(x)), "ny": 1 - clip(unit(y))}).select(*curve.columns, "nx", "ny")
 
 
 def match_totals(df: DataFrame, label: str, predicted: str) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .collections import with_carried, with_group_index, with_running_sums
+
 
 def sample_candidates(spark: SparkSession, space: list[tuple[str, str, float, float]], n: int, seed: int) -> DataFrame:
     """id and one column for each (name, INT | FLOAT | BOOLEAN, min, max), drawn uniformly."""
@@ -23,27 +24,41 @@ def clamp(value: Column, low: float, high: float) -> Column:
 
 
 def rank_fitness(df: DataFrame, output: str, key: str, mode: str, maximize: bool = True, group: list[str] | None = None) -> DataFrame:
-    """df with fitness: `absolute` (signed output), `incremental` (rank from 1, worst first) or `relative` (100 / (n - i + 2))."""
+    """df with fitness: `absolute` (signed output), `incremental` (rank from 1, worst first) or `relative` (100 / (n - i + 2)). Ranks come from ranges of all rows, so a group may hold any share of them."""
     value = F.col(output) if maximize else -F.col(output)
-    part = W.partitionBy(*(group or []))
-    rank = F.row_number().over(part.orderBy(value, key))
-    fitness = {"absolute": value, "incremental": rank, "relative": F.lit(100.0) / (F.count(F.lit(1)).over(part) - rank + 2)}[mode]
-    return df.withColumn("fitness", fitness.cast("double"))
+    if mode == "absolute":
+        return df.withColumn("fitness", value.cast("double"))
+    at = with_group_index(df, "__rank", group or [], value, key)
+    rank = F.col("__rank") + 1
+    fitness = {"incremental": rank, "relative": F.lit(100.0) / (F.col("__rank_of") - rank + 2)}[mode]
+    return at.withColumn("fitness", fitness.cast("double")).drop("__rank", "__rank_of", "__rank_row")
 
 
 def roulette_bounds(df: DataFrame, fitness: str, key: str, group: list[str]) -> DataFrame:
-    """df with low and high: each row's share of the wheel (negative fitness is shifted to 0)."""
-    part = W.partitionBy(*group)
-    shifted = F.col(fitness) - F.least(F.min(fitness).over(part), F.lit(0.0))
-    high = F.sum("__f").over(part.orderBy(key).rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("__f", shifted).withColumn("high", high).withColumn("low", F.col("high") - F.col("__f")).drop("__f")
+    """df with low and high: each row's share of its group's wheel, in the order of key (negative fitness is shifted to 0). Shares are summed over ranges of all rows, so a group may hold any share of them."""
+    least = df.groupBy(*group).agg(F.least(F.min(fitness), F.lit(0.0)).alias("__least"))
+    summed = with_running_sums(df.join(least, group).withColumn("__f", F.col(fitness) - F.col("__least")).drop("__least"), {"__high": "__f"}, *group, key)
+    start = summed.groupBy(*group).agg(F.min(F.col("__high") - F.col("__f")).alias("__start"))
+    met = summed.join(start, group).withColumn("high", F.col("__high") - F.col("__start"))
+    return met.withColumn("low", F.col("high") - F.col("__f")).drop("__f", "__high", "__high_total", "__start")
 
 
 def roulette(bounds: DataFrame, group: list[str], draws: int, seed: int) -> DataFrame:
-    """Rows drawn by fitness: `draws` points a group, each falls into one row's share."""
-    total = bounds.groupBy(*group).agg(F.max("high").alias("__total"))
-    points = total.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__u", F.rand(seed) * F.col("__total"))
-    return bounds.join(points, group).where((F.col("__u") > F.col("low")) & (F.col("__u") <= F.col("high"))).drop("__u", "__total")
+    """Rows drawn by fitness: `draws` points a group, each falls into one row's share; rows come with the number of their draw.
+
+    Points and shares are merged: both stand in one order, the wheel's from its end, and a point takes the last share that began above it, carried over ranges. Rows of no share are never drawn. Points are
+    hashes of seed, group and draw, so they are the same whenever a task runs again.
+    """
+    shares = bounds.where(F.col("high") > F.col("low"))
+    chunk = 1 << 16
+    total = shares.groupBy(*group).agg(F.max("high").alias("__total")).withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // chunk)))).repartition(*group, "__chunk")
+    draw = F.explode(F.sequence(F.col("__chunk") * chunk + 1, F.least((F.col("__chunk") + 1) * chunk, F.lit(draws))))
+    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *group, "draw"), 11) + 1) / F.lit(float(1 << 53))
+    points = total.withColumn("draw", draw).select(*group, "draw", (unit * F.col("__total")).alias("__x"))
+    marks = shares.select(*group, F.col("high").alias("__x"), F.struct(*shares.columns).alias("__share"))
+    both = marks.withColumn("draw", F.lit(None).cast("int")).unionByName(points, allowMissingColumns=True)
+    met = with_carried(both, {"won": F.col("__share")}, *group, F.desc("__x"), F.asc_nulls_first("draw"))
+    return met.where("draw is not null").select("won.*", "draw")
 
 
 def leaderboard(df: DataFrame, output: str, key: str, k: int, maximize: bool = True) -> DataFrame:
@@ -95,6 +110,6 @@ def queue_stats(df: DataFrame, queue: str, locked: Column, failed: Column) -> Da
 
 
 def progress(done: DataFrame, every: DataFrame) -> DataFrame:
-    """done, total, percent."""
+    """done, total, percent (null of nothing)."""
     a, b = done.agg(F.count(F.lit(1)).alias("done")), every.agg(F.count(F.lit(1)).alias("total"))
-    return a.join(F.broadcast(b)).withColumn("percent", F.round(100 * F.col("done") / F.col("total"), 2))
+    return a.join(F.broadcast(b)).withColumn("percent", F.round(F.try_divide(100 * F.col("done"), F.col("total")), 2))

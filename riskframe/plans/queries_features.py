@@ -42,9 +42,13 @@ TRIPLES = """triples as (
     union all select doc_id, 'description_lines', (length(text) - length(replace(text, chr(10), '')) + 1)::double from documents where text is not null
     union all select doc_id, 'exploits_has', toxic::double from labels where toxic is not null
     union all select doc_id, 'quality_flag', quality::double from labels where quality is not null)"""
-STATS = TRIPLES + """, total as (select count(distinct doc_id) as total from documents),
+#: Rows with every word of an enumeration, 0 where an entity doesn't have it.
+DENSE = """dense as (select * from triples union all select e.entity, f.feature, 0.0::double from (select distinct entity from triples) e, (select distinct feature from triples where contains(feature, '_enum_')) f
+        where not exists (select 1 from triples t where t.entity = e.entity and t.feature = f.feature))"""
+STATS_OF = """total as (select {total} as total),
     stats as (select feature, count(*) as present, count(distinct value) as n_distinct, min(value) as min, max(value) as max, sum(case when value = 1 then 1 else 0 end)::bigint as ones,
-    any_value(total) as total, starts_with(feature, 'vendor_') as is_vendor from triples, total group by feature)"""
+    any_value(total) as total, starts_with(feature, 'vendor_') as is_vendor from dense, total group by feature)"""
+STATS = f"{TRIPLES}, {DENSE}, " + STATS_OF.format(total="(select count(distinct doc_id) from documents)")
 SCALED = "(min <> max and not (min in (-1, 0, 1) and max in (-1, 0, 1)))"
 DROPPED = "(n_distinct <= 1 or present < 0.8 * total)"
 
@@ -195,29 +199,33 @@ def _exploits(t: Tables) -> DataFrame:
 ABSENT = ["phase", "cvss_version", "cvss_av", "cvss_ui", "cvss_s", "type", "cvss_ac", "cvss_aupr", "cvss_c", "cvss_i", "cvss_a", "reference_type", "exploits_weaponized_type"]
 
 
-@query(
-    "feature_pipeline",
-    f"""with d as (select 'CVE-' || doc_id as entity, text, lang, source, n_chars from documents where lang is distinct from 'RESERVED'),
+PIPE = f"""d as (select 'CVE-' || doc_id as entity, text, lang, source, n_chars from documents where lang is distinct from 'RESERVED'),
     tok as (select entity, {LEMMA} as l, p from (select entity, unnest(regexp_extract_all(text, {WORD})) as w, generate_subscripts(regexp_extract_all(text, {WORD}), 1) as p from d)),
     low as (select entity, string_agg(l, ' ' order by p) as text from tok group by 1),
     run as (select entity, lower(l) as w, p, sum(case when lower(l) in ({STOP_SQL}) then 1 else 0 end) over (partition by entity order by p) as r from tok),
     phr as (select distinct entity, string_agg(w, ' ' order by p) as phrase from run where w not in ({STOP_SQL}) group by entity, r having count(*) <= 5),
     df as (select phrase, count(*) as df from phr group by 1 having count(*) >= 5),
     words as (select entity, 'description_enum_' || replace(phrase, ' ', '_') as feature, greatest((length(text) - length(replace(text, phrase, ''))) // length(phrase), 1) * ln((select count(text) from d)::double / df) as value
-        from phr join df using (phrase) join low using (entity))
-    select entity, 'status_enum_' || lower(coalesce(lang, 'absent')) as feature, 1.0::double as value from d union all select entity, 'vendor_enum_' || replace(lower(coalesce(source, 'absent')), '.', '_'), 1.0 from d
+        from phr join df using (phrase) join low using (entity)),
+    feats as (select entity, 'status_enum_' || lower(coalesce(lang, 'absent')) as feature, 1.0::double as value from d union all select entity, 'vendor_enum_' || replace(lower(coalesce(source, 'absent')), '.', '_'), 1.0 from d
     union all select entity, n || '_enum_absent', 1.0 from d, (select unnest([{", ".join(f"'{n}'" for n in ABSENT)}]) as n)
     union all select entity, n, 0.0 from d, (select unnest(['exploits_weaponized_count', 'references_count', 'products', 'cvss_has_exploitability_score', 'cvss_exploitability_score', 'cvss_has_impact_score', 'cvss_impact_score', 'cpes_non_vulnerable_count']) as n)
     union all select entity, 'comments', coalesce(n_chars % 100, 0) from d union all select entity, 'versions', coalesce(n_chars, 0) from d union all select entity, 'cvss_score', coalesce(n_chars % 10, 0) from d
-    union all select entity, feature, round(value, 6) from words""",
-)
-def feature_pipeline(t: Tables) -> DataFrame:
-    """Record features end to end: documents as records, their language as status, their source as vendor."""
-    flat = t.documents.select(
+    union all select entity, feature, value from words)"""
+
+
+def _records(t: Tables) -> DataFrame:
+    """Documents as records, their language as status, their source as vendor."""
+    return t.documents.select(
         F.concat(F.lit("CVE-"), "doc_id").alias("cve"), F.col("lang").alias("Status"), F.when(F.col("source").isNotNull(), F.array("source")).alias("vendors"), F.col("text").alias("Description"),
         F.col("n_chars").alias("AffectedVersionsCount"), (F.col("n_chars") % 100).alias("Comments"), (F.col("n_chars") % 10).cast("double").alias("CVSS_score"),
     )
-    return K.cve_features(flat, STOP, 5)[0].withColumn("value", F.round("value", 6))
+
+
+@query("feature_pipeline", f"with {PIPE} select entity, feature, round(value, 6) as value from feats")
+def feature_pipeline(t: Tables) -> DataFrame:
+    """Record features end to end."""
+    return K.cve_features(_records(t), STOP, 5)[0].withColumn("value", F.round("value", 6))
 
 
 @query("split_labels", f"with {TRIPLES} select entity, feature, value from triples where starts_with(feature, 'exploits_')")
@@ -323,12 +331,12 @@ def total_entries(t: Tables) -> DataFrame:
     return S.total_entries(t.documents, "doc_id")
 
 
-@query("feature_presence", f"with {TRIPLES} select feature, count(*) as present from triples group by 1")
+@query("feature_presence", f"with {TRIPLES}, {DENSE} select feature, count(*) as present from dense group by 1")
 def feature_presence(t: Tables) -> DataFrame:
-    return doc_triples(t).groupBy("feature").agg(F.count("value").alias("present"))
+    return S.feature_presence(doc_triples(t))
 
 
-@query("value_histogram", f"with {TRIPLES} select feature, value, count(*) as n from triples group by 1, 2")
+@query("value_histogram", f"with {TRIPLES}, {DENSE} select feature, value, count(*) as n from dense group by 1, 2")
 def value_histogram(t: Tables) -> DataFrame:
     return S.value_histogram(doc_triples(t))
 
@@ -358,8 +366,9 @@ def fill_set(t: Tables) -> DataFrame:
     return S.fill_set(_stats(t), 0.3).select("feature")
 
 
-FOLDED = """folded as (select t.entity, t.feature, t.value from triples t join stats s using (feature) where not (s.is_vendor and s.ones < {n})
-    union all select t.entity, 'vendor_enum_absent', max(t.value) from triples t join stats s using (feature) where s.is_vendor and s.ones < {n} and t.value = 1 group by 1)"""
+RARE = "(s.is_vendor and (s.ones < {n} or s.n_distinct <= 1 or s.feature = 'vendor_enum_-'))"
+FOLDED = f"""folded as (select entity, feature, max(value) as value from (select t.entity, t.feature, t.value from triples t join stats s using (feature) where not {RARE}
+    union all select t.entity, 'vendor_enum_absent', t.value from triples t join stats s using (feature) where {RARE} and t.value = 1) group by 1, 2)"""
 
 
 @query("fold_rare", f"with {STATS}, {FOLDED.format(n=51)} select * from folded")
@@ -383,19 +392,50 @@ def dataset_rows(t: Tables) -> DataFrame:
     return d.select("index", "entity", F.size("features").cast("long").alias("n_features"), total.alias("feature_sum"), F.size("labels").cast("long").alias("n_labels"))
 
 
-@query(
-    "normalize_full",
-    f"""with {STATS}, {FOLDED.format(n=51)}, kept as (select * from folded where feature not in (select feature from stats where (n_distinct <= 1 or present < 0.3 * total) and not is_vendor)),
-    fill as (select feature from stats where n_distinct > 1 and present >= 0.3 * total and present < total and not is_vendor),
-    gaps as (select e.entity, fill.feature, 0.0::double as value from (select distinct entity from triples) e, fill where not exists (select 1 from kept k where k.entity = e.entity and k.feature = fill.feature)),
-    every as (select * from kept union all select * from gaps)
-    select entity, e.feature, round(case when {SCALED} then (value - min) / (max - min) else value end, 6) as value from every e left join stats using (feature)""",
-)
+#: Filtered and normalised rows, zeros left out, from stats and folded; {share} is the least share of rows.
+NORMALIZED = f"""gone as (select feature from stats where (n_distinct <= 1 or present < {{share}} * total) and not is_vendor),
+    normal as (select entity, feature, case when {SCALED} and not is_vendor then (value - min) / (max - min) else value end as value from folded left join stats using (feature) where feature not in (select feature from gone)),
+    fill as (select feature from stats where feature not in (select feature from gone) and present < total and not is_vendor and not contains(feature, '_enum_')),
+    every as (select entity, feature, value from normal union all select e.entity, fill.feature, 0.0::double from (select distinct entity from triples) e, fill where not exists (select 1 from normal k where k.entity = e.entity and k.feature = fill.feature))"""
+
+
+@query("normalize_full", f"with {STATS}, {FOLDED.format(n=51)}, {NORMALIZED.format(share=0.3)} select entity, feature, round(value, 6) as value from every")
 def normalize_full(t: Tables) -> DataFrame:
     n = S.normalize(doc_triples(t), S.total_entries(t.documents, "doc_id"), F.startswith(F.col("feature"), F.lit("vendor_")), least_share=0.3, least_ones=51)
     return n.withColumn("value", F.round("value", 6))
 
 
+@query("normalize_default", f"with {STATS}, {FOLDED.format(n=33)}, {NORMALIZED.format(share=0.8)} select entity, feature, round(value, 6) as value from every")
+def normalize_default(t: Tables) -> DataFrame:
+    """The same with the thresholds that build_dataset has."""
+    n = S.normalize(doc_triples(t), S.total_entries(t.documents, "doc_id"), F.startswith(F.col("feature"), F.lit("vendor_")))
+    return n.withColumn("value", F.round("value", 6))
+
+
+#: Statistics and dataset of the record features, from rows with every word of every enumeration.
+RECORD_STATS = f"{PIPE}, triples as (select entity, feature, value::double as value from feats), {DENSE}, " + STATS_OF.format(total="(select count(distinct entity) from triples)")
+
+
+@query("record_statistics", f"with {RECORD_STATS} select feature, present, n_distinct, round(min, 6) as min, round(max, 6) as max, ones from stats")
+def record_statistics(t: Tables) -> DataFrame:
+    """Statistics of record features that are written sparsely; the SQL counts dense rows."""
+    triples = K.cve_features(_records(t), STOP, 5)[0]
+    stats = S.analyze(triples, S.total_entries(triples, "entity"), F.startswith(F.col("feature"), F.lit("vendor_")))
+    return stats.select("feature", "present", "n_distinct", F.round("min", 6).alias("min"), F.round("max", 6).alias("max"), "ones")
+
+
+@query(
+    "build_dataset",
+    f"""with {RECORD_STATS}, {FOLDED.format(n=33)}, {NORMALIZED.format(share=0.8)}, place as (select entity, row_number() over (order by entity) - 1 as index from (select distinct entity from every))
+    select index, entity, starts_with(feature, 'exploits_') as is_label, feature, round(value, 6) as value from every join place using (entity) where value <> 0""",
+)
+def build_dataset(t: Tables) -> DataFrame:
+    """Records to dataset rows at the default thresholds; values other than 0."""
+    data = K.build_dataset(K.cve_features(_records(t), STOP, 5)[0])
+    part = lambda name, label: data.select("index", "entity", F.lit(label).alias("is_label"), F.explode(name).alias("feature", "value"))
+    return part("features", False).unionByName(part("labels", True)).where("value <> 0").withColumn("value", F.round("value", 6))
+
+
 @query(
     "feature_groups",
     f"""with {TRIPLES}, g as (select distinct feature, case when starts_with(feature, 'lang_') then 1 when starts_with(feature, 'description_') then 2 when starts_with(feature, 'reference_') then 3 when starts_with(feature, 'vendor_') then 4 else 0 end as grp from triples)
@@ -407,11 +447,13 @@ def feature_groups(t: Tables) -> DataFrame:
 
 @query(
     "class_balance",
-    """select source as grp, sum((toxic = 0)::int)::bigint as negative, sum((toxic = 1)::int)::bigint as positive, round(100.0 * sum((toxic = 1)::int) / count(*), 2)::double as positive_percent
-    from documents join labels using (doc_id) where toxic in (0, 1) group by rollup (source)""",
+    """select source as grp, sum(coalesce((toxic = 0)::int, 0))::bigint as negative, sum(coalesce((toxic = 1)::int, 0))::bigint as positive, round(100.0 * sum((toxic = 1)::int) / nullif(sum((toxic in (0, 1))::int), 0), 2)::double as positive_percent
+    from (select case when doc_id in (select doc_id from labels where toxic is not null) then source else 'unlabelled ' || source end as source, toxic from documents left join labels using (doc_id)) group by rollup (source)""",
 )
 def class_balance(t: Tables) -> DataFrame:
-    return S.class_balance(t.documents.join(t.labels.where("toxic in (0, 1)"), "doc_id"), "source", "toxic")
+    """Documents without a label are groups of their own, which have neither class."""
+    source = F.when(F.col("toxic").isNotNull(), F.col("source")).otherwise(F.concat(F.lit("unlabelled "), "source"))
+    return S.class_balance(t.documents.join(t.labels, "doc_id", "left").withColumn("source", source), "source", "toxic")
 
 
 @query("nan_mean", "select event_type, round(avg(case when value > 50 then value end), 6) as mean from events group by 1")
