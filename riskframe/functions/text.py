@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import saved
@@ -215,6 +215,12 @@ def drop_noise(df: DataFrame, col: str, patterns: list[str]) -> DataFrame:
     return df.where(~F.col(col).rlike("^(?:" + "|".join(patterns) + ")"))
 
 
+def read_patterns(spark: SparkSession, path: str) -> list[str]:
+    """Patterns of a text file, one a line, for drop_noise; blank lines and lines that begin with # are left out. A list of a family's noise is short, so it goes through the driver."""
+    rows = spark.read.text(path).where("trim(value) <> '' and not startswith(value, '#')").collect()
+    return [r.value for r in rows]
+
+
 def doc_frequency(df: DataFrame, key: str, tag_col: str, min_df: int) -> DataFrame:
     """(tag, df): tags that stand in min_df documents at least."""
     return df.select(key, tag_col).distinct().groupBy(tag_col).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)

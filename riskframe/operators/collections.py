@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from riskframe.storage import saved
+from riskframe.storage import read_manifest, removed, saved, write_manifest
 
 
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -112,6 +113,39 @@ def import_tables(spark, path: str) -> dict[str, tuple[DataFrame, str]]:
     return found
 
 
+def open_tables(spark, target: str) -> dict[str, tuple[DataFrame, str]]:
+    """Tables of a target that restore_tables has written, by name, with their key columns."""
+    from pyspark.sql.types import StructType
+    import json
+
+    live = read_manifest(spark, target)[1]
+    return {name: (spark.read.schema(StructType.fromJson(json.loads(t["schema"]))).parquet(f"{target}/{t['path']}"), t["key"]) for name, t in live.items()}
+
+
+def restore_tables(spark, path: str, target: str) -> dict[str, tuple[DataFrame, str]]:
+    """Merge an export into the tables of a target, which may have another name and hold tables already; the target's tables afterwards.
+
+    Each table is merged by its recorded key: exported rows take the place of those with the same key (of several in the export, one), other rows stay, rows without a key are added. Columns that one side
+    lacks are null. All tables are written first and then named by one manifest: a restore that fails leaves the target as it was, and one that is run again merges the same rows. Tables of
+    the manifest before it are kept, older ones removed.
+    """
+    n, live = read_manifest(spark, target)
+    before, n = read_manifest(spark, target, 1)[1], 0 if n is None else n + 1
+    now, there = dict(live), open_tables(spark, target)
+    for name, (df, key) in import_tables(spark, path).items():
+        rows = df.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(df.where(F.col(key).isNull()))
+        if name in there:
+            old = there[name][0]
+            rows = old.join(df.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True)
+        at = f"{name}/{n}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{target}/{at}")
+        now[name] = {"path": at, "key": key, "schema": rows.schema.json()}
+    write_manifest(spark, target, n, now)
+    named = {t["path"] for m in (live, now) for t in m.values()}
+    removed(spark, *(f"{target}/{t['path']}" for t in before.values() if t["path"] not in named))
+    return open_tables(spark, target)
+
+
 def with_index(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """df with a dense row number from 0 in a total order, without passing all rows through one task.
 

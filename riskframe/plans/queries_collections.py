@@ -75,6 +75,51 @@ def html_list_rows(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.posexplode(F.expr("""regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)""")).alias("row_no", "link"))
 
 
+# pages that describe parts as records of vulnerabilities, with their suppliers' lines as a table
+def _detail_pages(t: Tables) -> DataFrame:
+    row = lambda label, value: F.concat(F.lit(f"<tr><th>{label}</th>\n<td>"), value, F.lit("</td></tr>"))
+    text = F.concat(F.lit('<div class="cvedetailssummary">\n'), "p_name", F.lit("<br>of "), "p_brand", F.lit(' <span class="datenote">Publish Date : 19'), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"), F.lit("-01-31 Last Update Date : 2001-02-03</span></div>"))
+    lines = t.lineitem.groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_quantity"))).alias("l"))
+    table = F.concat(
+        F.lit("<h2>Products Affected By CVE-1</h2> <table id=x><tr><th>#</th><th>Vendor</th><th>Count</th></tr>"),
+        F.array_join(F.transform("l", lambda x: F.concat(F.lit("<tr><td>1</td><td><a>"), x["l_orderkey"], F.lit("</a></td><td>"), F.when(x["l_quantity"] > 25, F.lit("nan")).otherwise(x["l_linenumber"].cast("string")), F.lit("</td></tr>"))), "\n"), F.lit("</table>"),
+    )
+    html = F.concat(
+        F.lit("<h1>Vulnerability Details : <a href=x>CVE-"), "p_partkey", F.lit("</a></h1><table>"), row("CVSS Score", F.concat(F.lit('<div class="s">'), "p_size")), row("CWE ID", F.when(F.col("p_size") > 40, "CWE id is not defined for this vulnerability").otherwise(F.col("p_size").cast("string"))),
+        row("Vulnerability Type(s)", F.concat(F.lit('<span class="vt_'), "p_size", F.lit('">'), "p_brand", F.lit("</span>"))), F.lit("</table>"), text, F.coalesce(table, F.lit("")),
+    )
+    unknown = F.when(F.col("p_partkey") % 10 == 0, F.lit("<strong>Unknown CVE ID</strong>")).otherwise(html)
+    return t.part.join(lines, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", unknown.alias("html"))
+
+
+@query(
+    "detail_record",
+    """with l as (select l_partkey, count(*) as n, string_agg(l_orderkey || ':' || case when l_quantity > 25 then '' else l_linenumber::varchar end, ',' order by l_orderkey, l_linenumber, l_quantity) as products from lineitem group by 1)
+    select p_partkey, 'CVE-' || p_partkey as cve, p_size::varchar as score, case when p_size <= 40 then p_size::varchar end as cwe, p_brand || ' - vt_' || p_size as type, p_name || chr(10) || 'of ' || p_brand as description,
+    '19' || lpad((p_partkey % 100)::varchar, 2, '0') || '-01-31' as published, '2001-02-03' as modified, products from part left join l on l_partkey = p_partkey where p_partkey % 10 <> 0""",
+)
+def detail_record(t: Tables) -> DataFrame:
+    """Pages of records read back as structs."""
+    d = lambda name: F.col("detail").getField(name)
+    products = F.array_join(F.transform(d("prod. affected"), lambda m: F.concat(m["Vendor"], F.lit(":"), F.coalesce(F.try_element_at(m, F.lit("Count")), F.lit("")))), ",")
+    return H.detail_record(_detail_pages(t)).select(
+        "p_partkey", d("cve").alias("cve"), d("cvss score").alias("score"), d("cwe").alias("cwe"), d("vul. type").alias("type"), d("description").alias("description"), d("publish date").alias("published"),
+        d("last mod date").alias("modified"), products.alias("products"),
+    )
+
+
+@query(
+    "html_tables",
+    """select p_partkey, row_number() over (partition by p_partkey order by l_orderkey, l_linenumber, l_quantity) - 1 as row_no, l_orderkey::varchar as vendor, case when l_quantity <= 25 then l_linenumber::varchar end as n
+    from part join lineitem on l_partkey = p_partkey where p_partkey % 10 <> 0""",
+)
+def html_tables(t: Tables) -> DataFrame:
+    """Rows of the tables of products on those pages."""
+    table = F.regexp_extract("html", "(?s)<table id=x>.*</table>", 0)
+    rows = H.extract_tables(_detail_pages(t).withColumn("table", table), "p_partkey", "table")
+    return rows.select("p_partkey", F.col("row_no").cast("long").alias("row_no"), F.col("cells")["Vendor"].alias("vendor"), F.try_element_at("cells", F.lit("Count")).alias("n"))
+
+
 @query("source_metadata", "select source, count(*) as data_count, max(n_chars) as longest, count(distinct lang) as languages from documents group by 1")
 def source_metadata(t: Tables) -> DataFrame:
     return C.source_metadata(t.documents, "source", longest=F.max("n_chars"), languages=F.countDistinct("lang"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from ..operators import evaluate as V
 from ..operators import search as H
 from ..operators import statistics as S
 from .queries_features import TRIPLES, doc_triples
+from ..storage import shared_folder
 from .registry import Tables, query
 
 
@@ -193,6 +196,15 @@ def evaluate_model(t: Tables) -> DataFrame:
     return V.binary_metrics(V.confusion(V.predict(rows.where("part = 'tail'"), model, "features"), "y", "predicted"))
 
 
+@query("evaluate_years")
+def evaluate_years(t: Tables) -> DataFrame:
+    """A stored model read back and evaluated over chosen years; the vectors' years are drawn from their ids."""
+    rows = D.split_at(_training(t).withColumn("year", (F.col("vec_id") % 5 + 2015).cast("int")), 0.85, "vec_id")
+    at = f"{shared_folder(t.spark)}/model-{uuid.uuid4().hex}"
+    V.save_model(V.train_weighted(rows.where("part = 'head'"), "features", "y"), at)
+    return V.evaluate_years(V.load_model(at), rows.where("part = 'tail'"), "features", "y", F.col("year"), [2016, 2018])
+
+
 @query("threshold_classes", "select event_id, (value / 100 >= 0.5)::int as predicted from events")
 def threshold_classes(t: Tables) -> DataFrame:
     return t.events.select("event_id", V.threshold_class(F.col("value") / 100).alias("predicted"))

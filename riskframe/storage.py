@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -46,3 +47,24 @@ def listed(spark: SparkSession, folder: str) -> list[str]:
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     store = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     return [x.getPath().getName() for x in store.listStatus(at)] if store.exists(at) else []
+
+
+def write_manifest(spark: SparkSession, folder: str, n: int, content: dict) -> None:
+    """Manifest number n of a folder: written beside its place, then renamed, so it is there whole or not at all."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_manifest/{n}.json")
+    half = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_manifest/_{n}-{uuid.uuid4().hex}")
+    store = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = store.create(half, True)
+    out.write(json.dumps(content).encode())
+    out.close()
+    if not store.rename(half, at):
+        raise OSError(f"could not rename {half} to {at}")
+
+
+def read_manifest(spark: SparkSession, folder: str, back: int = 0) -> tuple[int | None, dict]:
+    """(number, content) of the newest manifest of a folder, or of the one that many before it; (None, {}) where there is none."""
+    numbers = sorted(int(x.removesuffix(".json")) for x in listed(spark, f"{folder}/_manifest") if x.endswith(".json") and x[0] != "_")
+    if len(numbers) <= back:
+        return None, {}
+    n = numbers[-1 - back]
+    return n, json.loads("".join(r.value for r in spark.read.text(f"{folder}/_manifest/{n}.json").collect()))  # one short file

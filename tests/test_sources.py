@@ -127,4 +127,38 @@ def test_stream_takes_only_new_files(spark, tmp_path):
     assert run() == [(1, 1, "a"), (2, 5, "B"), (3, 1, "c")]
     assert run() == [(1, 1, "a"), (2, 5, "B"), (3, 1, "c")]  # no new file
     put([(4, 1, "d")])
-    assert run() == [(1, 1, "a"), (2, 5, "B"), (3, 1, "c"), (4, 1, "d")] and len([x for x in (tmp_path / "t").iterdir() if x.name.startswith("v")]) == 2
+    assert run() == [(1, 1, "a"), (2, 5, "B"), (3, 1, "c"), (4, 1, "d")]
+
+
+def test_detail_record(spark):
+    page = """<h1>Vulnerability Details : <a href="/x">CVE-2020-1</a></h1><table>
+      <tr><th>CVSS Score</th><td><div class="cvssbox">7.5</div></td></tr><tr><th>Confidentiality Impact</th><td><span>Partial</span></td></tr><tr><th>Integrity Impact</th><td>None</td></tr>
+      <tr><th>Availability Impact</th><td>Complete</td></tr><tr><th>Access Complexity</th><td>Low</td></tr><tr><th>Authentication</th><td>Not required</td></tr><tr><th>Gained Access</th><td>Admin</td></tr>
+      <tr><th>Vulnerability Type(s)</th><td><span class="vt_overflow">Overflow</span></td></tr><tr><th>CWE ID</th><td>79</td></tr></table>
+      <div class="cvedetailssummary">
+        A heap <b>overflow</b>.<br>More.
+        <span class="datenote">Publish Date : 2020-01-02 Last Update Date : 2020-03-04</span></div>
+      <h2>Products Affected By CVE-2020-1</h2><table class=l><tr><th>#</th><th>Vendor</th><th>Product</th></tr><tr><td>1</td><td>Acme</td><td>nan</td></tr></table>
+      <h2>Number Of Affected Versions By Product</h2><table><tr><th>Vendor</th><th>Vulnerable Versions</th></tr><tr><td>Acme&nbsp;</td><td>3</td></tr></table>
+      <h2>References For CVE-2020-1</h2><table><tr><td><a href=u>http://u</a> CONFIRM</td></tr><tr><td>http://v</td></tr></table>
+      <h2>Metasploit Modules Related To CVE-2020-1</h2><div id="metasploitmodstable"><table><tr><th>Module</th></tr><tr><td>m1</td></tr></table></div>"""
+    rows = [(1, page), (2, "<strong>Unknown CVE ID</strong>" + page), (3, "<p>nothing</p>"), (4, None), (5, "<th>CWE ID</th><td>CWE id is not defined for this vulnerability</td><th>CVSS Score</th> <td>0.0</td>")]
+    got = {r.id: r.detail for r in html.detail_record(spark.createDataFrame(rows, "id int, html string")).collect()}
+    assert set(got) == {1, 5} and got[5]["cvss score"] == "0.0" and got[5]["cwe"] is None
+    d = got[1].asDict()
+    assert [d[k] for k in ("cve", "cvss score", "confidentiality imp.", "integrity imp.", "availability imp.", "complexity", "authentication", "gained acc.", "vul. type", "cwe")] == ["CVE-2020-1", "7.5", "Partial", None, "Complete", "Low", "Not required", "Admin", "Overflow - vt_overflow", "79"]
+    assert d["description"] == "A heap overflow.\nMore." and (d["publish date"], d["last mod date"]) == ("2020-01-02", "2020-03-04")
+    assert d["prod. affected"] == [{"Vendor": "Acme"}] and d["versions affected"] == [{"Vendor": "Acme", "Vulnerable Versions": "3"}] and d["references"] == ["http://u", "http://v"] and d["metasploitable"] == [{"Module": "m1"}]
+
+
+def test_patterns_and_nested_lists(spark, tmp_path):
+    from riskframe.functions import text as X
+
+    (tmp_path / "noise.txt").write_text("# noise of records\n^[0-9\\s]*$\n\n^cvss [0-9]*$\n^ha$\n")
+    patterns = X.read_patterns(spark, str(tmp_path / "noise.txt"))
+    assert patterns == ["^[0-9\\s]*$", "^cvss [0-9]*$", "^ha$"]
+    df = spark.createDataFrame([("12 3",), ("cvss 20",), ("hat",), ("ha",)], "p string")
+    assert [r.p for r in X.drop_noise(df, "p", patterns).collect()] == ["hat"]
+    df = spark.createDataFrame([(1, [["a b", "c"], None, ["c"]]), (2, None)], "k int, l array<array<string>>")
+    assert sorted(map(tuple, X.build_vocab(df, "k", ["l"]).collect())) == [("l", "a_b"), ("l", "absent"), ("l", "c")]
+    assert sorted((r.k, r.feature) for r in X.one_hot(df, "k", ["l"]).collect()) == [(1, "l_enum_a_b"), (1, "l_enum_c"), (2, "l_enum_absent")]
