@@ -86,8 +86,9 @@ def lemma(word: Column) -> Column:
     """Noun endings taken off: ses, xes, zes, ches, shes, men, ies, s."""
     out = word
     for ending, to in reversed(ENDINGS):
-        out = F.when(word.rlike(f"...{ending}$"), F.regexp_replace(word, f"{ending}$", to)).otherwise(out)
-    return out
+        fits = F.endswith(word, F.lit(ending)) & (F.length(word) >= len(ending) + 3)
+        out = F.when(fits, word if ending == to else F.concat(F.substring(word, F.lit(1), F.length(word) - len(ending)), F.lit(to))).otherwise(out)
+    return F.when(F.endswith(word, F.lit("s")) | F.endswith(word, F.lit("men")), out).otherwise(word)
 
 
 def _plain_lemma(word: str) -> str:

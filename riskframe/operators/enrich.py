@@ -25,23 +25,32 @@ def two_hops(records: DataFrame, key: str, ids_col: str, middle: DataFrame, midd
     return second.join(last, second["__id"] == last[last_key]).drop("__id")
 
 
-def enum_fold(rows: DataFrame, key: list[str], pos: str, value: str) -> DataFrame:
-    """Ordered fold of enumeration counts: 0 takes the value; 1 stays 1 under 0 or 1; else the value is added.
+def fold(rows: DataFrame, key: list[str], pos: str, value: str, enum: Column | None = None) -> DataFrame:
+    """One value a key: values of enumerations (rows where `enum` holds; all without it; the same for all rows of a key) fold in order of pos, others are summed.
 
-    Ones before the first value that is neither 0 nor 1 fold to 1, zeros change nothing, and from that value on all is added. So the fold is the sum from that value on, and 1 more if a one stands
-    before it: plain aggregates that combine before the shuffle, in two passes, and no key gathers its rows. Keys of zeros and ones alone need the first pass only. Values are 0 or more (a sum of
-    fractions that comes to 1 goes on as a number); a null value makes the fold null. Positions of a key are distinct.
+    The ordered fold: 0 takes the value; 1 stays 1 under 0 or 1; else the value is added. So ones before the first value that is neither 0 nor 1 fold to 1, zeros change nothing, and from that
+    value on all is added: the fold is the sum from that value on, and 1 more if a one stands before it. These are plain aggregates that combine before the shuffle, and no key gathers its rows; only
+    keys that have such a value meet their rows a second time. Values are 0 or more (a sum of fractions that comes to 1 goes on as a number); a null value makes a fold null and counts as
+    nothing in a sum. Positions of a key are distinct.
     """
     v = F.col(value).cast("double")
+    enum = F.lit(True) if enum is None else enum
     other = ~F.coalesce(v.isin(0.0, 1.0), F.lit(False))
-    top = rows.groupBy(*key).agg(F.max(v).alias("value"), F.min(F.when(other, F.col(pos))).alias("__from"), F.max(v.isNull()).alias("__null"))
-    plain = top.where("__from is null").select(*key, "value")
+    top = rows.groupBy(*key).agg(
+        F.max(enum).alias("__enum"), F.max(v).alias("__top"), F.sum(v).alias("__sum"), F.min(F.when(enum & other, F.col(pos))).alias("__from"), F.max(v.isNull()).alias("__null")
+    )
+    plain = top.where("__from is null").select(*key, F.when(F.col("__enum"), F.col("__top")).otherwise(F.col("__sum")).alias("value"))
     late = F.col(pos) >= F.col("__from")
     met = rows.join(top.where("__from is not null").select(*key, "__from", "__null"), key)
     summed = met.groupBy(*key, "__null").agg(F.sum(F.when(late, v)).alias("__sum"), F.max(F.when(~late & (v == 1), 1.0).otherwise(0.0)).alias("__one"))
     return plain.unionByName(summed.select(*key, F.when(~F.col("__null"), F.col("__sum") + F.col("__one")).alias("value")))
 
 
+def enum_fold(rows: DataFrame, key: list[str], pos: str, value: str) -> DataFrame:
+    """The ordered fold of fold()."""
+    return fold(rows, key, pos, value)
+
+
 def numeric_fold(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.sum(value).alias("value"))
 
