@@ -4,7 +4,7 @@ Confirmed toxic documents are positives; other text is unlabelled, not negative.
 loss l is estimated from both by p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)]); where the second part falls below zero, its gradient is
 reversed, which keeps a flexible model from calling all unlabelled text clean. Linear classifiers over the presence of words are
 trained with numpy on bounded samples of the labelled documents, the population that p is the share of; the unlabelled sample's own labels
-stay unread there. Scale and threshold are then refitted on labelled documents of both kinds. Candidate words come from the sampled documents; those that count are
+stay unread. Scale and threshold come from the same risk. Candidate words come from the sampled documents; those that count are
 chosen by their frequencies over all documents outside the held-out fold, and every document is scored in full.
 """
 
@@ -28,7 +28,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 #: Features are words and their beginnings of 5, 6 and 7 bytes (languages that glue words show their stems there), hashed to so many places.
 PLACES = 2**20
 STEMS = (5, 6, 7)
-#: Places that are counted over all documents.
+#: Places that are counted over all documents, by default.
 CANDIDATES = 16_384
 
 
@@ -116,13 +116,13 @@ def _frequencies(docs: DataFrame, text_col: str, candidates):
     return int(count[place < 0].sum()), held
 
 
-def _chosen(pos: list, other: list, docs: DataFrame, text_col: str, size: int):
+def _chosen(pos: list, other: list, docs: DataFrame, text_col: str, size: int, most: int):
     """Places whose share of documents differs most surely between the positives and all documents. Candidates come from the sampled documents, their frequencies
     from all."""
     import numpy as np
 
     a, b = _held(pos), _held(other)
-    candidates = _surest(a, len(pos), b, len(other), a + b, CANDIDATES)
+    candidates = _surest(a, len(pos), b, len(other), a + b, most)
     n, held = _frequencies(docs, text_col, candidates)
     seen = np.zeros(PLACES, np.int64)
     seen[candidates] = (a + held)[candidates]
@@ -138,18 +138,22 @@ def _matrix(rows: list, places):
     return x
 
 
-def _refit(gp, gn, prior: float, ridge: float = 1e-5) -> tuple[float, float]:
-    """(scale, shift) of the logits that undo what decay shrank: Newton steps on the logistic risk of labelled documents of both kinds."""
+def _refit(gp, gu, prior: float, gn=None, ridge: float = 1e-5) -> tuple[float, float]:
+    """(scale, shift) of the logits that undo what decay shrank, by Newton steps on a convex risk: that of positives and unlabelled text corrected by the prior,
+    p E+[l(g) - l(-g)] + Eu[l(-g)]; or, where the logits gn of labelled negatives are given, the supervised one."""
     import numpy as np
 
-    x = np.stack([np.concatenate([gp, gn]), np.ones(len(gp) + len(gn))], 1)
-    y = np.repeat([1.0, 0.0], [len(gp), len(gn)])
-    share = np.repeat([prior / len(gp), (1 - prior) / len(gn)], [len(gp), len(gn)])
+    other, weight = (gu, 1.0) if gn is None else (gn, 1 - prior)
+    x = np.stack([np.concatenate([gp, other]), np.ones(len(gp) + len(other))], 1)
+    share = np.repeat([prior / len(gp), weight / len(other)], [len(gp), len(other)])
+    lift = prior * np.stack([gp, np.ones(len(gp))], 1).mean(0)  # of positives: l(z) - l(-z) = -z, and l(z) = l(-z) - z
+    if gn is None:
+        share[: len(gp)] = 0.0
     w = np.array([1.0, 0.0])
-    risk = lambda w: share @ (np.logaddexp(0, x @ w) - y * (x @ w)) + ridge * (w[0] - 1) ** 2
+    risk = lambda w: share @ np.logaddexp(0, x @ w) - lift @ w + ridge * (w[0] - 1) ** 2
     for _ in range(50):
         s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (share * (s - y)) + [2 * ridge * (w[0] - 1), 0]
+        grad = x.T @ (share * s) - lift + [2 * ridge * (w[0] - 1), 0]
         step = np.linalg.solve((x * (share * s * (1 - s))[:, None]).T @ x + np.diag([2 * ridge, 1e-9]), grad)
         t = 1.0
         while t > 1e-6 and risk(w - t * step) > risk(w):
@@ -160,16 +164,16 @@ def _refit(gp, gn, prior: float, ridge: float = 1e-5) -> tuple[float, float]:
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
-def train(pos: list, unl: list, neg: list, prior: float, places, members: int = 3, epochs: int = 40, rate: float = 0.02, decay: float = 1e-3) -> tuple[dict[int, float], float]:
+def train(pos: list, unl: list, prior: float, places, neg: list | None = None, members: int = 3, epochs: int = 40, rate: float = 0.02, decay: float = 1e-3) -> tuple[dict[int, float], float]:
     """(weight of each of `places`, bias): mean of `members` linear classifiers under the non-negative risk, trained by Adam,
-    with its scale and bias refitted on positives and the labelled negatives `neg`."""
+    with its scale and bias refitted under the prior-corrected risk, or on labelled negatives `neg` where they are given."""
     import math
 
     import numpy as np
 
     prior = min(max(prior, 1e-4), 0.9)
     base = math.log(prior / (1 - prior))
-    if not pos or not unl or not neg:
+    if not pos or not unl:
         return {}, base
     xp, xu = _matrix(pos, places), _matrix(unl, places)
     total, bias_total = np.zeros(len(places)), 0.0
@@ -198,14 +202,14 @@ def train(pos: list, unl: list, neg: list, prior: float, places, members: int =
         total += w[:-1]
         bias_total += float(w[-1])
     w, bias = total / members, bias_total / members
-    scale, shift = _refit(xp @ w + bias, _matrix(neg, places) @ w + bias, prior)
+    scale, shift = _refit(xp @ w + bias, xu @ w + bias, prior, _matrix(neg, places) @ w + bias if neg else None)
     w, bias = scale * w, scale * bias + shift
     return {int(p): float(x) for p, x in zip(places, w, strict=True)}, bias
 
 
 def toxicity_model(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 4000, max_unlabelled: int = 8000, features: int = 512
-) -> tuple[dict[int, float], float]:
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 4000, max_unlabelled: int = 8000, features: int = 512, candidates: int = CANDIDATES, supervised: bool = False,
+) -> tuple[dict[int, float], float]:
     """(weight of each place, bias) of the classifier; see toxicity. Without labels of both kinds there are no weights, and the bias gives a score of 0.05."""
     import math
 
@@ -214,28 +218,28 @@ def toxicity_model(
     n, toxic = marked.agg(F.count(F.lit(1)), F.sum(F.when(F.col("y") == 1, 1).otherwise(0))).first()
     pos_ids = first_by_hash(marked.where("y = 1").select("__id"), "__id", max_positive)
     unl_ids = first_by_hash(marked.select("__id"), "__id", max_unlabelled)
-    neg_ids = first_by_hash(marked.where("y = 0").select("__id"), "__id", max_unlabelled)
     if not n or not 0 < toxic < n:
         return {}, math.log(0.05 / 0.95)
-    pos = _sample(docs, pos_ids, id_col, text_col)
-    unl, neg = (_sample(docs, ids, id_col, text_col) for ids in (unl_ids, neg_ids))
-    return train(pos, unl, neg, toxic / n, _chosen(pos, unl + neg, docs.where(~held_out(id_col)), text_col, features))
+    pos, unl = (_sample(docs, ids, id_col, text_col) for ids in (pos_ids, unl_ids))
+    neg = _sample(docs, first_by_hash(marked.where("y = 0").select("__id"), "__id", max_unlabelled), id_col, text_col) if supervised else None
+    return train(pos, unl, toxic / n, _chosen(pos, unl, docs.where(~held_out(id_col)), text_col, features, candidates), neg)
 
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_positive: int = 4000, max_unlabelled: int = 8000, features: int = 512,
+    max_positive: int = 4000, max_unlabelled: int = 8000, features: int = 512, candidates: int = CANDIDATES, supervised: bool = False,
 ) -> DataFrame:
     """docs with held_out, score (0 to 1) and predicted (1 if score >= 0.5).
 
     Labels are read only outside the held-out fold (an id of null counts as held out). The class prior is the toxic share of all
     labels read. At most max_positive toxic and max_unlabelled labelled documents of any kind, the first by a hash of the id, are trained on;
-    the words come from all documents outside the held-out fold. Every document is scored by its whole text, so the share of documents called
+    at most `candidates` hashed words of theirs are counted over all documents outside the held-out fold, and `features` of them chosen by that. Scale and threshold minimise the same prior-corrected risk; with
+    `supervised` they are fitted on as many labelled negatives instead. Every document is scored by its whole text, so the share of documents called
     toxic may be any, and a null or empty text gets the score of no words. Where the labels are all of one kind or none, all scores are 0.05. An id with several labels is toxic if one of them is. Repeated rows get equal scores; input columns of the three
     names are replaced. An empty table gives an empty result.
     """
     docs = small_batches(docs)
-    weight, bias = toxicity_model(docs, labels, id_col, text_col, label_col, max_positive, max_unlabelled, features)
+    weight, bias = toxicity_model(docs, labels, id_col, text_col, label_col, max_positive, max_unlabelled, features, candidates, supervised)
     kept = docs.drop("held_out", "score", "predicted")
     names = [*kept.columns, "score"]
     schema = kept.withColumn("score", F.lit(0.0)).schema
