@@ -3,7 +3,8 @@
 A turn is written as `<|im_start|>role\\ntext<|im_end|>\\n`. Inside texts a backslash is doubled and `<|` becomes `<\\|`, so no control
 string can occur there; roles are percent-encoded.
 
-1. A conversation is cut into parts of `part_turns` turn numbers, so one with a third of all rows is many rows of bounded length.
+1. A conversation is cut into parts of `part_turns` to twice as many turns, so one with a third of all rows is many rows of bounded length. Turns are counted by blocks of turn numbers; blocks with gaps are
+   put together by running sums of their counts, and one that holds more turns than numbers (equal ones) is cut by the turns' ranks. Only conversations that need it travel for that.
 2. Prefix sums of a part's tokens choose spans of whole turns that fit the budget; a span doesn't cross parts.
 3. Every window starts with the leading system turn, repeats some turns before its span as history (of the part before, where the span
    starts a part) and then has the span itself. The loss mask covers the assistant texts of the span alone: each target once over all windows.
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from riskframe.operators.collections import with_group_index, with_running_sums
+
 from .common import saved
 
 #: Bytes of history that are broadcast at most.
@@ -61,6 +64,32 @@ def _before(parts: DataFrame, history: int) -> DataFrame:
     return found.select("conv_id", "part", "n_before", "lead", F.expr(f"slice(past, greatest(size(past) - {history} + 1, 1), {history})").alias("past"))
 
 
+def _small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, to be broadcast where it is measured to be small."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST else df
+
+
+def _parted(turn: DataFrame, part_turns: int) -> DataFrame:
+    """turn (conv_id, block, t) with `part` in the place of block. A conversation whose blocks are parts as they stand keeps their numbers."""
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    blocks = saved(turn.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n")), "chat-blocks")
+    several = blocks.groupBy("conv_id").agg(F.count(F.lit(1)).alias("blocks"), F.max("n").alias("most")).where((F.col("blocks") > 1) | (F.col("most") > 2 * part_turns))
+    summed = with_running_sums(blocks.join(several.select(F.col("conv_id").alias("c")), same("conv_id", "c"), "left_semi"), {"upto": "n"}, "conv_id", "block")
+    start = summed.groupBy(F.col("conv_id").alias("c")).agg(F.min(F.col("upto") - F.col("n")).alias("start"))
+    placed = summed.join(start, same("conv_id", "c")).select("conv_id", "block", "n", (F.col("upto") - F.col("n") - F.col("start")).alias("offset"))
+    placed = saved(placed.withColumn("at", F.floor(F.col("offset") / part_turns)), "chat-places")
+    odd = placed.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("at").alias("parts"), F.max("n").alias("most")).where((F.col("parts") < F.col("n")) | (F.col("most") > 2 * part_turns))
+    place = saved(placed.join(odd.select(F.col("conv_id").alias("o")), same("conv_id", "o"), "left_semi").select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "n", "offset", "at"), "chat-odd")
+    if place.isEmpty():
+        return turn.withColumnRenamed("block", "part")
+    met = turn.join(_small(place, 48), same("conv_id", "c") & same("block", "b"), "left")
+    fits = met.where(F.coalesce(F.col("n") <= 2 * part_turns, F.lit(True))).select("conv_id", F.when(F.col("n").isNull(), F.col("block")).otherwise(F.col("at")).alias("part"), "t")
+    if place.where(F.col("n") > 2 * part_turns).isEmpty():
+        return fits
+    long = with_group_index(met.where(F.col("n") > 2 * part_turns).select("conv_id", "block", "offset", "t"), "rank", ["conv_id", "block"], "t.turn", "t.role", "t.text")
+    return fits.unionByName(long.select("conv_id", F.floor((F.col("offset") + F.col("rank")) / part_turns).alias("part"), "t"))
+
+
 def chat_windows(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
     budget: int = 512, history_tokens: int = 128, history_turns: int = 4, tokens: Column | None = None, part_turns: int = 64,
@@ -70,15 +99,15 @@ def chat_windows(
 
     Turns are ordered by turn (a whole number; nulls first), then role, then text; repeated rows are turns of their own. Null texts and roles are empty. A null
     conv_id is a conversation like any other. No turn is cut: where the system turn and one other exceed the budget, or one turn does,
-    the window exceeds it too. Turns of one conversation with equal numbers stand in one part, whatever their number. An empty table gives an empty
+    the window exceeds it too. Gaps in the numbers and equal numbers change no part's bound. An empty table gives an empty
     result. Other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     turn = turns.select(
-        F.col(conv_col).alias("conv_id"), F.floor(F.col(turn_col).cast("long") / part_turns).alias("part"),
+        F.col(conv_col).alias("conv_id"), F.floor(F.col(turn_col).cast("long") / part_turns).alias("block"),
         F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), text.alias("text"), (token_estimate(text) if tokens is None else tokens).cast("long").alias("tokens")).alias("t"),
     )
-    parts = saved(turn.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("t")).alias("turns")), "chat-parts")
+    parts = saved(_parted(turn, part_turns).groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("t")).alias("turns")), "chat-parts")
     known = saved(_before(parts, history_turns).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "n_before", "lead", "past"), "chat-history")
     held = known.agg(F.sum(F.octet_length(F.to_json(F.struct("lead", "past"))) + 64)).first()[0] or 0
     if held <= BROADCAST:  # measured; beyond it the join shuffles the parts once more
