@@ -2,17 +2,16 @@
 
 1. Median splits of a bounded sample cut the space into cells; vectors are dealt to shards by cell (a cell with many vectors is several shards by
    hash), so that shards lie together in space. A shard's tree splits at the median of its widest component until a leaf holds `leaf` vectors;
-   each node keeps the tight box of its vectors. Trees are built once and written.
-2. The product of a query with any vector of a box is at most sum(max(q * low, q * high)). A query visits shards by their root boxes, best bound
-   first, in rounds of 1, 3, 12, ... shards; the kth score of the rounds before goes along, and a shard whose bound lies under it is left out.
+   each node keeps the tight box of its vectors. Trees are built once and written, their nodes as columns of packed numbers.
+2. The product of a query with any vector of a box is at most sum(max(q * low, q * high)). A query visits cells by their boxes, best bound
+   first, in rounds of 1, 3, 12, ... cells; the kth score of the rounds before goes along, and a cell whose bound lies under it is left out.
+   Only trees of visited cells move, each once for every `block` queries that visit it.
 3. Inside a shard a query visits leaves best bound first, in waves of 1, 3, 9, ... leaves together with the other queries of its block; its kth score rises
    on the way, and what lies under it is left out.
 """
 
 from __future__ import annotations
 
-import pickle
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -22,8 +21,8 @@ from .common import SALTS, first_by_hash, saved
 
 #: Below any score.
 LOWEST = -(2**63 - 1)
-#: Sampled vectors that the cells are cut from, and shards at most (beyond, shards grow): both bound what the driver holds.
-SAMPLE, MOST_SHARDS = 16_384, 16_384
+#: Sampled vectors that the cells are cut from, and levels of cuts at most (beyond, a cell is more shards, none larger): both bound what the driver holds.
+SAMPLE, MOST_LEVELS = 16_384, 14
 #: Queries that are routed at once.
 ROUTE = 512
 
@@ -188,24 +187,40 @@ def _search(tree: dict, qids, q, k: int, bound):
     return score, best
 
 
+#: Arrays of a tree and their types; the vectors `x` stand as 32-bit integers where they fit.
+NODES = {"low": "<f8", "high": "<f8", "left": "<i8", "right": "<i8", "first": "<i8", "last": "<i8", "ids": "<i8"}
+
+
 def _built(leaf: int):
     def run(group: pa.Table) -> pa.Table:
         tree = _tree(group["id"].to_numpy(), _rows(group["v"]), leaf)
         return pa.table({
             **{c: group[c][:1] for c in ("dim", "cell", "part")},
-            "low": pa.array([tree["low"][0].tobytes()], pa.binary()), "high": pa.array([tree["high"][0].tobytes()], pa.binary()), "tree": pa.array([pickle.dumps(tree, 5)], pa.binary()),
+            "least": pa.array([tree["low"][0]], pa.list_(pa.float64())), "most": pa.array([tree["high"][0]], pa.list_(pa.float64())),
+            **{c: pa.array([tree[c].astype(t).tobytes()], pa.binary()) for c, t in NODES.items()},
+            "x": pa.array([tree["x"].tobytes()], pa.binary()), "small": pa.array([tree["x"].itemsize == 4]),
         })
 
     return run
 
 
+def _read(row: dict) -> dict:
+    """The tree of a row that `_built` wrote."""
+    import numpy as np
+
+    tree = {c: np.frombuffer(row[c], t) for c, t in NODES.items()}
+    tree["low"], tree["high"] = (tree[c].reshape(-1, row["dim"]) for c in ("low", "high"))
+    return tree | {"x": np.frombuffer(row["x"], "<i4" if row["small"] else "<f8").reshape(-1, row["dim"])}
+
+
 def _searched(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         import numpy as np
 
         out = [[], [], []]
         if left.num_rows and right.num_rows:
-            tree, dim = pickle.loads(left["tree"][0].as_py()), left["dim"][0].as_py()
+            row = left.slice(0, 1).to_pylist()[0]
+            tree, dim = _read(row), row["dim"]
             for row in right.select(["ids", "vectors", "bounds"]).to_pylist():
                 qids, q, bound = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<f8").reshape(-1, dim), np.frombuffer(row["bounds"], "<i8")
                 score, best = _search(tree, qids, q, k, bound)
@@ -217,6 +232,15 @@ def _searched(k: int):
     return run
 
 
+def _spread(trees: DataFrame, cells: DataFrame, route: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Trees of the cells that `route` names, and its rows, both by dim, cell, part, piece: a tree once for every `block` queries that visit its cell, a query for each part of the cell."""
+    visits = route.groupBy("dim", "cell").agg(F.ceil(F.sum(F.length("ids") / 8) / block).cast("int").alias("pieces"))
+    visits = F.broadcast(saved(visits.join(cells.select("dim", "cell", "parts"), ["dim", "cell"]), "visits"))  # a row a cell, as the boxes on the driver
+    sent = trees.join(visits, ["dim", "cell"]).withColumn("piece", F.explode(F.expr("sequence(0, pieces - 1)"))).drop("pieces", "parts")
+    asked = route.join(visits, ["dim", "cell"]).withColumn("piece", F.expr("int(pmod(xxhash64(ids), pieces))"))
+    return sent, asked.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("pieces", "parts")
+
+
 def top_k(
     vectors: DataFrame, queries: str, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024, shard: int = 8192, block: int = 4096, leaf: int = 128
 ) -> DataFrame:
@@ -231,8 +255,7 @@ def top_k(
 
     whole = saved(integer_vectors(vectors, id_col, vector_col, scale).withColumn("dim", F.size("v")), "integer-vectors")
     n, asked = whole.count(), whole.where(queries).count()
-    shard = max(shard, -(-n // MOST_SHARDS))
-    depth = max(0, -(-n // shard) - 1).bit_length()
+    depth = min(MOST_LEVELS, max(0, -(-n // shard) - 1).bit_length())
     sample = first_by_hash(whole, "id", SAMPLE).toArrow()
     dims = sample["dim"].to_numpy()
     cuts = {int(d): _cuts(_rows(sample.filter(pa.array(dims == d))["v"]), depth) for d in np.unique(dims)}
@@ -252,21 +275,26 @@ def top_k(
     dealt = celled.withColumn("salt", F.expr(f"int(pmod(xxhash64(id, 3), {SALTS}))")).join(size, ["dim", "cell", "salt"], "left")
     dealt = dealt.select("id", "v", "dim", "cell", F.expr("coalesce(int(pmod(xxhash64(id), parts)), 0)").alias("part"))
     key = ["dim", "cell", "part"]
-    trees = saved(dealt.groupBy(*key).applyInArrow(_built(leaf), "dim int, cell int, part int, low binary, high binary, tree binary"), "trees")
-    boxes = {}  # root boxes: as many as there are shards
-    for r in trees.select(*key, "low", "high").toArrow().to_pylist():
-        boxes.setdefault(r["dim"], []).append((r["cell"], r["part"], np.frombuffer(r["low"], "<f8"), np.frombuffer(r["high"], "<f8")))
+    shape = "dim int, cell int, part int, least array<double>, most array<double>, " + ", ".join(f"{c} binary" for c in (*NODES, "x")) + ", small boolean"
+    trees = saved(dealt.groupBy(*key).applyInArrow(_built(leaf), shape), "trees")
+    # boxes of the cells: 2 ** MOST_LEVELS at most for each length of vectors
+    corner = trees.select("dim", "cell", "part", F.posexplode(F.arrays_zip("least", "most"))).groupBy("dim", "cell", "pos")
+    corner = corner.agg(F.min("col.least").alias("least"), F.max("col.most").alias("most"), F.max("part").alias("part"))
+    cells = corner.groupBy("dim", "cell").agg(F.sort_array(F.collect_list(F.struct("pos", "least", "most"))).alias("box"), (F.max("part") + 1).alias("parts"))
+    cells = saved(cells.select("dim", "cell", "parts", "box.least", "box.most"), "cells")
+    boxes = {}
+    for r in cells.toArrow().to_pylist():
+        boxes.setdefault(r["dim"], []).append((r["cell"], r["least"], r["most"]))
     boxes = {d: tuple(np.array(c) for c in zip(*b, strict=True)) for d, b in boxes.items()}
-    pieces = max(1, -(-asked // block))
 
     def routed(lo: int, hi: int):
         def run(batches):
-            names = [*key, "piece", "ids", "vectors", "bounds"]
+            names = ["dim", "cell", "ids", "vectors", "bounds"]
             for batch in batches:
                 dim = batch.column("dim").to_numpy()
                 for d in np.unique(dim).tolist():
                     some = batch.filter(pa.array(dim == d))
-                    cell, part, low, high = boxes[d]
+                    cell, low, high = boxes[d]
                     for at in range(0, some.num_rows, ROUTE):
                         few = some.slice(at, ROUTE)
                         ids, q, kth = few.column("id").to_numpy(), _rows(few.column("v")), few.column("bound").to_numpy()
@@ -276,15 +304,14 @@ def top_k(
                         out = [[] for _ in names]
                         for b in np.nonzero(visit.any(0))[0]:
                             go = visit[:, b]
-                            for c, x in zip(out, (d, cell[b], part[b], int(ids[0]) % pieces, ids[go].tobytes(), q[go].tobytes(), kth[go].tobytes()), strict=True):
+                            for c, x in zip(out, (d, cell[b], ids[go].tobytes(), q[go].tobytes(), kth[go].tobytes()), strict=True):
                                 c.append(x)
                         if out[0]:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int32()] * 4 + [pa.binary()] * 3, strict=True)], names)
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int32()] * 2 + [pa.binary()] * 3, strict=True)], names)
 
         return run
 
     own = lambda d, *names: d.select(*(F.col(c).alias(c) for c in names))  # noqa: E731  columns of their own on each side
-    spread = trees.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
     ask = whole.where(queries)
     best = None
     lo, hi, most = 0, 1, max((len(b[0]) for b in boxes.values()), default=0)
@@ -294,8 +321,9 @@ def top_k(
         kth = None if best is None else best.where(F.col("rank") == k).select(F.col("query").alias("id"), F.col("score").alias("bound"))
         now = ask.withColumn("bound", bound) if kth is None else ask.join(kth, "id", "left").withColumn("bound", F.coalesce("bound", bound))
         # queries are routed and searched in blocks: full batches, not a join's small partitions
-        route = now.select("id", "v", "dim", "bound").repartition(max(1, asked // (4 * ROUTE)), "id").mapInArrow(routed(lo, hi), "dim int, cell int, part int, piece int, ids binary, vectors binary, bounds binary")
-        found = own(spread, *key, "piece", "tree").groupBy(*key, "piece").cogroup(own(route, *key, "piece", "ids", "vectors", "bounds").groupBy(*key, "piece")).applyInArrow(_searched(k), "query long, id long, score long")
+        route = now.select("id", "v", "dim", "bound").repartition(max(1, asked // (4 * ROUTE)), "id").mapInArrow(routed(lo, hi), "dim int, cell int, ids binary, vectors binary, bounds binary")
+        sent, wanted = _spread(trees.drop("least", "most"), cells, saved(route, "route"), block)
+        found = own(sent, *key, "piece", *NODES, "x", "small").groupBy(*key, "piece").cogroup(own(wanted, *key, "piece", "ids", "vectors", "bounds").groupBy(*key, "piece")).applyInArrow(_searched(k), "query long, id long, score long")
         found = found if best is None else found.unionByName(best.drop("rank"))
         best = saved(found.withColumn("rank", rank).where(F.col("rank") <= k), "best")
         lo, hi = hi, 4 * hi if hi < 16 else most

@@ -171,6 +171,29 @@ def test_top_k(spark):
     assert top_k(df.limit(0), "id % 100 = 0").count() == 0
 
 
+def test_top_k_of_split_cells(spark, monkeypatch):
+    """More shards than cells: a cell is several shards, none larger; a tree goes only where a query asks for its cell, once for every `block` queries."""
+    from riskframe.llm import topk_search
+
+    monkeypatch.setattr(topk_search, "MOST_LEVELS", 1)
+    rng = np.random.default_rng(6)
+    v = np.round(rng.normal(size=(600, 5)), 2)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk_search.top_k(df, "id % 50 = 0", shard=30, block=1, leaf=8).collect()))
+    q = np.floor(v * 1024).astype(int)
+    want = []
+    for i in range(0, 600, 50):
+        s = q @ q[i]
+        want += [(i, n + 1, j, int(s[j])) for n, j in enumerate([j for j in sorted(range(600), key=lambda j: (-s[j], j)) if j != i][:10])]
+    assert got == want
+    trees = spark.createDataFrame([(5, c, p) for c in (1, 2, 3) for p in (0, 1)], "dim int, cell int, part int")
+    cells = spark.createDataFrame([(5, c, 2) for c in (1, 2, 3)], "dim int, cell int, parts int")
+    route = spark.createDataFrame([(5, 2, bytes(8 * 3)), (5, 2, bytes(8 * 2)), (5, 3, bytes(8))], "dim int, cell int, ids binary")
+    sent, asked = topk_search._spread(trees, cells, route, block=4)
+    assert sorted((r.cell, r.part, r.piece) for r in sent.collect()) == [(2, 0, 0), (2, 0, 1), (2, 1, 0), (2, 1, 1), (3, 0, 0), (3, 1, 0)]
+    assert sorted((r.cell, r.part, len(r.ids) // 8) for r in asked.collect()) == [(2, 0, 2), (2, 0, 3), (2, 1, 2), (2, 1, 3), (3, 0, 1), (3, 1, 1)]
+
+
 def test_top_k_of_large_components(spark):
     """Components whose products pass what doubles hold exactly, clustered vectors, null ids, a column of a clashing name."""
     from riskframe.llm.topk_search import top_k
