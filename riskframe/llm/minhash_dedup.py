@@ -6,10 +6,11 @@
 3. Pigeonhole: the 64 places are split into m chunks with 2 * m > radius; two signatures at most `radius` apart have one chunk
    with one error at most. Enumerating the errors of a chunk means leaving each of its places out in turn: 64 keys a document
    guarantee that every pair within the radius shares a key.
-4. Documents that share a key are tied to one of them (a star, not all pairs), stars are joined to candidate groups, so any two
-   documents that share a key are in one group.
-5. A group is cut into pairs of bounded blocks. There the signature distance of two documents is taken first; those within the radius are
-   confirmed on the full shingle sets. Only a spanning forest of the links leaves a task.
+4. Distances are taken among the holders of one key: each holder's to the key's centre first, then, for holders beyond the radius from the
+   centre, to all other holders in bounded blocks (two holders near the centre are in one group by it). Only pairs within the radius make candidate
+   groups, so documents that share some keys by chance or by boilerplate don't.
+5. A group is cut into pairs of bounded blocks. There pairs within the radius are confirmed on the full shingle sets. Only a spanning forest of
+   the links leaves a task.
 6. Components of the confirmed links.
 """
 
@@ -111,16 +112,21 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
     return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, "id long, n_shingles long, digest binary, sig binary")
 
 
+def _unpacked(column):
+    import numpy as np
+
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, PLACES)
+
+
 def _stars(reps: DataFrame, r: int) -> DataFrame:
-    """Pairs (a, b): each holder of a key with the key's centre. The centre is drawn anew for each key."""
+    """key, id, c: each holder of a key but its centre, with the centre. The centre is drawn anew for each key."""
 
     def run(batches):
         import numpy as np
 
         for batch in batches:
             if batch.num_rows:
-                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, PLACES)
-                keys = chunk_keys(sig, r)
+                keys = chunk_keys(_unpacked(batch.column(1)), r)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * PLACES), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "keys"])
 
@@ -129,7 +135,84 @@ def _stars(reps: DataFrame, r: int) -> DataFrame:
         keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "id").alias("h"), F.col("id").alias("c"))).alias("m"))
         .where("n > 1").select("key", F.col("m.c").alias("c"))
     )
-    return keyed.join(centre, "key").where("id != c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    return keyed.join(centre, "key").where("id != c").select("key", "id", "c")
+
+
+def _close(x, y, r: int):
+    """Whether each signature of x differs from each of y in r places at most."""
+    import numpy as np
+
+    near = np.empty((len(x), len(y)), bool)
+    step = max(1, 2_000_000 // (PLACES * max(1, len(y))))
+    for at in range(0, len(x), step):
+        near[at : at + step] = np.count_nonzero(x[at : at + step, None, :] != y[None], axis=2) <= r
+    return near
+
+
+def _beyond_centres(r: int):
+    """Kernel over the holders of some keys, or of two blocks of one key: role 0 are those beyond the radius from the centre, role 1 whom they meet. Forest of the pairs within the radius."""
+
+    def run(group: pa.Table) -> pa.Table:
+        import numpy as np
+
+        key, ids, role, sig = group["key"].to_numpy(), group["id"].to_numpy(), group["role"].to_numpy(), _unpacked(group["sig"])
+        by = np.lexsort((role, key))
+        edge = [0, *(np.nonzero(np.diff(key[by]))[0] + 1).tolist(), len(by)]
+        a, b = [ids[:0]], [ids[:0]]
+        for begin, end in zip(edge, edge[1:], strict=False):
+            rows = by[begin:end]
+            far, all_ = rows[role[rows] == 0], rows[role[rows] == 1]
+            near = _close(sig[far], sig[all_], r)
+            other = near & (ids[far, None] != ids[None, all_])
+            if not other.any():
+                continue
+            met = other.any(1)
+            near, far = near[met], far[met]
+            hit = near.any(0)
+            near, both = near[:, hit], np.concatenate([far, all_[hit]])
+            links = np.zeros((len(both), len(both)), bool)  # a holder that stands in both roles is near itself
+            links[: len(far), len(far) :] = near
+            links[len(far) :, : len(far)] = near.T
+            x, y = forest(links, ids[both])
+            a.append(x)
+            b.append(y)
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
+def _near(reps: DataFrame, r: int, block: int = 1024, bundle: int = 8192) -> DataFrame:
+    """Pairs (a, b) within the radius that tie together any two representatives that share a key and lie within the radius.
+
+    Holders near the centre of a key cost one distance each; those beyond it meet all holders of the key, f of n in blocks of `block` by `block`.
+    Keys of one block go to tasks of about `bundle` rows."""
+
+    def measured(batches):
+        import numpy as np
+
+        for batch in batches:
+            if batch.num_rows:
+                near = np.count_nonzero(_unpacked(batch.column(2)) != _unpacked(batch.column(3)), axis=1) <= r
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], ["id", "c", "near"])
+
+    stars = saved(_stars(reps, r), "stars")
+    sig, of_centre = reps.select("id", "sig"), reps.select(F.col("id").alias("c"), F.col("sig").alias("c_sig"))
+    met = stars.select("id", "c").distinct().join(sig, "id").join(of_centre, "c").select("id", "c", "sig", "c_sig")
+    met = saved(met.mapInArrow(measured, "id long, c long, near boolean"), "measured")
+    edges = met.where("near").select(F.col("id").alias("a"), F.col("c").alias("b"))
+    far = saved(stars.join(met.where("not near").select("id", "c"), ["id", "c"], "left_semi").select("key", "id"), "far")
+    count = lambda d, name: d.groupBy("key").agg(F.count(F.lit(1)).alias(name))
+    size = saved(count(stars, "n").join(count(far, "f"), "key").where("n > 1"), "sizes")
+    total = size.agg(F.sum(F.expr(f"if(n <= {block}, n + f, 0)"))).first()[0] or 0
+    size = size.select("key", F.ceil(F.col("n") / block).cast("int").alias("nb"), F.ceil(F.col("f") / block).cast("int").alias("fb"))
+    rows = far.withColumn("role", F.lit(0)).unionByName(stars.select("key", "id").withColumn("role", F.lit(1))).join(size, "key").join(sig, "id")
+    rows = rows.withColumn("blk", F.expr("int(pmod(xxhash64(id), if(role = 0, fb, nb)))")).withColumn("other", F.explode(F.expr("sequence(0, if(role = 0, nb, fb) - 1)")))
+    rows = rows.withColumns({
+        "i": F.expr("if(role = 0, blk, other)"), "j": F.expr("if(role = 0, other, blk)"), "one": F.expr("nb = 1"),
+        "dealt": F.expr(f"if(nb = 1, pmod(xxhash64(key), {-(-total // bundle) or 1}), key)"),
+    })
+    rest = rows.select("one", "dealt", "i", "j", "key", "id", "role", "sig").groupBy("one", "dealt", "i", "j").applyInArrow(_beyond_centres(r), "a long, b long")
+    return edges.unionByName(rest)
 
 
 def _distances(sig, at: int, to: int):
@@ -202,7 +285,7 @@ def near_duplicates(
     sigs = saved(signatures(docs, id_col, text_col, k), "signatures")
     classes = sigs.where("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "sig", "n_shingles")).alias("m"))
     reps = saved(classes.select("digest", "m.id", "m.sig", "m.n_shingles"), "classes")
-    group = connected_components(_stars(reps, r))
+    group = connected_components(_near(reps, r))
     members = saved(reps.join(group, "id").select("id", "digest", "sig", "component", "n_shingles"), "members")
     blocks = block_pairs(members, F.col("n_shingles"), block_rows, block_shingles)
 

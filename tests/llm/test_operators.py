@@ -103,6 +103,36 @@ def test_chunk_keys_keep_the_guarantee():
         assert (keys[0] == keys[1]).any()
 
 
+@pytest.mark.parametrize("block", (4, 1024))
+def test_candidates_among_the_holders_of_a_key(spark, block):
+    """Signatures that share a quarter of their places with all others make no group; those within the radius that share a key are tied together, whatever the blocks."""
+    from riskframe.llm.minhash_dedup import PLACES, _near, chunk_keys, radius
+
+    rng, r = np.random.default_rng(8), radius(85)
+    common = rng.integers(0, 2**16, PLACES, dtype=np.uint16)
+    base = np.where(rng.random((250, PLACES)) < 0.5, common, rng.integers(0, 2**16, (250, PLACES), dtype=np.uint16))
+    parent = rng.integers(0, 250, 150)
+    copy = base[parent].copy()
+    for row in copy:
+        row[rng.choice(PLACES, rng.integers(1, r + 8), replace=False)] = rng.integers(0, 2**16)
+    sig = np.concatenate([base, copy]).astype("<u2")
+    reps = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sig)], "id long, sig binary")
+    got = {(r_.a, r_.b) for r_ in _near(reps, r, block=block, bundle=64).collect() if r_.a != r_.b}
+
+    def reach(pairs):
+        root = list(range(len(sig)))
+        for a, b in pairs:
+            x, y = root[a], root[b]
+            root = [min(x, y) if z in (x, y) else z for z in root]
+        return root
+
+    keys = [set(k) for k in chunk_keys(sig, r).tolist()]
+    within = [(a, b) for a in range(len(sig)) for b in range(a) if (sig[a] != sig[b]).sum() <= r and keys[a] & keys[b]]
+    met = sum(bool(keys[a] & keys[b]) for a in range(len(sig)) for b in range(a))
+    assert 100 < len(within) < met / 2  # many share keys and lie beyond the radius
+    assert reach(got) == reach(within)
+
+
 def test_near_vectors(spark):
     from riskframe.llm.embedding_dedup import near_vectors
 
