@@ -34,13 +34,27 @@ def feature_name(field: Column | str, value: Column) -> Column:
     return F.lower(F.translate(F.concat(F.lit(field) if isinstance(field, str) else field, F.lit("_ENUM_"), as_value(value)), ".", "_"))
 
 
+def flatten_values(lists: Column, unique: bool = False) -> Column:
+    """The elements of a list of lists in order, each once if unique; missing inner lists hold none, a missing outer list stays null."""
+    flat = F.flatten(F.filter(lists, lambda x: x.isNotNull()))
+    return F.array_distinct(flat) if unique else flat
+
+
+def numeric_features(counts: dict[str, Column], larger: dict[str, tuple[Column, Column]], numbers: dict[str, Column], flags: dict[str, Column]) -> dict[str, Column]:
+    """Columns by name: counts such as sizes of lists (0 of a missing list), the larger of a number and a count, numbers (0 where missing), and whether a number is there (1 or 0)."""
+    zero = F.lit(0)
+    count = lambda c: F.greatest(F.coalesce(c, zero), zero)  # noqa: E731  size() of null is null or -1
+    found = {n: count(c) for n, c in counts.items()} | {n: F.greatest(F.coalesce(a, zero), count(b)) for n, (a, b) in larger.items()}
+    return found | {n: F.coalesce(c, zero) for n, c in numbers.items()} | {n: c.isNotNull().cast("int") for n, c in flags.items()}
+
+
 def long_values(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field, value): values of scalar fields, lists and lists of lists; null and empty lists give one null value."""
     parts = []
     for f in fields:
         kind = df.schema[f].dataType.typeName()
         nested = kind == "array" and df.schema[f].dataType.elementType.typeName() == "array"
-        value = F.explode_outer(F.flatten(F.filter(f, lambda x: x.isNotNull())) if nested else f) if kind == "array" else F.col(f)
+        value = F.explode_outer(flatten_values(F.col(f)) if nested else f) if kind == "array" else F.col(f)
         parts.append(df.select(key, F.lit(f).alias("field"), value.cast("string").alias("value") if kind != "array" else value.alias("value")))
     out = parts[0]
     for p in parts[1:]:

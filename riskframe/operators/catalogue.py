@@ -119,21 +119,19 @@ def cve_features(flat: DataFrame, stop_words: list[str], min_df: int = 200, nois
     """
     known = flat.select(key, *((F.col(c) if c in flat.columns else F.lit(None)).cast(t).alias(c) for c, t in RECORD.items())).where(~F.coalesce(F.col("Status") == "RESERVED", F.lit(False)))
     plain = {n: F.col(n) for n in ("Status", "Phase", "CVSS_version", "CVSS_AV", "CVSS_UI", "CVSS_S", "Type")} | {n: X.recode_absent(F.col(n), UNKNOWN) for n in ("CVSS_AC", "CVSS_AuPR", "CVSS_C", "CVSS_I", "CVSS_A")}
-    enums = {**plain, "Reference_type": F.array_distinct(F.flatten("References_class")), "vendor": F.array_distinct("vendors")}
+    enums = {**plain, "Reference_type": X.flatten_values(F.col("References_class"), unique=True), "vendor": F.array_distinct("vendors")}
     hot = X.drop_leaky(X.one_hot(known.select(key, *(c.alias(n) for n, c in enums.items())), key, list(enums)).withColumnRenamed(key, "entity"))
     modules = F.explode_outer(F.arrays_zip("weaponized_modules_types", "weaponized_modules_count"))
     weapon = known.select(F.col(key).alias("entity"), modules.alias("m")).select(
         "entity", X.feature_name("exploits_weaponized_type", F.coalesce("m.weaponized_modules_types", F.lit("absent"))).alias("feature"), F.greatest(F.coalesce("m.weaponized_modules_count", F.lit(0)), F.lit(1)).cast("double").alias("value")
     )
-    size = lambda c: F.greatest(F.size(c), F.lit(0))  # noqa: E731  0 for null
-    number = lambda c: F.coalesce(F.col(c), F.lit(0))
-    has = lambda c: F.col(c).isNotNull().cast("int")
-    values = {
-        "exploits_weaponized_count": F.aggregate(F.coalesce("weaponized_modules_count", F.array().cast("array<long>")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0))),
-        "references_count": size("References"), "products": size("products"), "versions": F.greatest(number("AffectedVersionsCount"), size("products")),
-        "cvss_score": number("CVSS_score"), "cvss_has_exploitability_score": has("CVSS_exploitabilityScore"), "cvss_exploitability_score": number("CVSS_exploitabilityScore"),
-        "cvss_has_impact_score": has("CVSS_impactScore"), "cvss_impact_score": number("CVSS_impactScore"), "comments": number("Comments"), "cpes_non_vulnerable_count": size("CPEs_non_vulnerable"),
-    }
+    modules_count = F.aggregate(F.coalesce("weaponized_modules_count", F.array().cast("array<long>")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
+    values = {"exploits_weaponized_count": modules_count} | X.numeric_features(
+        counts={"references_count": F.size("References"), "products": F.size("products"), "cpes_non_vulnerable_count": F.size("CPEs_non_vulnerable")},
+        larger={"versions": (F.col("AffectedVersionsCount"), F.size("products"))},
+        numbers={"cvss_score": F.col("CVSS_score"), "cvss_exploitability_score": F.col("CVSS_exploitabilityScore"), "cvss_impact_score": F.col("CVSS_impactScore"), "comments": F.col("Comments")},
+        flags={"cvss_has_exploitability_score": F.col("CVSS_exploitabilityScore"), "cvss_has_impact_score": F.col("CVSS_impactScore")},
+    )
     words = _keywords(known.select(F.col(key).alias("entity"), F.col("Description").alias("text")), stop_words, min_df, noise, exceptions)
     triples = reduce(DataFrame.unionByName, [hot, weapon, _numbers(known, key, values), words])
     return triples, known.select(key, "CWEs", *(c.alias(n) for n, c in record_dates().items()))

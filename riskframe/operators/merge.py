@@ -83,6 +83,18 @@ def coalesce_upper(first: Column, other: Column) -> Column:
     return F.coalesce(first, F.upper(F.replace(other, F.lit("Not required"), F.lit("NONE"))))
 
 
+def any_date(text: Column) -> Column:
+    """The day of a text in either way that feeds write it (2020-01-31, also with a time after it, or 31/01/2020); null of any other."""
+    day = F.trim(F.substring(F.trim(text.cast("string")), 1, 10))
+    return F.coalesce(*(F.try_to_timestamp(day, F.lit(f)) for f in ("yyyy-MM-dd", "dd/MM/yyyy"))).cast("date")
+
+
+def date_extremes(published: list[Column], modified: list[Column]) -> dict[str, Column]:
+    """publishedDate, the oldest, and lastModifiedDate, the newest day of several sources' dates; sources without one don't count, and without any it is null."""
+    days = lambda cols: F.array(*(c.cast("date") for c in cols))
+    return {"publishedDate": F.array_min(days(published)), "lastModifiedDate": F.array_max(days(modified))}
+
+
 def after_first(col: Column, mark: str = "-") -> Column:
     """What stands right of the first mark, trimmed; the whole text without one."""
     return F.trim(F.when(F.instr(col, mark) > 0, F.substr(col, F.instr(col, mark) + F.lit(len(mark)))).otherwise(col))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .collections import with_carried, with_group_index, with_running_sums
 
@@ -113,3 +114,38 @@ def progress(done: DataFrame, every: DataFrame) -> DataFrame:
     """done, total, percent (null of nothing)."""
     a, b = done.agg(F.count(F.lit(1)).alias("done")), every.agg(F.count(F.lit(1)).alias("total"))
     return a.join(F.broadcast(b)).withColumn("percent", F.round(F.try_divide(100 * F.col("done"), F.col("total")), 2))
+
+
+def search_report(runs: DataFrame, key: str, members: dict[str, tuple[str, DataFrame]]) -> DataFrame:
+    """(key, section, place, entry): the report of searches, one line a row.
+
+    Fields of runs give a section each: a scalar is one line of place 0, a list one line for each element, from 1. Each of members (section: a column of runs that names a row, a table of such names
+    and one list each) gives the named row's list in place of that column. Empty and missing lists, and names of nothing, are one line of place 0 without entry. Structs and lists inside are JSON.
+    """
+    told = runs.select(key, *(F.col(c).alias(f"__own_{c}") for c in runs.columns if c != key))
+    lists = {c: runs.schema[c].dataType for c in runs.columns if c != key and c not in {ref for ref, _ in members.values()}}
+    at = {c: F.col(f"__own_{c}") for c in lists}
+    for k, (section, (ref, table)) in enumerate(members.items()):
+        name, held = table.columns
+        # a reference may be the key itself, and several may name one table
+        told = told.join(table.select(F.col(name).alias(f"__name_{k}"), F.col(held).alias(f"__held_{k}")), F.col(key if ref == key else f"__own_{ref}") == F.col(f"__name_{k}"), "left")
+        lists[section], at[section] = table.schema[held].dataType, F.col(f"__held_{k}")
+
+    def text(value: Column, kind: T.DataType) -> Column:
+        return F.to_json(value) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else value.cast("string")
+
+    def listed(values: Column, kind: T.DataType) -> Column:
+        return F.transform(values, lambda x, i: F.struct((i + 1).alias("place"), text(x, kind).alias("entry")))
+
+    sections = []
+    for section, kind in lists.items():
+        if isinstance(kind, T.ArrayType):
+            lines = listed(at[section], kind.elementType)
+        else:
+            lines = F.array(F.struct(F.lit(0).alias("place"), text(at[section], kind).alias("entry")))
+        sections.append(F.struct(F.lit(section).alias("section"), lines.alias("lines")))
+    if not sections:
+        return told.select(key, F.lit("").alias("section"), F.lit(0).alias("place"), F.lit("").alias("entry")).limit(0)
+    each = told.select(key, F.inline(F.array(*sections)))
+    line = each.select(key, "section", F.explode_outer("lines").alias("line"))
+    return line.select(key, "section", F.coalesce("line.place", F.lit(0)).alias("place"), "line.entry")

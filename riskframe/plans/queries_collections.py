@@ -264,7 +264,9 @@ def split_first(t: Tables) -> DataFrame:
 @query("date_extremes", "select l_orderkey, l_linenumber, cast(least(o_orderdate, l_shipdate) as date) as published, cast(greatest(o_orderdate, l_shipdate) as date) as modified from lineitem join orders on l_orderkey = o_orderkey")
 def date_extremes(t: Tables) -> DataFrame:
     j = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.select("l_orderkey", "l_linenumber", F.least("o_orderdate", "l_shipdate").cast("date").alias("published"), F.greatest("o_orderdate", "l_shipdate").cast("date").alias("modified"))
+    both = [F.col("o_orderdate"), F.col("l_shipdate")]
+    days = M.date_extremes(both, both)
+    return j.select("l_orderkey", "l_linenumber", days["publishedDate"].alias("published"), days["lastModifiedDate"].alias("modified"))
 
 
 @query(

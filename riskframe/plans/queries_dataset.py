@@ -452,6 +452,21 @@ def search_report(t: Tables) -> DataFrame:
     return best.join(head, "c_nationkey").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "individuals", "c_custkey", "c_acctbal", "place")
 
 
+@query(
+    "search_report_lines",
+    """with r as (select *, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as r from customer)
+    select n_nationkey, 'n_name' as section, 0 as place, n_name as entry from nation
+    union all select n_nationkey, 'hall', coalesce(r, 0)::int, c_custkey::varchar from nation left join (select * from r where r <= 3) on c_nationkey = n_nationkey
+    union all select n.n_nationkey, 'population', (row_number() over (partition by n.n_nationkey order by m.n_nationkey))::int, m.n_name from nation n join nation m on n.n_regionkey = m.n_regionkey""",
+)
+def search_report_lines(t: Tables) -> DataFrame:
+    place = F.row_number().over(W.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))
+    best = t.customer.withColumn("place", place).where("place <= 3").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("place", "c_custkey"))).alias("l"))
+    nations = t.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("l"))
+    members = {"hall": ("n_nationkey", best.select("c_nationkey", F.col("l.c_custkey").alias("l"))), "population": ("n_regionkey", nations.select("n_regionkey", F.col("l.n_name").alias("l")))}
+    return H.search_report(t.nation.select("n_nationkey", "n_name", "n_regionkey"), "n_nationkey", members)
+
+
 @query("date_reformat", "select o_orderkey, strftime(o_orderdate, '%d/%m/%Y') as day from orders")
 def date_reformat(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", X.reformat_date(F.date_format("o_orderdate", "yyyyMMdd"), "yyyyMMdd", "dd/MM/yyyy").alias("day"))

@@ -67,6 +67,16 @@ def flatten_unique(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds"), F.count("event_type").alias("every"))
 
 
+@query(
+    "flatten_values",
+    """select doc_id, len(string_split(replace(text, chr(10), ' '), ' '))::int as every, len(list_distinct(string_split(replace(text, chr(10), ' '), ' ')))::int as kinds
+    from documents where text is not null""",
+)
+def flatten_values(t: Tables) -> DataFrame:
+    lines = F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))
+    return t.documents.where("text is not null").select("doc_id", F.size(X.flatten_values(lines)).alias("every"), F.size(X.flatten_values(lines, unique=True)).alias("kinds"))
+
+
 @query(
     "one_hot_dense",
     """with v as (select distinct 'lang_enum_' || lower(lang) as feature from documents where lang is not null union select 'lang_enum_absent')
@@ -107,7 +117,9 @@ def weighted_one_hot(t: Tables) -> DataFrame:
 def numeric_features(t: Tables) -> DataFrame:
     error = F.max(F.when(F.col("event_type") == "error", F.col("value")))
     e = t.events.groupBy("user_id").agg(F.count("event_type").alias("references_count"), F.countDistinct("event_type").alias("products"), F.max(F.col("event_id") % 7).alias("v"), error.alias("score"))
-    return e.select("user_id", "references_count", F.greatest("products", "v").alias("versions"), F.coalesce("score", F.lit(0.0)).alias("score"), F.col("score").isNotNull().cast("int").alias("has_score"))
+    counts, larger = {"references_count": F.col("references_count")}, {"versions": (F.col("v"), F.col("products"))}
+    values = X.numeric_features(counts, larger, numbers={"score": F.col("score")}, flags={"has_score": F.col("score")})
+    return e.select("user_id", *(c.alias(n) for n, c in values.items()))
 
 
 @query("wc_log", f"select doc_id, round(ln(1 + coalesce(len(regexp_extract_all(text, {WORD})), 0)), 6) as wc from documents")
