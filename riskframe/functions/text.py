@@ -69,10 +69,26 @@ def build_vocab(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return values.unionByName(absent).distinct()
 
 
-def one_hot(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, feature, value 1.0) for values that occur; missing values are `absent`."""
-    values = long_values(df, key, fields)
-    return values.select(key, feature_name(F.col("field"), F.coalesce("value", F.lit("absent"))).alias("feature"), F.lit(1.0).alias("value")).distinct()
+def row_features(df: DataFrame, fields: list[str]) -> Column:
+    """The distinct feature names of a row's values (long_values)."""
+    named = lambda f: lambda v: feature_name(f, F.coalesce(v, F.lit("absent")))
+    names = []
+    for f in fields:
+        kind = df.schema[f].dataType
+        lists = F.col(f) if kind.typeName() == "array" else F.array(f)
+        lists = flatten_values(lists) if kind.typeName() == "array" and kind.elementType.typeName() == "array" else lists
+        some = F.when(F.size(lists) > 0, lists.cast("array<string>")).otherwise(F.array(F.lit(None).cast("string")))
+        names.append(F.transform(some, named(f)))
+    return F.array_distinct(F.concat(*names))
+
+
+def one_hot(df: DataFrame, key: str, fields: list[str], one_row: bool = False) -> DataFrame:
+    """(key, feature, value 1.0) for values that occur; missing values are `absent`.
+
+    one_row: df has one row a key, so that nothing is shuffled. Else rows of a key meet in as many parts as spark.sql.shuffle.partitions says: short names compress so well that parts merged by bytes would hold far more of them.
+    """
+    found = df.select(key, F.explode(row_features(df, fields)).alias("feature"), F.lit(1.0).alias("value"))
+    return found if one_row else found.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "feature").distinct()
 
 
 def one_hot_dense(df: DataFrame, key: str, fields: list[str], vocab: DataFrame) -> DataFrame:
@@ -193,41 +209,38 @@ def phrase_counts(df: DataFrame, key: str, text_col: str, stop_words: list[str],
     """(key, phrase, tf, df): phrases that stand in min_df rows at least, with their occurrences in the row's text and the rows that have them. Phrases that match one of the
     `noise` patterns from their start go. df has one row a key.
 
-    Texts are cut into phrases once and written with them; rows are counted first, and then each text is passed once for all of its phrases that are left. Phrases that are left are handed to every
-    task if they hold BROADCAST bytes at most, so that texts stay where they are; beyond it, they come to the texts by key.
+    Each text is passed once for all of its phrases, where it stands; only phrases with their counts are written and travel on. Rows of a phrase are counted over as many parts as
+    spark.sql.shuffle.partitions says, so that the table of phrases that a task holds is their share of all, however well they compress.
     """
-    cut = saved(df.where(F.col(text_col).isNotNull()).select(key, F.col(text_col).alias("text"), phrase_list(F.col(text_col), stop_words, max_words).alias("phrase")), "cut")
-    listed = cut.select(key, F.explode("phrase").alias("phrase"))
-    listed = drop_noise(listed, "phrase", noise) if noise else listed
-    frequent = saved(listed.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df), "phrases")
-    small = _small(frequent, "phrase", "df")
-    rows = cut
-    if small is None:
-        own = listed.join(frequent, "phrase").groupBy(F.col(key).alias("__key")).agg(F.collect_list(F.struct("phrase", "df")).alias("own"))
-        rows = cut.select(F.col(key).alias("__key"), "text").join(own, "__key").select(F.col("__key").alias(key), "text", "own.phrase", "own.df")
-    count = None if small is None else {r.phrase: r.df for r in small}
-    name, schema = key, df.select(key).withColumns({"phrase": F.lit(""), "tf": F.lit(0).cast("long"), "df": F.lit(0).cast("long")}).schema
+    cut = phrase_list(F.col(text_col), stop_words, max_words)
+    cut = F.filter(cut, lambda p: ~_is_noise(p, noise)) if noise else cut
+    texts = df.where(F.col(text_col).isNotNull()).select(key, F.col(text_col).alias("text"), cut.alias("phrase"))
+    name, schema = key, df.select(key).withColumns({"phrase": F.lit(""), "tf": F.lit(0).cast("long")}).schema
 
     def run(batches):
         for batch in batches:
-            at, terms, tf, dfs = [], [], [], []
-            lists = batch.column("phrase").to_pylist()
-            if count is not None:
-                lists = [[p for p in own if p in count] for own in lists]
-            for k, own in enumerate(lists):
+            at, terms, tf = [], [], []
+            for k, own in enumerate(batch.column("phrase").to_pylist()):
                 if own:
                     at += [k] * len(own)
                     terms += own
                     tf += substring_counts(batch.column("text")[k].as_py(), own)
-                    dfs += map(count.__getitem__, own) if count is not None else batch.column("df")[k].as_py()
-            yield pa.RecordBatch.from_arrays([batch.column(name).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(dfs, pa.int64())], [name, "phrase", "tf", "df"])
+            yield pa.RecordBatch.from_arrays([batch.column(name).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(tf, pa.int64())], [name, "phrase", "tf"])
+
+    counted = saved(texts.mapInArrow(run, schema), "counted")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = counted.select("phrase").repartition(parts, "phrase").groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    frequent = saved(rows.where(F.col("df") >= min_df), "phrases")
+    return counted.join(frequent, "phrase").select(key, "phrase", "tf", "df")
+
 
-    return rows.mapInArrow(run, schema)
+def _is_noise(col: Column, patterns: list[str]) -> Column:
+    return col.rlike("^(?:" + "|".join(patterns) + ")")
 
 
 def drop_noise(df: DataFrame, col: str, patterns: list[str]) -> DataFrame:
     """Without rows whose text starts with one of the patterns."""
-    return df.where(~F.col(col).rlike("^(?:" + "|".join(patterns) + ")"))
+    return df.where(~_is_noise(F.col(col), patterns))
 
 
 def read_patterns(spark: SparkSession, path: str) -> list[str]:

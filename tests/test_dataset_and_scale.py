@@ -176,3 +176,20 @@ def test_one_class(spark, labels):
     assert auc is None if not any(labels) else abs(auc - 1) < 1e-9
     assert H.progress(df, df.limit(0)).first().percent is None
     assert [r.positive_percent for r in S.class_balance(df.withColumn("g", F.lit("a")).withColumn("y", F.lit(None).cast("int")), "g", "y").collect()] == [None] * (2 if labels else 0)
+
+
+def test_record_features_shuffle_no_texts_and_no_values(spark, monkeypatch):
+    """What AQE would merge by compressed bytes into few tasks: neither one-hot values of single rows nor texts are dealt out."""
+    monkeypatch.setattr(X, "BROADCAST", 0)
+    rows = [("a", ["x y", "x_y", None], "L", "big words here"), ("b", [], None, "big words there"), ("c", None, "l", None)]
+    df = spark.createDataFrame(rows, "cve string, vendors array<string>, Status string, Description string")
+    triples = K.cve_features(df, ["of"], 2)[0]
+    plan = triples._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert not any("feature" in line or "text" in line for line in shuffled), shuffled
+    got = sorted((r.entity, r.feature, r.value) for r in triples.collect() if r.feature.startswith(("vendor", "status")))
+    absent = [("b", "status_enum_absent", 1.0), ("b", "vendor_enum_absent", 1.0), ("c", "status_enum_l", 1.0), ("c", "vendor_enum_absent", 1.0)]
+    assert got == [("a", "status_enum_l", 1.0), ("a", "vendor_enum_absent", 1.0), ("a", "vendor_enum_x_y", 1.0), *absent]
+    twice = df.unionByName(df).select("cve", "vendors")  # rows of a key meet, in parts that aren't merged
+    assert sorted((r.cve, r.feature) for r in X.one_hot(twice, "cve", ["vendors"]).collect()) == [("a", "vendors_enum_absent"), ("a", "vendors_enum_x_y"), ("b", "vendors_enum_absent"), ("c", "vendors_enum_absent")]
+    assert "REPARTITION_BY_NUM" in X.one_hot(twice, "cve", ["vendors"])._jdf.queryExecution().executedPlan().toString()
