@@ -10,6 +10,7 @@ from ..operators import catalogue as K
 from ..operators import enrich as E
 from ..operators import merge as M
 from ..operators import statistics as S
+from ..storage import saved
 from .registry import Tables, query
 
 #: Stop words of the phrase query.
@@ -431,7 +432,7 @@ RECORD_STATS = f"{PIPE}, triples as (select entity, feature, value::double as va
 @query("record_statistics", f"with {RECORD_STATS} select feature, present, n_distinct, round(min, 6) as min, round(max, 6) as max, ones from stats")
 def record_statistics(t: Tables) -> DataFrame:
     """Statistics of record features that are written sparsely; the SQL counts dense rows."""
-    triples = K.cve_features(_records(t), STOP, 5)[0]
+    triples = saved(K.cve_features(_records(t), STOP, 5)[0], "triples")  # read by statistics, readers and total
     stats = S.analyze(triples, S.total_entries(triples, "entity"), F.startswith(F.col("feature"), F.lit("vendor_")))
     return stats.select("feature", "present", "n_distinct", F.round("min", 6).alias("min"), F.round("max", 6).alias("max"), "ones")
 
