@@ -87,3 +87,22 @@ def test_op9(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for i, r in got.items())
     held = [(got[i].predicted, y) for i, y in marks.items() if i in got and got[i].held_out]
     assert held and sum(p == y for p, y in held) / len(held) > 0.8
+
+
+def test_op8(spark, tmp_path):
+    """The contract's rules, written out here, on odd urls."""
+    from riskframe.llm.queries import op8_url_filter
+
+    rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+    hosts = ["com", "Example.COM", "a.example.com", "xexample.com", "example.net", "b.EXAMPLE.net", "net", "x.net", "org", "a.b.org", "", ".com", "com.", "example.net.", "example.com:80", "u@example.net", "É.net"]
+    paths = ["", "/", "/en", "/en/", "/en/7", "/en/71?q", "/EN/7", "/de/", "/de/8#f", "/de/80", "/de/7", "/es/", "/es/x?/en/", "?/en/7", "#/de/8", "//en/7"]
+    urls = [f"{scheme}://{h}{p}" for scheme in ("http", "") for h in hosts for p in paths] + [None, "", "example.com/en/7", "://", "http:/example.net/de/8", "x://net/de/://com/en/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in op8_url_filter(spark, str(tmp_path)).collect()}
+    assert len(got) == len(urls)
+    for k, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[k] == (host, path, *max(fits, default=(0, None, "allow"))[1:]), u
