@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import saved
+
 
 def split_labels(triples: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
     """(features, labels): labels are the features whose name starts with prefix."""
@@ -25,12 +27,18 @@ def two_hops(records: DataFrame, key: str, ids_col: str, middle: DataFrame, midd
     return second.join(last, second["__id"] == last[last_key]).drop("__id")
 
 
+def place(*pos: Column) -> Column:
+    """One or two positions of lists as a long in their order."""
+    return pos[0].cast("long") if len(pos) == 1 else F.shiftleft(pos[0].cast("long"), 32) + pos[1].cast("long")
+
+
 def fold(rows: DataFrame, key: list[str], pos: str, value: str, enum: Column | None = None) -> DataFrame:
     """One value a key: values of enumerations (rows where `enum` holds; all without it; the same for all rows of a key) fold in order of pos, others are summed.
 
     The ordered fold: 0 takes the value; 1 stays 1 under 0 or 1; else the value is added. So ones before the first value that is neither 0 nor 1 fold to 1, zeros change nothing, and from that
     value on all is added: the fold is the sum from that value on, and 1 more if a one stands before it. These are plain aggregates that combine before the shuffle, and no key gathers its rows; only
-    keys that have such a value meet their rows a second time. Values are 0 or more (a sum of fractions that comes to 1 goes on as a number); a null value makes a fold null and counts as
+    keys that have such a value meet their rows a second time; one row a key is written before, so that rows are not made again where there is none. A pos of a plain type (place() of two) is
+    aggregated by hash; an array is sorted. Values are 0 or more (a sum of fractions that comes to 1 goes on as a number); a null value makes a fold null and counts as
     nothing in a sum. Positions of a key are distinct.
     """
     v = F.col(value).cast("double")
@@ -39,9 +47,13 @@ def fold(rows: DataFrame, key: list[str], pos: str, value: str, enum: Column | N
     top = rows.groupBy(*key).agg(
         F.max(enum).alias("__enum"), F.max(v).alias("__top"), F.sum(v).alias("__sum"), F.min(F.when(enum & other, F.col(pos))).alias("__from"), F.max(v.isNull()).alias("__null")
     )
+    top = saved(top, "folded")
     plain = top.where("__from is null").select(*key, F.when(F.col("__enum"), F.col("__top")).otherwise(F.col("__sum")).alias("value"))
+    again = top.where("__from is not null").select(*key, "__from", "__null")
+    if again.isEmpty():
+        return plain
     late = F.col(pos) >= F.col("__from")
-    met = rows.join(top.where("__from is not null").select(*key, "__from", "__null"), key)
+    met = rows.join(again, key)
     summed = met.groupBy(*key, "__null").agg(F.sum(F.when(late, v)).alias("__sum"), F.max(F.when(~late & (v == 1), 1.0).otherwise(0.0)).alias("__one"))
     return plain.unionByName(summed.select(*key, F.when(~F.col("__null"), F.col("__sum") + F.col("__one")).alias("value")))
 

@@ -193,3 +193,22 @@ def test_record_features_shuffle_no_texts_and_no_values(spark, monkeypatch):
     twice = df.unionByName(df).select("cve", "vendors")  # rows of a key meet, in parts that aren't merged
     assert sorted((r.cve, r.feature) for r in X.one_hot(twice, "cve", ["vendors"]).collect()) == [("a", "vendors_enum_absent"), ("a", "vendors_enum_x_y"), ("b", "vendors_enum_absent"), ("c", "vendors_enum_absent")]
     assert "REPARTITION_BY_NUM" in X.one_hot(twice, "cve", ["vendors"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_enrichment_folds_by_hash(spark, monkeypatch):
+    """Positions of two lists are one long, so folds need no sort of their rows; order and values stay those of the pairs."""
+    from riskframe.plans import QUERIES
+
+    plans, saved = [], E.saved
+    monkeypatch.setattr(E, "saved", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), saved(df, name))[1])
+    QUERIES["enrich_full"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2 and not any("SortAggregate" in p for p in plans)
+    rng = random.Random(8)
+    rows = [(k, a, b, float(rng.choice([0, 1, 1, 2, 3]) if k else rng.choice([0, 1]))) for k in range(6) for a in range(4) for b in rng.sample([0, 1, 9, 2**31 - 1], 3)]
+    df = spark.createDataFrame(rows, "k int, a int, b int, v double").withColumn("at", E.place(F.col("a"), F.col("b")))
+    want = {}
+    for k, _, _, v in sorted(rows):
+        have = want.get(k, 0.0)
+        want[k] = v if have == 0 else 1.0 if have == 1 and v in (0, 1) else have + v
+    assert {r.k: r.value for r in E.fold(df, ["k"], "at", "v").collect()} == want
+    assert {r.k: r.value for r in E.fold(df.where("k = 0"), ["k"], "at", "v").collect()} == {0: want[0]}  # no row is met again
