@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import saved
+from .joins import join_counted, parts
 
 #: Letters and digits of all scripts, underscores and apostrophes.
 TOKEN = r"[\p{L}\p{N}_']+"
@@ -88,7 +89,7 @@ def one_hot(df: DataFrame, key: str, fields: list[str], one_row: bool = False) -
     one_row: df has one row a key, so that nothing is shuffled. Else rows of a key meet in as many parts as spark.sql.shuffle.partitions says: short names compress so well that parts merged by bytes would hold far more of them.
     """
     found = df.select(key, F.explode(row_features(df, fields)).alias("feature"), F.lit(1.0).alias("value"))
-    return found if one_row else found.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "feature").distinct()
+    return found if one_row else found.repartition(parts(df), key, "feature").distinct()
 
 
 def one_hot_dense(df: DataFrame, key: str, fields: list[str], vocab: DataFrame) -> DataFrame:
@@ -228,10 +229,9 @@ def phrase_counts(df: DataFrame, key: str, text_col: str, stop_words: list[str],
             yield pa.RecordBatch.from_arrays([batch.column(name).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(tf, pa.int64())], [name, "phrase", "tf"])
 
     counted = saved(texts.mapInArrow(run, schema), "counted")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = counted.select("phrase").repartition(parts, "phrase").groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    rows = counted.select("phrase").repartition(parts(df), "phrase").groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     frequent = saved(rows.where(F.col("df") >= min_df), "phrases")
-    return counted.join(frequent, "phrase").select(key, "phrase", "tf", "df")
+    return join_counted(counted, frequent, "phrase", "df").select(key, "phrase", "tf", "df")
 
 
 def _is_noise(col: Column, patterns: list[str]) -> Column:

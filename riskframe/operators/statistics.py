@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_counted, parts
 from ..storage import saved
 from .collections import with_index
 
@@ -118,13 +119,13 @@ def scale_selected(triples: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def assemble_dataset(triples: DataFrame, label_prefix: str) -> DataFrame:
-    """index (dense, in entity order), entity, features, labels (maps)."""
+    """index (dense, in entity order), entity, features, labels (maps). Triples are dealt by entity over parts that aren't merged, where a part holds its share of all however well names compress."""
     is_label = F.startswith(F.col("feature"), F.lit(label_prefix))
     entry = F.struct("feature", "value")
-    both = triples.groupBy("entity").agg(
+    both = triples.repartition(parts(triples), "entity").groupBy("entity").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.when(~is_label, entry)))).alias("features"), F.map_from_entries(F.array_sort(F.collect_list(F.when(is_label, entry)))).alias("labels")
     )
-    return with_index(both, "index", "entity")
+    return with_index(saved(both, "rows"), "index", "entity")  # read for the bounds of ranges and for the rows
 
 
 def normalize(
@@ -137,14 +138,21 @@ def normalize(
     """
     stats = saved(analyze(triples, total, vendor, families), "stats")  # one row a feature
     gone, scaled = ~F.col("is_vendor") & (F.col("n_distinct") <= 1) | ~F.col("is_vendor") & (F.col("present") < least_share * F.col("total")), _scaled() & ~F.col("is_vendor")
-    plan = stats.select("feature", gone.alias("gone"), rare_vendors(stats, least_ones).alias("rare"), F.when(scaled, F.col("min")).alias("low"), F.when(scaled, F.col("max") - F.col("min")).alias("range"))
-    met = triples.join(plan, "feature").where("not gone")
+    # written beside the statistics, so that the table's size and its often held features are known without making them again
+    plan = saved(
+        stats.select(
+            "feature", gone.alias("gone"), rare_vendors(stats, least_ones).alias("rare"), F.when(scaled, F.col("min")).alias("low"), F.when(scaled, F.col("max") - F.col("min")).alias("range"),
+            (F.col("present") - F.col("zeros")).alias("written"),
+        ), "plan",
+    )
     value = F.coalesce((F.col("value") - F.col("low")) / F.col("range"), F.col("value"))
-    kept = met.where("not rare").select("entity", "feature", value.alias("value"))
-    other = kept.where(F.col("feature") != to)
+    # read for the kept, the folded and the gaps
+    met = saved(join_counted(triples, plan, "feature", "written").where("not gone and (not rare or value = 1)").select("entity", "feature", value.alias("value"), "rare"), "met")
+    kept = met.where("not rare").select("entity", "feature", "value")
+    other, k = kept.where(F.col("feature") != to), parts(triples)
     # the feature that rare vendors fold into may stand among the triples too
-    folded = met.where("rare and value = 1").select("entity", F.lit(to).alias("feature"), "value").unionByName(kept.where(F.col("feature") == to))
-    out = other.unionByName(folded.groupBy("entity", "feature").agg(F.max("value").alias("value")))
+    folded = met.where("rare").select("entity", F.lit(to).alias("feature"), "value").unionByName(kept.where(F.col("feature") == to))
+    out = other.unionByName(folded.repartition(k, "entity", "feature").groupBy("entity", "feature").agg(F.max("value").alias("value")))
     lives = stats.where(~gone & ~F.col("is_vendor"))
     filled = lives.where(~is_enum(F.col("feature")) & (F.col("present") < F.col("total"))).select("feature", F.lit(None).cast("string").alias("family"), F.lit(0.0).alias("fill"))
     moved = lives.where(is_enum(F.col("feature")) & (F.col("zeros") > 0) & (F.col("min") < 0) & _scaled()).select("feature", family(F.col("feature"), families).alias("family"), (-F.col("min") / (F.col("max") - F.col("min"))).alias("fill"))
@@ -153,7 +161,8 @@ def normalize(
     read = triples.select("entity", family(F.col("feature"), families).alias("family")).distinct()
     reach = read.select("entity").distinct().withColumn("family", F.lit(None).cast("string")).unionByName(read)
     every = reach.join(F.broadcast(listed), reach["family"].eqNullSafe(listed["family"])).select("entity", F.explode("all").alias("f")).select("entity", "f.feature", F.col("f.fill").alias("value"))
-    return out.unionByName(every.join(out.select("entity", "feature"), ["entity", "feature"], "left_anti"))
+    have = other.unionByName(folded).join(F.broadcast(gap.select("feature")), "feature", "left_semi").select("entity", "feature")
+    return out.unionByName(every.repartition(k, "entity", "feature").join(have.repartition(k, "entity", "feature"), ["entity", "feature"], "left_anti"))
 
 
 def feature_group(name: Column) -> Column:

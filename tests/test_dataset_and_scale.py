@@ -212,3 +212,39 @@ def test_enrichment_folds_by_hash(spark, monkeypatch):
         want[k] = v if have == 0 else 1.0 if have == 1 and v in (0, 1) else have + v
     assert {r.k: r.value for r in E.fold(df, ["k"], "at", "v").collect()} == want
     assert {r.k: r.value for r in E.fold(df.where("k = 0"), ["k"], "at", "v").collect()} == {0: want[0]}  # no row is met again
+
+
+def test_often_held_features_are_not_dealt(spark, monkeypatch):
+    """Where statistics are no small table: rows of a feature that every record has stay where they are, and no rows are dealt by feature into parts that AQE merges by compressed bytes."""
+    monkeypatch.setattr("riskframe.functions.joins.SMALL", 0)
+    rng, plans = random.Random(5), []
+    kept = S.saved
+    for m in (S, C):
+        monkeypatch.setattr(m, "saved", lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), kept(df, name))[1])
+    rows = [r for k in range(300) for r in ((f"e{k:03}", "status_enum_a" if k % 3 else "status_enum_b", 1.0), (f"e{k:03}", "score", k / 4), (f"e{k:03}", f"description_enum_{rng.randrange(150)}", 1.5), (f"e{k:03}", f"vendor_enum_{k % 70}", 1.0))]
+    rows += [(f"e{k:03}", "exploits_days", float(k % 5 - 2)) for k in range(270)]
+    df = spark.createDataFrame(rows, "entity string, feature string, value double")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert found_dataset(df, least_ones=5) == dense_dataset(rows, 0.8, 5)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    dealt = [(name, line) for name, p in plans for line in p.split("\n") if "Exchange hashpartitioning(feature#" in line and name not in ("stats", "plan")]
+    assert all(name == "met" for name, _ in dealt) and sorted("REPARTITION_BY_NUM" in line for _, line in dealt) == [False, True], dealt  # the statistics and the rows of rare features
+    assert any("Exchange hashpartitioning(entity#" in line and "REPARTITION_BY_NUM" in line for name, p in plans for line in p.split("\n") if name == "rows")
+
+
+def test_join_by_counted_keys(spark, monkeypatch):
+    from riskframe.functions import joins as J
+
+    rows = spark.range(0, 8000, numPartitions=8).select("id", F.when(F.col("id") % 2 == 0, "all").otherwise(F.concat(F.lit("f"), F.col("id") % 1999)).alias("word"))
+    rows = rows.unionByName(spark.createDataFrame([(-1, None), (-2, "none")], "id long, word string"))
+    table = rows.where("id >= 0").groupBy("word").agg(F.count("*").alias("n"))
+    want = sorted(map(tuple, rows.join(table, "word").select("id", "word", "n").collect()))
+    for small in (J.SMALL, 0):
+        monkeypatch.setattr(J, "SMALL", small)
+        met = J.join_counted(rows, table, "word", "n").select("id", "word", "n")
+        assert sorted(map(tuple, met.collect())) == want
+        assert met.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 1500
+    assert J.join_counted(rows, table.limit(0), "word", "n").collect() == []
